@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, tokenbin
+from . import langid, mixing, packing, quality, tokenbin, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "sequence_tokens", "padded_to", "step_group")
@@ -57,6 +61,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(generate_series(1, len(q.w)), lambda i: q.w[i] * c.w[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_QUALITY_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT *, string_split(text, chr(10)) AS lines, regexp_extract_all(text, '{_WORD}') AS w FROM d),
+n AS (SELECT *, list_transform(lines, lambda x: trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM t),
+sizes AS (SELECT source, count(DISTINCT text) AS n_docs FROM d GROUP BY source),
+freq AS (SELECT source, line, count(DISTINCT text) AS c FROM (SELECT source, text, unnest(norm) AS line FROM n) WHERE line <> '' GROUP BY source, line),
+lim AS (SELECT f.source, list(f.line) AS over FROM freq f JOIN sizes s ON f.source IS NOT DISTINCT FROM s.source
+  WHERE f.c > 20 AND f.c > s.n_docs * 0.1::DOUBLE GROUP BY f.source),
+j AS (SELECT n.*, lim.over FROM n LEFT JOIN lim ON n.source IS NOT DISTINCT FROM lim.source),
+g AS (SELECT rid, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x, unnest(generate_series(1, len(w) - 2)) AS i FROM t),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS c FROM g) WHERE c > 1),
+rep AS (SELECT rid, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY rid),
+m AS (SELECT j.rid, doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}')))))::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  CASE WHEN over IS NULL THEN len(w) ELSE len(regexp_extract_all(array_to_string(list_transform(list_filter(generate_series(1, len(lines)), lambda i: NOT list_contains(over, norm[i])), lambda i: lines[i]), chr(10)), '{_WORD}')) END AS n_left
+  FROM j LEFT JOIN rep ON j.rid = rep.rid),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_left >= n_words * 0.3::DOUBLE AS kept FROM f
+"""
+
 _MIXING_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM d GROUP BY source),
@@ -82,4 +116,4 @@ FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": _MIXING_SQL}
+    return {"op1_topk": _TOPK_SQL, "op7_quality": _QUALITY_SQL, "op9_mixing": _MIXING_SQL}
