@@ -179,7 +179,8 @@ class Trees:
 
 def fit(df: DataFrame, text_col: str = "text", precision: float = PRECISION) -> Trees:
     """Trees from the candidates of all rows; at most CELLS rows of counts reach the driver."""
-    cells = propose(df.select(F.col(f"`{text_col}`").alias("text"))).where(F.size("cands") > 0).select(F.explode("cands").alias("c"))
+    # explode_outer: for explode Spark would first test the array's size, and so search each text twice
+    cells = propose(df.select(F.col(f"`{text_col}`").alias("text")), "text").select(F.explode_outer("cands").alias("c")).where("c is not null")
     counts = cells.groupBy(*[F.col(f"c.{f}").alias(f) for f in _FEATURES]).agg(F.count(F.lit(1)).alias("n"), F.count_if("c.valid").alias("ok")).collect()
     return Trees(sorted((tuple(r[f] for f in _FEATURES), float(r.n), float(r.ok)) for r in counts), precision=precision)
 

@@ -107,7 +107,10 @@ def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", line_
     )
     docs = docs.select("row", "text", "n_words", "word_chars", "n_symbols", (F.size("seen") - F.size(F.array_distinct("seen"))).cast("long").alias("n_dup_lines"), "n_repeat_words", "clean_text", F.when(F.col("limited") & (F.col("clean_text") != F.col("text")), F.regexp_count("clean_text", F.lit(f"[^{SPACE_CLASS}]+")).cast("long")).otherwise(F.col("n_words")).alias("n_left"))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return docs.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_left") >= F.col("n_words") * least_left)).drop("text")
+    # The last condition always holds; not being deterministic, it keeps filters on `kept` from being pushed below, where
+    # the arrays would be made anew for each element that a lambda looks at.
+    kept = ~failed & (F.col("n_left") >= F.col("n_words") * least_left) & (F.monotonically_increasing_id() >= 0)
+    return docs.select("*", failed.alias("base_failed"), kept.alias("kept")).drop("text")
 
 
 def scrub(df: DataFrame, text_col: str = "text", host_col: str = "source", count_col: str | None = "n_chars", **limits) -> DataFrame:
