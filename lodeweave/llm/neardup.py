@@ -8,10 +8,11 @@ per symbol with that symbol left out, which enumerates the allowed error, and al
 bucket. Every candidate pair is confirmed on the documents' full sets.
 
 Texts with equal words are one class, found by grouping on a 128-bit hash; only classes enter the index. Within a
-bucket pairs are not enumerated at once: first each member is compared to the bucket's smallest id (a bucket of two
-needs no more than its minimum and maximum). Confirmed links give components. Only buckets whose members are still
+bucket pairs are not enumerated at once: first each member is compared to the bucket's smallest id. Confirmed links give components. Only buckets whose members are still
 in different components are looked at again, in cells of bounded size, pair by pair across components, so no link
-between components is lost, while a group of thousands of copies costs one comparison per member.
+between components is lost, while a group of thousands of copies costs one comparison per member. A pair that meets
+in several buckets is looked at in one only, which its signatures tell; members that still have a pair within the
+radius bring their texts to the cell, and only links that were confirmed there leave it.
 
 Connected components are found by alternating large-star and small-star steps on the links, with a checkpoint per
 step. Nothing that grows with the input reaches the driver but counts.
@@ -37,8 +38,8 @@ from .common import cut, text_of
 HASHES = 64
 #: Chance that a pair just at the wanted similarity lies outside the radius.
 MISS = 1e-6
-#: Members of a cell side; a bucket of more is parted into blocks, and each pair of blocks is a cell.
-CELL = 256
+#: Members and shingles of a cell side, about; a bucket of more is parted into blocks, and each pair of blocks is a cell.
+CELL, CELL_SHINGLES = 2048, 4_000_000
 #: Ids of texts to confirm that are broadcast at most to pick them from the table; beyond, they are joined.
 MOST_BROADCAST = 4_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -168,16 +169,17 @@ def _sig_matrix(column) -> np.ndarray:
 
 
 def buckets(classes: DataFrame, r: int) -> DataFrame:
-    """bucket, id: every class in each of its buckets."""
+    """bucket, gap (the symbol left out), id: every class in each of its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 keys = bucket_keys(_sig_matrix(batch.column(1)), r)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1]))], ["bucket", "id"])
+                gaps = np.tile(np.arange(HASHES, dtype=np.int8), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(gaps), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1]))], ["bucket", "gap", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "bucket long, id long")
+    return classes.select("id", "sig").mapInArrow(run, "bucket long, gap byte, id long")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, r: int) -> DataFrame:
@@ -245,36 +247,96 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
-def _cells(members: DataFrame, comps: DataFrame, classes: DataFrame, r: int) -> DataFrame:
-    """Pairs (a, b), a < b, within the radius and in different components, of buckets that hold several components."""
-    placed = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    rows = placed.join(open_.select("bucket", "n"), "bucket").join(classes.select("id", "sig"), "id")
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    item = F.struct("id", "component", "sig", "mine")
-    cells = rows.groupBy("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.collect_list(item).alias("items"))
+class _Cell:
+    """Members of two blocks of a bucket: ids, components, blocks and signatures."""
+
+    def __init__(self, items, i: int, j: int, gap: int, r: int):
+        self.ids, self.comp, mine = (items.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component", "mine"))
+        self.sig = _sig_matrix(items.field("sig"))
+        self.rows, self.cols, self.same = np.flatnonzero(mine == i), np.flatnonzero(mine == j), i == j
+        self.gap, self.r, self.starts = gap, r, np.array([c.start for c in chunks(r)])
+        self.chunk = int(np.searchsorted(self.starts, gap, side="right")) - 1
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(x, ys): places of members in different components, within the radius, whose first common bucket this is."""
+        first = self.gap == self.starts[self.chunk]
+        for x in self.rows.tolist():
+            y = self.cols[self.comp[self.cols] != self.comp[x]]
+            if self.same:
+                y = y[self.ids[y] > self.ids[x]]
+            if not len(y):
+                continue
+            off = self.sig[y] != self.sig[x]
+            good = off.sum(axis=1) <= self.r
+            y, off = y[good], off[good]
+            if not len(y):
+                continue
+            errors = np.add.reduceat(off, self.starts, axis=1, dtype=np.int16)
+            here = errors[:, self.chunk]
+            own = (errors[:, : self.chunk] >= 2).all(axis=1) & (((here == 0) & first) | ((here == 1) & off[:, self.gap]))
+            if own.any():
+                yield x, y[own]
+
+
+def _open_cells(members: DataFrame, comps: DataFrame, classes: DataFrame, r: int) -> DataFrame:
+    """bucket, gap, i, j, id, component, mine, sig: members that have a pair to be confirmed in a cell."""
+    placed = members.join(comps, "id", "left").select("bucket", "gap", "id", F.coalesce("component", "id").alias("component"))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    rows = placed.join(open_, "bucket").join(classes.select("id", "sig", "n_shingles"), "id")
+    weights = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n_shingles") / CELL_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(weights, "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    single = rows.where("blocks = 1").withColumn("other", F.lit(0))
+    several = rows.where("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = single.unionByName(several).groupBy("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.min("gap").alias("gap"), F.collect_list(F.struct("id", "component", "mine", "sig")).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
             for k in range(batch.num_rows):
-                items = batch.column(2)[k].values
-                ids, comp, mine = (items.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component", "mine"))
-                sig = _sig_matrix(items.field("sig"))
-                i, j = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                rows, cols = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-                for x in rows:
-                    y = cols[(comp[cols] != comp[x]) & ((ids[cols] > ids[x]) | (i != j))]
-                    if len(y):
-                        y = y[(sig[y] != sig[x]).sum(axis=1) <= r]
-                        left.append(np.minimum(ids[y], ids[x]))
-                        right.append(np.maximum(ids[y], ids[x]))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-
-    return cells.select("i", "j", "items").mapInArrow(run, "a long, b long").distinct()
+                bucket, gap, i, j = (batch.column(c)[k].as_py() for c in range(4))
+                items = batch.column(4)[k].values
+                found: set[int] = set()
+                for x, y in _Cell(items, i, j, gap, r).pairs():
+                    found.add(x)
+                    found.update(y.tolist())
+                if found:
+                    kept = items.take(pa.array(sorted(found)))
+                    n = len(kept)
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket] * n), pa.array([gap] * n, pa.int8()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), *(kept.field(f) for f in ("id", "component", "mine", "sig"))], ["bucket", "gap", "i", "j", "id", "component", "mine", "sig"])
+
+    return cells.select("bucket", "gap", "i", "j", "items").mapInArrow(run, "bucket long, gap byte, i int, j int, id long, component long, mine int, sig binary")
+
+
+def cell_links(members: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, r: int, width: int, per_cent: int) -> DataFrame:
+    """Links (a, b) between different components, enough to join all that any link joins."""
+    open_ = cut(_open_cells(members, comps, classes, r), "open_cells")
+    ids = cut(open_.select("id").distinct(), "open_ids")
+    needed = texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    cells = open_.join(needed, "id").groupBy("bucket", "gap", "i", "j").agg(F.collect_list(F.struct("id", "component", "mine", "sig", "text")).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                gap, i, j = (batch.column(c)[k].as_py() for c in range(3))
+                items = batch.column(3)[k].values
+                cell = _Cell(items, i, j, gap, r)
+                sets = [shingles(split_words(t), width) for t in items.field("text").to_pylist()]
+                size = np.array([len(x) for x in sets])
+                joined: set[tuple[int, int]] = set()
+                links = []
+                for x, ys in cell.pairs():
+                    flat = np.concatenate([sets[y] for y in ys.tolist()])
+                    at = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
+                    common = np.add.reduceat(sets[x][at] == flat, np.cumsum(size[ys]) - size[ys], dtype=np.int64)
+                    for y in ys[100 * common >= per_cent * (size[x] + size[ys] - common)].tolist():
+                        both = (min(cell.comp[x], cell.comp[y]), max(cell.comp[x], cell.comp[y]))
+                        if both not in joined:
+                            joined.add(both)
+                            links.append((min(cell.ids[x], cell.ids[y]), max(cell.ids[x], cell.ids[y])))
+                if links:
+                    a, b = zip(*links, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return cells.select("gap", "i", "j", "items").mapInArrow(run, "a long, b long").distinct()
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, per_cent: int = 85) -> DataFrame:
@@ -282,18 +344,16 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     r = radius(per_cent)
     sketched = cut(sketch(df, id_col, text_col, width), "sketches")
     keyed = sketched.where("key is not null and id is not null")
-    classes = cut(keyed.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
+    classes = cut(keyed.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     entered = buckets(classes, r)
-    shared = entered.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = entered.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(entered.join(shared.select("bucket", "hub"), "bucket"), "members")
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     # Texts of the classes' first rows only; ids that several rows share take the least text.
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    tried = cut(_near(stars, classes, r), "near_stars")
-    links = cut(confirmed(tried, texts, width, per_cent), "star_links")
+    links = cut(confirmed(cut(_near(stars, classes, r), "near_stars"), texts, width, per_cent), "star_links")
     comps = components(links)
-    rest = _cells(members, comps, classes, r).join(tried, ["a", "b"], "left_anti")
-    more = cut(confirmed(cut(rest, "near_pairs"), texts, width, per_cent), "pair_links")
+    more = cut(cell_links(members, comps, classes, texts, r, width, per_cent), "cell_links")
     if more.limit(1).count():
         comps = components(comps.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
     of_class = classes.select("key", F.col("id").alias("class")).join(comps.select(F.col("id").alias("class"), "component"), "class", "left").select("key", F.coalesce("component", "class").alias("component"))
