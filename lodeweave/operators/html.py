@@ -1,0 +1,388 @@
+"""HTML pages: one Arrow pass per page gives a struct of what the page says; cascades over it are native expressions.
+
+`parse_pages` reads each page once (JVM to Python in Arrow batches, one narrow stage). Markdown is a pass of its own,
+because Spark cannot prune single outputs of a Python function.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodeweave.functions import urls
+from lodeweave.functions.dom import Node, parse
+
+_S, _L = T.StringType(), T.LongType()
+_ICON = T.StructType([T.StructField("url", _S), T.StructField("size", _L), T.StructField("kind", _L), T.StructField("pos", _L)])
+_ALT = T.StructType([T.StructField("url", _S), T.StructField("lang", _S)])
+_MEDIA = T.StructType([T.StructField("kind", _S), T.StructField("url", _S), T.StructField("source", _S)])
+PAGE = T.StructType([
+    *(T.StructField(n, _S) for n in ("title_tag", "meta_title", "html_lang", "og_locale", "meta_desc", "og_desc", "keywords", "geo_place", "lead", "long_text", "breadcrumb", "text")),
+    *(T.StructField(n, _L) for n in ("text_len", "n_img")),
+    *(T.StructField(n, T.ArrayType(_S)) for n in ("h1", "hrefs", "jsonld")),
+    T.StructField("icons", T.ArrayType(_ICON)),
+    T.StructField("alternates", T.ArrayType(_ALT)),
+    T.StructField("media", T.ArrayType(_MEDIA)),
+])
+
+# Titles of challenge pages.
+CHALLENGE_TITLES = ("just a moment", "checking your browser", "checking the site connection security", "attention required", "security check", "robot check")
+# Endings of media files.
+MEDIA_ENDINGS = {"image": ("jpg", "jpeg", "png", "webp", "gif", "svg", "avif"), "video": ("mp4", "webm", "mov", "m4v"), "audio": ("mp3", "wav", "ogg", "m4a")}
+_FURNITURE = re.compile(r"\b(cookie|privacy|newsletter|subscribe|javascript|browser|rights reserved|copyright|terms of service)\b", re.IGNORECASE)
+_SIZED = re.compile(r"[-_](\d{2,4})(?:x(\d{2,4}))?\.(?:png|jpe?g|webp|ico|svg)", re.IGNORECASE)
+_ICON_KINDS = (("android", 4), ("apple-touch", 3), ("icon", 2), ("shortcut", 1))
+
+
+def icon_size(sizes: str | None, href: str | None) -> int:
+    """Largest side that sizes names, else the file's name; 0 for none."""
+    named = [max(int(a), int(b)) for a, b in re.findall(r"(\d+)x(\d+)", (sizes or "").lower())]
+    if named and max(named):
+        return max(named)
+    m = _SIZED.search(re.split(r"[?#]", href or "")[0])
+    side = max(int(m[1]), int(m[2] or m[1])) if m else 0
+    return side if 16 <= side <= 1024 else 0
+
+
+def media_kind(url: str) -> str | None:
+    """image, video or audio by the path's ending."""
+    path = re.split(r"[?#]", url)[0].lower()
+    return next((k for k, ends in MEDIA_ENDINGS.items() if path.endswith(tuple("." + e for e in ends))), None)
+
+
+def _media(root: Node, base: str) -> list[dict]:
+    found: dict[str, dict] = {}
+
+    def add(url: str | None, source: str, kind: str | None = None) -> None:
+        url = (url or "").strip()
+        if url and not url.startswith(("data:", "blob:")):
+            whole = urljoin(base, url)
+            kind = media_kind(whole) or kind
+            if kind and whole not in found:
+                found[whole] = {"kind": kind, "url": whole, "source": source}
+
+    for n in root.walk():
+        a = n.attrs
+        if n.name == "meta" and a.get("property") in ("og:image", "og:video"):
+            add(a.get("content"), a["property"], "image" if a["property"] == "og:image" else "video")
+        elif n.name == "img":
+            widest = max((x.split() for x in a.get("srcset", "").split(",") if x.strip()), key=lambda p: float(re.sub(r"[^\d.]", "", p[1]) or 0) * (1000 if p[1].endswith("x") else 1) if len(p) > 1 else 0, default=None)
+            add(widest[0] if widest else None, "srcset", "image")
+            add(a.get("src") or a.get("data-src"), "img", "image")
+        elif n.name in ("video", "audio"):
+            add(a.get("src"), n.name, n.name)
+            add(a.get("poster"), "poster", "image")
+        elif n.name == "source":
+            add(a.get("src") or a.get("srcset", "").split(" ")[0], "source")
+        if "url(" in a.get("style", ""):
+            add(re.sub(r""".*url\(\s*['"]?([^'")]+).*""", r"\1", a["style"], flags=re.DOTALL), "style")
+        add(a.get("data-media-url"), "data-media-url")
+    return list(found.values())
+
+
+def read_page(html: str | None, url: str | None) -> dict:
+    """What a page says, by PAGE's fields."""
+    root, base = parse(html), url or ""
+    metas, icons, alternates = {}, [], []
+    for i, n in enumerate(root.find("meta", "link")):
+        a = n.attrs
+        if n.name == "meta":
+            for key in (a.get("name"), a.get("property")):
+                if key and key.lower() not in metas:
+                    metas[key.lower()] = a.get("content", "").strip()
+            continue
+        rel, href = a.get("rel", "").lower().split(), a.get("href", "").strip()
+        if not href or href.startswith(("data:", "javascript:")):
+            continue
+        if "alternate" in rel and a.get("hreflang"):
+            alternates.append({"url": urljoin(base, href).split("#")[0], "lang": a["hreflang"]})
+        if "mask-icon" not in rel and any("icon" in r for r in rel):
+            joined = " ".join(rel) + " " + href.lower()
+            kind = next((k for word, k in _ICON_KINDS if word in joined), 1)
+            size = icon_size(a.get("sizes"), href) or (192 if kind == 4 else 180 if kind == 3 else 0)
+            icons.append({"url": urljoin(base, href), "size": size, "kind": kind, "pos": i})
+    body = root.first("body") or root
+    lead = next((t for box in map(root.first, ("main", "article")) if box for t in (p.text() for p in box.find("p")) if len(t) >= 20), None)
+    long_text = next((t for t in (p.text(" ") for p in root.find("p", "h1", "h2", "h3", "h4", "h5")) if 80 <= len(t) <= 1000 and not _FURNITURE.search(t)), None)
+    crumb = next((n for n in root.walk() if n.has("breadcrumb")), None)
+    items = [x.text() for x in crumb.find("li", "span", "a")] if crumb else []
+    title, page = root.first("title"), root.first("html")
+    return {
+        "title_tag": title.text(" ") if title else None,
+        "meta_title": next((metas[k] for k in ("og:title", "twitter:title") if metas.get(k)), None),
+        "html_lang": page.attrs.get("lang") if page else None,
+        "og_locale": metas.get("og:locale"),
+        "meta_desc": metas.get("description"),
+        "og_desc": metas.get("og:description"),
+        "keywords": metas.get("keywords"),
+        "geo_place": metas.get("geo.placename"),
+        "lead": lead,
+        "long_text": long_text,
+        "breadcrumb": items[-1] if items else None,
+        "text": body.text(" "),
+        "text_len": len(body.text()),
+        "n_img": sum(1 for _ in root.find("img")),
+        "h1": [t for t in (h.text(" ") for h in root.find("h1")) if t],
+        "hrefs": [n.attrs["href"].strip() for n in root.find("a") if n.attrs.get("href", "").strip()],
+        "jsonld": [n.raw() for n in root.find("script") if n.attrs.get("type") == "application/ld+json"],
+        "icons": icons,
+        "alternates": alternates,
+        "media": _media(root, base),
+    }
+
+
+def _pass(df: DataFrame, html_col: str, url_col: str, out: str, kind: T.DataType, read) -> DataFrame:
+    """df without its HTML and with one column made from (html, url) in Arrow batches."""
+    kept = [c for c in df.columns if c not in (html_col, out)]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                made = [read(h, u) for h, u in zip(b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(made, arrow.field(out).type)], schema=arrow)
+
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(html_col).cast("string").alias("__html"), F.col(url_col).cast("string").alias("__url")).mapInArrow(run, schema)
+
+
+def parse_pages(df: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "page") -> DataFrame:
+    """df without its HTML, with `page`, a struct of PAGE's fields."""
+    return _pass(df, html_col, url_col, out, PAGE, read_page)
+
+
+def _good_title(t: Column) -> Column:
+    clean = F.trim(F.regexp_replace(t, r"\s+", " "))
+    low = F.lower(clean)
+    bad = (clean == "") | low.isin("untitled", "untitled page")
+    for c in CHALLENGE_TITLES:
+        bad = bad | F.contains(low, F.lit(c))
+    return F.when(~bad, clean)
+
+
+def title(page: Column) -> Column:
+    """Title tag, else title of a share card, else first h1, else Untitled; challenge titles don't count."""
+    return F.coalesce(_good_title(page["title_tag"]), _good_title(page["meta_title"]), F.get(F.array_compact(F.transform(page["h1"], _good_title)), F.lit(0)), F.lit("Untitled"))
+
+
+def _ld(page: Column, field: str) -> Column:
+    """First non-empty value of a field over all JSON-LD items, lists and graphs included."""
+    sources = F.flatten(F.transform(page["jsonld"], lambda s: F.array(*[F.get_json_object(s, p) for p in (f"$.{field}", f"$[0].{field}", f"$['@graph'][0].{field}", f"$[1].{field}", f"$['@graph'][1].{field}")])))
+    return F.get(F.filter(sources, lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(0))
+
+
+def _filled(c: Column) -> Column:
+    return F.when(F.trim(c) != "", F.trim(c))
+
+
+def about(page: Column, most: int = 2000) -> Column:
+    """Description tags, JSON-LD, first paragraph of the main part, first longer text."""
+    return F.left(F.coalesce(_filled(page["meta_desc"]), _filled(page["og_desc"]), _ld(page, "description"), page["lead"], page["long_text"]), F.lit(most))
+
+
+def _href(page: Column, keep) -> Column:
+    return F.get(F.filter(page["hrefs"], keep), F.lit(0))
+
+
+def email(page: Column) -> Column:
+    """First mailto: address, else the first address in the text."""
+    mail = F.regexp_replace(_href(page, lambda h: F.lower(h).startswith("mailto:")), r"(?i)^mailto:|\?.*$", "")
+    return F.coalesce(_filled(mail), _filled(F.regexp_extract(page["text"], r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0)))
+
+
+def phone(page: Column) -> Column:
+    """First tel: number."""
+    return _filled(F.regexp_replace(_href(page, lambda h: F.lower(h).startswith("tel:")), "(?i)^tel:", ""))
+
+
+def instagram(page: Column) -> Column:
+    """First profile link."""
+    return _href(page, lambda h: h.contains("instagram.com/") & ~h.rlike("/(?:p|reel|explore|stories)/"))
+
+
+def linkedin(page: Column) -> Column:
+    """First person's or company's link."""
+    return _href(page, lambda h: h.rlike(r"linkedin\.com/(?:in|company)/"))
+
+
+def founded(page: Column) -> Column:
+    """Year of JSON-LD, else of the first `founded`, `since` or `est` in the text, between 1900 and 2100."""
+    told = F.nullif(F.regexp_extract(F.coalesce(_ld(page, "foundingDate"), F.lit("")), r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
+    seen = F.nullif(F.regexp_extract(page["text"], r"(?i)(?:founded|since|est\.?)\s*(?:in\s+)?(\d{4})", 1), F.lit("")).cast("int")
+    return F.coalesce(told.cast("int"), F.when(seen.between(1900, 2100), seen))
+
+
+def location(page: Column) -> Column:
+    """City and country of JSON-LD, or its address text, else the geo tag."""
+    city, country = _ld(page, "address.addressLocality"), _ld(page, "address.addressCountry")
+    both = _filled(F.concat_ws(", ", city, country))
+    plain = _ld(page, "address")
+    return F.coalesce(both, F.when(~plain.startswith("{"), plain), _filled(page["geo_place"]))
+
+
+def language(page: Column, url: Column, sitemap: Column | None = None) -> Column:
+    """Sitemap, html lang, alternate link to this path, og:locale, path prefix; two letters or more, lower-case."""
+    own = F.get(F.filter(page["alternates"], lambda a: urls.path(a["url"]) == urls.path(url)), F.lit(0))["lang"]
+    told = [sitemap] if sitemap is not None else []
+    return F.lower(F.coalesce(*[_filled(c) for c in (*told, page["html_lang"], own, F.replace(page["og_locale"], F.lit("_"), F.lit("-")), urls.path_language(url))]))
+
+
+def is_blank(page: Column) -> Column:
+    """Hardly any text and at most one image."""
+    return (page["text_len"] < 50) & (page["n_img"] <= 1)
+
+
+def ranked_icons(page: Column) -> Column:
+    """Icons by size, kind and place, best first."""
+    return F.transform(F.reverse(F.array_sort(F.transform(page["icons"], lambda i: F.struct(i["size"].alias("s"), i["kind"].alias("k"), (-i["pos"]).alias("p"), i["url"].alias("url"))))), lambda i: i["url"])
+
+
+def best_icon(page: Column, url: Column, unreachable: Column | None = None) -> Column:
+    """Best icon that is not in `unreachable`, an array of addresses; else the fallback service's."""
+    ranked = ranked_icons(page)
+    good = ranked if unreachable is None else F.array_except(ranked, F.coalesce(unreachable, F.array().cast("array<string>")))
+    return F.coalesce(F.get(good, F.lit(0)), urls.fallback_icon(url))
+
+
+def internal_links(df: DataFrame, url_col: str = "url", page_col: str = "page", out: str = "links") -> DataFrame:
+    """df with the sorted absolute addresses of links to the page's own host."""
+
+    @F.pandas_udf("array<string>")
+    def joined(base, hrefs):
+        return base.combine(hrefs, lambda b, hs: sorted({urljoin(b, h) for h in hs} if hs is not None else ()))
+
+    every = joined(F.col(url_col), F.col(page_col)["hrefs"])
+    return df.withColumn("__all", every).withColumn(out, F.filter("__all", lambda h: h.rlike("(?i)^https?://") & (urls.bare_domain(h) == urls.bare_domain(F.col(url_col))))).drop("__all")
+
+
+# Parts of class and id that mark page furniture.
+FURNITURE_MARKS = ("nav", "menu", "footer", "sidebar", "cookie", "gdpr", "moove", "iubenda", "onetrust", "cookiebot", "popup", "modal", "ad-", "advertisement", "swiper-slide-duplicate", "clone", "cloned")
+CONTENT_MARKS = ("subheader", "sub-header", "headline", "title", "overlaytext", "caption", "boxcontent", "roomname", "boxcontentheader")
+_DROPPED = frozenset("script style noscript iframe template dialog nav footer header button input select textarea svg".split())
+_BLOCKS = frozenset("div section article main body html form header aside figure span center".split())
+
+
+def _skipped(n: Node) -> bool:
+    if n.name in ("img", "body", "html", "main", "article"):
+        return False
+    if n.name in _DROPPED:
+        return not (n.name == "header" and n.first("h1", "h2", "h3") is not None)
+    style = n.attrs.get("style", "").replace(" ", "").lower()
+    if "display:none" in style or "visibility:hidden" in style or "hidden" in n.attrs or n.has("hidden-desktop"):
+        return True
+    if re.fullmatch("h[1-6]", n.name) or n.has(*CONTENT_MARKS):
+        return False
+    return n.has(*FURNITURE_MARKS)
+
+
+def _inline(n: Node, base: str) -> str:
+    out = []
+    for c in n.children:
+        if isinstance(c, str):
+            out.append(c)
+        elif c.name == "br":
+            out.append("\n")
+        elif c.name == "img":
+            src = c.attrs.get("src") or c.attrs.get("data-src") or ""
+            if src and not src.startswith("data:"):
+                out.append(f"![{c.attrs.get('alt', '')}]({urljoin(base, src)})")
+        elif not _skipped(c):
+            inner = _inline(c, base)
+            flat = re.sub(r"\s+", " ", inner).strip()
+            if c.name == "a" and flat and c.attrs.get("href"):
+                out.append(f"[{flat}]({urljoin(base, c.attrs['href'])})")
+            elif c.name in ("b", "strong") and flat:
+                out.append(f"**{flat}**")
+            elif c.name in ("i", "em") and flat:
+                out.append(f"*{flat}*")
+            elif c.name == "code" and flat:
+                out.append(f"`{flat}`")
+            else:
+                out.append(inner)
+    return "".join(out)
+
+
+def _flat(n: Node, base: str) -> str:
+    return re.sub(r"[ \t\r\n]+", " ", _inline(n, base)).strip()
+
+
+def _blocks(n: Node, base: str, depth: int = 0) -> Iterator[str]:
+    loose: list[str | Node] = []
+
+    def flush() -> Iterator[str]:
+        if loose:
+            box = Node("p", {}, None)
+            box.children = list(loose)
+            loose.clear()
+            if text := _flat(box, base):
+                yield text
+
+    for c in n.children:
+        if isinstance(c, str) or c.name in ("a", "b", "strong", "i", "em", "code", "img", "br", "small", "u"):
+            loose.append(c)
+            continue
+        yield from flush()
+        if _skipped(c):
+            continue
+        if re.fullmatch("h[1-6]", c.name):
+            if text := _flat(c, base):
+                yield f"{'#' * int(c.name[1])} {text}"
+        elif c.name in ("ul", "ol"):
+            lines, number = [], 0
+            for li in (x for x in c.children if isinstance(x, Node) and x.name == "li"):
+                number += 1
+                inner = [x for x in li.children if isinstance(x, Node) and x.name in ("ul", "ol")]
+                li.children = [x for x in li.children if x not in inner]
+                if text := _flat(li, base):
+                    lines.append(f"{'  ' * depth}{'-' if c.name == 'ul' else f'{number}.'} {text}")
+                for x in inner:
+                    box = Node("", {}, None)
+                    box.children = [x]
+                    lines += list(_blocks(box, base, depth + 1))
+            if lines:
+                yield "\n".join(lines)
+        elif c.name == "blockquote":
+            if text := "\n".join(_blocks(c, base)):
+                yield "\n".join(f"> {line}" for line in text.split("\n"))
+        elif c.name == "pre":
+            yield f"```\n{c.raw().strip(chr(10))}\n```"
+        elif c.name == "table":
+            rows = [[_flat(x, base).replace("|", r"\|") for x in tr.find("td", "th")] for tr in c.find("tr")]
+            rows = [r for r in rows if r]
+            if rows and not (rows[0] and rows[0][0] in ("Meta contents", "Meta Content", "Informazioni meta")):
+                width = max(map(len, rows))
+                lines = [f"| {' | '.join(r + [''] * (width - len(r)))} |" for r in rows]
+                yield "\n".join([lines[0], "|" + "---|" * width, *lines[1:]])
+        elif c.name in _BLOCKS:
+            yield from _blocks(c, base, depth)
+        elif text := _flat(c, base):
+            yield text
+    yield from flush()
+
+
+def to_markdown(html: str | None, url: str | None) -> str:
+    """The main part of a page as Markdown: its richest container, without furniture and hidden parts."""
+    root = parse(html)
+    boxes = [n for n in root.walk() if n.name in ("main", "article") or n.attrs.get("role") == "main" or n.attrs.get("id") in ("main-content", "content") or n.attrs.get("class", "").split()[:1] in (["content"], ["main-content"], ["entry-content"], ["page-content"], ["post-content"])]
+    best = max(boxes, key=lambda n: len(n.text()), default=None)
+    box = best if best is not None and (len(best.text()) > 40 or best.first("img")) else root.first("body") or root
+    blocks: list[str] = []
+    for b in _blocks(box, url or ""):
+        if not blocks or blocks[-1] != b:
+            blocks.append(b)
+    return "\n\n".join(blocks)
+
+
+def with_markdown(df: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "markdown") -> DataFrame:
+    """df without its HTML, with its main part as Markdown; bare addresses outside of links are dropped."""
+    made = _pass(df, html_col, url_col, out, _S, to_markdown)
+    return made.withColumn(out, F.regexp_replace(F.regexp_replace(out, r"""(?<![(\[])https?://[^\s<>")]+(?![\])])""", ""), r"\n{3,}", "\n\n"))
