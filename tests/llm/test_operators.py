@@ -1,0 +1,491 @@
+"""The operators of lodeweave.llm against brute force, exact round trips and edge cases on small inputs."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodeweave.llm import langid, lm, mixing, neardup, packing, pii, quality, queries, secrets, tokenbin, tokenization, topk
+
+tokenizers = pytest.importorskip("public_tokenizers")
+WORD, BYTE = tokenizers.path("word_bpe_49k.json"), tokenizers.path("byte_bpe_50k.json")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, row string, id long"
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty, long and repeated texts, repeated rows and ids, clashing column names."""
+    long = "alpha beta gamma delta " * 6000
+    rows = [
+        (1, None, None, None, None, "w", "r", 7), (2, "", "en", "a", 0, None, None, None), (3, " \n\t ", "en", None, 4, "w", "r", 7), (None, "no id here at all", "en", "a", 5, "w", "r", 7),
+        (4, "same words here now", "en", "a", 9, "w", "r", 7), (4, "same words here now", "en", "a", 9, "w", "r", 7), (5, "Same  WORDS here\nnow", "fr", "b", 9, "w", "r", 7),
+        (6, long, "en", "b", len(long), "w", "r", 7), (7, "é ü 日本   x", None, "b", 9, "w", "r", 7), (8, "one", "en", "", 3, "w", "r", 7),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# tokenizers
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoder_equals_the_library(path, texts):
+    encoder, rnd = tokenization.Encoder(path, most=500), random.Random(1)
+    alphabet = "ab Z9'.\n\té<|  ñß'sd,́日"
+    cases = ["", " ", "\n", "don't we'll I'M 'S x's", "<|endoftext|> x", "x²½ ªº", "A\x01B", "ΟΔΟΣ Σ", "a\x85b", "\x1c a", *list(texts.values())[:60]]
+    cases += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 40))) for _ in range(800)]
+    assert [c for c in cases if encoder.encode(c) != encoder.whole(c)] == []
+
+
+# 1 top-k
+
+
+def brute_topk(rows, k):
+    out = set()
+    for qid, q in rows:
+        if qid % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), vid) for vid, v in rows if vid != qid and len(v) == len(q))
+            out |= {(qid, i + 1, vid, -s) for i, (s, vid) in enumerate(scores[:k])}
+    return out
+
+
+def test_topk_against_brute_force(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = [(r.vec_id, [math.floor(256 * float(x)) for x in r.embedding]) for r in e.collect()]
+    for block, group in ((10_000, 500), (37, 3)):
+        got = {tuple(r) for r in topk.search(e, F.col("vec_id") % 50 == 0, block=block, group=group).collect()}
+        assert got == brute_topk(rows, 5)
+
+
+@pytest.mark.parametrize("spread, n", [(1, 40), (3, 300), (300, 300), (2**20, 60)])
+def test_topk_block_with_ties_and_large_numbers(spread, n):
+    rnd = np.random.RandomState(3)
+    v = rnd.randint(-spread, spread + 1, (n, 8)).astype(np.int64)
+    ids = np.arange(n)
+    rows, found, scores = topk.best_of_block(v[::7], ids[::7], v, ids, 5)
+    for at, q in enumerate(range(0, n, 7)):
+        want = sorted((-int(v[q] @ v[i]), i) for i in range(n) if i != q)[:5]
+        assert [(-s, i) for s, i in zip(scores[rows == at].tolist(), found[rows == at].tolist(), strict=True)] == want
+
+
+def test_topk_edges(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (None, [1.0, 1.0]), (4, [1.0, 1.0]), (5, [0.0, 0.0]), (50, [1.0]), (6, [])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.search(d, F.col("vec_id") % 50 == 0).collect()))
+    assert got == [(0, 1, 4, 128 * 256), (0, 2, 5, 0)]
+    assert topk.search(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# 2 packing
+
+
+def check_pieces(rows, ids):
+    docs, sequences = {}, {}
+    for r in rows:
+        docs.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.sequence_tokens, r.padded_to))
+    for key, whole in ids.items():
+        pieces = sorted(docs[key])
+        assert b"".join(p for _, p in pieces) == whole
+        assert [s for s, _ in pieces] == [sum(len(p) // 4 for _, p in pieces[:i]) for i in range(len(pieces))]
+    for pieces in sequences.values():
+        at = 0
+        for offset, length, total, padded in sorted(pieces):
+            assert offset == at and length > 0
+            at += length
+        assert at == total <= 2048 and padded == (at if at & (at - 1) == 0 else 2048)
+    return sequences
+
+
+def test_packing_keeps_every_id_once(spark, texts, sf):
+    encode = tokenization.Encoder(WORD).encode
+    rows = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), WORD).collect()
+    sequences = check_pieces(rows, {d: encode(t) + (1).to_bytes(4, "little") for d, t in texts.items()})
+    total, padded = sum(r.length for r in rows), sum(p[0][3] for p in sequences.values())
+    assert padded - total <= 2048  # one window of padding for one buffer
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pack_lengths(seed):
+    rnd = random.Random(seed)
+    lengths = [rnd.choice([1, 5, 100, 255, 256, 257, 700, 2047, 2048, 2049, 9000]) + rnd.randint(0, 3) for _ in range(rnd.randint(1, 200))]
+    windows = packing.pack_lengths(lengths)
+    covered = Counter()
+    for tier, pieces in windows:
+        assert 0 < sum(p[2] for p in pieces) <= tier
+        for doc, start, length in pieces:
+            covered.update((doc, i) for i in range(start, start + length))
+    assert set(covered.values()) == {1} and len(covered) == sum(lengths)
+    assert sum(sum(p[2] for p in pieces) < tier for tier, pieces in windows) <= 1
+    groups = packing.step_groups([100, 50, 50, 60, 40], 100)
+    loads = Counter()
+    for g, s in zip(groups, [100, 50, 50, 60, 40], strict=True):
+        loads[g] += s
+    assert max(loads.values()) - min(loads.values()) <= 20
+
+
+def test_packing_edges(odd, none):
+    rows = packing.pack(odd, WORD).collect()
+    assert Counter(r.doc_id for r in rows if r.start == 0)[4] == 2
+    assert {r.doc_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+    assert packing.pack(none, WORD).count() == 0
+
+
+# 3 language model
+
+
+def test_lm_base_and_probability(spark, sf, texts):
+    rows = queries.op3_lm(spark, sf).collect()
+    tokens = {d: t.encode().lower().split() + [b""] for d, t in texts.items()}
+    c = Counter(w for d, ws in tokens.items() if crc32(str(d).encode()) % 5 != 1 for w in ws)
+    n, v = sum(c.values()), len(c)
+    for r in rows:
+        ws = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
+        assert r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 1)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
+        assert r.score < 0
+    assert sum(r.score for r in rows if not r.held_out) > sum(r.base_score for r in rows if not r.held_out)
+
+
+def test_lm_is_a_distribution():
+    words = [b"", b"the", b"of", b"rare", b"odd"]
+    counts = [9, 7, 5, 2, 1]
+    totals = {}
+    for w, n in zip(words, counts, strict=True):
+        t = lm.tail_class(w)
+        totals[t] = (totals.get(t, (0, 0))[0] + n, totals.get(t, (0, 0))[1] + 1)
+    vocabulary = lm.Vocabulary(words, counts, totals)
+    trainer = lm.Trainer(lm.Model())
+    t = lm.Tokens(["the of the of", "the rare of odd"] * 20, vocabulary, vocabulary.index())
+    before = lm.Model().logs(t, vocabulary).sum()
+    for _ in range(10):
+        trainer.learn(t, vocabulary)
+    assert trainer.model.logs(t, vocabulary).sum() > before
+    logs = np.exp(trainer.model.class_logs(t.features[:1], vocabulary.class_mask))
+    inside = np.exp(trainer.model.member_logs(t.within(np.array([0])), t.cls[:1], vocabulary.member_mask))
+    assert logs.sum() == pytest.approx(1, abs=1e-5) and inside[0, : len(words)].sum() == pytest.approx(1, abs=1e-5)
+    assert logs[0, 1 : lm.HEAD // lm.MEMBERS].sum() == 0
+
+
+def test_lm_edges(odd, none):
+    rows = lm.score(odd, F.col("doc_id") == 8).collect()
+    assert len(rows) == 10 and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
+    assert lm.score(none, F.lit(False)).count() == 0
+    assert [r.train_tokens for r in lm.score(odd.where("doc_id = 8"), F.lit(True)).collect()] == [0]
+
+
+# 4 secrets
+
+
+def brute_secrets(text):
+    found = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found))
+
+
+SECRETS = [
+    "passWORD = 'abcdefgh1234' and token:short", "AKIAABCDEFGHIJKLMN AKIAAKIA", "é 0123456789abcdef0 deadbeef", "API_KEY=\"aaaaaaaaaaaaaaaaaaaa.b\" secret  :  xyzxyzxyzxyz", "toKen=0123456789abcdef0123",
+    "clean prose of quite ordinary words", "passwd: password=secretsecretsecret", None, "",
+]
+
+
+def test_secrets_base_against_brute_force(spark, sf, texts):
+    d = spark.createDataFrame(list(enumerate(SECRETS)) + [(1000 + d, t) for d, t in texts.items()], "doc_id long, text string")
+    want = {d: t or "" for d, t in list(enumerate(SECRETS)) + [(1000 + d, t) for d, t in texts.items()]}
+    for r in secrets.find(d).select("doc_id", secrets.joined("base").alias("b"), secrets.joined("spans").alias("s")).collect():
+        base = brute_secrets(want[r.doc_id])
+        assert r.b == base
+        assert set(filter(None, base.split(","))) <= set(filter(None, r.s.split(",")))
+
+
+def test_battery_tells_random_from_written(spark):
+    rnd = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rnd.choice(alphabet) for _ in range(40)) for _ in range(60)]
+    written = [f"version2024release{w}2024release" for w in ("one", "two", "three", "four")] * 15
+    d = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(keys + written)], "doc_id long, text string")
+    hit = {r.doc_id for r in secrets.find(d).where(F.exists("spans", lambda s: s["kind"] == "random")).collect()}
+    assert len(hit & set(range(60))) >= 50 and not hit & set(range(60, 120))
+
+
+def test_secrets_edges(odd, none):
+    assert secrets.find(odd).count() == 10 and secrets.find(none).count() == 0
+
+
+# 5 personal data
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def brute_pii(text):
+    found = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            found.append((m.start(), 2, m.end(), "card"))
+    found += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found))
+
+
+PII = [
+    "é a@b.c.d_e@f.gg x", "a.b+c%d@host-1.example.com, (x@y.zz)", "1.2.3.4.5 300.1.1.1 0001.02.003.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 12 34", "+1 (555) 123-4567 +12 34 +1234567890123456",
+    "@ a@ @b a@b a@b. a@b.c", "日本 4111111111111111", "card 42424242424242 or 4242424242424242424 ", "255.255.255.255.255.255.255.255", None, "",
+    "+1-2+3 (456) 789-0123 4", "a@b.com@c.org", "x" * 5000 + "@y.example " + "9" * 3000, "call 212-555-1234 or ssn 123-45-6789, me (at) host (dot) org",
+]
+
+
+def test_pii_base_against_brute_force(spark, texts):
+    rows = list(enumerate(PII)) + [(1000 + d, t) for d, t in texts.items()]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {k: t or "" for k, t in rows}
+    for r in pii.find(d, pii.fit(d)).select("row.doc_id", secrets.joined("base").alias("b"), secrets.joined("spans").alias("s")).collect():
+        assert r.b == brute_pii(want[r.doc_id]), want[r.doc_id][:80]
+        assert set(filter(None, r.b.split(","))) <= set(filter(None, r.s.split(",")))
+
+
+def test_pii_random_strings(spark):
+    rnd = random.Random(2)
+    cases = ["".join(rnd.choice("0123456789.+-@ ()ab") for _ in range(rnd.randint(1, 60))) for _ in range(400)]
+    d = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in pii.find(d, pii.Trees([])).select("row.doc_id", secrets.joined("base").alias("b")).collect():
+        assert r.b == brute_pii(cases[r.doc_id]), cases[r.doc_id]
+
+
+def test_pii_trees_and_redaction(spark):
+    cells = [((0, a, b, 0, 0, 0, 0), 100.0, 95.0 if a > 3 else 2.0) for a in range(8) for b in range(5)]
+    model = pii.Trees(cells)
+    assert model.score((0, 7, 0, 0, 0, 0, 0)) > 1 > -1 > model.score((0, 1, 0, 0, 0, 0, 0)) and model.threshold < math.inf
+    row = spark.createDataFrame([(0, 7, 2, 0, 0, 0, 0)], ", ".join(f"{f} int" for f in pii._FEATURES))
+    sql = row.select(F.struct(*pii._FEATURES).alias("c")).select(F.expr(model.sql("c")).alias("s")).first().s
+    assert sql == pytest.approx(model.score((0, 7, 2, 0, 0, 0, 0)))
+    d = spark.createDataFrame([(1, "é mail a@b.org, +1 555 123 4567 end", 1), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in pii.scrub(d).collect()}
+    assert got == {1: ("é mail [EMAIL], [PHONE] end", 27), 2: (None, None), 3: ("clean", 5)}
+
+
+def test_pii_edges(odd, none):
+    assert pii.scrub(odd).columns == odd.columns and pii.scrub(odd).count() == 10 and pii.scrub(none).count() == 0
+
+
+# 6 near-duplicates
+
+
+def brute_links(docs, width, per_cent):
+    sets, parent = {}, {d: d for d in docs}
+    for d, t in docs.items():
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in docs:
+        for b in docs:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= per_cent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), root(d)) for d in docs}
+
+
+def near_group(seed, size, edits):
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randint(0, 500)}" for _ in range(120)]
+    docs = {}
+    for i in range(size):
+        w = list(base)
+        for _ in range(rnd.randint(0, edits)):
+            w[rnd.randrange(len(w))] = f"e{rnd.randint(0, 10**6)}"
+        docs[i * 3 + 1] = " ".join(w)
+    return docs
+
+
+@pytest.mark.parametrize("cell", [2048, 7])
+def test_neardup_links_a_group_of_uneven_copies(spark, monkeypatch, cell):
+    monkeypatch.setattr(neardup, "CELL", cell)
+    docs = near_group(1, 60, 12) | {1000: "a b", 1001: "A  b", 1002: "", 1003: None, 1004: "a b c"}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for width, per_cent in ((3, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(d, width=width, per_cent=per_cent).collect()}
+        assert got == brute_links(docs, width, per_cent)
+
+
+def test_neardup_signature_join_is_complete():
+    rnd = np.random.RandomState(4)
+    r = neardup.radius(85)
+    for _ in range(300):
+        a = rnd.randint(0, 2**16, (1, neardup.HASHES)).astype(np.uint16)
+        b = a.copy()
+        b[0, rnd.choice(neardup.HASHES, r, replace=False)] += 1
+        assert set(neardup.bucket_keys(a, r)[0]) & set(neardup.bucket_keys(b, r)[0])
+
+
+def test_neardup_edges(odd, none):
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.link(odd).collect()}
+    assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (None, 3, None, True), (4, 2, 4, True), (5, 2, 4, False)} <= got
+    assert neardup.link(none).count() == 0 and neardup.keep_first(none).count() == 0
+    assert neardup.keep_first(odd).where("doc_id = 5").count() == 0
+
+
+# 7 quality
+
+
+def test_quality_counts(spark):
+    rnd = random.Random(3)
+    cases = [" ".join(rnd.choice("a b c d e") for _ in range(rnd.randint(0, 40))) + rnd.choice(["", "\n", " # <x>\n\n a\na"]) for _ in range(300)]
+    d = spark.createDataFrame([(i, t, "h") for i, t in enumerate(cases)], "doc_id long, text string, source string")
+    for r in quality.judge(d).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect():
+        t = cases[r.doc_id]
+        w = WORDS.findall(t)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n, places = Counter(grams), set()
+        for i, g in enumerate(grams):
+            if n[g] > 1:
+                places |= {i, i + 1, i + 2}
+        lines = [x for x in t.split("\n") if WORDS.search(x)]
+        assert tuple(r)[1:] == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(places))
+
+
+@pytest.mark.parametrize("most", [200_000, -1])
+def test_quality_line_frequency(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "MOST_BROADCAST", most)
+    body = lambda i: " ".join(f"word{i}x{j}" for j in range(60))
+    rows = [(i, f"Cookie notice 20{i}\n{body(i)}", "h") for i in range(40)]  # one line that all share
+    rows += [(100, "Cookie notice 1\n" * 40, "h")]  # nothing else
+    rows += [(200 + i, body(999), "h") for i in range(30)]  # exact copies count once
+    got = {r.doc_id: (r.kept, r.clean_text) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("row.doc_id", "kept", "clean_text").collect()}
+    assert all(got[i] == (True, body(i)) for i in range(40))
+    assert not got[100][0] and all(got[200 + i][0] for i in range(30))
+
+
+def test_quality_edges(odd, none):
+    rows = quality.judge(odd).select("row.doc_id", "n_words", "kept").collect()
+    assert len(rows) == 10 and all(not r.kept for r in rows)
+    assert quality.scrub(odd).columns == odd.columns and quality.scrub(none).count() == 0
+
+
+# 8 token files
+
+
+@pytest.mark.parametrize("kind", ["byte", "bit"])
+def test_planes_round_trip(kind):
+    rnd = np.random.RandomState(1)
+    for n in (1, 7, 8, 1000):
+        ids = rnd.randint(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
+        assert (tokenbin.from_planes(tokenbin.to_planes(ids, kind), n, kind) == ids).all()
+
+
+@pytest.mark.parametrize("block, kind", [(1 << 16, "byte"), (64, "bit")])
+def test_token_files_round_trip(spark, sf, texts, block, kind):
+    encode, at, want = tokenization.Encoder(BYTE).encode, 0, {}
+    for d in sorted(texts):
+        ids = encode(texts[d]) + bytes(4)
+        want[d] = (at, len(ids) // 4, ids)
+        at += len(ids) // 4
+    files = tokenbin.write(spark.read.parquet(f"{sf}/documents.parquet").repartition(3), BYTE, block_ids=block, kind=kind)
+    got = {r.doc_id: (r.start, r.n_tokens, bytes(r.ids)) for r in tokenbin.read_documents(files, block_ids=block).collect()}
+    assert got == want
+
+
+def test_token_file_edges(odd, none):
+    rows = sorted(tokenbin.read_documents(tokenbin.write(odd, BYTE)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, 1, 2, 3, 4, 4, 5, 6, 7, 8] and rows[1].n_tokens == 1
+    assert tokenbin.read_documents(tokenbin.write(none, BYTE)).count() == 0
+
+
+# 9 mixing
+
+
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    w, total, capped = {s: weights[i % 3] for i, s in enumerate(names)}, sum(sizes.values()), set()
+    while True:
+        left = total - sum(most * sizes[s] for s in capped)
+        free = [s for s in names if s not in capped]
+        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return share | {s: most * sizes[s] for s in capped}
+        capped |= over
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 5, None: 40}, {"a": 1}, {"a": 3, "b": 3, "c": 3}, {"x": 0, "y": 9}])
+def test_targets(spark, sizes):
+    d = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n_docs long")
+    got = {r.source: r.target for r in mixing.source_targets(d).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_mix(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.copies(d).collect()
+    assert sorted(rows) == sorted(mixing.copies(d.repartition(5)).collect())
+    by = {}
+    for r in rows:
+        assert 0 <= r.mix_copies <= 3 and (r.mix_size == len(WORDS.findall("")) or r.mix_size > 0)
+        s = by.setdefault(r.mix_source, [0, r.mix_target, 0])
+        s[0] += r.mix_copies * r.mix_size
+        s[2] = max(s[2], r.mix_size)
+    assert all(abs(taken - target) <= largest for taken, target, largest in by.values())
+    mixed = mixing.mix(d)
+    assert mixed.columns == d.columns and mixed.count() == sum(r.mix_copies for r in rows)
+
+
+def test_mix_edges(odd, none):
+    assert mixing.copies(odd).count() == 10 and mixing.mix(odd).columns == odd.columns and mixing.mix(odd).count() >= 1
+    assert mixing.copies(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+# 10 languages
+
+
+def test_languages_held_out(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = queries.op10_langid(spark, sf).join(d, "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_counts():
+    codes, counts = langid.counted("Ab, aB!")
+    assert counts.sum() == 4 + 6 + 4  # letters, pairs with blanks, triples within words
+    assert len(langid.counted("12 --")[0]) == 0 and len(langid.letters("日本")) == 4
+
+
+def test_language_edges(odd, none):
+    profiles = langid.learn(odd)
+    got = {(r.doc_id, r.lang_pred) for r in langid.identify(odd, profiles).collect()}
+    assert {(1, "und"), (2, "und"), (3, "und")} <= got and len(got) == 9
+    assert langid.learn(none) == {} and langid.identify(none, {}).count() == 0
+    assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
+
+
+def test_digest_of_no_spans(spark, sf):
+    r = queries.op4_secrets(spark, sf).where("n_assign + n_access + n_hex = 0").first()
+    assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
