@@ -101,7 +101,7 @@ def plain_from_markdown(md: Column) -> Column:
         (r"\s+", " "), (r"(\. )([A-Z])", ".\n\n$2"),
     ):
         t = F.regexp_replace(t, pattern, to)
-    return F.trim(F.array_join(F.transform(F.split(t, "\n"), F.trim), "\n"))
+    return F.trim(F.array_join(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), "\n"))
 
 
 def longest_run(text: Column, char: str) -> Column:
@@ -111,7 +111,7 @@ def longest_run(text: Column, char: str) -> Column:
 
 def breadcrumbs(place: Column, mark: str = "›") -> Column:
     """Parts of a breadcrumb trail."""
-    return F.filter(F.transform(F.split(place, mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(place, mark), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sitemap_directives(robots: Column) -> Column:

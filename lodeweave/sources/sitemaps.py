@@ -33,7 +33,7 @@ def is_index(xml: Column) -> Column:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """url (the file's path) and content of sitemap files, as UTF-8 with bad bytes replaced."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("content"))
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def expand(maps: DataFrame) -> DataFrame:

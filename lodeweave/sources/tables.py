@@ -11,7 +11,7 @@ CONTACT_KEYS = ("Email", "Phone", "Instagram", "LinkedIn", "Founded", "Location"
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path and text of whole files, as UTF-8 with bad bytes dropped."""
-    return spark.read.format("binaryFile").load(path).select("path", F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit("")).alias("text"))
+    return spark.read.format("binaryFile").load(path).select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text"))
 
 
 def read_contacts(spark: SparkSession, path: str) -> DataFrame:
