@@ -376,7 +376,8 @@ def test_quality_counts(spark):
 @pytest.mark.parametrize("most", [200_000, -1])
 def test_quality_line_frequency(spark, monkeypatch, most):
     monkeypatch.setattr(quality, "MOST_BROADCAST", most)
-    body = lambda i: " ".join(f"word{i}x{j}" for j in range(60))
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    body = lambda i: " ".join(f"word{letters(i)}x{letters(j)}" for j in range(60))
     rows = [(i, f"Cookie notice 20{i}\n{body(i)}", "h") for i in range(40)]  # one line that all share
     rows += [(100, "Cookie notice 1\n" * 40, "h")]  # nothing else
     rows += [(200 + i, body(999), "h") for i in range(30)]  # exact copies count once
