@@ -15,7 +15,14 @@ PARKED_PHRASES = (
 # Phrases of navigation and footers.
 CHROME_PHRASES = ("cookie policy", "privacy policy", "terms of service", "all rights reserved", "copyright", "menu", "navigation", "search", "login", "sign in", "register")
 # Marks of an application shell without content.
-SHELL_MARKS = ('id="root"', 'id="app"', "__NEXT_DATA__", "window.__NUXT__")
+SHELL_MARKS = ("<app-root", "ng-version", "_nghost", "data-reactroot")
+# Marks of challenge pages.
+CHALLENGE_MARKS = ("robot-suspicion", "checking the site connection security", "checking your browser", "<title>just a moment", "confirm you are human", "sg-captcha")
+# Country codes.
+COUNTRIES = {
+    "it": "Italy", "es": "Spain", "uk": "United Kingdom", "us": "United States", "de": "Germany", "fr": "France", "pt": "Portugal", "ch": "Switzerland", "jp": "Japan", "nl": "Netherlands",
+    "be": "Belgium", "se": "Sweden", "dk": "Denmark", "no": "Norway", "at": "Austria", "au": "Australia", "ca": "Canada", "br": "Brazil", "global": "Global",
+}
 
 
 def _any(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -79,10 +86,18 @@ def is_shell(html: Column) -> Column:
     return _any(html, SHELL_MARKS)
 
 
-def is_untitled(title: Column) -> Column:
-    """Whether a title is missing or says so."""
-    t = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    return t.isin("", "untitled", "none", "null")
+def is_untitled(title: Column, path: Column | None = None) -> Column:
+    """Whether a title says that there is none, or the Markdown file's name or folder does."""
+    t = F.lower(F.trim(F.coalesce(title, F.lit("")))).isin("untitled", "untitled page")
+    if path is None:
+        return t
+    return t | F.lower(F.coalesce(path, F.lit(""))).rlike(r"(?:^|/)untitled\.md$|(?:^|/)untitled(?:_[^/]*)?/[^/]*$")
+
+
+def is_unrendered(html: Column) -> Column:
+    """Whether raw HTML is missing, very short or a challenge; blank and untitled pages need the parsed page."""
+    h = F.coalesce(html, F.lit(""))
+    return (F.length(F.trim(h)) < 500) | _any(F.lower(h), CHALLENGE_MARKS)
 
 
 def body_of(markdown: Column) -> Column:
@@ -130,8 +145,9 @@ def markdown_images(md: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(md, F.lit("")), F.lit(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1)), lambda x: ~x.startswith("data:")))
 
 
-def expand_location(place: Column, cities: dict[str, str], countries: dict[str, str]) -> Column:
-    """A known city as "City, Country", a known country code as its name, else as it is."""
+def expand_location(place: Column, cities: dict[str, str], countries: dict[str, str] = COUNTRIES) -> Column:
+    """A known country code as its name, a known city with its country, anything with a comma and all else as it is."""
     key = F.lower(F.trim(place))
-    known = F.create_map(*[F.lit(x) for kv in {**{k.lower(): f"{k}, {v}" for k, v in cities.items()}, **{k.lower(): v for k, v in countries.items()}}.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, key), F.trim(place))
+    table = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k.lower(), v)]) if d else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    city = F.try_element_at(table(cities), key)
+    return F.when(place.contains(","), place).otherwise(F.coalesce(F.try_element_at(table(countries), key), F.concat(F.trim(place), F.lit(", "), city), F.trim(place)))

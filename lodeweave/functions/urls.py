@@ -163,8 +163,41 @@ def fallback_icon(url: Column, service: str = "https://icons.invalid/?domain=")
 
 def clean_media(url: Column) -> Column:
     """Without resize path parts and size parameters."""
-    sized = F.regexp_replace(url, r"/(?:resize|fit|crop)/[^/]+", "")
-    return F.regexp_replace(F.regexp_replace(sized, r"([?&])(?:w|h|width|height|size|quality|q)=[^&]*", "$1"), r"[?&]+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(url, "/rx/[^/]+/", "/"), "[?&](?:w|width|h|height|resize)=[0-9]+", ""), "[?]+$", "")
+
+
+def skus(url: Column) -> Column:
+    """Article numbers of a product address: the last segment's leading part, unless it is a plain word slug, then the
+    colour, variant and sku parameters, each once."""
+    last = F.regexp_replace(F.coalesce(F.try_element_at(segments(url), F.lit(-1)), F.lit("")), r"\.(?:html?|php)$", "")
+    wordy = (last == F.lower(last)) & last.contains("-") & ~last.rlike("[0-9]")
+    lead = F.regexp_extract(last, "^[a-zA-Z0-9]+", 0)
+    own = F.when((F.length(last) > 4) & ~last.isin("product", "search", "category") & ~wordy, F.when(F.length(lead) >= 4, lead).otherwise(last))
+
+
+    def named(key: str) -> Column:
+        values = F.filter(query_pairs(url), lambda x: x.startswith(f"{key}=") & (x != f"{key}="))
+        return F.substring_index(F.get(values, F.lit(0)), "=", -1)
+
+    return F.array_distinct(F.array_compact(F.array(own, named("color"), named("variant"), named("sku"))))
+
+
+def srcset(value: Column) -> Column:
+    """array<struct(url, size)> of a srcset: widths as they are, densities times 1000, else 0."""
+    entry = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    size = lambda x: F.coalesce(F.regexp_extract(x, r"(?i)\s([0-9]+)w$", 1).try_cast("long"), (F.regexp_extract(x, r"(?i)\s([0-9.]+)x$", 1).try_cast("double") * 1000).cast("long"), F.lit(0).cast("long"))
+    return F.transform(entry, lambda x: F.struct(F.split_part(x, F.lit(" "), F.lit(1)).alias("url"), size(x).alias("size")))
+
+
+def style_url(style: Column) -> Column:
+    """Address of a CSS background, null for none."""
+    return F.nullif(F.regexp_extract(style, r"""url\(\s*['"]?([^'")]+)""", 1), F.lit(""))
+
+
+def media_in_text(text: Column, endings: tuple[str, ...]) -> Column:
+    """Absolute and root-relative addresses with one of these endings, in order."""
+    pattern = r"""(?i)((?:https?://|/)[^\s"'<>\\,]+\.(?:""" + "|".join(endings) + r""")(?:[^\s"'<>\\,]*))"""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
 
 
 def is_generic_sitemap(name: Column) -> Column:

@@ -85,7 +85,7 @@ def sitemap_entries(spark, sf):
     return sitemaps.expand(maps).select("url", "loc", "lastmod", "content_type")
 
 
-@query("SELECT * FROM (VALUES ('https://a.example/x', 'https://a.example/my.xml', 3)) v(site, candidate, rank)")
+@query("SELECT * FROM (VALUES ('https://a.example/x', 'https://a.example/my.xml', 4)) v(site, candidate, rank)")
 def sitemap_pick(spark, sf):
     sites = spark.createDataFrame([("https://a.example/x", "Sitemap: https://z.example/s.xml\nSitemap: https://a.example/my.xml")], "site string, robots string")
     c = sitemaps.candidates(sites, "robots").withColumn("n_entries", F.when(F.col("candidate").endswith("my.xml") | F.col("candidate").contains("z.example"), 2).otherwise(0))

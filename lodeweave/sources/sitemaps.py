@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lodeweave.functions import urls
 
 # Places where sites keep their sitemaps, likeliest first.
-COMMON_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/wp-sitemap.xml", "/sitemap1.xml", "/sitemaps.xml", "/post-sitemap.xml", "/page-sitemap.xml", "/sitemap/sitemap.xml", "/sitemap.xml.gz")
+COMMON_PATHS = (
+    "/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemapindex.xml", "/wp-sitemap.xml", "/page-sitemap.xml", "/post-sitemap.xml", "/category-sitemap.xml", "/tag-sitemap.xml",
+    "/author-sitemap.xml", "/news-sitemap.xml", "/sitemap-pages.xml", "/sitemap-posts.xml", "/sitemap1.xml", "/sitemap-0.xml", "/feeds/sitemap.xml", "/sitemap/sitemap.xml", "/sitemaps/sitemap.xml",
+)
 
 
 def entries(xml: Column) -> Column:

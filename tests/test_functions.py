@@ -62,3 +62,25 @@ def test_idempotence(spark, values):
     v = F.col("v")
     twice = df.select((urls.sanitize(urls.sanitize(v)) == urls.sanitize(v)).alias("a"), (text.slug(text.slug(v)) == text.slug(v)).alias("b"))
     assert all(r.b for r in twice.collect())
+
+
+def test_more_urls_and_pages(spark):
+    assert one(spark, urls.clean_media, "https://a.example/rx/x_10/i.jpg?w=100&h=20") == "https://a.example/i.jpg"
+    assert one(spark, urls.style_url, "background: url('/a.png') no-repeat") == "/a.png"
+    assert one(spark, urls.style_url, "color: red") is None
+    assert one(spark, text.is_unrendered, "x" * 600) is False and one(spark, text.is_unrendered, None) is True
+    assert one(spark, text.is_unrendered, "Checking your browser" + "x" * 600) is True
+    assert one(spark, text.is_shell, "<app-root></app-root>") is True
+    assert one(spark, text.is_untitled, "Untitled page") is True and one(spark, text.is_untitled, "x") is False
+    assert one(spark, lambda t, p: text.is_untitled(t, p), "x", "jobs/untitled_2/content.md") is True
+
+
+def test_enrichment(spark):
+    from lodeweave.operators import enrichment as en
+
+    d = spark.createDataFrame([("http://www.a.example/", "https://a.example", "n"), ("https://a.example", "https://b.example", "")], "old string, new string, notes string")
+    got = [tuple(r.r) for r in d.select(en.redirected(F.col("old"), F.col("new"), F.col("notes")).alias("r")).collect()]
+    assert got == [("http://www.a.example/", "n"), ("https://b.example", "https://a.example")]
+    p = spark.createDataFrame([("failed", False), ("completed", True), ("completed", None)], "status string, again boolean")
+    assert [r.status for r in en.requeue(p, "status", F.col("again")).collect()] == ["pending", "pending", "completed"]
+    assert spark.createDataFrame([("u", None, " ")], "a string, b string, c string").select(en.only_filled("a", ["b", "c"]).alias("x")).first().x is True
