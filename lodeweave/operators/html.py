@@ -23,7 +23,7 @@ _ICON = T.StructType([T.StructField("url", _S), T.StructField("size", _L), T.Str
 _ALT = T.StructType([T.StructField("url", _S), T.StructField("lang", _S)])
 _MEDIA = T.StructType([T.StructField("kind", _S), T.StructField("url", _S), T.StructField("source", _S)])
 PAGE = T.StructType([
-    *(T.StructField(n, _S) for n in ("title_tag", "meta_title", "html_lang", "og_locale", "meta_desc", "og_desc", "keywords", "geo_place", "lead", "long_text", "breadcrumb", "text")),
+    *(T.StructField(n, _S) for n in ("title_tag", "meta_title", "html_lang", "og_locale", "meta_desc", "og_desc", "keywords", "geo_place", "lead", "long_text", "breadcrumb", "sku_meta", "text")),
     *(T.StructField(n, _L) for n in ("text_len", "n_img")),
     *(T.StructField(n, T.ArrayType(_S)) for n in ("h1", "hrefs", "jsonld")),
     T.StructField("icons", T.ArrayType(_ICON)),
@@ -93,7 +93,7 @@ def read_page(html: str | None, url: str | None) -> dict:
     for i, n in enumerate(root.find("meta", "link")):
         a = n.attrs
         if n.name == "meta":
-            for key in (a.get("name"), a.get("property")):
+            for key in (a.get("name"), a.get("property"), a.get("itemprop")):
                 if key and key.lower() not in metas:
                     metas[key.lower()] = a.get("content", "").strip()
             continue
@@ -125,6 +125,7 @@ def read_page(html: str | None, url: str | None) -> dict:
         "lead": lead,
         "long_text": long_text,
         "breadcrumb": items[-1] if items else None,
+        "sku_meta": next((metas[k] for k in ("product:retailer_item_id", "og:upc", "sku") if metas.get(k)), None),
         "text": body.text(" "),
         "text_len": len(body.text()),
         "n_img": sum(1 for _ in root.find("img")),
@@ -236,6 +237,15 @@ def language(page: Column, url: Column, sitemap: Column | None = None) -> Column
     return F.lower(F.coalesce(*[_filled(c) for c in (*told, page["html_lang"], own, F.replace(page["og_locale"], F.lit("_"), F.lit("-")), urls.path_language(url))]))
 
 
+def skus(page: Column) -> Column:
+    """Up to two leading parts, upper-case, of the article number in meta tags, else of a JSON-LD product."""
+    of_kind = lambda s, at: F.when(F.get_json_object(s, f"${at}['@type']").isin("Product", "ProductGroup"), F.get_json_object(s, f"${at}.sku"))
+    told = F.flatten(F.transform(page["jsonld"], lambda s: F.array(*[of_kind(s, at) for at in ("", "[0]", "[1]", "[2]")])))
+    number = F.coalesce(_filled(page["sku_meta"]), F.get(F.filter(told, lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(0)), F.lit(""))
+    parts = F.slice(F.split(F.translate(F.regexp_replace(F.trim(number), r"\.(?:html?|php)$", ""), "_", "-"), "-"), 1, 2)
+    return F.transform(F.filter(parts, lambda x: F.length(x) >= 2), lambda x: F.upper(x))
+
+
 def is_blank(page: Column) -> Column:
     """Hardly any text and at most one image."""
     return (page["text_len"] < 50) & (page["n_img"] <= 1)

@@ -112,6 +112,17 @@ def tags(primary: Column, body: Column, rules: Rules = TAG_RULES, most: int = 5)
     return F.slice(F.array_distinct(F.array_compact(found)), 1, most)
 
 
+def scored_tags(primary: Column, body: Column, rules: Rules = TAG_RULES, exclude: tuple[str, ...] = (), least: int = 3, most: int = 4) -> Column:
+    """Labels by 5 points for the primary text, else 3, 2 or 1 for five, three or one hits in the body; best first."""
+    rows = []
+    for i, (pattern, label) in enumerate(rules):
+        if label not in exclude:
+            n = _times(body, pattern)
+            score = F.when(_hit(primary, pattern), 5).when(n >= 5, 3).when(n >= 3, 2).when(n >= 1, 1).otherwise(0)
+            rows.append(F.struct((-score).alias("s"), F.lit(i).alias("place"), F.lit(label).alias("label")))
+    return F.transform(F.slice(F.array_sort(F.filter(F.array(*rows), lambda r: r["s"] <= -least)), 1, most), lambda r: r["label"])
+
+
 def first_label(primary: Column, rules: Rules = GENRE_RULES) -> Column:
     """Label of the first rule that hits the primary text; null for none."""
     return F.coalesce(*[F.when(_hit(primary, p), label) for p, label in rules])

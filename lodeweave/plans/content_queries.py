@@ -101,6 +101,15 @@ def infer_roles_types(spark, sf):
     return d.select("id", F.array_join(rules.roles(F.col("p"), F.col("b")), ",").alias("roles"), rules.types_cascade(F.col("p"), F.col("b")).alias("type"))
 
 
+_SCORED = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {i} AS ord, CASE WHEN {_count(p, 'ps')} > 0 THEN 5 WHEN {_count(p, 'bs')} >= 5 THEN 3 WHEN {_count(p, 'bs')} >= 3 THEN 2 WHEN {_count(p, 'bs')} >= 1 THEN 1 ELSE 0 END AS score FROM e" for i, (p, label) in enumerate(CORPUS_RULES))
+
+
+@query(f"WITH e AS ({_ENGLISH}), s AS ({_SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS n FROM s WHERE score >= 3 AND label <> 'verb') SELECT doc_id, string_agg(label, ',' ORDER BY n) AS tags FROM r WHERE n <= 2 GROUP BY doc_id")
+def infer_scored_tags(spark, sf):
+    t = _english(spark, sf).select("doc_id", rules.scored_tags(F.col("primary"), F.col("body"), CORPUS_RULES, ("verb",), 3, 2).alias("t"))
+    return t.where(F.size("t") > 0).select("doc_id", F.array_join("t", ",").alias("tags"))
+
+
 _PAIRS = "SELECT a.vec_id AS vec_id, b.vec_id AS near_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 40 AND b.vec_id >= 400"
 
 

@@ -60,6 +60,13 @@ def html_contact(spark, sf):
     return d.select(h.title(p).alias("title"), h.email(p).alias("email"), h.phone(p).alias("phone"), h.instagram(p).alias("instagram"), h.linkedin(p).alias("linkedin"), h.founded(p).alias("founded"), h.location(p).alias("location"), h.about(p).alias("about"), h.best_icon(p, F.col("url")).alias("icon"), h.language(p, F.col("url")).alias("lang"))
 
 
+@query("SELECT * FROM (VALUES (1, 'AB12,RED'), (2, 'X9'), (3, '')) v(id, skus)")
+def html_skus(spark, sf):
+    rows = [(1, "u", '<meta itemprop="sku" content="ab12_red-xl">'), (2, "u", '<script type="application/ld+json">[{"@type":"Thing","sku":"no"},{"@type":"Product","sku":"x9"}]</script>'), (3, "u", "<p>none</p>")]
+    d = h.parse_pages(spark.createDataFrame(rows, "id int, url string, html string"))
+    return d.select("id", F.array_join(h.skus(F.col("page")), ",").alias("skus"))
+
+
 @query("SELECT * FROM (VALUES ('image', 'https://uno.example/a_2.jpg', 'srcset'), ('image', 'https://uno.example/a_100.jpg', 'img')) v(kind, url, source)")
 def media_urls(spark, sf):
     d = h.parse_pages(spark.createDataFrame([("https://uno.example/x", CONTACT_PAGE)], "url string, html string"))
