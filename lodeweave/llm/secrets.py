@@ -3,8 +3,10 @@
 Patterns find three kinds, each leftmost and non-overlapping: `assign` (a key word, = or :, a value of 12 characters
 or more), `access` (AKIA and capitals or digits, 18 or more in all) and `hex` (16 or more hex digits).
 
-The battery looks at every other run of 16 or more characters of [A-Za-z0-9+/_=-] that holds a digit and a letter.
-The smallest of hex, base32, base36 and base64 that fits is its inferred encoding. Three tests ask whether it is
+The battery looks at every other run of 16 or more characters of [A-Za-z0-9+/_=-] that holds a letter, and at its parts:
+the run is parted at '=', those parts at '/', and each of all these is also taken without a leading key name or path of
+plain words. Every part of 16 or more characters is a candidate of its own and counts as a test of its own. Of accepted
+candidates that lie in each other the longest is reported. The smallest of hex, base32, base36 and base64 that fits is its inferred encoding. Three tests ask whether it is
 evenly drawn from that alphabet: chi-squared on symbol counts, Wald-Wolfowitz runs above and below the alphabet's
 middle, and lag-one serial correlation. A run that fails either order test is out. For the others p is the chance
 that written text of that length, with the uneven symbol counts of words and dates, would come as close to an even
@@ -34,7 +36,11 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs are maximal, so the least length can stand in the pattern.
 HEX = re.compile(r"[0-9a-f]{16,}")
+LEAST_RUN = 16
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What stands between two =, with closing = where the run ends; between two /; a leading key name or path.
+BETWEEN_EQUALS, BETWEEN_SLASHES = re.compile(r"[^=]+(?:=*\Z)?"), re.compile(r"[^/]+")
+KEY_NAME = re.compile(r"[/_-]*(?:[A-Za-z]+[/_-]+|v[0-9]+/)+|[/_-]+")
 KINDS = ("assign", "access", "hex", "random")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
@@ -69,7 +75,7 @@ def _two_sided(z: float) -> float:
 
 def battery(run: str) -> tuple[str, float] | None:
     """(class of encoding and length, p of being text); None if no encoding fits or an order test fails."""
-    if not any(c.isdigit() for c in run) or run.isdigit():
+    if run.isdigit():
         return None
     inferred = infer(run)
     if inferred is None:
@@ -77,7 +83,7 @@ def battery(run: str) -> tuple[str, float] | None:
     name, places, excess = inferred
     x = [places[c] for c in run.rstrip("=")]
     n, k = len(x), len(places)
-    if n < 16:
+    if n < LEAST_RUN:
         return None
     counts: dict[int, int] = {}
     for v in x:
@@ -103,6 +109,19 @@ def battery(run: str) -> tuple[str, float] | None:
     return f"{name}/{min(n.bit_length(), 12)}", p
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """Start and end of the run and of its parts that are long enough, each once."""
+    found = {(0, len(run)): None}
+    for e in BETWEEN_EQUALS.finditer(run):
+        found[e.span()] = None
+        for p in BETWEEN_SLASHES.finditer(e[0]):
+            found[e.start() + p.start(), e.start() + p.end()] = None
+    for start, end in list(found):
+        if named := KEY_NAME.match(run, start, end):
+            found[named.end(), end] = None
+    return [(s, e) for s, e in found if e - s >= LEAST_RUN]
+
+
 def scan(text: str) -> tuple[list[tuple], list[tuple]]:
     """(base spans, candidates): (start, order, end, kind) and (start, end, class, p) in code points, ends exclusive."""
     base, cands = [], []
@@ -114,11 +133,11 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
     base += [(m.start(), 2, m.end(), "hex") for m in HEX.finditer(text)]
     base.sort()
     for m in RUN.finditer(text):
-        if m[0].isalpha():
-            continue
-        got = battery(m[0])
-        if got and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
-            cands.append((m.start(), m.end(), *got))
+        for start, end in parts(m[0]):
+            got = battery(m[0][start:end])
+            start, end = m.start() + start, m.start() + end
+            if got and not any(s < end and start < e for s, _, e, _ in base):
+                cands.append((start, end, *got))
     return base, cands
 
 
@@ -164,7 +183,10 @@ def find(df: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame:
         accepted = F.filter("cands", lambda c: F.lit(False))
     else:
         accepted = F.filter("cands", lambda c: c["p"] <= F.coalesce(F.try_element_at(limit, c["cls"]), F.lit(-1.0)))
-    added = F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), F.lit(_ORDER["random"]).alias("ord"), c["end"].alias("end"), F.lit("random").alias("kind")))
+    scanned = scanned.withColumn("cands", accepted)
+    inside = lambda c, o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (c["end"] - c["start"] < o["end"] - o["start"])
+    outer = F.filter("cands", lambda c: ~F.exists("cands", lambda o: inside(c, o)))
+    added = F.transform(outer, lambda c: F.struct(c["start"].alias("start"), F.lit(_ORDER["random"]).alias("ord"), c["end"].alias("end"), F.lit("random").alias("kind")))
     return scanned.select(*[F.col(f"`{c}`") for c in kept], "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
 

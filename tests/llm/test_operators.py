@@ -227,6 +227,32 @@ def test_battery_tells_random_from_written(spark):
     assert len(hit & set(range(60))) >= 50 and not hit & set(range(60, 120))
 
 
+def test_battery_finds_secrets_glued_to_keys_and_paths(spark):
+    rnd = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda alphabet, n=40: "".join(rnd.choice(alphabet) for _ in range(n))
+    frames = ["AWS_ACCESS_KEY_ID_X={}", "?sig={}&x", "/hooks/T0-a_b/{}", "/hooks/T0-a_b/{}/end", "x {} y", "sig={}== y"]
+    rows, want = [], {}
+    for i in range(120):
+        key = draw(letters if i % 6 == 4 else letters + "0123456789")
+        text = frames[i % 6].format(key)
+        rows.append((i, text))
+        want[i] = text.index(key), text.index(key) + len(key)
+    rows += [(1000 + i, t) for i, t in enumerate(["release=versionreleaseversion", "/articles/about/articles/about-articles", "version=releasereleaserelease/releasereleaserelease"] * 20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in secrets.find(d).collect()}
+    for kind in range(6):
+        own = [i for i in want if i % 6 == kind]
+        assert sum(any(s <= want[i][0] and want[i][1] <= e for s, e in got[i]) for i in own) >= 0.8 * len(own), frames[kind]
+    assert all(len(got[i]) <= 1 for i in want) and not any(got[i] for i in got if i >= 1000)
+
+
+def test_parts_of_a_run():
+    run = "AB_KEY=" + "q" * 20 + "/x/" + "z" * 16 + "=="
+    texts = {run[s:e] for s, e in secrets.parts(run)}
+    assert {run, run[7:], "q" * 20, "z" * 16 + "=="} <= texts and all(len(t) >= 16 for t in texts)
+
+
 def test_secrets_edges(odd, none):
     assert secrets.find(odd).count() == 10 and secrets.find(none).count() == 0
 
