@@ -22,8 +22,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without lines that are over their host's limit."""
-    return quality.scrub(docs)
+    """Documents that pass, without lines that more than quality.LINE_FLOOR documents of their host hold, whatever its size."""
+    return quality.scrub(docs, line_share=0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

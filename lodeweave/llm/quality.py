@@ -7,9 +7,10 @@ removed; a document that keeps less than `least_left` of its words is depleted a
 document fails the base rules if it has few words or if most of them lie in repeated 3-word windows.
 
 The lines of a document are made distinct before they leave the row, and counts are summed before the shuffle,
-so a line that a third of all documents hold costs one row per task. At most (lines per document / line_share)
-lines of a host can be over the limit; the table of those lines is broadcast only if its checked size allows,
-and otherwise joined by salted host.
+so a line that a third of all documents hold costs one row per task. Under a share, at most (lines per document /
+line_share) lines of a host can be over the limit; with a share of 0 their number grows with the host. The table of
+those lines is broadcast only if its checked size allows, and otherwise joined with the texts' lines by salted (host,
+line), which gives each text its own lines over the limit, joined back by (host, text hash).
 
 Cases: a null text has no words and fails; a null host is a host of its own; null and repeated ids stay as they
 are, each row judged alone (equal rows alike); an empty table gives an empty result; other columns are left alone.
@@ -26,8 +27,8 @@ from .common import SPACE_CHARS, SPACE_CLASS, cut, text_of, words_of
 LINE_SHARE, LINE_FLOOR = 0.10, 20
 #: A document that keeps a smaller share of its words is rejected.
 LEAST_LEFT = 0.3
-#: Lines over the limit that are broadcast at most; beyond, their table is joined by salted host.
-MOST_BROADCAST = 200_000
+#: Lines over the limit that are broadcast at most, and those of one host; beyond, they are joined by salted (host, line).
+MOST_BROADCAST, MOST_LISTED = 200_000, 1000
 SALTS = 32
 
 
@@ -41,18 +42,33 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.when(F.btrim(x, F.lit(SPACE_CHARS)) != "", F.xxhash64(normal_line(x))))
 
 
-def frequent_lines(df: DataFrame, text_col: str = "text", host_col: str = "source", line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR) -> DataFrame:
-    """Per host with any: host and over, the array of hashes of its lines over the limit."""
+def host_lines(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """host, doc (hash of the text) and lines (distinct line hashes): each text once per host."""
     docs = df.select(F.col(host_col).cast("string").alias("host"), text_of(text_col).alias("text"))
     # Documents of one text count once per host. Only hashes are shuffled: (host, text hash) picks one copy's lines.
-    lines = docs.select("host", F.xxhash64("text", F.lit(1)).alias("doc"), F.array_distinct(F.filter(line_hashes(F.col("text")), lambda x: x.isNotNull())).alias("lines"))
-    one = lines.groupBy("host", "doc").agg(F.first("lines").alias("lines"))
-    one = cut(one.select("host", "lines"), "host_lines")
+    lines = docs.select("host", _doc("text").alias("doc"), F.array_distinct(F.filter(line_hashes(F.col("text")), lambda x: x.isNotNull())).alias("lines"))
+    return lines.groupBy("host", "doc").agg(F.first("lines").alias("lines"))
+
+
+def _doc(text: str) -> Column:
+    return F.xxhash64(text, F.lit(1))
+
+
+def frequent_lines(one: DataFrame, line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR) -> DataFrame:
+    """host and line: the hashes of the lines over their host's limit, from host_lines(). A share of 0 leaves the number alone as the limit."""
     sizes = one.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
     counts = one.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_floor)
     s = sizes.withColumnRenamed("host", "s_host")
-    over = counts.join(s, counts.host.eqNullSafe(s.s_host)).where(F.col("n") > F.col("n_docs") * line_share)
-    return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("over"))
+    return counts.join(s, counts.host.eqNullSafe(s.s_host)).where(F.col("n") > F.col("n_docs") * line_share).select("host", "line")
+
+
+def lines_over(one: DataFrame, limits: DataFrame) -> DataFrame:
+    """l_host, l_doc and over: which lines of a text are over the limit, for texts with any. A line that many documents
+    hold is met in SALTS places."""
+    lim = limits.select(F.col("host").alias("l_host"), F.col("line").alias("l_line"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("l_salt"))
+    lines = one.select("host", "doc", F.pmod("doc", F.lit(SALTS)).cast("int").alias("salt"), F.explode("lines").alias("line"))
+    met = lines.join(lim, (lines.line == lim.l_line) & (lines.salt == lim.l_salt) & lines.host.eqNullSafe(lim.l_host))
+    return met.groupBy(F.col("host").alias("l_host"), F.col("doc").alias("l_doc")).agg(F.collect_list("line").alias("over"))
 
 
 def repeated_words(words: Column) -> Column:
@@ -82,16 +98,17 @@ def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", line_
     """df's rows as struct `row`, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     clean_text (the text without lines over the limit), n_left (its words) and kept.
     """
-    limits = cut(frequent_lines(df, text_col, host_col, line_share, line_floor), "frequent_lines")
-    size = limits.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("over")), F.lit(0))).first()[0]
+    one = cut(host_lines(df, text_col, host_col), "host_lines")
+    limits = cut(frequent_lines(one, line_share, line_floor), "frequent_lines")
+    total, longest = limits.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
     docs = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(host_col).cast("string").alias("host"), text_of(text_col).alias("text"))
-    over = limits.select(F.col("host").alias("l_host"), "over")
-    if size <= MOST_BROADCAST:
+    if total <= MOST_BROADCAST and longest <= MOST_LISTED:
+        over = limits.groupBy(F.col("host").alias("l_host")).agg(F.sort_array(F.collect_list("line")).alias("over"))
         docs = docs.join(F.broadcast(over), docs.host.eqNullSafe(over.l_host), "left")
     else:
-        over = over.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        docs = docs.withColumn("d_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
-        docs = docs.join(over, docs.host.eqNullSafe(over.l_host) & (docs.d_salt == over.salt), "left")
+        over = cut(lines_over(one, limits), "lines_over")
+        docs = docs.withColumn("doc", _doc("text"))
+        docs = docs.join(over, (docs.doc == over.l_doc) & docs.host.eqNullSafe(over.l_host), "left")
     docs = docs.select("row", "text", "over", words_of(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
     seen = F.filter("lines", lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     left = F.when(F.col("over").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x: ~F.coalesce(F.array_contains("over", F.xxhash64(normal_line(x))), F.lit(False)) | (F.btrim(x, F.lit(SPACE_CHARS)) == "")), "\n"))

@@ -412,6 +412,26 @@ def test_quality_line_frequency(spark, monkeypatch, most):
     assert not got[100][0] and all(got[200 + i][0] for i in range(30))
 
 
+@pytest.mark.parametrize("listed", [1000, 0])
+def test_quality_limit_is_the_same_on_hosts_of_any_size(spark, monkeypatch, listed):
+    monkeypatch.setattr(quality, "MOST_LISTED", listed)
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    body = lambda i: " ".join(f"word{letters(i)}x{letters(j)}" for j in range(60))
+    rows = [(1000 * h + i, f"{body(1000 * h + i)}" + "\nAll rights reserved" * (i < 30), name) for h, (name, n) in enumerate([("small", 40), ("large", 600), (None, 400)]) for i in range(n)]
+    rows += [(9000 + i, f"{body(9000 + i)}\nRare line", "rare") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in quality.scrub(docs, line_share=0, count_col=None).collect()}
+    assert got == {d: body(d) + "\nRare line" * (d >= 9000) for d, _, _ in rows}
+
+
+def test_pipeline_removes_a_notice_of_a_large_host(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(i, " ".join(f"w{letters(i)}x{letters(j)}" for j in range(60)) + "\nAll rights reserved" * (i < 30), "en", "large", 1) for i in range(600)]
+    kept = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert kept.count() == 600 and kept.where("text like '%reserved%'").count() == 0
+
+
 def test_quality_edges(odd, none):
     rows = quality.judge(odd).select("row.doc_id", "n_words", "kept").collect()
     assert len(rows) == 10 and all(not r.kept for r in rows)
