@@ -6,6 +6,7 @@ because Spark cannot prune single outputs of a Python function.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
@@ -86,6 +87,24 @@ def _media(root: Node, base: str) -> list[dict]:
     return list(found.values())
 
 
+def ld_items(block: str) -> list[str]:
+    """The objects of a JSON-LD block as JSON texts, in order, from lists and @graph at any depth; none for invalid JSON."""
+    try:
+        waiting = [json.loads(block)]
+        found = []
+        while waiting:
+            x = waiting.pop()
+            if isinstance(x, list):
+                waiting += reversed(x)
+            elif isinstance(x, dict):
+                graph = x.pop("@graph", None)
+                found.append(json.dumps(x))
+                waiting.append(graph)
+    except (ValueError, RecursionError):
+        return []
+    return found
+
+
 def read_page(html: str | None, url: str | None) -> dict:
     """What a page says, by PAGE's fields."""
     root, base = parse(html), url or ""
@@ -131,7 +150,7 @@ def read_page(html: str | None, url: str | None) -> dict:
         "n_img": sum(1 for _ in root.find("img")),
         "h1": [t for t in (h.text(" ") for h in root.find("h1")) if t],
         "hrefs": [n.attrs["href"].strip() for n in root.find("a") if n.attrs.get("href", "").strip()],
-        "jsonld": [n.raw() for n in root.find("script") if n.attrs.get("type") == "application/ld+json"],
+        "jsonld": [x for n in root.find("script") if n.attrs.get("type") == "application/ld+json" for x in ld_items(n.raw())],
         "icons": icons,
         "alternates": alternates,
         "media": _media(root, base),
@@ -177,7 +196,7 @@ def title(page: Column) -> Column:
 
 def _ld(page: Column, field: str) -> Column:
     """First non-empty value of a field over all JSON-LD items, lists and graphs included."""
-    sources = F.flatten(F.transform(page["jsonld"], lambda s: F.array(*[F.get_json_object(s, p) for p in (f"$.{field}", f"$[0].{field}", f"$['@graph'][0].{field}", f"$[1].{field}", f"$['@graph'][1].{field}")])))
+    sources = F.transform(page["jsonld"], lambda s: F.get_json_object(s, f"$.{field}"))
     return F.get(F.filter(sources, lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(0))
 
 
@@ -239,8 +258,7 @@ def language(page: Column, url: Column, sitemap: Column | None = None) -> Column
 
 def skus(page: Column) -> Column:
     """Up to two leading parts, upper-case, of the article number in meta tags, else of a JSON-LD product."""
-    of_kind = lambda s, at: F.when(F.get_json_object(s, f"${at}['@type']").isin("Product", "ProductGroup"), F.get_json_object(s, f"${at}.sku"))
-    told = F.flatten(F.transform(page["jsonld"], lambda s: F.array(*[of_kind(s, at) for at in ("", "[0]", "[1]", "[2]")])))
+    told = F.transform(page["jsonld"], lambda s: F.when(F.get_json_object(s, "$['@type']").rlike(r'(?:^|")Product(?:Group)?(?:$|")'), F.get_json_object(s, "$.sku")))
     number = F.coalesce(_filled(page["sku_meta"]), F.get(F.filter(told, lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(0)), F.lit(""))
     parts = F.slice(F.split(F.translate(F.regexp_replace(F.trim(number), r"\.(?:html?|php)$", ""), "_", "-"), "-"), 1, 2)
     return F.transform(F.filter(parts, lambda x: F.length(x) >= 2), lambda x: F.upper(x))

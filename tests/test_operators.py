@@ -90,3 +90,14 @@ def test_upsert_sink(spark, tmp_path):
     for _ in range(2):  # a replayed batch changes nothing
         sink(spark.createDataFrame([(2, "c")], "k int, v string"), 1)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/v1").collect())) == [(1, "a"), (2, "c")]
+
+
+def test_json_ld_of_long_lists_and_graphs(spark):
+    things = ",".join('{"@type":"Thing","sku":"no"}' for _ in range(6))
+    org = '{"@type":"Organization","foundingDate":"1987","description":"Far down.","address":{"addressLocality":"Bern","addressCountry":"CH"}}'
+    product = '{"@type":["Thing","Product"],"sku":"zz9-blue"}'
+    blocks = [f"[{things},{org},{product}]", f'{{"@graph":[{things},{{"@graph":[{org}]}},[{product}]]}}', "{broken", '"\\ud800"']
+    rows = [(i, "u", f'<script type="application/ld+json">{b}</script>') for i, b in enumerate(blocks)]
+    p = F.col("page")
+    got = html.parse_pages(spark.createDataFrame(rows, "id int, url string, html string")).select("id", html.about(p), html.founded(p), html.location(p), F.array_join(html.skus(p), ",")).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in got] == [("Far down.", 1987, "Bern, CH", "ZZ9,BLUE")] * 2 + [(None, None, None, "")] * 2
