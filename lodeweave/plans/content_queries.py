@@ -80,6 +80,35 @@ def classify_rules_tags(spark, sf):
     return _english(spark, sf).select("doc_id", F.array_join(rules.tags(p, b, CORPUS_RULES, 3), ",").alias("tags"), rules.first_label(p, CORPUS_RULES).alias("genre"))
 
 
+def _classified(spark, sf):
+    """Every document, with the features of its whole text; its first line stands for the title."""
+    title = F.substring_index("text", "\n", 1)
+    none = F.lit(None).cast("string")
+    return table(spark, sf, "documents").select("doc_id", rules.features(title, none, F.col("text"), none).alias("f")).select("doc_id", "f.primary", "f.body")
+
+
+@query()
+def classify_rules_category_all(spark, sf):
+    return _classified(spark, sf).select("doc_id", rules.category(F.col("primary"), F.col("body"), CORPUS_RULES).alias("b")).select("doc_id", "b.label", "b.score")
+
+
+@query()
+def classify_rules_type_all(spark, sf):
+    return _classified(spark, sf).select("doc_id", rules.page_type(F.col("primary"), F.col("body"), CORPUS_RULES).alias("b")).select("doc_id", "b.label", "b.score")
+
+
+@query()
+def classify_rules_tags_all(spark, sf):
+    p, b = F.col("primary"), F.col("body")
+    return _classified(spark, sf).select("doc_id", F.array_join(rules.tags(p, b, CORPUS_RULES, 3), ",").alias("tags"), rules.first_label(p, CORPUS_RULES).alias("genre"))
+
+
+@query()
+def infer_scored_tags_all(spark, sf):
+    t = rules.scored_tags(F.col("primary"), F.col("body"), CORPUS_RULES, ("verb",), 3, 2)
+    return _classified(spark, sf).select("doc_id", F.array_join(t, ",").alias("tags"))
+
+
 @query("SELECT * FROM (VALUES (1, 'Technology', 4.5::DOUBLE, 'Service', 'db,api,hosting', NULL), (2, 'Design', 3.0::DOUBLE, 'Business', 'fonts,design', 'Design'), (3, 'Street', 3.0::DOUBLE, 'Shop', 'ecommerce', NULL)) v(id, category, score, type, tags, genre)")
 def classify_pages(spark, sf):
     rows = [(1, "Cloud API platform", "Developer hosting for a database", "software software database", "https://dev.example/x"), (2, "Brand design studio", "Typography and layout", None, "https://s.example"), (3, "Sneakers boutique", "Denim jeans", "shop shop", "https://w.example/store")]

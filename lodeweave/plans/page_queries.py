@@ -115,6 +115,11 @@ def taxonomy_scan(spark, sf):
     return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.array_join(taxonomy.scan(F.col("text"), list(_WORDS)), ",").alias("found"))
 
 
+@query()
+def taxonomy_scan_all(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(taxonomy.scan(F.col("text"), list(_WORDS)), ",").alias("found"))
+
+
 @query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf):
     schema = table(spark, sf, "events").schema

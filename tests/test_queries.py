@@ -1,6 +1,7 @@
 """Every registered query runs, and equals its SQL where it has one."""
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -42,6 +43,31 @@ def test_classification_is_not_vacuous(spark, sf):
     assert QUERIES["taxonomy_scan"](spark, sf).where("found <> ''").count() > 20
 
 
+def test_whole_table_classification_against_python(spark, sf):
+    from lodeweave.plans.content_queries import CORPUS_RULES
+    from lodeweave.plans.page_queries import _WORDS
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {name: {r.doc_id: r for r in QUERIES[name](spark, sf).collect()} for name in ("classify_rules_category_all", "classify_rules_type_all", "classify_rules_tags_all", "infer_scored_tags_all", "taxonomy_scan_all")}
+    for d, text in docs.items():
+        low = text.lower()
+        first, body = low.split("\n")[0], low.strip(" ")[:2500]
+        hits = [(len(re.findall(p, first)), len(re.findall(p, body)), label) for p, label in CORPUS_RULES]
+        category = [((3 if a else 0) + (min(2, b / 2) if b >= 2 else 0), label) for a, b, label in hits]
+        kind = [(3 if a else 1 if b else 0, label) for a, b, label in hits]
+        for name, scores in (("classify_rules_category_all", category), ("classify_rules_type_all", kind)):
+            best = max(scores, key=lambda s: s[0])
+            r = found[name][d]
+            assert (r.score, r.label) == (best if best[0] else (None, None)), (name, d)
+        r = found["classify_rules_tags_all"][d]
+        assert r.tags == ",".join([label for a, b, label in hits if a or b >= 2][:3])
+        assert r.genre == next((label for a, _, label in hits if a), None)
+        scored = [(5 if a else 3 if b >= 5 else 2 if b >= 3 else 1 if b else 0, label) for a, b, label in hits if label != "verb"]
+        assert found["infer_scored_tags_all"][d].tags == ",".join([label for s, label in sorted(scored, key=lambda s: -s[0]) if s >= 3][:2])
+        assert found["taxonomy_scan_all"][d].found == ",".join(o for o in _WORDS if (len(o) > 2 or o == "AI") and re.search(rf"(?<!\w){o.lower()}(?!\w)", low))
+    assert all(len(x) == len(docs) for x in found.values())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
