@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as tx
@@ -157,3 +158,18 @@ SELECT item_id, pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6)
 def hash_embedding_sparse(spark, sf):
     b = table(spark, sf, "benchmark").where(r"text rlike '^\\p{ASCII}*$'")
     return vectors.hash_embedding(b, "item_id", "text").select("item_id", "pos", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query()
+def vec_cosine_topk_all(spark, sf):
+    """Ids divisible by 20 against all other rows."""
+    e = table(spark, sf, "embeddings")
+    n = vectors.nearest(e.where("vec_id % 20 = 0"), e.withColumnRenamed("vec_id", "near_id"), "vec_id", "near_id", "embedding", "embedding", k=4).where("vec_id <> near_id")
+    # Without itself three or four are left; places close up.
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy("place")).cast("long")
+    return n.withColumn("place", place).where("place <= 3").withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def hash_embedding_sparse_all(spark, sf):
+    return vectors.hash_embedding(table(spark, sf, "benchmark"), "item_id", "text").select("item_id", "pos", (F.round("value", 6) + 0.0).alias("value"))

@@ -68,6 +68,41 @@ def test_whole_table_classification_against_python(spark, sf):
     assert all(len(x) == len(docs) for x in found.values())
 
 
+def test_nearest_of_whole_table_against_brute_force(spark, sf):
+    import numpy as np
+
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    ids, m = [i for i, _ in rows], np.stack([v / np.linalg.norm(v) for _, v in rows])
+    want = {}
+    for i, v in zip(ids, m, strict=True):
+        if i % 20 == 0:
+            want[i] = [round(s, 5) for s in sorted((float(x) for j, x in zip(ids, m @ v, strict=True) if j != i and x >= 0), reverse=True)[:3]]
+    got = {}
+    for r in sorted(QUERIES["vec_cosine_topk_all"](spark, sf).collect(), key=lambda r: (r.vec_id, r.place)):
+        assert r.near_id != r.vec_id and r.place == len(got.get(r.vec_id, [])) + 1
+        got.setdefault(r.vec_id, []).append(r.similarity)
+    assert got.keys() == {i for i in want if want[i]} and all(np.allclose(got[i], want[i], atol=2e-5) for i in got)
+
+
+def test_hashed_vectors_of_all_texts_against_python(spark, tmp_path):
+    from hashlib import sha256
+
+    texts = ["Plain words here, plain", "\u00c9t\u00e9 \u00e0 Z\u00fcrich na\u00efve", "\u6f22\u5b57 and \u0441\u043b\u043e\u0432\u043e", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"\w+", (t or "").lower())
+        terms = [(x, 1 / math.log2(k + 3)) for k, x in enumerate(w)] + [(f"{a}_{b}", 0.5) for a, b in zip(w, w[1:], strict=False)]
+        v = {}
+        for x, weight in terms:
+            r = int(sha256(x.encode()).hexdigest(), 16) % 1536
+            v[r % 768] = v.get(r % 768, 0) + (weight if r < 768 else -weight)
+        size = math.sqrt(sum(x * x for x in v.values()))
+        want |= {(i, pos): x / size for pos, x in v.items()}
+    got = {(r.item_id, r.pos): r.value for r in QUERIES["hash_embedding_sparse_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
