@@ -73,6 +73,22 @@ def media_urls(spark, sf):
     return d.select(F.explode("page.media").alias("m")).select("m.kind", "m.url", "m.source")
 
 
+@query()
+def html_contact_all(spark, sf):
+    p = F.col("page")
+    return _pages(spark, sf).select("page_id", h.title(p).alias("title"), h.email(p).alias("email"), h.phone(p).alias("phone"), h.instagram(p).alias("instagram"), h.linkedin(p).alias("linkedin"), h.founded(p).alias("founded"), h.location(p).alias("location"), h.about(p).alias("about"), h.best_icon(p, F.col("url")).alias("icon"), h.language(p, F.col("url")).alias("lang"))
+
+
+@query()
+def html_skus_all(spark, sf):
+    return _pages(spark, sf).select("page_id", F.array_join(h.skus(F.col("page")), ",").alias("skus"))
+
+
+@query()
+def media_urls_all(spark, sf):
+    return _pages(spark, sf).select("page_id", F.explode_outer("page.media").alias("m")).select("page_id", "m.kind", "m.url", "m.source")
+
+
 @query()
 def html_markdown(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
