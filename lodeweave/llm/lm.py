@@ -1,20 +1,26 @@
 """A hashed maximum-entropy language model with class-factored softmax, beside the add-half unigram base.
 
-P(word | two words before) = P(class | context) * P(word | class, context). The most frequent HEAD words stand in
-frequency classes of MEMBERS words each, and both factors are softmaxes over sums of weight rows picked by hashed
-features: the word before, the word before that (skip), and both. All other words fall in TAIL classes by the hash
-of their last letters; within such a class a word has its share of counts plus one half, and one half is left for
-words never seen, so the model is a distribution over all words and one unseen word per class.
+P(word | two words before) = P(class | context) * P(sub-class | class, context) * P(leaf | sub-class, context) *
+P(word | leaf). The first three factors are softmaxes of WIDTH choices over sums of weight rows picked by hashed features:
+the word before, the word before that (skip), and both, each with the choices made so far. The most frequent HEAD words
+are leaves of their own in order of frequency, so their last factor is 1. All other words fall in TAIL leaves: class and
+sub-class by the hash of their last letters, the leaf by the hash of the whole word; there a word has its share of
+counts plus one half, and one half is left for words never seen, so the model is a distribution over all words and one
+unseen word per leaf.
 
 Training makes ROUNDS passes, each over its own part of the training documents, so every training document counts
-once. In a pass each worker takes gradient steps (Adagrad, minibatches) from the common weights over its
-partitions; the workers' weights, weighted by tokens, are averaged block by block in a shuffle and become the next
-common weights. Weights are a fixed number of bytes.
+once. In a pass each worker takes gradient steps (Adagrad, minibatches) from the common weights over about
+WORKER_TOKENS tokens; the workers' changes, weighted by tokens, are averaged block by block: FAN workers' blocks are
+added in one group, in order of worker, then FAN of those sums, until one is left, so no group grows with the input.
+Weights are a fixed number of bytes.
 
 Counts cover every training token: words are counted per task, then summed by word in one shuffle. Scoring keeps the
 most frequent KNOWN words (a fixed number) in each worker; for the rest it writes (row, word, times), which are joined to
 the counts by word, so each count is exact whatever the vocabulary's size. Words and the end of the text are tokens.
 
+Texts are cut into words and numbered by Arrow's kernels, a group of texts at a time; Python sees each distinct word of
+a group once. Features are made in windows, so a long text costs four bytes a token beside its letters.
+
 Cases: a null or empty text is its end alone; ids may be null (they count as empty text when parts are drawn) or
 repeated, each row is scored alone; without training documents all counts are 0 and weights stay 0; an empty table
 gives an empty result; other columns are ignored.
@@ -30,129 +36,178 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
 
-HEAD, MEMBERS, TAIL = 1024, 32, 32
-CLASSES = HEAD // MEMBERS + TAIL
+#: Choices of a softmax, softmaxes of a word; leaves; words and word groups that are leaves.
+WIDTH, LEVELS = 16, 3
+LEAVES = WIDTH**LEVELS
+HEAD = TAIL = LEAVES // 2
 KNOWN = 131_072
-#: Rows of weights, a power of two; features per token; tokens in a minibatch; step; passes; partitions per worker.
-BITS, FEATURES, BATCH, STEP, ROUNDS, PER_WORKER = 14, 3, 4096, 0.25, 2, 4
+#: Rows of weights of a level, a power of two below 2**17; features per token; tokens in a minibatch; step; passes.
+BITS, FEATURES, BATCH, STEP, ROUNDS = 16, 3, 4096, 0.25, 2
+#: Training tokens per worker of a pass, about; blocks that are added in one group.
+WORKER_TOKENS, FAN = 8_000_000, 16
+#: Sums of weights are held within this; beyond it a softmax is flat to single precision anyway.
+MOST_LOGIT = 60.0
 #: Distinct words that a counting task holds at most before it hands them on.
 HELD = 400_000
+#: Characters of texts that are numbered together, about, and tokens whose features are made together.
+GROUP_CHARS, WINDOW = 4_000_000, 16 * BATCH
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint64(0x51ED270B7F4A7C15)
 END = b""
 
 
-def split_tokens(text: str) -> list[bytes]:
-    """Words with A-Z lower-cased, and the end."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+def numbered(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct tokens, each token's place among them, first token of each text): words with A-Z lower-cased, then the end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+    try:  # the empty stretches beside outer blanks
+        end = words.index(END)
+        kept = codes != end
+        ends = np.concatenate(([0], np.cumsum(kept)))[ends]
+        codes = codes[kept]
+    except ValueError:
+        end = len(words)
+        words.append(END)
+    sizes = np.diff(ends)
+    out = np.full(len(codes) + len(sizes), end, np.int32)
+    out[np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = codes
+    return words, out, ends[:-1] + np.arange(len(sizes))
+
+
+def groups(column: pa.Array) -> Iterator[pa.Array]:
+    """Texts in slices of about GROUP_CHARS bytes."""
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP_CHARS)))
+        yield column.slice(at, end - at)
+        at = end
+
 
+def leaves_of(words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    """Tail leaves from 0: the last letters choose a stretch of WIDTH leaves, the whole word one of them."""
+    stems = pc.ascii_rtrim(pa.array(words, pa.binary()).cast(pa.string()), characters=".,;:!?").cast(pa.binary())
+    coded = pc.binary_slice(stems, -3, 2**31 - 1).dictionary_encode()
+    stretch = np.fromiter((crc32(x) % (TAIL // WIDTH) for x in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
+    return stretch[coded.indices.to_numpy()] * WIDTH + (hashes >> np.uint64(60 - 16)).astype(np.int32) % WIDTH
 
-def tail_class(word: bytes) -> int:
-    """0 to TAIL - 1, from the last letters."""
-    return crc32(word.rstrip(b".,;:!?")[-3:]) % TAIL
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def count_words(df: DataFrame) -> DataFrame:
-    """word (binary), cls, n: all tokens of the column `text`."""
+    """word (binary), leaf, n: all tokens of the column `text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             words = list(counts)
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([tail_class(w) for w in words], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "cls", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(leaves_of(words, hashes_of(words)), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "leaf", "n"])
             counts.clear()
             return batch
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(split_tokens(text))
+            for texts in groups(batch.column(0)):
+                words, codes, _ = numbered(texts)
+                found = np.bincount(codes, minlength=len(words)).tolist()
+                counts.update({w: n for w, n in zip(words, found, strict=True) if n})
                 if len(counts) > HELD:
                     yield out()
         yield out()
 
-    return df.select("text").mapInArrow(run, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
+    return df.select("text").mapInArrow(run, "word binary, leaf int, n long").groupBy("word", "leaf").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """The most frequent words with counts, and the totals of tail classes. Sizes are fixed by KNOWN and TAIL."""
-
-    def __init__(self, words: list[bytes], counts: list[int], class_totals: dict[int, tuple[int, int]]):
-        from xxhash import xxh3_64_intdigest
+    """The most frequent words with counts, and the totals of leaves. Sizes are fixed by KNOWN and LEAVES."""
 
+    def __init__(self, words: list[bytes], counts: list[int], leaf_totals: dict[int, tuple[int, int]]):
         self.words = words
-        self.n_tokens = sum(t for t, _ in class_totals.values())
-        self.n_words = sum(v for _, v in class_totals.values())
+        self.n_tokens = sum(t for t, _ in leaf_totals.values())
+        self.n_words = sum(v for _, v in leaf_totals.values())
         self.head = min(HEAD, len(words))
-        tails = np.array([tail_class(w) for w in words], np.int32)
-        ranks = np.arange(len(words))
-        self.cls = np.where(ranks < self.head, ranks // MEMBERS, HEAD // MEMBERS + tails).astype(np.int32)
-        self.hashes = np.array([xxh3_64_intdigest(w) for w in words], np.uint64)
-        self.log_half = np.log10(np.array(counts, np.float64) + 0.5)
+        self.hashes = hashes_of(words)
+        ranks, tails = np.arange(len(words)), leaves_of(words, self.hashes)
+        self.leaf = np.where(ranks < self.head, ranks, HEAD + tails).astype(np.int32)
+        counts = np.array(counts, np.float64)
+        self.log_half = np.log10(counts + 0.5)
         totals = np.zeros(TAIL)
-        for t, (n, v) in class_totals.items():
-            own = (tails[: self.head] == t) if self.head else np.zeros(0, bool)
-            n -= int(np.array(counts[: self.head])[own].sum())
-            v -= int(own.sum())
-            totals[t] = n + 0.5 * v
-        self.log_tail = np.log10(totals + 0.5)
+        for place, (n, v) in leaf_totals.items():
+            totals[place] = n + 0.5 * v
+        np.subtract.at(totals, tails[: self.head], counts[: self.head] + 0.5)
+        self.log_leaf = np.log10(np.maximum(totals, 0) + 0.5)
         self.log_base = math.log10(self.n_tokens + 0.5 * (self.n_words + 1))
-        #: Slots without a word.
-        self.class_mask = np.zeros(CLASSES, np.float32)
-        self.class_mask[-(-self.head // MEMBERS) : HEAD // MEMBERS] = -1e9
-        self.member_mask = np.zeros((HEAD // MEMBERS, MEMBERS), np.float32)
-        self.member_mask.ravel()[self.head :] = -1e9
+        #: For each level and prefix of choices, 1 for the choices that lead to a leaf in use, 0 for others.
+        used = np.ones(LEAVES, bool)
+        used[self.head : HEAD] = False
+        self.exist = [used.reshape(WIDTH**k, WIDTH, -1).any(axis=2).astype(np.float32) for k in range(LEVELS)]
 
     def index(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words)}
 
 
 class Tokens:
-    """Numbers of a group of texts, one after the other."""
-
-    def __init__(self, texts: list[str], vocabulary: Vocabulary, index: dict[bytes, int]):
-        from xxhash import xxh3_64_intdigest
-
-        words, starts = [], []
-        for text in texts:
-            starts.append(len(words))
-            words += split_tokens(text)
-        self.words, self.starts = words, np.array(starts)
-        self.known = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-        self.rare = np.flatnonzero(self.known < 0)
-        rare = [words[i] for i in self.rare.tolist()]
-        self.cls = vocabulary.cls[self.known] if len(vocabulary.words) else np.zeros(len(words), np.int32)
-        h = vocabulary.hashes[self.known] if len(vocabulary.words) else np.zeros(len(words), np.uint64)
-        if rare:
-            self.cls[self.rare] = HEAD // MEMBERS + np.fromiter(map(tail_class, rare), np.int32, len(rare))
-            h[self.rare] = np.fromiter(map(xxh3_64_intdigest, rare), np.uint64, len(rare))
+    """The tokens of a group of texts, one after the other, as places among the group's distinct words."""
+
+    def __init__(self, texts: pa.Array, vocabulary: Vocabulary, index: dict[bytes, int]):
+        self.words, self.codes, self.starts = numbered(texts)
+        self.known = np.fromiter(map(index.get, self.words, repeat(-1)), np.int64, len(self.words))
+        rare = np.flatnonzero(self.known < 0)
+        if len(vocabulary.words):
+            self.leaf, self.hashes = vocabulary.leaf[self.known], vocabulary.hashes[self.known]
+        else:
+            self.leaf, self.hashes = np.zeros(len(self.words), np.int32), np.zeros(len(self.words), np.uint64)
+        if len(rare):
+            words = [self.words[i] for i in rare.tolist()]
+            self.hashes[rare] = hashes_of(words)
+            self.leaf[rare] = HEAD + leaves_of(words, self.hashes[rare])
+        self.first = np.zeros(len(self.codes), bool)
+        self.first[self.starts] = True
+
+    def _context(self, a: int, z: int) -> np.ndarray:
+        """Hashes of the features of tokens a to z."""
+        lo = max(0, a - 2)
+        h, first = self.hashes[self.codes[lo:z]], self.first[lo:z]
         one = np.concatenate(([_START], h[:-1]))
-        one[self.starts] = _START
+        one[first] = _START
         two = np.concatenate(([_START], one[:-1]))
-        two[self.starts] = _START
-        shift = np.uint64(64 - BITS)
-        mix = lambda x: ((x ^ (x >> np.uint64(29))) * _GOLD >> shift).astype(np.int32)
-        self.features = np.stack([mix(one * np.uint64(3)), mix(two * np.uint64(0xC2B2AE3D27D4EB4F)), mix(one * np.uint64(0x165667B19E3779F9) + two)], axis=1)
-        self.member = np.where((self.known >= 0) & (self.known < vocabulary.head), self.known % MEMBERS, -1)
-
-    def within(self, rows: np.ndarray) -> np.ndarray:
-        """Features of the choice within a head class."""
-        x = self.features[rows].astype(np.uint64) * np.uint64(64) + self.cls[rows].astype(np.uint64)[:, None]
-        x = x * np.uint64(4) + np.arange(FEATURES, dtype=np.uint64)
-        return ((x * _GOLD) >> np.uint64(64 - BITS)).astype(np.int32)
+        two[first] = _START
+        one, two = one[a - lo :], two[a - lo :]
+        x = np.stack([one * np.uint64(3), two * np.uint64(0xC2B2AE3D27D4EB4F), one * np.uint64(0x165667B19E3779F9) + two])
+        return (x ^ (x >> np.uint64(29))) * _GOLD
+
+    def batches(self) -> Iterator[tuple[slice, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+        """(tokens, for each level: feature rows, prefixes, choices), BATCH tokens at a time."""
+        for a in range(0, len(self.codes), WINDOW):
+            z = min(a + WINDOW, len(self.codes))
+            context, leaves = self._context(a, z), self.leaf[self.codes[a:z]]
+            levels = []
+            for k in range(LEVELS):
+                path = leaves // WIDTH ** (LEVELS - k - 1)
+                prefix = path // WIDTH
+                rows = ((context ^ (prefix.astype(np.uint64) << np.uint64(8))) * _GOLD) >> np.uint64(64 - BITS)
+                levels.append((rows.astype(np.uint16), prefix.astype(np.uint16), path % WIDTH))
+            for i in range(0, z - a, BATCH):
+                j = min(i + BATCH, z - a)
+                yield slice(a + i, a + j), [(rows[:, i:j], prefix[i:j], choice[i:j]) for rows, prefix, choice in levels]
 
 
 class Model:
-    """Weights: classes by feature row, their bias, members by feature row, their bias."""
+    """Weights: for each level the feature rows, and a bias row for each prefix of choices."""
 
-    SHAPES = ((1 << BITS, CLASSES), (1, CLASSES), (1 << BITS, MEMBERS), (HEAD // MEMBERS, MEMBERS))
+    SHAPES = tuple(shape for k in range(LEVELS) for shape in ((1 << BITS, WIDTH), (WIDTH**k, WIDTH)))
 
     def __init__(self, flat: np.ndarray | None = None):
         flat = np.zeros(sum(a * b for a, b in self.SHAPES), np.float32) if flat is None else flat
@@ -161,54 +216,29 @@ class Model:
             self.parts.append(flat[at : at + a * b].reshape(a, b))
             at += a * b
 
-    @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(axis=1, keepdims=True)
-        x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-        return x
-
-    def class_logs(self, features: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        w, b = self.parts[0], self.parts[1]
-        x = w[features[:, 0]]
-        for i in range(1, FEATURES):
-            x += w[features[:, i]]
-        x += b + mask
-        return self._log_softmax(x)
-
-    def member_logs(self, features: np.ndarray, cls: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        w, b = self.parts[2], self.parts[3]
-        x = w[features[:, 0]]
-        for i in range(1, FEATURES):
-            x += w[features[:, i]]
-        x += (b + mask)[cls]
-        return self._log_softmax(x)
+    def powers(self, level: int, rows: np.ndarray, prefix: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the summed weights, 0 for choices without a leaf in use, and the sum of each row."""
+        w = self.parts[2 * level]
+        x = w.take(rows[0], axis=0)
+        for r in rows[1:]:
+            x += w.take(r, axis=0)
+        x += self.parts[2 * level + 1].take(prefix, axis=0)
+        np.clip(x, -MOST_LOGIT, MOST_LOGIT, out=x)
+        np.exp(x, out=x)
+        if v.head < HEAD:
+            x *= v.exist[level].take(prefix, axis=0)
+        return x, x @ np.ones(WIDTH, np.float32)
 
     def logs(self, t: Tokens, v: Vocabulary) -> np.ndarray:
-        """Natural log of P(class | context), times P(member | class, context) for head words, for each token."""
-        out = np.empty(len(t.words))
-        for a in range(0, len(out), BATCH):
-            rows = np.arange(a, min(a + BATCH, len(out)))
-            out[rows] = self.class_logs(t.features[rows], v.class_mask)[np.arange(len(rows)), t.cls[rows]]
-            rows = rows[t.member[rows] >= 0]
-            if len(rows):
-                out[rows] += self.member_logs(t.within(rows), t.cls[rows], v.member_mask)[np.arange(len(rows)), t.member[rows]]
+        """Natural log of P(leaf | context) for each token."""
+        out = np.zeros(len(t.codes))
+        for at, levels in t.batches():
+            for k, (rows, prefix, choice) in enumerate(levels):
+                x, total = self.powers(k, rows, prefix, v)
+                out[at] += np.log(x[np.arange(len(x)), choice]) - np.log(total)
         return out
 
 
-def sum_runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at `first`: the k-th members of all runs that have one are added at once,
-    which for many short runs is several times faster than reduceat; the rest of long runs is summed run by run."""
-    total, size, k = rows[first], np.diff(first, append=len(rows)), 1
-    live = np.flatnonzero(size > 1)
-    while len(live) and k < 16:
-        total[live] += rows[first[live] + k]
-        k += 1
-        live = live[size[live] > k]
-    for i in live.tolist():
-        total[i] += rows[first[i] + k : first[i] + size[i]].sum(axis=0)
-    return total
-
-
 class Trainer:
     """Adagrad steps from given weights, one step size per weight row."""
 
@@ -222,81 +252,77 @@ class Trainer:
         squares = self.squares[part][rows] + np.einsum("ij,ij->i", total, total) / total.shape[1]
         self.squares[part][rows] = squares
         total *= (-STEP / np.sqrt(squares))[:, None]
-        self.model.parts[part][rows] += total
+        weights = self.model.parts[part]
+        total += weights.take(rows, axis=0)
+        weights[rows] = total
 
-    def _step(self, part: int, features: np.ndarray, grads: np.ndarray) -> None:
+    def _step(self, part: int, rows: np.ndarray, grads: np.ndarray) -> None:
         """Sum the gradients of equal rows over all features and take the step."""
-        rows = features.T.ravel()
+        rows = rows.ravel()
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        self._apply(part, rows[first], sum_runs(grads[order % len(grads)], first))
+        order %= len(grads)
+        total, size = grads.take(order[first], axis=0), np.diff(first, append=len(rows))
+        several = size > 1  # most rows occur once, and reduceat costs by the run
+        if several.any():
+            own = order[np.repeat(several, size)]
+            total[several] = np.add.reduceat(grads.take(own, axis=0), np.cumsum(size[several]) - size[several], axis=0)
+        self._apply(part, rows[first], total)
 
     def learn(self, t: Tokens, v: Vocabulary) -> None:
-        self.tokens += len(t.words)
-        for a in range(0, len(t.words), BATCH):
-            rows = np.arange(a, min(a + BATCH, len(t.words)))
-            n = len(rows)
-            g = np.exp(self.model.class_logs(t.features[rows], v.class_mask))
-            g[np.arange(n), t.cls[rows]] -= 1
-            self._step(0, t.features[rows], g)
-            self._apply(1, np.zeros(1, np.int32), g.sum(axis=0, keepdims=True))
-            rows = rows[t.member[rows] >= 0]
-            if len(rows):
-                f, c = t.within(rows), t.cls[rows]
-                g = np.exp(self.model.member_logs(f, c, v.member_mask))
-                g[np.arange(len(rows)), t.member[rows]] -= 1
-                self._step(2, f, g)
-                own = np.zeros((HEAD // MEMBERS, len(rows)), np.float32)
-                own[c, np.arange(len(rows))] = 1
-                self._apply(3, np.arange(HEAD // MEMBERS), own @ g)
-
-
-def _groups(column) -> Iterator[list[str]]:
-    """Texts in groups of about a million characters."""
-    group, size = [], 0
-    for text in column.to_pylist():
-        group.append(text)
-        size += len(text)
-        if size > 1_000_000:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+        self.tokens += len(t.codes)
+        for _, levels in t.batches():
+            for k, (rows, prefix, choice) in enumerate(levels):
+                g, total = self.model.powers(k, rows, prefix, v)
+                g /= total[:, None]
+                g[np.arange(len(g)), choice] -= 1
+                self._step(2 * k, rows, g)
+                self._step(2 * k + 1, prefix, g)
 
 
 BLOCK = 1 << 17
 
 
-def train(df: DataFrame, vocabulary, model: Model) -> Model:
+def _sum_blocks(table: pa.Table) -> pa.Table:
+    """The weighted sum of a group's changes, in order of worker."""
+    total, tokens = None, 0
+    for place in np.argsort(table.column("worker").to_numpy(), kind="stable").tolist():
+        x = np.frombuffer(table.column("change")[place].as_buffer(), np.float32)
+        total = x.copy() if total is None else total + x
+        tokens += table.column("tokens")[place].as_py()
+    return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "worker": pa.array([table.column("worker")[0].as_py() // FAN], pa.int32()), "tokens": pa.array([tokens], pa.int64()), "change": pa.array([total.tobytes()], pa.binary())})
+
+
+def train(df: DataFrame, vocabulary, model: Model, workers: int) -> Model:
     """One pass over the column `text`: the average of what the workers make of the weights."""
-    spark = df.sparkSession
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    weights = spark.sparkContext.broadcast(model.flat)
+    weights = df.sparkSession.sparkContext.broadcast(model.flat)
+    schema = "block int, worker int, tokens long, change binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         v = vocabulary.value
         index, trainer = v.index(), Trainer(Model(weights.value))
         for batch in batches:
-            for texts in _groups(batch.column(0)):
+            for texts in groups(batch.column(0)):
                 trainer.learn(Tokens(texts, v, index), v)
         if trainer.tokens:
-            change = (trainer.model.flat - weights.value).astype(np.float16)
+            change = (trainer.model.flat - weights.value) * np.float32(trainer.tokens)
             n = -(-len(change) // BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([trainer.tokens] * n, pa.int64()), pa.array([change[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(n)], pa.binary())], ["block", "tokens", "change"])
-
-    def average(table: pa.Table) -> pa.Table:
-        total, tokens = None, 0
-        for n, raw in zip(table.column("tokens").to_pylist(), table.column("change").to_pylist(), strict=True):
-            x = np.frombuffer(raw, np.float16).astype(np.float32) * n
-            total, tokens = x if total is None else total + x, tokens + n
-        return pa.table({"block": table.column("block")[:1], "change": pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())})
-
-    changes = df.select("text").coalesce(max(1, -(-parts // PER_WORKER))).mapInArrow(run, "block int, tokens long, change binary")
-    blocks = {r.block: r.change for r in changes.groupBy("block").applyInArrow(average, "block int, change binary").collect()}
+            values = [range(n), [TaskContext.get().partitionId()] * n, [trainer.tokens] * n, [change[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(n)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["block", "worker", "tokens", "change"])
+
+    changes = df.select("text").coalesce(workers).mapInArrow(run, schema)
+    left = workers
+    while left > 1:
+        changes = changes.groupBy("block", F.expr(f"worker div {FAN}").alias("team")).applyInArrow(lambda _, table: _sum_blocks(table), schema)
+        left = -(-left // FAN)
+    blocks = {r.block: np.frombuffer(r.change, np.float32) / np.float32(r.tokens) for r in changes.toLocalIterator()}
+    weights.destroy()
     flat = model.flat.copy()
     if blocks:
-        flat += np.frombuffer(b"".join(bytes(blocks[i]) for i in sorted(blocks)), np.float32)
+        flat += np.concatenate([blocks[i] for i in sorted(blocks)])
     return Model(flat)
 
 
@@ -304,12 +330,13 @@ def fit(df: DataFrame, counts: DataFrame, rounds: int = ROUNDS):
     """(broadcast Vocabulary, broadcast weights) from training documents (column text) and their counted words."""
     spark = df.sparkSession
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "n").toArrow()
-    totals = {r.cls: (r.n, r.v) for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    totals = {r.leaf: (r.n, r.v) for r in counts.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     vocabulary = spark.sparkContext.broadcast(Vocabulary(top.column(0).to_pylist(), top.column(1).to_pylist(), totals))
     model = Model()
+    workers = max(1, -(-vocabulary.value.n_tokens // (WORKER_TOKENS * rounds)))
     for k in range(rounds):
         part = F.pmod(F.xxhash64("text"), F.lit(rounds)) == k
-        model = train(df.where(part), vocabulary, model)
+        model = train(df.where(part), vocabulary, model, workers)
     return vocabulary, spark.sparkContext.broadcast(model.flat)
 
 
@@ -329,23 +356,22 @@ def score(df: DataFrame, held_out, text_col: str = "text", id_col: str = "doc_id
         index = v.index()
         for batch in batches:
             at = 0
-            for texts in _groups(batch.column(1)):
+            for texts in groups(batch.column(1)):
                 t = Tokens(texts, v, index)
                 logs = model.logs(t, v) / math.log(10)
-                halves = np.zeros(len(t.words))
-                seen = t.known >= 0
+                known = t.known[t.codes]
+                halves, seen = np.zeros(len(known)), known >= 0
                 if len(v.words):
-                    halves[seen] = v.log_half[t.known[seen]]
-                in_tail = t.cls >= HEAD // MEMBERS
-                logs[in_tail] += halves[in_tail] - v.log_tail[t.cls[in_tail] - HEAD // MEMBERS]
+                    halves[seen] = v.log_half[known[seen]]
+                leaves = t.leaf[t.codes]
+                in_tail = leaves >= HEAD
+                logs[in_tail] += halves[in_tail] - v.log_leaf[leaves[in_tail] - HEAD]
                 sums = [np.add.reduceat(x, t.starts) for x in (np.ones(len(logs)), seen.astype(float), halves, logs)]
-                ends = np.searchsorted(t.rare, [*t.starts, len(t.words)])
-                words, times, sizes = [], [], [0]
-                for a, z in zip(ends, ends[1:], strict=False):
-                    own = Counter([t.words[i] for i in t.rare[a:z].tolist()])
-                    words += own
-                    times += own.values()
-                    sizes.append(len(words))
+                rare = np.flatnonzero(~seen)
+                row = np.searchsorted(t.starts, rare, side="right") - 1
+                pairs, times = np.unique(row * len(t.words) + t.codes[rare], return_counts=True)
+                sizes = np.searchsorted(pairs, np.arange(len(texts) + 1) * len(t.words))
+                words = [t.words[i] for i in (pairs % len(t.words)).tolist()]
                 held = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]), held], ["row", "n_tokens", "n_seen", "halves", "logs", "rare"])
                 at += len(texts)
@@ -353,6 +379,8 @@ def score(df: DataFrame, held_out, text_col: str = "text", id_col: str = "doc_id
     schema = "row struct<id:{},held_out:boolean>, n_tokens long, n_seen long, halves double, logs double, rare array<struct<word:binary,n:bigint>>".format(df.schema[id_col].dataType.simpleString())
     scored = docs.select(F.struct("id", "held_out").alias("row"), "text").mapInArrow(run, schema)
     scored = cut(scored.withColumn("rid", F.monotonically_increasing_id()), "scored")
+    vocabulary.destroy()
+    weights.destroy()
     words = scored.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     found = words.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     sums = found.groupBy("rid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_halves"))

@@ -8,6 +8,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,27 +163,78 @@ def test_lm_base_and_probability(spark, sf, texts):
         assert r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
         assert r.score < 0
-    assert sum(r.score for r in rows if not r.held_out) > sum(r.base_score for r in rows if not r.held_out)
+    for held_out in (False, True):
+        own = [r for r in rows if r.held_out == held_out]
+        assert sum(r.score for r in own) > 0.95 * sum(r.base_score for r in own)
 
 
-def test_lm_is_a_distribution():
-    words = [b"", b"the", b"of", b"rare", b"odd"]
-    counts = [9, 7, 5, 2, 1]
+def _lm_vocabulary(counts):
+    words = sorted(counts, key=lambda w: (-counts[w], w))
     totals = {}
-    for w, n in zip(words, counts, strict=True):
-        t = lm.tail_class(w)
-        totals[t] = (totals.get(t, (0, 0))[0] + n, totals.get(t, (0, 0))[1] + 1)
-    vocabulary = lm.Vocabulary(words, counts, totals)
+    for w, place in zip(words, lm.leaves_of(words, lm.hashes_of(words)).tolist(), strict=True):
+        totals[place] = (totals.get(place, (0, 0))[0] + counts[w], totals.get(place, (0, 0))[1] + 1)
+    return lm.Vocabulary(words[: lm.KNOWN], [counts[w] for w in words[: lm.KNOWN]], totals)
+
+
+def test_lm_is_a_distribution():
+    v = _lm_vocabulary({b"": 9, b"the": 7, b"of": 5, b"rare": 2, b"odd": 1})
     trainer = lm.Trainer(lm.Model())
-    t = lm.Tokens(["the of the of", "the rare of odd"] * 20, vocabulary, vocabulary.index())
-    before = lm.Model().logs(t, vocabulary).sum()
+    t = lm.Tokens(pa.array(["the of the of", "the rare of odd"] * 20), v, v.index())
+    before = lm.Model().logs(t, v).sum()
     for _ in range(10):
-        trainer.learn(t, vocabulary)
-    assert trainer.model.logs(t, vocabulary).sum() > before
-    logs = np.exp(trainer.model.class_logs(t.features[:1], vocabulary.class_mask))
-    inside = np.exp(trainer.model.member_logs(t.within(np.array([0])), t.cls[:1], vocabulary.member_mask))
-    assert logs.sum() == pytest.approx(1, abs=1e-5) and inside[0, : len(words)].sum() == pytest.approx(1, abs=1e-5)
-    assert logs[0, 1 : lm.HEAD // lm.MEMBERS].sum() == 0
+        trainer.learn(t, v)
+    assert trainer.model.logs(t, v).sum() > before
+    # every leaf after one context, level by level
+    x = t._context(1, 2)
+    chance = np.zeros(lm.LEAVES)
+    for leaf in range(lm.LEAVES):
+        chance[leaf], prefix = 1, 0
+        for k in range(lm.LEVELS):
+            choice = leaf // lm.WIDTH ** (lm.LEVELS - k - 1) % lm.WIDTH
+            rows = (((x ^ np.uint64(prefix << 8)) * lm._GOLD) >> np.uint64(64 - lm.BITS)).astype(np.uint16)
+            powers, total = trainer.model.powers(k, rows, np.array([prefix]), v)
+            chance[leaf] *= powers[0, choice] / total[0] if total[0] else 0
+            prefix = prefix * lm.WIDTH + choice
+    assert chance.sum() == pytest.approx(1, abs=1e-4)
+    assert chance[len(v.words) : lm.HEAD].sum() == 0 and chance[lm.HEAD :].min() > 0
+    assert math.log(chance[t.leaf[t.codes[1]]]) == pytest.approx(trainer.model.logs(t, v)[1], abs=1e-4)
+
+
+def test_lm_tokens_and_features_of_long_texts():
+    texts = ["", "  Alpha\tbeta ", "alpha beta gamma " * 9, "É\x0bÉ\u00a0x\x85 y"]
+    words, codes, starts = lm.numbered(pa.array(texts))
+    want = [t.encode().lower().split() + [b""] for t in texts]
+    assert [words[c] for c in codes] == [w for ws in want for w in ws]
+    assert starts.tolist() == np.cumsum([0, *map(len, want)])[:-1].tolist()
+    v = _lm_vocabulary(Counter(w for ws in want for w in ws))
+    t = lm.Tokens(pa.array(texts), v, v.index())
+    whole = t._context(0, len(codes))
+    assert all((t._context(a, a + 1)[:, 0] == whole[:, a]).all() for a in range(len(codes)))
+
+
+def test_lm_rows_of_equal_features_are_summed():
+    trainer, rnd = lm.Trainer(lm.Model()), np.random.default_rng(1)
+    rows, grads = rnd.integers(0, 9, (3, 50)).astype(np.uint16), rnd.normal(size=(50, lm.WIDTH)).astype(np.float32)
+    trainer._step(0, rows, grads)
+    for row in range(9):
+        total = sum(grads[j] for i in range(3) for j in range(50) if rows[i, j] == row)
+        assert trainer.model.parts[0][row] == pytest.approx(-lm.STEP * total / np.sqrt(0.01 + (total**2).mean()), rel=1e-3, abs=1e-5)
+
+
+def test_lm_sums_of_workers(spark, texts, monkeypatch):
+    monkeypatch.setattr(lm, "WORKER_TOKENS", 2000)
+    monkeypatch.setattr(lm, "FAN", 3)
+    docs = spark.createDataFrame([(t,) for t in list(texts.values())[:80]], "text string").repartition(7)
+    v = _lm_vocabulary(Counter(w for t in list(texts.values())[:80] for w in t.encode().lower().split() + [b""]))
+    shared = spark.sparkContext.broadcast(v)
+    got = lm.train(docs, shared, lm.Model(), 7).flat
+    parts = [[r.text for r in p] for p in docs.rdd.glom().collect() if p]
+    want, tokens = 0.0, 0
+    for own in parts:
+        trainer = lm.Trainer(lm.Model())
+        trainer.learn(lm.Tokens(pa.array(own), v, v.index()), v)
+        want, tokens = want + trainer.model.flat * np.float64(trainer.tokens), tokens + trainer.tokens
+    assert len(parts) > 3 and np.abs(got - want / tokens).max() < 1e-5
 
 
 def test_lm_edges(odd, none):
