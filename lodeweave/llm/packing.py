@@ -112,7 +112,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
         from .tokenization import encoder
 
-        encode, arrow = encoder(tokenizer_path).encode, to_arrow_schema(schema)
+        encoded, arrow = encoder(tokenizer_path).encoded, to_arrow_schema(schema)
         base = TaskContext.get().partitionId() << 40
         made = {"sequences": 0, "groups": 0}
 
@@ -135,8 +135,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
         keys, docs, held = [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                docs.append(encode(text) + end)
+            for key, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), end), strict=True):
+                docs.append(ids)
                 keys.append(key)
                 held += len(docs[-1]) // 4
                 if held >= BUFFER_IDS or len(docs) >= BUFFER_DOCS:

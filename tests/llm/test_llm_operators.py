@@ -10,6 +10,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lodeweave.llm import langid, lm, mixing, neardup, packing, pii, quality, queries, secrets, tokenbin, tokenization, topk
@@ -46,12 +47,16 @@ def none(spark):
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
-def test_encoder_equals_the_library(path, texts):
+def test_encoder_equals_the_library(path, texts, monkeypatch):
     encoder, rnd = tokenization.Encoder(path, most=500), random.Random(1)
     alphabet = "ab Z9'.\n\té<|  ñß'sd,́日"
     cases = ["", " ", "\n", "don't we'll I'M 'S x's", "<|endoftext|> x", "x²½ ªº", "A\x01B", "ΟΔΟΣ Σ", "a\x85b", "\x1c a", *list(texts.values())[:60]]
     cases += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 40))) for _ in range(800)]
     assert [c for c in cases if encoder.encode(c) != encoder.whole(c)] == []
+    monkeypatch.setattr(tokenization, "_GROUP", 3000)
+    for _ in range(3):  # the second time from memory that was thinned out
+        rnd.shuffle(cases)
+        assert list(encoder.encoded(pa.array(cases), b"end")) == [encoder.whole(c) + b"end" for c in cases]
 
 
 # 1 top-k
@@ -509,8 +514,36 @@ def test_token_files_round_trip(spark, sf, texts, block, kind):
         want[d] = (at, len(ids) // 4, ids)
         at += len(ids) // 4
     files = tokenbin.write(spark.read.parquet(f"{sf}/documents.parquet").repartition(3), BYTE, block_ids=block, kind=kind)
-    got = {r.doc_id: (r.start, r.n_tokens, bytes(r.ids)) for r in tokenbin.read_documents(files, block_ids=block).collect()}
+    got = {r.doc_id: (r.start, r.n_tokens, bytes(r.ids)) for r in tokenbin.read_documents(files).collect()}
     assert got == want
+    for r in files.blocks.collect():  # the chunk index
+        assert r.plane_offsets == [sum(r.plane_sizes[:i]) for i in range(len(r.plane_sizes))] and sum(r.plane_sizes) == len(r.data)
+        plane = zstandard.ZstdDecompressor().decompress(bytes(r.data[r.plane_offsets[0] : r.plane_offsets[0] + r.plane_sizes[0]]))
+        assert len(plane) == (r.n_ids if kind == "byte" else -(-r.n_ids // 8)) and r.first_id == r.block_no * block
+    assert {r.doc_id: r.n_tokens for r in files.docs.collect()} == {d: n for d, (_, n, _) in want.items()}
+
+
+def test_token_files_spread_a_hot_id(spark):
+    rows = [(7 if i % 3 else None, f"text {i % 50}") for i in range(900)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = tokenbin.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), BYTE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per_file = [r["count"] for r in files.docs.groupBy("file_no").count().collect()]
+    assert sum(per_file) == 900 and max(per_file) < 500
+    got = tokenbin.read_documents(files).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 300 + [7] * 600
+    encode = tokenization.Encoder(BYTE).encode
+    assert Counter(bytes(r.ids) for r in got) == Counter(encode(t) + bytes(4) for _, t in rows)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
+def test_damaged_block_is_told(spark):
+    files = tokenbin.write(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), BYTE)
+    bad = tokenbin.TokenFiles(files.blocks.withColumn("ids_crc32", F.col("ids_crc32") + 1), "doc_id")
+    with pytest.raises(Exception, match="damaged"):
+        tokenbin.read_documents(bad).collect()
 
 
 def test_token_file_edges(odd, none):
