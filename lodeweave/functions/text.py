@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def _any(text: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: within a lambda the optimizer cannot paste it into each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """Blanks folded, at most one empty line, trimmed, form residue removed; empty for null."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(" "))

@@ -6,9 +6,13 @@ Unicode word borders.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeweave.functions.text import let
+
 # Category rules in order.
 CATEGORY_RULES = (
     (r"\btech\b|\bdevelop\b|\bdeveloper\b|\bcode\b|\bcoding\b|\bapi\b|\bapis\b|\bprogramming\b|\bsoftware\b|\bcloud\b|\bdatabase\b|\bpostgres\b|\bsaas\b|\bpython\b|\bjavascript\b|\btypescript\b", "Technology"),
@@ -77,62 +81,89 @@ GENRE_RULES = (
 Rules = tuple[tuple[str, str], ...]
 
 
-def _hit(text: Column, pattern: str) -> Column:
-    return F.lower(F.coalesce(text, F.lit(""))).rlike("(?U)" + pattern)
+def _low(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def _hit(low: Column, pattern: str) -> Column:
+    return low.rlike("(?U)" + pattern)
+
 
+def _times(low: Column, pattern: str) -> Column:
+    return F.regexp_count(low, F.lit("(?U)" + pattern))
 
-def _times(text: Column, pattern: str) -> Column:
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?U)" + pattern))
 
+def _with_texts(primary: Column, body: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """make(lower-case primary text, lower-case body), both worked out once."""
+    return let(F.struct(_low(primary).alias("p"), _low(body).alias("b")), lambda t: make(t["p"], t["b"]))
 
-def _best(scores: list[tuple[Column, str]]) -> Column:
-    """struct(score, label) of the highest score above 0, of equals the first; null for none."""
-    rows = F.array(*[F.struct(s.cast("double").alias("score"), F.lit(-i).alias("place"), F.lit(label).alias("label")) for i, (s, label) in enumerate(scores)])
-    top = F.array_max(F.filter(rows, lambda r: r["score"] > 0))
-    return F.when(top.isNotNull(), F.struct(top["score"].alias("score"), top["label"].alias("label")))
+
+def _counted(primary: Column, body: Column, rules: Rules) -> Column:
+    """Array of (place, label, hit in the primary text, n hits in the body), each pattern applied once to each text."""
+    return F.array(*[F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), _hit(primary, p).alias("hit"), _times(body, p).alias("n")) for i, (p, label) in enumerate(rules)])
+
+
+def _best(scores: Column) -> Column:
+    """struct(score, label) of the highest score above 0 among (score, -place, label), of equals the first; null for none."""
+    return let(F.array_max(F.filter(scores, lambda r: r["score"] > 0)), lambda top: F.when(top.isNotNull(), F.struct(top["score"].alias("score"), top["label"].alias("label"))))
 
 
 def category(primary: Column, body: Column, rules: Rules = CATEGORY_RULES) -> Column:
     """3 for a hit in the primary text, and from two in the body half a point each, at most 2."""
-    scores = []
-    for pattern, label in rules:
-        n = _times(body, pattern)
-        scores.append((F.when(_hit(primary, pattern), 3.0).otherwise(0.0) + F.when(n >= 2, F.least(F.lit(2.0), n * 0.5)).otherwise(0.0), label))
-    return _best(scores)
+
+    def score(r: Column) -> Column:
+        points = F.when(r["hit"], 3.0).otherwise(0.0) + F.when(r["n"] >= 2, F.least(F.lit(2.0), r["n"] * 0.5)).otherwise(0.0)
+        return F.struct(points.alias("score"), (-r["place"]).alias("place"), r["label"].alias("label"))
+
+    return _with_texts(primary, body, lambda p, b: _best(F.transform(_counted(p, b, rules), score)))
 
 
 def page_type(primary: Column, body: Column, rules: Rules = TYPE_RULES) -> Column:
     """3 for a hit in the primary text, else 1 for one in the body."""
-    return _best([(F.when(_hit(primary, p), 3.0).when(_hit(body, p), 1.0).otherwise(0.0), label) for p, label in rules])
+
+    def scores(p: Column, b: Column) -> Column:
+        points = [F.when(_hit(p, x), 3.0).when(_hit(b, x), 1.0).otherwise(0.0) for x, _ in rules]
+        return F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(label).alias("label")) for i, (s, (_, label)) in enumerate(zip(points, rules, strict=True))])
+
+    return _with_texts(primary, body, lambda p, b: _best(scores(p, b)))
 
 
 def tags(primary: Column, body: Column, rules: Rules = TAG_RULES, most: int = 5) -> Column:
     """Labels with a hit in the primary text or two in the body, in table order."""
-    found = F.array(*[F.when(_hit(primary, p) | (_times(body, p) >= 2), label) for p, label in rules])
-    return F.slice(F.array_distinct(F.array_compact(found)), 1, most)
+    found = lambda p, b: F.array(*[F.when(_hit(p, x) | (_times(b, x) >= 2), label) for x, label in rules])
+    return _with_texts(primary, body, lambda p, b: F.slice(F.array_distinct(F.array_compact(found(p, b))), 1, most))
 
 
 def scored_tags(primary: Column, body: Column, rules: Rules = TAG_RULES, exclude: tuple[str, ...] = (), least: int = 3, most: int = 4) -> Column:
     """Labels by 5 points for the primary text, else 3, 2 or 1 for five, three or one hits in the body; best first."""
-    rows = []
-    for i, (pattern, label) in enumerate(rules):
-        if label not in exclude:
-            n = _times(body, pattern)
-            score = F.when(_hit(primary, pattern), 5).when(n >= 5, 3).when(n >= 3, 2).when(n >= 1, 1).otherwise(0)
-            rows.append(F.struct((-score).alias("s"), F.lit(i).alias("place"), F.lit(label).alias("label")))
-    return F.transform(F.slice(F.array_sort(F.filter(F.array(*rows), lambda r: r["s"] <= -least)), 1, most), lambda r: r["label"])
+
+    def score(r: Column) -> Column:
+        points = F.when(r["hit"], 5).when(r["n"] >= 5, 3).when(r["n"] >= 3, 2).when(r["n"] >= 1, 1).otherwise(0)
+        return F.struct((-points).alias("s"), r["place"].alias("place"), r["label"].alias("label"))
+
+    kept = tuple(r for r in rules if r[1] not in exclude)
+    ranked = lambda p, b: F.array_sort(F.filter(F.transform(_counted(p, b, kept), score), lambda r: r["s"] <= -least))
+    return _with_texts(primary, body, lambda p, b: F.transform(F.slice(ranked(p, b), 1, most), lambda r: r["label"]))
+
+
+def _first(low: Column, rules: Rules) -> Column:
+    return F.coalesce(*[F.when(_hit(low, p), label) for p, label in rules])
 
 
 def first_label(primary: Column, rules: Rules = GENRE_RULES) -> Column:
     """Label of the first rule that hits the primary text; null for none."""
-    return F.coalesce(*[F.when(_hit(primary, p), label) for p, label in rules])
+    return let(_low(primary), lambda p: _first(p, rules))
 
 
 def roles(primary: Column, body: Column, rules: Rules = CATEGORY_RULES, least: float = 2.0, most: int = 2, default: str = "Technology") -> Column:
     """Up to two labels: 3 for the primary text, else 1 for two hits in the body; below `least` none, then the default."""
-    rows = F.array(*[F.struct(F.when(_hit(primary, p), 3.0).when(_times(body, p) >= 2, 1.0).otherwise(0.0).alias("score"), F.lit(-i).alias("place"), F.lit(label).alias("label")) for i, (p, label) in enumerate(rules)])
-    kept = F.transform(F.slice(F.reverse(F.array_sort(F.filter(rows, lambda r: r["score"] >= least))), 1, most), lambda r: r["label"])
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(default)))
+
+    def score(r: Column) -> Column:
+        return F.struct(F.when(r["hit"], 3.0).when(r["n"] >= 2, 1.0).otherwise(0.0).alias("score"), (-r["place"]).alias("place"), r["label"].alias("label"))
+
+    ranked = lambda p, b: F.reverse(F.array_sort(F.filter(F.transform(_counted(p, b, rules), score), lambda r: r["score"] >= least)))
+    kept = _with_texts(primary, body, lambda p, b: F.transform(F.slice(ranked(p, b), 1, most), lambda r: r["label"]))
+    return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.lit(default))))
 
 
 def types_cascade(primary: Column, body: Column, rules: Rules = TYPE_RULES, default: str = "Utils") -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the smaller side of a nearest search that are broadcast at most; beyond, use blocks.
-MOST_BROADCAST = 100_000
+from lodeweave.functions.text import let
+
+#: Rows of a block of a nearest search, about: a cell holds two blocks and their products.
+BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,18 +27,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0) & (size > 1e-12), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size))).otherwise(F.lit(0.0))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vector: str, right_vector: str, k: int = 3, threshold: float = 0.0, blocks: int = 16) -> DataFrame:
+def unit(a: Column) -> Column:
+    """The vector in doubles at length 1; a zero vector stays zero."""
+    return let(a.cast("array<double>"), lambda v: let(norm(v), lambda size: F.transform(v, lambda x: F.when(size > 1e-12, x / size).otherwise(0.0))))
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vector: str, right_vector: str, k: int = 3, threshold: float = 0.0, block: int = BLOCK, other_ids: bool = False) -> DataFrame:
     """left_id, right_id, similarity, place: for each row of left the k most similar rows of right at or above the
-    threshold, ties to the smaller id. right is broadcast after its size was checked; a larger one is met block by block,
-    with each block's best k kept, so no task holds all of it."""
-    r = right.select(F.col(right_id).alias("r_id"), F.col(right_vector).alias("r_v"))
-    lf = left.select(F.col(left_id).alias("l_id"), F.col(left_vector).alias("l_v"))
-    if right.count() <= MOST_BROADCAST:
-        pairs = lf.crossJoin(F.broadcast(r))
-    else:
-        r = r.withColumn("blk", F.pmod(F.xxhash64("r_id"), F.lit(blocks)).cast("int"))
-        pairs = lf.withColumn("blk", F.explode(F.array(*map(F.lit, range(blocks))))).join(r, "blk")
-    scored = pairs.select("l_id", "r_id", cosine(F.col("l_v"), F.col("r_v")).alias("similarity")).where(F.col("similarity") >= threshold)
+    threshold, ties to the smaller id; with other_ids no row meets its own id.
+
+    Both sides are brought to length 1 once and dealt to blocks of about `block` rows by hash; each pair of blocks is one
+    group, scored as a matrix product of bounded size, and its best k leave it. Empty and null vectors count as zero
+    vectors, whose similarity is 0; vectors of different lengths never meet."""
+    sides = [df.select(F.col(i).cast("long").alias("id"), F.coalesce(unit(F.col(v)), F.array().cast("array<double>")).alias("v")).withColumn("dim", F.size("v")) for df, i, v in ((left, left_id, left_vector), (right, right_id, right_vector))]
+    n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
+    ls = sides[0].withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n_left)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
+    rs = sides[1].withColumn("j", F.pmod(F.xxhash64("id"), F.lit(n_right)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        l_ids, r_ids = (t.column("id").to_numpy() for t in (a, b))
+        rows, cols, found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(l_ids) and len(r_ids):
+            by_id = np.argsort(r_ids, kind="stable")
+            r_ids = r_ids[by_id]
+            x, y = (np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (a, b))
+            sims = np.clip(x @ y[by_id].T, -1, 1)
+            if other_ids:
+                sims[l_ids[:, None] == r_ids[None, :]] = -2
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            rows, cols = np.repeat(np.arange(len(l_ids)), best.shape[1]), best.ravel()
+            found = sims[rows, cols]
+            good = found >= max(threshold, -1)
+            rows, cols, found = rows[good], cols[good], found[good]
+        return pa.table({"l_id": l_ids[rows], "r_id": r_ids[cols], "similarity": found})
+
+    scored = ls.groupBy("dim", "i", "j").cogroup(rs.groupBy("dim", "i", "j")).applyInArrow(cell, "l_id long, r_id long, similarity double")
     place = F.row_number().over(Window.partitionBy("l_id").orderBy(F.desc("similarity"), "r_id"))
     return scored.withColumn("place", place.cast("long")).where(F.col("place") <= k).select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "similarity", "place")
 

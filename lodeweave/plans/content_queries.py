@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as tx
@@ -40,45 +39,17 @@ def text_plain_from_markdown(spark, sf):
 CORPUS_RULES = ((r"\bthe\b|\bof\b", "article"), (r"\bthat\b", "relative"), (r"\band\b|\bor\b", "joiner"), (r"\bwas\b|\bis\b", "verb"), (r"\bin\b|\bon\b|\bat\b", "place"))
 
 
-def _word(p: str) -> str:
-    words = "|".join(x.replace(r"\b", "") for x in p.split("|"))
-    return f"list_contains(ws, '{words}')" if "|" not in words else " OR ".join(f"list_contains(ws, '{w}')" for w in words.split("|"))
-
-
 def _count(p: str, ws: str) -> str:
     words = ", ".join("'" + x.replace(r"\b", "") + "'" for x in p.split("|"))
     return f"len(list_filter({ws}, lambda x: x IN ({words})))"
 
 
-_ENGLISH = "SELECT doc_id, regexp_extract_all(lower(left(text, 40)), '[a-z0-9_]+') AS ps, regexp_extract_all(lower(left(text, 2500)), '[a-z0-9_]+') AS bs FROM documents WHERE lang = 'en'"
+#: Letters, marks, digits and connectors: what a word is made of wherever a pattern has Unicode word borders.
+_LETTERS = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
+_DOCUMENTS = rf"SELECT doc_id, regexp_extract_all(lower(split_part(text, chr(10), 1)), '{_LETTERS}') AS ps, regexp_extract_all(lower(left(trim(text, ' '), 2500)), '{_LETTERS}') AS bs FROM documents"
 _SCORES = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {i} AS ord, (CASE WHEN {_count(p, 'ps')} > 0 THEN 3.0 ELSE 0 END + CASE WHEN {_count(p, 'bs')} >= 2 THEN least(2.0, {_count(p, 'bs')} * 0.5) ELSE 0 END)::DOUBLE AS score FROM e" for i, (p, label) in enumerate(CORPUS_RULES))
 _KINDS = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {i} AS ord, (CASE WHEN {_count(p, 'ps')} > 0 THEN 3.0 WHEN {_count(p, 'bs')} > 0 THEN 1.0 ELSE 0 END)::DOUBLE AS score FROM e" for i, (p, label) in enumerate(CORPUS_RULES))
-
-
-def _english(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.left("text", F.lit(40)).alias("primary"), F.left("text", F.lit(2500)).alias("body"))
-
-
-@query(f"WITH e AS ({_ENGLISH}), s AS ({_SCORES}) SELECT doc_id, label, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1")
-def classify_rules_category(spark, sf):
-    best = _english(spark, sf).select("doc_id", rules.category(F.col("primary"), F.col("body"), CORPUS_RULES).alias("b")).where("b is not null")
-    return best.select("doc_id", "b.label", "b.score")
-
-
-@query(f"WITH e AS ({_ENGLISH}), s AS ({_KINDS}) SELECT doc_id, label, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1")
-def classify_rules_type(spark, sf):
-    best = _english(spark, sf).select("doc_id", rules.page_type(F.col("primary"), F.col("body"), CORPUS_RULES).alias("b")).where("b is not null")
-    return best.select("doc_id", "b.label", "b.score")
-
-
-_TAGS = "list_filter([" + ", ".join(f"CASE WHEN {_count(p, 'ps')} > 0 OR {_count(p, 'bs')} >= 2 THEN '{label}' END" for p, label in CORPUS_RULES) + "], lambda x: x IS NOT NULL)[1:3]"
-_GENRE = "CASE " + " ".join(f"WHEN {_count(p, 'ps')} > 0 THEN '{label}'" for p, label in CORPUS_RULES) + " END"
-
-
-@query(f"WITH e AS ({_ENGLISH}) SELECT doc_id, array_to_string({_TAGS}, ',') AS tags, {_GENRE} AS genre FROM e")
-def classify_rules_tags(spark, sf):
-    p, b = F.col("primary"), F.col("body")
-    return _english(spark, sf).select("doc_id", F.array_join(rules.tags(p, b, CORPUS_RULES, 3), ",").alias("tags"), rules.first_label(p, CORPUS_RULES).alias("genre"))
+_BEST = "SELECT doc_id, CASE WHEN score > 0 THEN label END AS label, CASE WHEN score > 0 THEN score END AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1"
 
 
 def _classified(spark, sf):
@@ -88,26 +59,24 @@ def _classified(spark, sf):
     return table(spark, sf, "documents").select("doc_id", rules.features(title, none, F.col("text"), none).alias("f")).select("doc_id", "f.primary", "f.body")
 
 
-@query()
-def classify_rules_category_all(spark, sf):
+@query(f"WITH e AS ({_DOCUMENTS}), s AS ({_SCORES}) {_BEST}")
+def classify_rules_category(spark, sf):
     return _classified(spark, sf).select("doc_id", rules.category(F.col("primary"), F.col("body"), CORPUS_RULES).alias("b")).select("doc_id", "b.label", "b.score")
 
 
-@query()
-def classify_rules_type_all(spark, sf):
+@query(f"WITH e AS ({_DOCUMENTS}), s AS ({_KINDS}) {_BEST}")
+def classify_rules_type(spark, sf):
     return _classified(spark, sf).select("doc_id", rules.page_type(F.col("primary"), F.col("body"), CORPUS_RULES).alias("b")).select("doc_id", "b.label", "b.score")
 
 
-@query()
-def classify_rules_tags_all(spark, sf):
-    p, b = F.col("primary"), F.col("body")
-    return _classified(spark, sf).select("doc_id", F.array_join(rules.tags(p, b, CORPUS_RULES, 3), ",").alias("tags"), rules.first_label(p, CORPUS_RULES).alias("genre"))
+_TAGS = "list_filter([" + ", ".join(f"CASE WHEN {_count(p, 'ps')} > 0 OR {_count(p, 'bs')} >= 2 THEN '{label}' END" for p, label in CORPUS_RULES) + "], lambda x: x IS NOT NULL)[1:3]"
+_GENRE = "CASE " + " ".join(f"WHEN {_count(p, 'ps')} > 0 THEN '{label}'" for p, label in CORPUS_RULES) + " END"
 
 
-@query()
-def infer_scored_tags_all(spark, sf):
-    t = rules.scored_tags(F.col("primary"), F.col("body"), CORPUS_RULES, ("verb",), 3, 2)
-    return _classified(spark, sf).select("doc_id", F.array_join(t, ",").alias("tags"))
+@query(f"WITH e AS ({_DOCUMENTS}) SELECT doc_id, coalesce(array_to_string({_TAGS}, ','), '') AS tags, {_GENRE} AS genre FROM e")
+def classify_rules_tags(spark, sf):
+    p, b = F.col("primary"), F.col("body")
+    return _classified(spark, sf).select("doc_id", F.array_join(rules.tags(p, b, CORPUS_RULES, 3), ",").alias("tags"), rules.first_label(p, CORPUS_RULES).alias("genre"))
 
 
 @query("SELECT * FROM (VALUES (1, 'Technology', 4.5::DOUBLE, 'Service', 'db,api,hosting', NULL), (2, 'Design', 3.0::DOUBLE, 'Business', 'fonts,design', 'Design'), (3, 'Street', 3.0::DOUBLE, 'Shop', 'ecommerce', NULL)) v(id, category, score, type, tags, genre)")
@@ -134,42 +103,27 @@ def infer_roles_types(spark, sf):
 _SCORED = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {i} AS ord, CASE WHEN {_count(p, 'ps')} > 0 THEN 5 WHEN {_count(p, 'bs')} >= 5 THEN 3 WHEN {_count(p, 'bs')} >= 3 THEN 2 WHEN {_count(p, 'bs')} >= 1 THEN 1 ELSE 0 END AS score FROM e" for i, (p, label) in enumerate(CORPUS_RULES))
 
 
-@query(f"WITH e AS ({_ENGLISH}), s AS ({_SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS n FROM s WHERE score >= 3 AND label <> 'verb') SELECT doc_id, string_agg(label, ',' ORDER BY n) AS tags FROM r WHERE n <= 2 GROUP BY doc_id")
+@query(f"WITH e AS ({_DOCUMENTS}), s AS ({_SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS n FROM s WHERE score >= 3 AND label <> 'verb'), t AS (SELECT doc_id, string_agg(label, ',' ORDER BY n) AS tags FROM r WHERE n <= 2 GROUP BY doc_id) SELECT documents.doc_id, coalesce(tags, '') AS tags FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id")
 def infer_scored_tags(spark, sf):
-    t = _english(spark, sf).select("doc_id", rules.scored_tags(F.col("primary"), F.col("body"), CORPUS_RULES, ("verb",), 3, 2).alias("t"))
-    return t.where(F.size("t") > 0).select("doc_id", F.array_join("t", ",").alias("tags"))
+    t = rules.scored_tags(F.col("primary"), F.col("body"), CORPUS_RULES, ("verb",), 3, 2)
+    return _classified(spark, sf).select("doc_id", F.array_join(t, ",").alias("tags"))
 
 
-_PAIRS = "SELECT a.vec_id AS vec_id, b.vec_id AS near_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 40 AND b.vec_id >= 400"
+_PAIRS = "SELECT a.vec_id AS vec_id, b.vec_id AS near_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id"
 
 
 @query(f"WITH p AS ({_PAIRS}) SELECT vec_id, near_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, near_id) AS place FROM p WHERE s >= 0 QUALIFY place <= 3")
 def vec_cosine_topk(spark, sf):
+    """Ids divisible by 20 against all other rows."""
     e = table(spark, sf, "embeddings")
-    n = vectors.nearest(e.where("vec_id < 40"), e.where("vec_id >= 400").withColumnRenamed("vec_id", "near_id"), "vec_id", "near_id", "embedding", "embedding")
+    n = vectors.nearest(e.where("vec_id % 20 = 0"), e.withColumnRenamed("vec_id", "near_id"), "vec_id", "near_id", "embedding", "embedding", k=3, other_ids=True)
     return n.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark WHERE regexp_full_match(text, '[\x00-\x7f]*')),
+@query(rf"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '{_LETTERS}') AS w FROM benchmark WHERE text IS NOT NULL),
 t AS (SELECT item_id, unnest(w) AS t, 1 / log2(unnest(generate_series(0, len(w) - 1)) + 3) AS weight FROM w UNION ALL SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1])), 0.5 FROM w),
 h AS (SELECT item_id, weight, (('0x' || substr(sha256(t), 62, 3))::BIGINT + 1024 * list_sum(list_transform(string_split(substr(sha256(t), 1, 61), ''), lambda c: ('0x' || c)::BIGINT))) % 1536 AS r FROM t),
 s AS (SELECT item_id, (r % 768)::BIGINT AS pos, sum(CASE WHEN r < 768 THEN weight ELSE -weight END) AS v FROM h GROUP BY ALL)
 SELECT item_id, pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) + 0.0 AS value FROM s""")
 def hash_embedding_sparse(spark, sf):
-    b = table(spark, sf, "benchmark").where(r"text rlike '^\\p{ASCII}*$'")
-    return vectors.hash_embedding(b, "item_id", "text").select("item_id", "pos", (F.round("value", 6) + 0.0).alias("value"))
-
-
-@query()
-def vec_cosine_topk_all(spark, sf):
-    """Ids divisible by 20 against all other rows."""
-    e = table(spark, sf, "embeddings")
-    n = vectors.nearest(e.where("vec_id % 20 = 0"), e.withColumnRenamed("vec_id", "near_id"), "vec_id", "near_id", "embedding", "embedding", k=4).where("vec_id <> near_id")
-    # Without itself three or four are left; places close up.
-    place = F.row_number().over(Window.partitionBy("vec_id").orderBy("place")).cast("long")
-    return n.withColumn("place", place).where("place <= 3").withColumn("similarity", F.round("similarity", 6))
-
-
-@query()
-def hash_embedding_sparse_all(spark, sf):
     return vectors.hash_embedding(table(spark, sf, "benchmark"), "item_id", "text").select("item_id", "pos", (F.round("value", 6) + 0.0).alias("value"))

@@ -126,13 +126,8 @@ def taxonomy_match(spark, sf):
 _WORDS = ("the", "that", "with", "AI", "of")
 
 
-@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE lang = 'en') SELECT doc_id, array_to_string(list_filter(['the', 'that', 'with', 'AI'], lambda o: list_contains(w, lower(o))), ',') AS found FROM w")
+@query(r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+') AS w FROM documents) SELECT doc_id, coalesce(array_to_string(list_filter(['the', 'that', 'with', 'AI'], lambda o: list_contains(w, lower(o))), ','), '') AS found FROM w")
 def taxonomy_scan(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.array_join(taxonomy.scan(F.col("text"), list(_WORDS)), ",").alias("found"))
-
-
-@query()
-def taxonomy_scan_all(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(taxonomy.scan(F.col("text"), list(_WORDS)), ",").alias("found"))
 
 

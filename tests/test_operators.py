@@ -71,13 +71,14 @@ def test_labels_and_cosine(spark):
     assert (r.l, r.o, r.i, r.e) == (["A", "b", "c"], 0.0, 1.0, 0.0)
 
 
-def test_nearest_in_blocks_equals_broadcast(spark, sf, monkeypatch):
+def test_nearest_in_blocks_equals_one_block(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").limit(60)
     r = e.withColumnRenamed("vec_id", "near")
-    a = vectors.nearest(e, r, "vec_id", "near", "embedding", "embedding").collect()
-    monkeypatch.setattr(vectors, "MOST_BROADCAST", 10)
-    b = vectors.nearest(e, r, "vec_id", "near", "embedding", "embedding").collect()
-    assert sorted(a) == sorted(b)
+    key = lambda x: (x.vec_id, x.place, x.near, round(x.similarity, 9))
+    for other_ids in (False, True):
+        a, b = (vectors.nearest(e, r, "vec_id", "near", "embedding", "embedding", block=n, other_ids=other_ids).collect() for n in (4096, 7))
+        assert sorted(map(key, a)) == sorted(map(key, b)) and a
+        assert all((x.vec_id == x.near) == (not other_ids) for x in b if x.place == 1)
 
 
 def test_upsert_sink(spark, tmp_path):

@@ -40,6 +40,7 @@ def test_query(name, spark, sf, db):
 
 def test_classification_is_not_vacuous(spark, sf):
     assert QUERIES["classify_rules_category"](spark, sf).count() > 20
+    assert QUERIES["classify_rules_category"](spark, sf).where("label is not null").count() > 20
     assert QUERIES["taxonomy_scan"](spark, sf).where("found <> ''").count() > 20
 
 
@@ -48,23 +49,23 @@ def test_whole_table_classification_against_python(spark, sf):
     from lodeweave.plans.page_queries import _WORDS
 
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    found = {name: {r.doc_id: r for r in QUERIES[name](spark, sf).collect()} for name in ("classify_rules_category_all", "classify_rules_type_all", "classify_rules_tags_all", "infer_scored_tags_all", "taxonomy_scan_all")}
+    found = {name: {r.doc_id: r for r in QUERIES[name](spark, sf).collect()} for name in ("classify_rules_category", "classify_rules_type", "classify_rules_tags", "infer_scored_tags", "taxonomy_scan")}
     for d, text in docs.items():
         low = text.lower()
         first, body = low.split("\n")[0], low.strip(" ")[:2500]
         hits = [(len(re.findall(p, first)), len(re.findall(p, body)), label) for p, label in CORPUS_RULES]
         category = [((3 if a else 0) + (min(2, b / 2) if b >= 2 else 0), label) for a, b, label in hits]
         kind = [(3 if a else 1 if b else 0, label) for a, b, label in hits]
-        for name, scores in (("classify_rules_category_all", category), ("classify_rules_type_all", kind)):
+        for name, scores in (("classify_rules_category", category), ("classify_rules_type", kind)):
             best = max(scores, key=lambda s: s[0])
             r = found[name][d]
             assert (r.score, r.label) == (best if best[0] else (None, None)), (name, d)
-        r = found["classify_rules_tags_all"][d]
+        r = found["classify_rules_tags"][d]
         assert r.tags == ",".join([label for a, b, label in hits if a or b >= 2][:3])
         assert r.genre == next((label for a, _, label in hits if a), None)
         scored = [(5 if a else 3 if b >= 5 else 2 if b >= 3 else 1 if b else 0, label) for a, b, label in hits if label != "verb"]
-        assert found["infer_scored_tags_all"][d].tags == ",".join([label for s, label in sorted(scored, key=lambda s: -s[0]) if s >= 3][:2])
-        assert found["taxonomy_scan_all"][d].found == ",".join(o for o in _WORDS if (len(o) > 2 or o == "AI") and re.search(rf"(?<!\w){o.lower()}(?!\w)", low))
+        assert found["infer_scored_tags"][d].tags == ",".join([label for s, label in sorted(scored, key=lambda s: -s[0]) if s >= 3][:2])
+        assert found["taxonomy_scan"][d].found == ",".join(o for o in _WORDS if (len(o) > 2 or o == "AI") and re.search(rf"(?<!\w){o.lower()}(?!\w)", low))
     assert all(len(x) == len(docs) for x in found.values())
 
 
@@ -78,7 +79,7 @@ def test_nearest_of_whole_table_against_brute_force(spark, sf):
         if i % 20 == 0:
             want[i] = [round(s, 5) for s in sorted((float(x) for j, x in zip(ids, m @ v, strict=True) if j != i and x >= 0), reverse=True)[:3]]
     got = {}
-    for r in sorted(QUERIES["vec_cosine_topk_all"](spark, sf).collect(), key=lambda r: (r.vec_id, r.place)):
+    for r in sorted(QUERIES["vec_cosine_topk"](spark, sf).collect(), key=lambda r: (r.vec_id, r.place)):
         assert r.near_id != r.vec_id and r.place == len(got.get(r.vec_id, [])) + 1
         got.setdefault(r.vec_id, []).append(r.similarity)
     assert got.keys() == {i for i in want if want[i]} and all(np.allclose(got[i], want[i], atol=2e-5) for i in got)
@@ -99,7 +100,7 @@ def test_hashed_vectors_of_all_texts_against_python(spark, tmp_path):
             v[r % 768] = v.get(r % 768, 0) + (weight if r < 768 else -weight)
         size = math.sqrt(sum(x * x for x in v.values()))
         want |= {(i, pos): x / size for pos, x in v.items()}
-    got = {(r.item_id, r.pos): r.value for r in QUERIES["hash_embedding_sparse_all"](spark, str(tmp_path)).collect()}
+    got = {(r.item_id, r.pos): r.value for r in QUERIES["hash_embedding_sparse"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
