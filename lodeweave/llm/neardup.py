@@ -7,7 +7,8 @@ by pigeonhole a pair within the radius differs in at most one symbol of some chu
 per symbol with that symbol left out, which enumerates the allowed error, and all pairs within the radius meet in a
 bucket. Every candidate pair is confirmed on the documents' full sets.
 
-Texts with equal words are one class, found by grouping on a 128-bit hash; only classes enter the index. Within a
+Texts with equal words are one class, found by grouping on a 128-bit hash and numbered; only classes enter the index.
+Their texts are fetched by the classes' smallest ids and told apart by the same hash, one text a class. Within a
 bucket pairs are not enumerated at once: first each member is compared to the bucket's smallest id. Confirmed links give components. Only buckets whose members are still
 in different components are looked at again, in cells of bounded size, pair by pair across components, so no link
 between components is lost, while a group of thousands of copies costs one comparison per member. A pair that meets
@@ -15,11 +16,15 @@ in several buckets is looked at in one only, which its signatures tell; members
 radius bring their texts to the cell, and only links that were confirmed there leave it.
 
 Connected components are found by alternating large-star and small-star steps on the links, with a checkpoint per
-step. Nothing that grows with the input reaches the driver but counts.
+step. A step's least neighbours are combined per task, then written, so that the join back to the links meets two tables:
+links are not shuffled while the least neighbours are small, and beyond that Spark splits a hot node's links (AQE).
+Nothing that grows with the input reaches the driver but counts.
 
 Cases: a null text, or one without words, has an empty set, is linked with nothing and is its own component; with
-fewer words than w the whole sequence is the one shingle; rows that share an id are one document; a null id has a
-null component_id and is kept; an empty table gives an empty result; other columns are ignored.
+fewer words than w the whole sequence is the one shingle; rows that share an id are one document: each row counts with
+its own set, whatever any of them is linked with is linked with the id, and all get the same component_id (rows of
+equal words are compared once, however many there are); a null id has a null component_id and is kept; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +45,8 @@ HASHES = 64
 MISS = 1e-6
 #: Members and shingles of a cell side, about; a bucket of more is parted into blocks, and each pair of blocks is a cell.
 CELL, CELL_SHINGLES = 2048, 4_000_000
-#: Ids of texts to confirm that are broadcast at most to pick them from the table; beyond, they are joined.
-MOST_BROADCAST = 4_000_000
+#: Ids of texts to confirm (8 bytes each) that are broadcast at most to pick them from the table; beyond, they are joined.
+MOST_BROADCAST = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,12 +142,17 @@ def _rows(columns: dict[str, tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
+def word_key(words: list[bytes]) -> str | None:
+    """128-bit hash of the words; null without any."""
+    from xxhash import xxh3_128_hexdigest
+
+    return xxh3_128_hexdigest(b" ".join(words)) if words else None
+
+
 def sketch(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, n_shingles, key (hash of the words; null without any), sig (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_hexdigest
-
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -150,7 +160,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     words = split_words(text)
                     found = shingles(words, width)
-                    keys.append(xxh3_128_hexdigest(b" ".join(words)) if words else None)
+                    keys.append(word_key(words))
                     sizes.append(len(found))
                     if len(found):
                         sets.append(found)
@@ -196,12 +206,23 @@ def _near(pairs: DataFrame, classes: DataFrame, r: int) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity. docs: id, text, one row per id; pairs: a cut table."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = cut(ids, "pair_ids")
-    needed = docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id", "left_semi")
-    a, b = (needed.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+def class_texts(ids: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, text: one text for each of these classes. rows: the documents' ids as `doc` and texts."""
+    wanted = cut(ids.distinct().join(classes.select("id", "doc", "key"), "id"), "wanted_classes")
+    docs = wanted.select("doc").distinct()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([word_key(split_words(t)) for t in batch.column(0).to_pylist()], pa.string()), batch.column(0)], ["key", "text"])
+
+    found = rows.join(F.broadcast(docs) if wanted.count() <= MOST_BROADCAST else docs, "doc", "left_semi").select("text").mapInArrow(keyed, "key string, text string")
+    return cut(found.join(wanted.select("id", "key"), "key").groupBy("id").agg(F.min("text").alias("text")), "class_texts")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """The pairs of classes whose full sets reach the similarity. pairs: a cut table."""
+    texts = class_texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), classes, rows)
+    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -229,17 +250,17 @@ def components(links: DataFrame) -> DataFrame:
             near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
         else:
             near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         moved = near.join(least, "u")
         if large:
             new = moved.where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
             new = moved.select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        return new.where(F.col("a") < F.col("b")).distinct()
+        return cut(new.where(F.col("a") < F.col("b")).distinct(), "links")
 
     edges, before = links, None
     while True:
-        edges = cut(star(star(edges, True), False), "links")
+        edges = star(star(edges, True), False)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
@@ -306,11 +327,10 @@ def _open_cells(members: DataFrame, comps: DataFrame, classes: DataFrame, r: int
     return cells.select("bucket", "gap", "i", "j", "items").mapInArrow(run, "bucket long, gap byte, i int, j int, id long, component long, mine int, sig binary")
 
 
-def cell_links(members: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, r: int, width: int, per_cent: int) -> DataFrame:
+def cell_links(members: DataFrame, comps: DataFrame, classes: DataFrame, rows: DataFrame, r: int, width: int, per_cent: int) -> DataFrame:
     """Links (a, b) between different components, enough to join all that any link joins."""
     open_ = cut(_open_cells(members, comps, classes, r), "open_cells")
-    ids = cut(open_.select("id").distinct(), "open_ids")
-    needed = texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    needed = class_texts(open_.select("id"), classes, rows)
     cells = open_.join(needed, "id").groupBy("bucket", "gap", "i", "j").agg(F.collect_list(F.struct("id", "component", "mine", "sig", "text")).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,20 +364,35 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     r = radius(per_cent)
     sketched = cut(sketch(df, id_col, text_col, width), "sketches")
     keyed = sketched.where("key is not null and id is not null")
-    classes = cut(keyed.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
+    classes = keyed.groupBy("key").agg(F.min("id").alias("doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     entered = buckets(classes, r)
     shared = entered.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(entered.join(shared.select("bucket", "hub"), "bucket"), "members")
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    # Texts of the classes' first rows only; ids that several rows share take the least text.
-    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    links = cut(confirmed(cut(_near(stars, classes, r), "near_stars"), texts, width, per_cent), "star_links")
-    comps = components(links)
-    more = cut(cell_links(members, comps, classes, texts, r, width, per_cent), "cell_links")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(f"`{text_col}`").alias("text"))
+    links = confirmed(cut(_near(stars, classes, r), "near_stars"), classes, rows, width, per_cent)
+    several = cut(sketched.where("id is not null").groupBy("id").agg(F.min(F.coalesce("key", F.lit(""))).alias("lo"), F.max(F.coalesce("key", F.lit(""))).alias("hi")).where("lo <> hi").select("id"), "ids_of_several_texts")
+    has_several = bool(several.limit(1).count())
+    if has_several:  # the classes of an id's rows are linked
+        own = cut(keyed.select("id", "key").join(several, "id").select(F.col("id").alias("doc"), "key").distinct().join(classes.select("key", "id"), "key"), "rows_of_several")
+        least = cut(own.groupBy("doc").agg(F.min("id").alias("a")), "least_of_several")
+        links = links.unionByName(own.join(least, "doc").where("a <> id").select("a", F.col("id").alias("b")))
+    comps = components(cut(links.distinct(), "star_links"))
+    more = cut(cell_links(members, comps, classes, rows, r, width, per_cent), "cell_links")
     if more.limit(1).count():
         comps = components(comps.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
-    of_class = classes.select("key", F.col("id").alias("class")).join(comps.select(F.col("id").alias("class"), "component"), "class", "left").select("key", F.coalesce("component", "class").alias("component"))
-    out = sketched.join(of_class, "key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id")).alias("component_id"))
+    # classes in components, roots included, with the component's smallest document
+    nodes = comps.unionByName(comps.select(F.col("component").alias("id"), "component").distinct())
+    nodes = cut(nodes.join(classes.select("id", "doc"), "id"), "nodes")
+    roots = cut(nodes.groupBy("component").agg(F.min("doc").alias("root")), "roots")
+    of_class = classes.select("key", "id", "doc").join(nodes.select("id", "component").join(roots, "component").select("id", "root"), "id", "left").select("key", F.coalesce("root", "doc").alias("component"))
+    out = sketched.join(of_class, "key", "left").select("id", "n_shingles", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id")).alias("component"))
+    if has_several:  # rows without words go with their id's other rows
+        out = cut(out, "rows_in_components")
+        whole = cut(out.join(several, "id").groupBy("id").agg(F.min("component").alias("whole")), "components_of_several")
+        out = out.join(whole, "id", "left").select("id", "n_shingles", F.coalesce("whole", "component").alias("component"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

@@ -420,6 +420,38 @@ def test_neardup_links_a_group_of_uneven_copies(spark, monkeypatch, cell):
         assert got == brute_links(docs, width, per_cent)
 
 
+@pytest.mark.parametrize("most", [neardup.MOST_BROADCAST, 0])
+def test_neardup_rows_that_share_an_id(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MOST_BROADCAST", most)
+    groups = [list(near_group(seed, 2, 0).values())[0] for seed in range(5)]
+    near = [g.replace(g.split()[40], "other") for g in groups]
+    # 1 has two texts, the near copies of which are 2 and 3; 4 is empty in one row; 6 and 7 meet through 7's second row
+    rows = [(1, groups[0]), (1, groups[1]), (2, near[0]), (3, near[1]), (4, ""), (4, groups[2]), (0, near[2]), (6, groups[3]), (7, groups[4]), (7, near[3]), (7, None), (9, "alone in here")]
+    rows += [(5, groups[2])] * 40 + [(None, groups[0])]
+    random.Random(1).shuffle(rows)
+    got = neardup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 0: 0, 6: 6, 7: 6, 9: 9, None: None}
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+    assert all(r.kept == (r.doc_id is None or want[r.doc_id] == r.doc_id) for r in got)
+
+
+def test_neardup_copies_of_an_id_are_compared_once(spark, monkeypatch):
+    base = list(near_group(3, 2, 0).values())[0]
+    seen = []
+    whole = neardup.class_texts
+    monkeypatch.setattr(neardup, "class_texts", lambda *a: seen.append(whole(*a)) or seen[-1])
+    rows = [(1, base)] * 400 + [(2, base + " more")] * 400
+    got = neardup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {1} and len(got) == 800
+    assert max(t.count() for t in seen) == 2
+
+
+def test_components_of_a_long_chain_and_a_wide_star(spark):
+    links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 300)] + [(150, 500), (499, 500)]
+    got = {r.id: r.component for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {100 + i: 100 for i in range(1, 300)} | {499: 100, 500: 100}
+
+
 def test_neardup_signature_join_is_complete():
     rnd = np.random.RandomState(4)
     r = neardup.radius(85)
