@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -363,7 +364,7 @@ def test_pii_random_strings(spark):
 def test_pii_trees_and_redaction(spark):
     cells = [((0, a, b, 0, 0, 0, 0), 100.0, 95.0 if a > 3 else 2.0) for a in range(8) for b in range(5)]
     model = pii.Trees(cells)
-    assert model.score((0, 7, 0, 0, 0, 0, 0)) > 1 > -1 > model.score((0, 1, 0, 0, 0, 0, 0)) and model.threshold < math.inf
+    assert model.score((0, 7, 0, 0, 0, 0, 0)) > 1 > -1 > model.score((0, 1, 0, 0, 0, 0, 0))
     row = spark.createDataFrame([(0, 7, 2, 0, 0, 0, 0)], ", ".join(f"{f} int" for f in pii._FEATURES))
     sql = row.select(F.struct(*pii._FEATURES).alias("c")).select(F.expr(model.sql("c")).alias("s")).first().s
     assert sql == pytest.approx(model.score((0, 7, 2, 0, 0, 0, 0)))
@@ -372,8 +373,81 @@ def test_pii_trees_and_redaction(spark):
     assert got == {1: ("é mail [EMAIL], [PHONE] end", 27), 2: (None, None), 3: ("clean", 5)}
 
 
+def test_running_values(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    rnd = random.Random(3)
+    rows = [(i, [rnd.randint(0, 99) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 3, 4, 9, 10, 28, 200])]
+    d = spark.createDataFrame(rows, "i int, v array<bigint>")
+    got = {r.i: r for r in d.select("i", pii.running(F.col("v"), 0, lambda a, b: a + b).alias("s"), pii.running(F.col("v"), 50, F.greatest).alias("g")).collect()}
+    for i, v in rows:
+        assert got[i].s == [sum(v[:k]) for k in range(len(v))] and got[i].g == [max([50, *v[:k]]) for k in range(len(v))]
+
+
+def _private(rnd, i):
+    local = f"{rnd.randint(200, 999)}-{rnd.randint(200, 999)}-{rnd.randint(1000, 9999)}"
+    listed = f"{rnd.randint(200, 999)} {rnd.randint(200, 999)} {rnd.randint(1000, 9999)}"
+    return [f"please call {local} today", f"see {local} again" if i % 9 == 0 else "nothing", f"x{listed}y table {listed}x", f"my ssn {rnd.randint(100, 665)}-{rnd.randint(10, 99)}-1234."][i % 4]
+
+
+def test_pii_thresholds_per_kind_are_calibrated_on_documents_held_out(spark):
+    rnd = random.Random(6)
+    rows = [(i, _private(rnd, i)) for i in range(1200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(d)
+    kinds = {pii.KINDS[k] for k in model.thresholds}
+    assert kinds == {"phone_local", "ssn"}
+    spans = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.find(d, model).select("row.doc_id", "spans").collect()}
+    texts = dict(rows)
+    for i, t in texts.items():
+        want = re.search(r"(?<=call )[0-9-]+|(?<=see )[0-9-]+|(?<=ssn )[0-9-]+", t)  # also where no hint stands
+        assert [(s, e) for s, e, _ in spans[i]] == ([want.span()] if want else []), t
+    # candidates without any hint word tell nothing, so nothing is added
+    assert not pii.fit(spark.createDataFrame([(i, f"see {rnd.randint(200, 999)}-555-1234") for i in range(300)], "doc_id long, text string")).thresholds
+
+
+def test_pii_added_spans_against_brute_force(spark, texts):
+    rnd = random.Random(12)
+    parts = ["+1 (212) 555-1234", "212-555-1234", "123-45-6789", "a@b.org", "1.2.3.4", "4111 1111 1111 1111", "me (at) host (dot) org", " ", "9", "-", "é"]
+    cases = [" ".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12))) for _ in range(300)]
+    cases += ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12))) for _ in range(300)]
+    model = pii.Trees([])
+    model.thresholds = {k: -1e9 for k in range(pii.BASE, len(pii.GENERATORS))}
+    d = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found = pii.find(d, model).select("row.doc_id", "spans", pii.redact().alias("clean"), secrets.joined("base").alias("b")).collect()
+    for r in found:
+        t = cases[r.doc_id]
+        assert r.b == brute_pii(t)
+        base = [(int(s), int(e)) for _, s, e in (x.split(":") for x in r.b.split(",") if x)]
+        want = [(int(s), list(pii.KINDS).index(k), int(e)) for k, s, e in (x.split(":") for x in r.b.split(",") if x)]
+        for k, pattern, _ in pii.GENERATORS[pii.BASE :]:
+            for m in re.finditer(pattern.replace("++", "+"), t):
+                if not any(s < m.end() and m.start() < e for s, e in base):
+                    want.append((m.start(), list(pii.KINDS).index(k), m.end()))
+        assert [(s.start, s.ord, s.end) for s in r.spans] == sorted(want), t
+        out, at = "", 0
+        for s, k, e in sorted(want):
+            if s >= at:
+                out += t[at:s] + f"[{pii.KINDS[k].upper()}]"
+            at = max(at, e)
+        assert r.clean == out + t[at:]
+
+
+def test_pii_of_a_very_long_text_takes_linear_time(spark):
+    took = []
+    for n in (20_000, 200_000):
+        text = "".join(f"1.2.{i % 256}.4 x@y{i}.org " for i in range(n))
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = pii.find(d, pii.Trees([])).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last"), pii.redact().alias("clean")).first()
+        took.append(time.perf_counter() - began)
+        assert r.n == 2 * n and r.last.end == len(text) - 1 and r.clean == "[IP] [EMAIL] " * n
+    assert took[1] < 30 * max(took[0], 1)
+
+
 def test_pii_edges(odd, none):
     assert pii.scrub(odd).columns == odd.columns and pii.scrub(odd).count() == 10 and pii.scrub(none).count() == 0
+    clash = odd.withColumn("spans", F.lit(1)).withColumn("base", F.lit(2)).withColumn("cands", F.lit(3)).withColumn("clean", F.lit(4))
+    assert {tuple(r) for r in pii.scrub(clash).select("spans", "base", "cands", "clean").collect()} == {(1, 2, 3, 4)}
 
 
 # 6 near-duplicates
