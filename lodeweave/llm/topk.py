@@ -1,22 +1,24 @@
 """Exact top-k inner-product search over an impact-ordered, score-at-a-time index.
 
-Vectors are rounded down to whole numbers, floor(scale * x). A block of them is indexed as posting segments: one
-segment holds, per dimension, the components of one quantised impact (the power-of-two class of their size), and
-segments are worked through from the highest impact down. After each segment a block knows, for every vector, the
-part of the score seen so far and the length of what is still unseen, so query and vector can add at most the
-product of the unseen length and the query's length (Cauchy-Schwarz). Before the first look at that bound, the k
-vectors with the best partial scores are scored exactly; the k-th of them is a score that members must reach.
-A block stops when, for each query, the vectors whose bound still reaches it are few (or all segments are read);
-those possible members are then scored exactly, as whole numbers, and only exact scores leave the block.
-
-Vectors are dealt to blocks of about `block` rows by hash, queries to groups of `group`, and every group meets every
-block once, in its own task; a cell's size is bounded whatever the table's size. The best k of each cell are merged
-per query, pre-ranked before the shuffle. Nothing is collected, nothing is broadcast.
+Vectors are rounded down to whole numbers, floor(scale * x). A block of them is indexed as postings (row, component),
+one list per dimension and impact level; a component's impact is its size, quantised to levels that fall by the square
+root of two. Queries work through the levels from the highest impact down, all lists of a level adding the query's
+component times theirs to the scores so far; components of lower levels are not touched. After a level, a row's unseen
+rest adds to its score at most the lesser of the unseen length times the query's length (Cauchy-Schwarz) and the
+level's lower limit times the query's sum of sizes. The k rows with the best scores so far are scored exactly: the k-th
+of them is a score that members must reach. As soon as few rows can still reach it - `few` times k, or all that is left
+when every level was read - a query stops, on that proof and on its own; those possible members are scored exactly, as
+whole numbers, and only exact scores leave the block.
+
+Each vector goes to one block and is shuffled once; each query goes to every block. A block holds about COMPONENTS
+components, so blocks are as few as memory allows; their queries stream past `group` at a time, after the block's
+vectors, in one sorted pass. The best k of each block are merged per query, pre-ranked before the shuffle. Nothing is
+collected but two counts, nothing is broadcast.
 
 Cases: null vectors, null or non-finite components, and null ids take no part; vectors of different lengths never
 meet; rows that repeat an id count once, with the smallest of their vectors; a query never finds its own id; ties go
-to the smaller id; fewer candidates than k give fewer rows; an empty table gives none. Components must stay below
-2**31 after scaling and scores below 2**63 (a larger component raises).
+to the smaller id; fewer candidates than k give fewer rows; an empty table gives none. Components or scores that int64
+does not hold are worked out as Python integers; a score beyond a long cannot be returned and raises.
 """
 
 from __future__ import annotations
@@ -28,106 +30,163 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block and queries in a group, about.
-BLOCK, GROUP = 16_384, 512
-#: A block stops reading segments once no more than this share of its vectors can be members for a query on average.
-FEW = 0.002
-
-
-def segments(vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Impact-ordered segments of whole-number vectors: (components of that impact, elsewhere 0; unseen length after it)."""
-    size = np.abs(vectors)
-    top = int(size.max(initial=0))
-    found = []
-    rest = np.einsum("ij,ij->i", vectors.astype(np.float64), vectors.astype(np.float64))
-    low = 1 << max(0, top.bit_length() - 2)  # the two highest classes go together: few components reach them
-    high = top + 1
-    while high > 1:
-        part = np.where((size >= low) & (size < high), vectors, 0).astype(np.float64)
-        rest = np.maximum(rest - np.einsum("ij,ij->i", part, part), 0.0)
-        found.append((part, np.sqrt(rest)))
-        high, low = low, low >> 1 if low > 8 else 1
-    return found
-
-
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, few: float = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the query, id, score) of each query's best k of this block, unordered; vectors in ascending order of id."""
-    n = len(ids)
-    bound = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1])
-    real = np.float32 if bound < 2**24 else np.float64  # sums of whole numbers are exact, or the slack below covers them
-    q = queries.astype(real)
-    slack = 1.0 if real is np.float32 else 1.0 + float(bound) * 1e-9
-    length = np.sqrt(np.einsum("ij,ij->i", queries.astype(np.float64), queries.astype(np.float64)))
-    own = np.searchsorted(ids, query_ids)
-    own_rows = np.flatnonzero((own < n) & (ids[np.minimum(own, n - 1)] == query_ids)) if n else np.zeros(0, int)
-    partial = np.zeros((len(q), n), real)
-    partial[own_rows, own[own_rows]] = -np.inf
-    parts = segments(vectors)
-    floor = np.full(len(q), -np.inf)
-    left = np.zeros(n)
-    exact = lambda rows, cols: np.einsum("ij,ij->i", queries[rows].astype(np.int64), vectors[cols].astype(np.int64))
-    take = min(k, max(0, n - 1))
-    for i, (part, left) in enumerate(parts):
-        partial += q @ part.T.astype(real)
-        if i == 0 and len(parts) > 1:
-            continue
-        if take and n > k:  # exact scores of the best so far: a proven floor for the k-th score
-            best = np.argpartition(-partial, take - 1, axis=1)[:, :take]
-            rows = np.repeat(np.arange(len(q)), take)
-            scores = exact(rows, best.ravel()).reshape(len(q), take).astype(np.float64)
-            scores[np.isinf(partial[rows, best.ravel()]).reshape(len(q), take)] = -np.inf
-            if take == k:
-                floor = np.maximum(floor, scores.min(axis=1))
-        possible = partial + (length[:, None] * left[None, :]).astype(real) * real(1.000001) + real(slack) >= floor[:, None]
-        if possible.mean() <= few:
-            break
-    else:
-        if not parts:  # all vectors are zero
-            possible = np.isfinite(partial)
-    possible[own_rows, own[own_rows]] = False
-    rows, cols = np.nonzero(possible)
-    scores = exact(rows, cols)
-    order = np.lexsort((ids[cols], -scores, rows))
-    rows, cols, scores = rows[order], cols[order], scores[order]
-    first = np.searchsorted(rows, rows, side="left")
-    kept = np.arange(len(rows)) - first < k
-    return rows[kept], ids[cols[kept]], scores[kept]
-
-
-def _whole(vectors: pa.Table, scale: float) -> np.ndarray:
-    column = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    flat = np.asarray(column.flatten(), np.float64)
-    whole = np.floor(flat * scale)
-    if len(whole) and np.abs(whole).max() >= 2**31:
-        raise ValueError("a component is 2**31 or larger after scaling")
-    return whole.astype(np.int64).reshape(len(column), -1)
+from .common import cut
+
+#: Components of a block, about; rows that are worth a block of their own if cores are idle; queries that stream past together.
+COMPONENTS, LEAST_ROWS, GROUP = 1 << 23, 4096, 256
+#: A query stops once at most so many times k rows can still be members.
+FEW = 8
 
 
-def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+def whole_numbers(flat: np.ndarray, width: int, scale: float) -> np.ndarray:
+    """Rows of floor(scale * x); Python integers where int64 does not hold them."""
+    whole = np.floor(flat * scale)
+    if len(whole) and np.abs(whole).max() >= 2**62:
+        whole = np.array([int(x) for x in whole.tolist()], object)
+    else:
+        whole = whole.astype(np.int64)
+    return whole.reshape(-1, width)
+
+
+class Block:
+    """The impact-ordered index of some vectors, in ascending order of id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.exact = ids, vectors
+        values = vectors.astype(np.float64)
+        self.n, self.width = values.shape
+        size = np.abs(values)
+        self.top = float(size.max(initial=0))
+        #: Lower limits of the levels, the last one takes all that is not 0.
+        self.limits = [self.top]
+        while self.limits[-1] > 1:
+            self.limits.append(max(1.0, self.limits[-1] / 2**0.5))
+        self.limits = self.limits[1:] if len(self.limits) > 1 else self.limits
+        rows, dims = np.nonzero(size)
+        values = values[rows, dims]
+        level = np.searchsorted(-np.array(self.limits), -np.abs(values), side="left") if self.top else np.zeros(0, np.int64)
+        level = np.minimum(level, len(self.limits) - 1)
+        key = level * self.width + dims
+        order = np.argsort(key, kind="stable")
+        self.rows, self.values = rows[order].astype(np.int32), values[order]
+        self.starts = np.searchsorted(key[order], np.arange(len(self.limits) * self.width + 1))
+        rest = np.bincount(rows, values * values, minlength=self.n)
+        #: Length of what is unseen of each row after each level.
+        self.left = []
+        for i in range(len(self.limits)):
+            a, z = self.starts[i * self.width], self.starts[(i + 1) * self.width]
+            rest = np.maximum(rest - np.bincount(self.rows[a:z], self.values[a:z] ** 2, minlength=self.n), 0)
+            self.left.append(np.sqrt(rest))
+        self.left[-1] = np.zeros(self.n)
+        #: Postings that queries have read, and what full scans would have read.
+        self.read = self.scanned = 0
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the query, id, score) of each query's best k of this block, best first."""
+        q = queries.astype(np.float64)
+        most = self.top * np.abs(q).max(initial=0) * max(1, self.width)
+        real, slack = (np.float32, 1.0) if most < 2**23 else (np.float64, 1.0 + most * 1e-9)
+        exact_q, exact_v = (queries, self.exact) if most < 2**62 else (queries.astype(object), self.exact.astype(object))
+        score = lambda rows, cols: (exact_q[rows] * exact_v[cols]).sum(axis=1)
+        length, total = np.sqrt((q * q).sum(axis=1)), np.abs(q).sum(axis=1)
+        values = self.values.astype(real)
+        partial = np.zeros((self.n, len(q)), real)
+        own = np.searchsorted(self.ids, query_ids)
+        asks = np.flatnonzero((own < self.n) & (self.ids[np.minimum(own, self.n - 1)] == query_ids))
+        partial[own[asks], asks] = -np.inf
+        live, floor, found = np.arange(len(q)), np.full(len(q), -np.inf), []
+        self.scanned += len(self.rows) * len(q)
+        for i, limit in enumerate(self.limits):
+            columns = np.ascontiguousarray(q[live].T.astype(real))
+            for d in range(self.width):
+                a, z = self.starts[i * self.width + d], self.starts[i * self.width + d + 1]
+                if z > a:
+                    partial[self.rows[a:z]] += values[a:z, None] * columns[d]
+            self.read += int(self.starts[(i + 1) * self.width] - self.starts[i * self.width]) * len(live)
+            last = i + 1 == len(self.limits)
+            if self.n > k:
+                best = np.argpartition(-partial, k - 1, axis=0)[:k]
+                scores = score(live[np.tile(np.arange(len(live)), k)], best.ravel()).astype(np.float64).reshape(k, len(live))
+                scores[np.isneginf(np.take_along_axis(partial, best, axis=0))] = -np.inf
+                floor[live] = np.maximum(floor[live], scores.min(axis=0))
+            bound = np.minimum(self.left[i][:, None] * length[live], limit * total[live] if not last else 0.0) + slack
+            possible = (partial + bound.astype(real) * real(1.000001) >= floor[live] - slack) & ~np.isneginf(partial)
+            done = possible.sum(axis=0) <= few * k
+            if last:
+                done[:] = True
+            if done.any():
+                cols, rows = np.nonzero(possible[:, done])
+                found.append((live[done][rows], cols))
+                live, partial = live[~done], partial[:, ~done]
+            if not len(live):
+                break
+        rows, cols = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        scores = score(rows, cols)
+        order = np.argsort(self.ids[cols], kind="stable")
+        order = order[np.argsort(-scores[order], kind="stable")]
+        order = order[np.argsort(rows[order], kind="stable")]
+        rows, cols, scores = rows[order], cols[order], scores[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        return rows[kept], self.ids[cols[kept]], scores[kept]
+
+
+def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block: int | None = None, group: int = GROUP) -> DataFrame:
     """query_id, rank (from 1), the id of the vector under id_col, score: each query row's best k among all other rows.
 
-    is_query: a condition on id_col.
+    is_query: a condition on id_col. block: rows of a block, about.
     """
-    vector = F.col(vector_col)
+    spark = df.sparkSession
+    vector = F.col(f"`{vector_col}`")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), is_query.alias("asks"), vector.cast("array<double>").alias("v"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), is_query.alias("asks"), vector.cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)))
     rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")).withColumn("dim", F.size("v")).where("dim > 0")
-    counts = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    blocks, groups = max(1, -(-counts[0] // block)), max(1, -(-counts[1] // group))
-    vectors = rows.select("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "id", "v")
-    queries = rows.where("asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("g"), "id", "v")
-
-    def cell(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not (asked.num_rows and held.num_rows):
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        ids = held.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        q, v = _whole(asked.column("v"), scale), _whole(held.column("v"), scale)[order]
-        query_ids = asked.column("id").to_numpy()
-        rows, found, scores = best_of_block(q, query_ids, v, ids[order], k)
-        return pa.table({"query_id": query_ids[rows], "id": found, "score": scores})
-
-    found = queries.groupBy("dim", "b", "g").cogroup(vectors.groupBy("dim", "b", "g")).applyInArrow(cell, "query_id long, id long, score long")
+    rows = cut(rows, "topk_vectors")
+    n, width = rows.agg(F.count(F.lit(1)), F.max("dim")).first()
+    if block is None:
+        idle = -(-n // LEAST_ROWS)
+        block = max(1, -(-n // max(1, -(-n // max(1, COMPONENTS // (width or 1))), min(idle, spark.sparkContext.defaultParallelism))))
+    blocks = max(1, -(-n // block))
+    placed = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    vectors = rows.select("dim", placed.alias("b"), F.lit(0).alias("kind"), "id", "v")
+    queries = rows.where("asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("kind"), "id", "v")
+    dealt = vectors.unionByName(queries).repartition(blocks, "dim", "b").sortWithinPartitions("dim", "b", "kind", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, index, asked = None, [], None, []
+
+        def part(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            return batch.column(3).to_numpy(), whole_numbers(np.asarray(batch.column(4).flatten(), np.float64), cell[0], scale)
+
+        def joined(parts: list) -> tuple[np.ndarray, np.ndarray]:
+            ids, numbers = zip(*parts, strict=True)
+            return np.concatenate(ids), np.concatenate(numbers)
+
+        def ask() -> Iterator[pa.RecordBatch]:
+            nonlocal index, held, asked
+            if asked and held:
+                index, held = Block(*joined(held)), []
+            if asked and index is not None:
+                ids, numbers = joined(asked)
+                for at in range(0, len(ids), group):
+                    rows, found, scores = index.search(numbers[at : at + group], ids[at : at + group], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + group][rows]), pa.array(found), pa.array(scores.tolist(), pa.int64())], ["query_id", "id", "score"])
+            asked = []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))).tolist()
+            for a, z in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if cell != tuple(keys[a, :2].tolist()):
+                    yield from ask()
+                    cell, held, index = tuple(keys[a, :2].tolist()), [], None
+                (asked if keys[a, 2] else held).append(part(batch.slice(a, z - a)))
+                if sum(len(ids) for ids, _ in asked) >= group:
+                    yield from ask()
+        yield from ask()
+
+    found = dealt.mapInArrow(run, "query_id long, id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

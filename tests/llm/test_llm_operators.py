@@ -80,18 +80,37 @@ def test_topk_against_brute_force(spark, sf):
         assert got == brute_topk(rows, 5)
 
 
-@pytest.mark.parametrize("spread, n", [(1, 40), (3, 300), (300, 300), (2**20, 60)])
+@pytest.mark.parametrize("spread, n", [(1, 40), (3, 300), (300, 300), (2**20, 60), (2**40, 30), (0, 9), (5, 3)])
 def test_topk_block_with_ties_and_large_numbers(spread, n):
     rnd = np.random.RandomState(3)
     v = rnd.randint(-spread, spread + 1, (n, 8)).astype(np.int64)
     ids = np.arange(n)
-    rows, found, scores = topk.best_of_block(v[::7], ids[::7], v, ids, 5)
+    rows, found, scores = topk.Block(ids, v).search(v[::7], ids[::7], 5)
     for at, q in enumerate(range(0, n, 7)):
-        want = sorted((-int(v[q] @ v[i]), i) for i in range(n) if i != q)[:5]
+        want = sorted((-sum(a * b for a, b in zip(v[q].tolist(), v[i].tolist(), strict=True)), i) for i in range(n) if i != q)[:5]
         assert [(-s, i) for s, i in zip(scores[rows == at].tolist(), found[rows == at].tolist(), strict=True)] == want
 
 
+def test_topk_reads_fewer_postings_than_a_scan(spark, sf):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    v = np.array([[math.floor(256 * float(x)) for x in r.embedding] for r in rows])
+    ids = np.array([r.vec_id for r in rows])
+    index = topk.Block(ids, v)
+    index.search(v[::10], ids[::10], 5)
+    assert 0 < index.read < 0.9 * index.scanned
+    peaked = np.where(np.random.RandomState(1).rand(2000, 64) < 0.05, v[:1].max(), 1) * np.sign(np.random.RandomState(2).randn(2000, 64)).astype(np.int64)
+    index = topk.Block(np.arange(2000), peaked)
+    index.search(peaked[:50], np.arange(50), 5)
+    assert index.read < 0.5 * index.scanned
+
+
 def test_topk_edges(spark):
+    huge = spark.createDataFrame([(0, [1e9, -1.0]), (1, [3e9, 1.0]), (2, [-2.0, 1e9])], "vec_id long, embedding array<double>")
+    want = sorted(((256 * 10**9 * 256 * y[0] - 256 * 256 * y[1]), i) for i, y in ((1, (3e9, 1.0)), (2, (-2.0, 1e9))))
+    with pytest.raises(Exception, match="Overflow|too big|too large|convert"):
+        topk.search(huge, F.col("vec_id") % 50 == 0).collect()
+    small = topk.search(huge.where("vec_id <> 1"), F.col("vec_id") % 50 == 0).collect()
+    assert [(r.vec_id, r.score) for r in small] == [(2, int(want[0][0]))]
     rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (None, [1.0, 1.0]), (4, [1.0, 1.0]), (5, [0.0, 0.0]), (50, [1.0]), (6, [])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(map(tuple, topk.search(d, F.col("vec_id") % 50 == 0).collect()))
