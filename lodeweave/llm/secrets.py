@@ -4,26 +4,35 @@ Patterns find three kinds, each leftmost and non-overlapping: `assign` (a key wo
 or more), `access` (AKIA and capitals or digits, 18 or more in all) and `hex` (16 or more hex digits).
 
 The battery looks at every other run of 16 or more characters of [A-Za-z0-9+/_=-] that holds a letter, and at its parts:
-the run is parted at '=', those parts at '/', and each of all these is also taken without a leading key name or path of
-plain words. Every part of 16 or more characters is a candidate of its own and counts as a test of its own. Of accepted
-candidates that lie in each other the longest is reported. The smallest of hex, base32, base36 and base64 that fits is its inferred encoding. Three tests ask whether it is
-evenly drawn from that alphabet: chi-squared on symbol counts, Wald-Wolfowitz runs above and below the alphabet's
-middle, and lag-one serial correlation. A run that fails either order test is out. For the others p is the chance
-that written text of that length, with the uneven symbol counts of words and dates, would come as close to an even
-count by accident; it falls with length. Benjamini-Hochberg keeps the expected share of false finds under `fdr`
+the run is parted at '=', those parts at '/', and at the characters of either base64 alphabet that the other lacks; each
+of all these is also taken without a leading key name or path of plain words. Every part of 16 or more characters is a
+candidate of its own and counts as a test of its own. Of accepted candidates that lie in each other the longest is
+reported. The smallest of hex, base32, base36 and base64 that fits is its inferred encoding.
+
+Three statistics are taken of a candidate: chi-squared of the symbol counts against an even alphabet, runs above and below
+the alphabet's middle (Wald-Wolfowitz), and lag-one serial correlation. The null hypothesis is written text, as this
+table writes it: pairs of neighbouring characters are counted over all texts, runs aside, together with a short fixed
+text for tables without prose, and give each alphabet's symbol shares, share of changes of side and serial correlation,
+hence mean and spread of each statistic for text of any length. A test's p is the chance that text of that length would
+come as near to what even random draws are expected to give. The three p values are combined by weighted Stouffer scores,
+so order that no random draw would show counts against a candidate as much as uneven counts do.
+Benjamini-Hochberg keeps the expected share of false finds under `fdr`
 within each class of encoding and length, counted over the whole table: p values are binned, the bins (a fixed
 number) summed, and each class's threshold read off.
 
-Texts are read once; what leaves the pass is spans and p values. Cases: a null or empty text has no spans; ids may
-be null or repeated, each row is scanned alone; an empty table gives an empty result; other columns are kept.
+Texts are read twice, for pairs (128 x 128 numbers reach the driver) and for spans and p values. Columns: find() keeps
+df's columns, text aside, in the struct `row`, so no name clashes. Cases: a null or empty text has no spans; ids may
+be null or repeated, each row is scanned alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,72 +49,128 @@ LEAST_RUN = 16
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: What stands between two =, with closing = where the run ends; between two /; a leading key name or path.
 BETWEEN_EQUALS, BETWEEN_SLASHES = re.compile(r"[^=]+(?:=*\Z)?"), re.compile(r"[^/]+")
+#: Stretches of one base64 alphabet, parted at the other's own characters.
+ONE_ALPHABET = re.compile(r"[^_-]+"), re.compile(r"[^+/]+")
 KEY_NAME = re.compile(r"[/_-]*(?:[A-Za-z]+[/_-]+|v[0-9]+/)+|[/_-]+")
 KINDS = ("assign", "access", "hex", "random")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Alphabets from the smallest, with the excess of chi-squared per character that written text shows in them.
+#: Alphabets from the smallest.
 ENCODINGS = (
-    ("hex", _DIGITS + "abcdef", 0.92),
-    ("HEX", _DIGITS + "ABCDEF", 0.92),
-    ("base32", _UPPER + "234567", 1.08),
-    ("base36", _DIGITS + _LOWER, 1.34),
-    ("BASE36", _DIGITS + _UPPER, 1.34),
-    ("base64", _UPPER + _LOWER + _DIGITS + "+/", 3.16),
-    ("base64url", _UPPER + _LOWER + _DIGITS + "-_", 3.16),
+    ("hex", _DIGITS + "abcdef"),
+    ("HEX", _DIGITS + "ABCDEF"),
+    ("base32", _UPPER + "234567"),
+    ("base36", _DIGITS + _LOWER),
+    ("BASE36", _DIGITS + _UPPER),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
 )
-_ALPHABETS = [(name, {c: i for i, c in enumerate(letters)}, frozenset(letters), excess) for name, letters, excess in ENCODINGS]
-#: Expected share of false finds; least p of the order tests; p-value bins per power of ten, and powers.
-FDR, LEAST_ORDER_P, BINS, POWERS = 0.05, 0.001, 20, 12
-
-
-def infer(run: str) -> tuple[str, dict[str, int], float] | None:
+_ALPHABETS = [(name, {c: i for i, c in enumerate(letters)}, frozenset(letters)) for name, letters in ENCODINGS]
+#: Expected share of false finds; p-value bins per power of ten, and powers.
+FDR, BINS, POWERS = 0.05, 20, 12
+#: Weights of the three tests' scores; variance of their sum for text, with the two order tests half correlated; largest score.
+WEIGHTS, SUM_VARIANCE, MOST_SCORE = (2.0, 1.0, 1.0), 7.0, 7.5
+#: Written text that stands in where a table has none, counted as so many pairs.
+PRIOR_TEXT = "The quick report of 2024-05-17 lists version 3.10.2 of Some_Module in /usr/local/share/readme-first and https/www/index/page/12; THE HEADER OF ALL PARTS IS GIVEN IN CAPITALS, A BEAD FACED A CAFE, and the rest of the words are as plain as those in any letter that people have written to each other since 1984."
+PRIOR_PAIRS = 2000.0
+
+
+def pairs_in(text: str) -> np.ndarray:
+    """Counts of neighbouring characters, 128 x 128; all beyond ASCII count as the character 0."""
+    codes = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    codes = np.where(codes < 128, codes, 0).astype(np.int32)
+    return np.bincount(codes[:-1] * 128 + codes[1:], minlength=1 << 14)
+
+
+class Null:
+    """What written text looks like in each alphabet, from counts of pairs."""
+
+    def __init__(self, pairs: np.ndarray):
+        prior = pairs_in(PRIOR_TEXT).astype(float)
+        table = (pairs + prior * (PRIOR_PAIRS / prior.sum())).reshape(128, 128)
+        self.shapes: dict[str, tuple[float, float, float, float]] = {}
+        for name, letters in ENCODINGS:
+            codes = [ord(c) for c in letters]
+            own = table[np.ix_(codes, codes)] + 1e-3
+            own /= own.sum()
+            k, share = len(letters), own.sum(axis=1)
+            high = np.arange(k) >= k // 2
+            place = np.arange(k) - share @ np.arange(k)
+            changes = own[np.ix_(high, ~high)].sum() + own[np.ix_(~high, high)].sum()
+            second, third = (share**2).sum(), (share**3).sum()
+            serial = place @ own @ place / (share @ place**2)
+            self.shapes[name] = (k * second - 1, max(0.0, k * k * (third - second**2)), float(changes), float(serial))
+
+
+def infer(run: str) -> tuple[str, dict[str, int]] | None:
     """The smallest encoding whose alphabet holds all characters (but closing =)."""
     found = set(run.rstrip("="))
-    for name, places, letters, excess in _ALPHABETS:
+    for name, places, letters in _ALPHABETS:
         if found <= letters:
-            return name, places, excess
+            return name, places
     return None
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def _below(z: float) -> float:
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def _normal(mean: float, sd: float) -> Callable[[float], float]:
+    return lambda x: _below((x - mean) / sd)
+
+
+def _counts_of_text(n: int, k: int, excess: float, tail: float) -> Callable[[float], float]:
+    """Distribution of chi-squared for text: a gamma distribution from the least possible value on (Wilson-Hilferty)."""
+    each, more = divmod(n, k)
+    least = k / n * (more * (each + 1) ** 2 + (k - more) * each**2) - n
+    mean = max(1e-9, k - 1 + (n - 1) * excess - least)
+    spread = (2 * (k - 1) + 4 * n * tail) / (9 * mean**2)
+    return lambda x: _below((max(0.0, (x - least) / mean) ** (1 / 3) - 1 + spread) / math.sqrt(spread))
+
+
+def _near(found: float, random_mean: float, of_text: Callable[[float], float], step: float) -> float:
+    """Score (normal quantile of 1 - p) for the chance p that text comes as near to the random mean as what was found.
+    step: what the statistic moves by at least, half of which is allowed for."""
+    off = abs(found - random_mean) + step / 2
+    p = min(max(of_text(random_mean + off) - of_text(random_mean - off), 1e-300), 1 - 1e-16)
+    return max(-MOST_SCORE, min(MOST_SCORE, -NormalDist().inv_cdf(p)))
+
+
+def statistics(x: list[int], k: int) -> tuple[float, int, float]:
+    """chi-squared against even counts, runs to either side of the middle, lag-one correlation (1 for a single symbol)."""
+    n, counts = len(x), {}
+    for v in x:
+        counts[v] = counts.get(v, 0) + 1
+    chi = k / n * sum(c * c for c in counts.values()) - n
+    high = [v >= k // 2 for v in x]
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / spread if spread else 1.0
+    return chi, 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), serial
 
 
-def battery(run: str) -> tuple[str, float] | None:
-    """(class of encoding and length, p of being text); None if no encoding fits or an order test fails."""
+def battery(run: str, null: Null) -> tuple[str, float] | None:
+    """(class of encoding and length, p of being text); None if no encoding fits."""
     if run.isdigit():
         return None
     inferred = infer(run)
     if inferred is None:
         return None
-    name, places, excess = inferred
+    name, places = inferred
     x = [places[c] for c in run.rstrip("=")]
     n, k = len(x), len(places)
     if n < LEAST_RUN:
         return None
-    counts: dict[int, int] = {}
-    for v in x:
-        counts[v] = counts.get(v, 0) + 1
-    chi = k / n * sum(c * c for c in counts.values()) - n
-    high = [v >= k // 2 for v in x]
-    n1 = sum(high)
-    n2 = n - n1
-    if not (n1 and n2):
-        return None
-    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
-    mean_runs = 1 + 2 * n1 * n2 / n
-    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-    mean = sum(x) / n
-    spread = sum((v - mean) ** 2 for v in x)
-    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / spread
-    p_runs = _two_sided((runs - mean_runs) / math.sqrt(var_runs)) if var_runs > 0 else 1.0
-    p_serial = _two_sided((serial + 1 / n) * math.sqrt(n))
-    if min(p_runs, p_serial) < LEAST_ORDER_P:
-        return None
-    text_mean, text_sd = k - 1 + (n - 1) * excess, math.sqrt(2 * (k - 1) + 4 * n * excess)
-    p = 0.5 * math.erfc((text_mean - chi) / text_sd / math.sqrt(2))
+    chi, runs, correlation = statistics(x, k)
+    excess, tail, changes, serial = null.shapes[name]
+    even = (k // 2) * (k - k // 2) * 2 / k**2
+    scores = (
+        _near(chi, k - 1, _counts_of_text(n, k, excess, tail), 2 * k / n),
+        _near(runs, 1 + (n - 1) * even, _normal(1 + (n - 1) * changes, math.sqrt(max(1.0, (n - 1) * changes * (1 - changes)))), 1),
+        _near(correlation, -1 / n, _normal(serial - 1 / n, 1 / math.sqrt(n)), 1 / n),
+    )
+    p = 1 - _below(sum(w * z for w, z in zip(WEIGHTS, scores, strict=True)) / math.sqrt(SUM_VARIANCE))
     return f"{name}/{min(n.bit_length(), 12)}", p
 
 
@@ -116,13 +181,17 @@ def parts(run: str) -> list[tuple[int, int]]:
         found[e.span()] = None
         for p in BETWEEN_SLASHES.finditer(e[0]):
             found[e.start() + p.start(), e.start() + p.end()] = None
+    for pattern in ONE_ALPHABET:
+        for e in list(found):
+            for p in pattern.finditer(run, *e):
+                found[p.span()] = None
     for start, end in list(found):
         if named := KEY_NAME.match(run, start, end):
             found[named.end(), end] = None
     return [(s, e) for s, e in found if e - s >= LEAST_RUN]
 
 
-def scan(text: str) -> tuple[list[tuple], list[tuple]]:
+def scan(text: str, null: Null) -> tuple[list[tuple], list[tuple]]:
     """(base spans, candidates): (start, order, end, kind) and (start, end, class, p) in code points, ends exclusive."""
     base, cands = [], []
     low = text.lower()
@@ -134,7 +203,7 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
     base.sort()
     for m in RUN.finditer(text):
         for start, end in parts(m[0]):
-            got = battery(m[0][start:end])
+            got = battery(m[0][start:end], null)
             start, end = m.start() + start, m.start() + end
             if got and not any(s < end and start < e for s, _, e, _ in base):
                 cands.append((start, end, *got))
@@ -160,10 +229,31 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[str, float]:
     return found
 
 
+def fit_null(df: DataFrame, text_col: str = "text") -> Null:
+    """Pairs of neighbouring characters of all texts, runs that may be candidates aside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 14, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total += pairs_in(RUN.sub("\0", text))
+        codes = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(total[codes])], ["code", "n"])
+
+    texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
+    pairs = np.zeros(1 << 14)
+    for r in texts.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        pairs[r.code] = r.n
+    return Null(pairs)
+
+
 def find(df: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame:
-    """df without its text, with `base` and `spans`: arrays of (start, ord, end, kind), ordered by start, then kind."""
-    kept = [c for c in df.columns if c not in (text_col, "base", "spans", "cands")]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("base", T.ArrayType(_SPAN)), T.StructField("cands", T.ArrayType(_CAND))])
+    """`row` (df's columns without its text), `base` and `spans`: arrays of (start, ord, end, kind), ordered by start, then kind."""
+    kept = [c for c in df.columns if c != text_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(None).cast("int").alias("none"))
+    docs = df.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([docs.schema["row"], T.StructField("base", T.ArrayType(_SPAN)), T.StructField("cands", T.ArrayType(_CAND))])
+    null = fit_null(df, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -171,12 +261,12 @@ def find(df: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame:
         arrow = to_arrow_schema(schema)
         span, cand = [f.name for f in _SPAN], [f.name for f in _CAND]
         for batch in batches:
-            found = [scan(t) if t else ((), ()) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [scan(t, null) if t else ((), ()) for t in batch.column(batch.num_columns - 1).to_pylist()]
             base = pa.array([[dict(zip(span, x, strict=True)) for x in b] for b, _ in found], arrow.field("base").type)
             cands = pa.array([[dict(zip(cand, x, strict=True)) for x in c] for _, c in found], arrow.field("cands").type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], base, cands], schema=arrow)
 
-    scanned = cut(df.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema), "secret_candidates")
+    scanned = cut(docs.mapInArrow(run, schema), "secret_candidates")
     most = thresholds(scanned, fdr)
     limit = F.create_map(*[F.lit(v) for kv in most.items() for v in kv]) if most else None
     if limit is None:
@@ -187,7 +277,7 @@ def find(df: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame:
     inside = lambda c, o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (c["end"] - c["start"] < o["end"] - o["start"])
     outer = F.filter("cands", lambda c: ~F.exists("cands", lambda o: inside(c, o)))
     added = F.transform(outer, lambda c: F.struct(c["start"].alias("start"), F.lit(_ORDER["random"]).alias("ord"), c["end"].alias("end"), F.lit("random").alias("kind")))
-    return scanned.select(*[F.col(f"`{c}`") for c in kept], "base", F.sort_array(F.concat("base", added)).alias("spans"))
+    return scanned.select("row", "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
 
 def joined(spans: str | Column) -> Column:

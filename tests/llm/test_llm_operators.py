@@ -288,7 +288,7 @@ SECRETS = [
 def test_secrets_base_against_brute_force(spark, sf, texts):
     d = spark.createDataFrame(list(enumerate(SECRETS)) + [(1000 + d, t) for d, t in texts.items()], "doc_id long, text string")
     want = {d: t or "" for d, t in list(enumerate(SECRETS)) + [(1000 + d, t) for d, t in texts.items()]}
-    for r in secrets.find(d).select("doc_id", secrets.joined("base").alias("b"), secrets.joined("spans").alias("s")).collect():
+    for r in secrets.find(d).select("row.doc_id", secrets.joined("base").alias("b"), secrets.joined("spans").alias("s")).collect():
         base = brute_secrets(want[r.doc_id])
         assert r.b == base
         assert set(filter(None, base.split(","))) <= set(filter(None, r.s.split(",")))
@@ -300,7 +300,7 @@ def test_battery_tells_random_from_written(spark):
     keys = ["".join(rnd.choice(alphabet) for _ in range(40)) for _ in range(60)]
     written = [f"version2024release{w}2024release" for w in ("one", "two", "three", "four")] * 15
     d = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(keys + written)], "doc_id long, text string")
-    hit = {r.doc_id for r in secrets.find(d).where(F.exists("spans", lambda s: s["kind"] == "random")).collect()}
+    hit = {r.row.doc_id for r in secrets.find(d).where(F.exists("spans", lambda s: s["kind"] == "random")).collect()}
     assert len(hit & set(range(60))) >= 50 and not hit & set(range(60, 120))
 
 
@@ -317,7 +317,7 @@ def test_battery_finds_secrets_glued_to_keys_and_paths(spark):
         want[i] = text.index(key), text.index(key) + len(key)
     rows += [(1000 + i, t) for i, t in enumerate(["release=versionreleaseversion", "/articles/about/articles/about-articles", "version=releasereleaserelease/releasereleaserelease"] * 20)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in secrets.find(d).collect()}
+    got = {r.row.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in secrets.find(d).collect()}
     for kind in range(6):
         own = [i for i in want if i % 6 == kind]
         assert sum(any(s <= want[i][0] and want[i][1] <= e for s, e in got[i]) for i in own) >= 0.8 * len(own), frames[kind]
@@ -330,8 +330,51 @@ def test_parts_of_a_run():
     assert {run, run[7:], "q" * 20, "z" * 16 + "=="} <= texts and all(len(t) >= 16 for t in texts)
 
 
+def test_parts_of_mixed_alphabets():
+    run = "q" * 20 + "-" + "Z" * 16 + "/x"
+    assert {run, "q" * 20, "q" * 20 + "-" + "Z" * 16} <= {run[s:e] for s, e in secrets.parts(run)}
+
+
+def test_battery_statistics_against_brute_force():
+    rnd, k = random.Random(4), 16
+    for n in (16, 40, 200):
+        x = [rnd.randrange(k) for _ in range(n)]
+        chi, runs, serial = secrets.statistics(x, k)
+        assert chi == pytest.approx(sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k)))
+        assert runs == len(re.findall("0+|1+", "".join("01"[v >= 8] for v in x)))
+        c = np.array(x) - np.mean(x)
+        assert serial == pytest.approx((c[:-1] * c[1:]).sum() / (c * c).sum())
+
+
+def test_null_holds_for_text_and_not_for_order_without_chance(texts):
+    pairs = sum(secrets.pairs_in(secrets.RUN.sub("\0", t or "")) for t in texts.values())
+    null = secrets.Null(pairs)
+    prose = "".join(c for t in texts.values() for c in t if c in secrets._LOWER + secrets._UPPER + secrets._DIGITS)
+    ps = [got[1] for i in range(0, len(prose) - 40, 40) if (got := secrets.battery(prose[i : i + 40], null))]
+    assert len(ps) > 500 and sum(p < 0.01 for p in ps) < 0.02 * len(ps)
+    rnd = random.Random(1)
+    keys = ["".join(rnd.choice(secrets.ENCODINGS[5][1]) for _ in range(40)) for _ in range(200)]
+    assert sum(secrets.battery(k, null)[1] < 1e-3 for k in keys) > 180
+    ordered = [secrets._UPPER + secrets._LOWER, secrets._LOWER + secrets._DIGITS, "Aa" * 20, "AZ" * 5 + "az" * 5 + "09" * 5]
+    assert all(secrets.battery(o, null)[1] > 0.01 for o in ordered)
+
+
+def test_secrets_false_discovery_against_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice("ab"), rnd.random() ** rnd.choice((1, 4, 9))) for _ in range(3000)]
+    d = spark.createDataFrame([([{"start": 0, "end": 1, "cls": c, "p": p}],) for c, p in rows], "cands array<struct<start:long,end:long,cls:string,p:double>>")
+    got = secrets.thresholds(d, 0.05)
+    for c in "ab":
+        bins = sorted(math.ceil(math.log10(max(p, 10.0**-secrets.POWERS)) * secrets.BINS) for k, p in rows if k == c)
+        ok = [b for i, b in enumerate(bins) if 10 ** (b / secrets.BINS) <= 0.05 * (sum(x <= b for x in bins)) / len(bins)]
+        assert got.get(c) == (10 ** (max(ok) / secrets.BINS) if ok else None)
+
+
 def test_secrets_edges(odd, none):
-    assert secrets.find(odd).count() == 10 and secrets.find(none).count() == 0
+    got = secrets.find(odd)
+    assert got.count() == 10 and all(r.base == [] and r.spans == [] for r in got.collect()) and secrets.find(none).count() == 0
+    clash = odd.withColumn("base", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("cands", F.lit(3))
+    assert {tuple(r) for r in secrets.find(clash).select("row.base", "row.spans", "row.cands").collect()} == {(1, 2, 3)}
 
 
 # 5 personal data
