@@ -126,7 +126,7 @@ SELECT c.id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.i
 """
 
 _MIXING_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM d GROUP BY source),
 w AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
 n AS (SELECT *, source_size * 3.0::DOUBLE AS cap, source_size * 3.0::DOUBLE / weight AS need, (sum(source_size) OVER ())::DOUBLE AS total FROM w),
@@ -134,18 +134,21 @@ l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY need, source NULLS LAS
   / sum(weight) OVER (ORDER BY need, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n),
 f AS (SELECT *, max(CASE WHEN need > level THEN level END) OVER () AS free_level FROM l),
 t AS (SELECT source, source_size, n_docs, coalesce(CASE WHEN need <= level THEN cap ELSE free_level * weight END, 0) AS target FROM f),
-p AS (SELECT *, least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END), 3)::BIGINT AS whole,
-  CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  CASE WHEN source_size > 0 THEN source_size::DOUBLE / n_docs ELSE 1 END AS mean FROM t),
-g AS (SELECT *, CASE WHEN whole >= 3 THEN 0 ELSE rate - floor(rate) END AS fraction FROM p),
-u AS (SELECT d.doc_id, d.size, g.*, (('0x' || left(md5('17:' || coalesce(d.doc_id::VARCHAR, '')), 12))::BIGINT::DOUBLE + 0.5) / 281474976710656::DOUBLE AS u
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-q AS (SELECT *, (u / (1 - u)) / (fraction / (1 - fraction) * sqrt(size / mean)) AS q FROM u WHERE size > 0 AND fraction > 0),
-c AS (SELECT source, max(q) AS q_cut FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q) AS upto FROM q)
-  WHERE upto - size / 2.0::DOUBLE <= target - whole * source_size GROUP BY source)
-SELECT u.doc_id, u.size, u.source_size, u.target,
-  (u.size * (u.whole + CASE WHEN u.size > 0 AND u.fraction > 0 AND (u.u / (1 - u.u)) / (u.fraction / (1 - u.fraction) * sqrt(u.size / u.mean)) <= coalesce(c.q_cut, 0) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.source
+p AS (SELECT *, least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END), 3)::BIGINT AS whole FROM t),
+g AS (SELECT *, CASE WHEN whole >= 3 THEN 0 ELSE target - whole * source_size END AS budget FROM p),
+z AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY source, size),
+y AS (SELECT g.source, z.size, (g.budget - coalesce(sum(z.size * z.n) OVER (PARTITION BY g.source ORDER BY z.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(z.size::DOUBLE * z.size * z.n) OVER (PARTITION BY g.source ORDER BY z.size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
+  FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source WHERE g.budget > 0),
+x AS (SELECT source, arg_max(scale, size) AS scale FROM y WHERE scale * size <= 1 GROUP BY source),
+u AS (SELECT d.doc_id, d.size, d.source, g.source_size, g.target, g.whole, g.budget, coalesce(x.scale, 0) * d.size AS pi,
+  (('0x' || left(md5('17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.digest), 12))::BIGINT::DOUBLE + 0.5) / 281474976710656::DOUBLE AS u
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+q AS (SELECT *, CASE WHEN pi <= 0 THEN NULL WHEN pi >= 1 THEN 0 ELSE (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM u),
+c AS (SELECT source, max(q) AS q_cut FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q) AS upto, sum(size) OVER (PARTITION BY source, q) AS equal FROM q WHERE q IS NOT NULL)
+  WHERE upto - equal / 2.0::DOUBLE <= budget GROUP BY source)
+SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * (q.whole + CASE WHEN q.q <= c.q_cut THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM q LEFT JOIN c ON q.source IS NOT DISTINCT FROM c.source
 """
 
 

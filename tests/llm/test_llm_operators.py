@@ -758,6 +758,55 @@ def test_mix(spark, sf):
     assert mixed.columns == d.columns and mixed.count() == sum(r.mix_copies for r in rows)
 
 
+def brute_draw(docs, budget, seed=17):
+    """Pareto sampling of (id, text, size): inclusion probabilities by taking the largest as certain until all others fit."""
+    certain, rest = [], sorted((d for d in docs if d[2]), key=lambda d: -d[2])
+    while rest:
+        scale = (budget - sum(d[2] for d in certain)) / sum(d[2] ** 2 for d in rest)
+        if scale * rest[0][2] <= 1:
+            break
+        certain.append(rest.pop(0))
+    ranks = {}
+    for d in rest:
+        digest = hashlib.md5((d[1] or "").encode()).hexdigest()
+        u = (int(hashlib.md5(f"{seed}:{'' if d[0] is None else d[0]}:{digest}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        pi = scale * d[2]
+        ranks[d] = (u / (1 - u)) / (pi / (1 - pi)) if pi < 1 else 0
+    ranks |= dict.fromkeys(certain, 0)
+    taken, upto = set(), 0
+    for d in sorted(ranks, key=ranks.get):
+        if upto + d[2] / 2 > budget:
+            break
+        upto += d[2]
+        taken.add(d)
+    expected = sum(d[2] for d in certain) + sum(scale * d[2] ** 2 for d in rest)
+    return taken, expected
+
+
+@pytest.mark.parametrize("bins, fine", [(256, 1 << 16), (1, 2)])
+def test_mix_equals_pareto_sampling(spark, monkeypatch, bins, fine):
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "FINE", fine)
+    rnd = random.Random(bins)
+    sizes = {"a": 80, "b": 700, "c": 40, None: 300}
+    rows = [(None if source == "b" else len(sizes) * i, " ".join(["w"] * rnd.choice((1, 2, 5, 40, 400)) + [str(i)]), source) for source, n in sizes.items() for i in range(n)]
+    got = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    targets = brute_targets({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in sizes})
+    drawn = Counter()
+    for source in sizes:
+        own = [(d, t, len(t.split())) for d, t, x in rows if x == source]
+        total = sum(d[2] for d in own)
+        whole = min(3, int(targets[source] // total))
+        budget = 0 if whole == 3 else targets[source] - whole * total
+        taken, expected = brute_draw(own, budget) if budget else (set(), 0)
+        assert not budget or expected == pytest.approx(budget)
+        counts = Counter((d[0], d[2], whole + (d in taken)) for d in own)
+        assert counts == Counter((r.doc_id, r.mix_size, r.mix_copies) for r in got if r.mix_source == source)
+        assert abs(sum(r.mix_size * r.mix_copies for r in got if r.mix_source == source) - targets[source]) <= 401
+        drawn[source] = len(taken)
+    assert sum(drawn.values()) > 50
+
+
 def test_mix_edges(odd, none):
     assert mixing.copies(odd).count() == 10 and mixing.mix(odd).columns == odd.columns and mixing.mix(odd).count() >= 1
     assert mixing.copies(none).count() == 0 and mixing.mix(none).count() == 0
