@@ -72,7 +72,7 @@ def _held_out(parts: int, part: int) -> Column:
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", _held_out(4, 2).alias("held_out"), "lang", "text")
     profiles = langid.learn(docs.where(~F.col("held_out")))
-    return langid.identify(docs.drop("lang"), profiles)
+    return langid.identify(docs.drop("lang"), profiles).select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 from collections import Counter
 from zlib import crc32
 
@@ -821,18 +822,80 @@ def test_languages_held_out(spark, sf):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
-def test_language_counts():
-    codes, counts = langid.counted("Ab, aB!")
-    assert counts.sum() == 4 + 6 + 4  # letters, pairs with blanks, triples within words
-    assert len(langid.counted("12 --")[0]) == 0 and len(langid.letters("日本")) == 4
+def brute_grams(text):
+    """n-grams of one to five characters within words and the blanks around them."""
+    words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split()
+    found = Counter()
+    if any(unicodedata.category(c)[0] == "L" for w in words for c in w):
+        whole = " " + " ".join(words) + " "
+        for n in range(1, langid.LONGEST + 1):
+            for i in range(len(whole) - n + 1):
+                g = whole[i : i + n]
+                if g != " " and " " not in g[1:-1]:
+                    found[g] += 1
+    return found
+
+
+ODD_TEXTS = ["Ab, aB!", "12 --", "日本 語の", "слово слова Ωδή", "हिन्दी में", "x", " \u0301 ", "a" * 9 + " b", "ÀÉ îô-ï 7 x"]
+
+
+@pytest.mark.parametrize("part", [1 << 20, 7])
+def test_language_counts_are_those_of_whole_code_points(monkeypatch, texts, part):
+    monkeypatch.setattr(langid, "PART", part)
+    for text in [*ODD_TEXTS, *list(texts.values())[:20]]:
+        want = Counter()
+        for g, n in brute_grams(text or "").items():
+            code = langid.grams(np.array([0 if c == " " else ord(c) for c in g], np.uint32))[-1]
+            want[int(code)] += n
+        codes, counts = langid.counted(text or "")
+        assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == want, text
+
+
+def test_scripts_beyond_latin_are_told_apart(spark):
+    rnd = random.Random(2)
+    alphabets = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "hi": "कखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"}
+    syllables = {k: ["".join(rnd.choice(v) for _ in range(2)) for _ in range(12)] for k, v in alphabets.items()}
+    rows = [(i, lang, " ".join("".join(rnd.choice(syllables[lang]) for _ in range(3)) for _ in range(12))) for i, lang in enumerate(list(alphabets) * 20)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    profiles = langid.learn(d.where("doc_id < 50"))
+    for block in (langid.BLOCK, 2):  # in one pass, and two languages at a time
+        got = {r.row.doc_id: (r.lang_pred, round(r.score, 12)) for r in langid.identify(d.drop("lang"), profiles, block=block).collect()}
+        assert all(got[i][0] == lang for i, lang, _ in rows)
+        if block == langid.BLOCK:
+            whole = got
+    assert got == whole
+
+
+def test_languages_against_brute_force(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").where("doc_id < 60")
+    rows = d.collect()
+    code = lambda g: int(langid.grams(np.array([0 if c == " " else ord(c) for c in g], np.uint32))[-1])
+
+    def profile(texts):
+        counts = Counter()
+        for t in texts:
+            for g, n in brute_grams(t).items():
+                counts[code(g)] += n
+        return [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: langid.LENGTH]]
+
+    want = {lang: profile([r.text for r in rows if r.lang == lang and r.text is not None]) for lang in {r.lang for r in rows} - {None}}
+    profiles = langid.learn(d)
+    assert {r.lang: list(r.codes) for r in profiles.collect()} == want
+    for r in langid.identify(d, profiles).collect():
+        top = profile([next(x.text for x in rows if x.doc_id == r.row.doc_id) or ""])
+        far = {lang: sum(abs(i - p.index(c)) if c in p else langid.LENGTH for i, c in enumerate(top)) for lang, p in want.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        assert (r.lang_pred, r.score) == ((best, pytest.approx(1 - far[best] / (langid.LENGTH * len(top)))) if top else ("und", 0.0))
 
 
 def test_language_edges(odd, none):
     profiles = langid.learn(odd)
-    got = {(r.doc_id, r.lang_pred) for r in langid.identify(odd, profiles).collect()}
+    got = {(r.row.doc_id, r.lang_pred) for r in langid.identify(odd, profiles).collect()}
     assert {(1, "und"), (2, "und"), (3, "und")} <= got and len(got) == 9
-    assert langid.learn(none) == {} and langid.identify(none, {}).count() == 0
-    assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
+    assert langid.learn(none).count() == 0 and langid.identify(none, langid.learn(none)).count() == 0
+    assert {r.lang_pred for r in langid.identify(odd, langid.learn(none)).collect()} == {"und"}
+    clash = odd.withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit(2)).withColumn("best", F.lit(3))
+    assert {tuple(r) for r in langid.identify(clash, profiles).select("row.lang_pred", "row.score", "row.best").collect()} == {(1, 2, 3)}
 
 
 def test_digest_of_no_spans(spark, sf):
