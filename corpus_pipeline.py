@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packed_sequences", packed_sequences),
 ]
 
-#: SQL can't express the tokenizer of the last stage nor MinHash; tests check columns, id subsets and counts.
+#: SQL can't express the tokenizer of the last stage nor MinHash; tests hold the chain of stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,10 +17,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none."""
+    """The folder that driver and executors share: the session's checkpoint folder, else one in the warehouse, never a
+    machine's own temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodeweave-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(f"{warehouse}/.lodeweave-checkpoints")
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
