@@ -101,6 +101,18 @@ def is_untitled(title: Column, path: Column | None = None) -> Column:
     return t | F.lower(F.coalesce(path, F.lit(""))).rlike(r"(?:^|/)untitled\.md$|(?:^|/)untitled(?:_[^/]*)?/[^/]*$")
 
 
+def is_untitled_or_empty(title: Column, path: Column, status: Column, markdown: Column) -> Column:
+    """Whether a page is to be fetched again: untitled, or completed without a title or without a body below its head."""
+    t, body = F.trim(F.coalesce(title, F.lit(""))), F.regexp_replace(body_of(F.coalesce(markdown, F.lit(""))), r"^\s+|\s+$", "")
+    return is_untitled(title, path) | (F.coalesce(status == "completed", F.lit(False)) & ((t == "") | (body == "")))
+
+
+def shop_name(raw: Column) -> Column:
+    """A shop's name: what stands before the first |, dash between blanks or em dash; blanks folded."""
+    first = F.get(F.split(F.coalesce(raw, F.lit("")), r"\s*[|\u2014]\s*|\s+-\s+", 2), F.lit(0))
+    return F.trim(F.regexp_replace(first, r"\s+", " "))
+
+
 def is_unrendered(html: Column) -> Column:
     """Whether raw HTML is missing, very short or a challenge; blank and untitled pages need the parsed page."""
     h = F.coalesce(html, F.lit(""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeweave.functions.text import let
+
 # Query keys that only serve tracking. Keys beginning with utm_ count as well.
 TRACKING_KEYS = (
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_reader", "utm_referrer", "utm_name",
@@ -85,11 +87,23 @@ def retained_pairs(url: Column) -> Column:
     return F.filter(query_pairs(url), lambda x: ~is_tracking(x))
 
 
+def _encoded(part: Column) -> Column:
+    """A key or value decoded and encoded again as form data: blanks as +, all but letters, digits and _.-~ as %XX."""
+    plain = F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def encoded_pair(pair: Column) -> Column:
+    """key=value, each encoded anew; a part without = has an empty value."""
+    key = F.substring_index(pair, "=", 1)
+    return F.concat(_encoded(key), F.lit("="), _encoded(F.substring(pair, F.length(key) + 2, F.length(pair))))
+
+
 def sanitize(url: Column) -> Column:
     """Lower-case scheme and host, no fragment, no ;parameters, no trailing slashes, no tracking keys. Query parts keep
-    their order and encoding; empty for null, blank or hostless input."""
+    their order and are encoded anew as form data; empty for null, blank or hostless input."""
     clean_path = F.regexp_replace(F.regexp_replace(path(url), ";[^/]*$", ""), "/+$", "")
-    kept = F.array_join(retained_pairs(url), "&")
+    kept = F.array_join(F.transform(retained_pairs(url), encoded_pair), "&")
     whole = F.concat(scheme(url), F.lit("://"), authority(url), clean_path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
     return F.when(authority(url) == "", "").otherwise(whole)
 
@@ -228,8 +242,18 @@ def content_type(url: Column, hint: Column | None = None) -> Column:
     return out.when((F.size(parts) > 1) & (folder != "") & ~folder.contains("sitemap"), folder).otherwise("pages")
 
 
-def extract(text: Column) -> Column:
-    """Sanitised links of a text, each once, in order."""
+def _found(text: Column) -> Column:
+    """Links and bare domains of a text as they stand there, closing marks aside."""
     pattern = r"""(?i)https?://[^\s<>",;()]+|(?:www\.)[^\s<>",;()]+|(?<![@\w])(?:[a-zA-Z0-9-]+\.)+(?:""" + "|".join(BARE_ENDINGS) + r""")(?:/[^\s<>",;()]*)?"""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: sanitize(F.regexp_replace(x, r"""[.,;:!?'"]+$""", ""))), lambda x: x != ""))
+    return F.transform(found, lambda x: F.regexp_replace(x, r"""[.,;:!?'"]+$""", ""))
+
+
+def extract(text: Column) -> Column:
+    """Sanitised links of a text, each once, in order."""
+    return F.array_distinct(F.filter(F.transform(_found(text), sanitize), lambda x: x != ""))
+
+
+def extract_analysed(text: Column) -> Column:
+    """analysis() of the links of a text, of those with one clean address the first."""
+    return let(F.transform(_found(text), analysis), lambda all_: F.filter(all_, lambda a, i: (a["clean"] != "") & (F.array_position(F.transform(all_, lambda x: x["clean"]), a["clean"]) == i + 1)))

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def optional_filter(df: DataFrame, column: str, value: str | int | None, known: DataFrame | None = None, slug_col: str = "slug", id_col: str = "id", strict: bool = False) -> DataFrame:
-    """Equality filter unless the value is null, `all` or `__all__`. A slug is looked up in `known`; an unknown one drops
-    the filter, or with strict=True gives no rows."""
+    """Equality filter unless the value is null, `all` or `__all__`. A text column is compared as text. For others a number
+    is the id, and a slug is looked up in `known`; an unknown one drops the filter, or with strict=True gives no rows."""
     if value is None or value in ("all", "__all__", ""):
         return df
+    if df.schema[column].dataType.typeName() == "string" and known is None:
+        return df.where(F.col(column) == str(value))
     if isinstance(value, int) or str(value).isdigit():
         return df.where(F.col(column) == int(value))
     found = known.where(F.col(slug_col) == value).select(F.min(id_col)).first()[0] if known is not None else None
@@ -51,14 +53,15 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str]) ->
     return table.unionByName(fresh, allowMissingColumns=True)
 
 
-def reconcile(stored: DataFrame, seen: DataFrame, key: str = "url", lastmod: str = "lastmod", status: str = "status") -> DataFrame:
-    """key, lastmod, status, action of a re-visit: new and failed rows and those with a later lastmod are pending,
-    a lastmod never seen is filled in, all others stay as they are."""
-    s = stored.select(F.col(key).alias("k"), F.col(lastmod).alias("old"), F.col(status).alias("was"))
+def reconcile(stored: DataFrame, seen: DataFrame, key: str = "url", lastmod: str = "lastmod", status: str = "status", again: str | None = None) -> DataFrame:
+    """key, lastmod, status, action of a re-visit: new and failed rows, those flagged in the column `again` (untitled or
+    empty pages) and those with a later lastmod are pending, a lastmod never seen is filled in, all others stay as they are."""
+    flag = F.coalesce(F.col(again), F.lit(False)) if again else F.lit(False)
+    s = stored.select(F.col(key).alias("k"), F.col(lastmod).alias("old"), F.col(status).alias("was"), flag.alias("redo"))
     n = seen.select(F.col(key).alias("n"), F.col(lastmod).alias("new"), F.lit(True).alias("here"))
     j = s.join(n, F.col("k") == F.col("n"), "full_outer")
     action = (
-        F.when(F.col("k").isNull(), "insert").when(F.col("here").isNull(), "keep").when(F.col("was") == "failed", "retry").when(F.col("new") > F.col("old"), "refresh").when(F.col("old").isNull() & F.col("new").isNotNull(), "fill").otherwise("keep")
+        F.when(F.col("k").isNull(), "insert").when(F.col("here").isNull(), "keep").when((F.col("was") == "failed") | F.col("redo"), "retry").when(F.col("new") > F.col("old"), "refresh").when(F.col("old").isNull() & F.col("new").isNotNull(), "fill").otherwise("keep")
     )
     j = j.withColumn("action", action)
     pending = F.col("action").isin("insert", "retry", "refresh")

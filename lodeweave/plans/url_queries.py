@@ -11,12 +11,14 @@ from lodeweave.plans.registry import query, table
 _TRACK = ", ".join(f"'{k}'" for k in urls.TRACKING_KEYS)
 _FULL = "CASE WHEN trim(url) = '' THEN '' WHEN regexp_matches(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN trim(url) ELSE 'https://' || trim(url) END"
 _RX = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+#: Form data decoded and encoded again.
+_FORM = "replace(url_encode(url_decode(replace({}, '+', ' '))), '%20', '+')"
 _PARTS = rf"""p AS (SELECT page_id, url, lower(regexp_extract({_FULL}, '{_RX}', 1)) AS scheme, lower(regexp_extract({_FULL}, '{_RX}', 2)) AS auth,
   regexp_extract({_FULL}, '{_RX}', 3) AS path, list_filter(string_split(regexp_extract({_FULL}, '{_RX}', 4), '&'), lambda x: x <> '') AS pairs FROM pages),
 q AS (SELECT *, list_filter(pairs, lambda x: lower(split_part(x, '=', 1)) IN ({_TRACK}) OR starts_with(lower(split_part(x, '=', 1)), 'utm_')) AS stripped,
   list_filter(pairs, lambda x: NOT (lower(split_part(x, '=', 1)) IN ({_TRACK}) OR starts_with(lower(split_part(x, '=', 1)), 'utm_'))) AS retained,
   regexp_replace(path, '/+$', '') AS short FROM p),
-c AS (SELECT *, scheme || '://' || auth || short || CASE WHEN len(retained) > 0 THEN '?' || array_to_string(retained, '&') ELSE '' END AS clean FROM q)"""
+c AS (SELECT *, scheme || '://' || auth || short || CASE WHEN len(retained) > 0 THEN '?' || array_to_string(list_transform(retained, lambda x: {_FORM.format("split_part(x, '=', 1)")} || '=' || {_FORM.format("substr(x, len(split_part(x, '=', 1)) + 2)")}), '&') ELSE '' END AS clean FROM q)"""
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\.', ''), '/+$', '')"
 
 
@@ -74,6 +76,13 @@ def extract_urls(spark, sf):
     return rows.select("text_id", F.posexplode(urls.extract(F.col("text"))).alias("pos", "url")).select("text_id", F.col("pos").cast("long").alias("pos"), "url")
 
 
+@query()
+def extract_urls_analysed(spark, sf):
+    """Links of every page's source with their parameters."""
+    a = table(spark, sf, "pages").select("page_id", F.posexplode(urls.extract_analysed(F.col("html"))).alias("pos", "a"))
+    return a.select("page_id", F.col("pos").cast("long").alias("pos"), "a.raw", "a.clean", F.array_join("a.stripped", " ").alias("stripped"), "a.has_stripped")
+
+
 @query(f"WITH {_PARTS}, k AS (SELECT auth, page_id, row_number() OVER (PARTITION BY auth ORDER BY page_id) - 1 AS r FROM c) SELECT auth AS host, page_id, r // 40 AS session FROM k")
 def url_session_batches(spark, sf):
     place = F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1
