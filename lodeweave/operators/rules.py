@@ -78,6 +78,25 @@ GENRE_RULES = (
     (r"\bphotography\b|\bphoto\b", "Photography"), (r"\bproduct\b|\bindustrial\b", "Product"), (r"\bhotellerie\b|\bhotel\b", "Hotellerie"), (r"\bvideo\b|\bfilm\b", "Video"), (r"\bweb\b", "Web"),
 )
 
+# Words that stand for a known tag.
+KNOWN_TAG_WORDS = {
+    "iconics": r"\b(?:icons?|iconics?|iconography|favicons?)\b", "archive": r"\b(?:archives?|archiving|archived|wayback)\b", "calc": r"\b(?:calc|calculat(?:or|ors|ion|ions))\b", "convert": r"\b(?:convert|convert(?:er|ers|ion|ing))\b",
+    "fonts": r"\b(?:fonts?|typefaces?)\b", "db": r"\b(?:db|databases?|sql|nosql)\b", "domains": r"\b(?:domains?|whois|tld|registrars?)\b", "flights": r"\b(?:flights?|airfare|airline)\b",
+    "maps": r"\b(?:maps?|mapping|geolocat\w+|coordinates)\b", "tables": r"\b(?:tables?|spreadsheets?|csv|tsv)\b", "trips": r"\b(?:trips?|travel|tourism)\b", "strs": r"\b(?:strings?|strs?)\b",
+    "cronjob": r"\b(?:cron|crontabs?|cronjobs?|scheduled\s*tasks?)\b", "free stock": r"\b(?:free\s*stock|stock\s*(?:photos?|images?|vectors?|videos?))\b", "qr": r"\bqr(?:\s*codes?)?\b", "grammar": r"\b(?:grammar|spell(?:ing)?\s*check(?:er)?)\b",
+    "inspection": r"\b(?:inspect|inspector|inspection)\b", "case": r"\b(?:case\s*convert(?:er)?|camelcase|snake_case|kebab-case|title\s*case|uppercase|lowercase)\b", "weather": r"\b(?:weather|forecast|meteorolog\w+)\b",
+    "crypto": r"\b(?:crypto|cryptocurrency|bitcoin|ethereum|blockchain)\b", "currency": r"\b(?:currency|currencies|exchange\s*rate|forex)\b", "email": r"\b(?:emails?|newsletter|inbox|smtp|mail)\b", "privacy": r"\b(?:privacy|gdpr|cookie\s*consent)\b",
+    "sea": r"\b(?:search engine advertising|sea)\b", "ide": r"\b(?:ide|integrated development environment)\b",
+}
+# Tags that say nothing, and tags that count in the primary text only.
+EMPTY_TAGS, PRIMARY_TAGS = ("other", "utils", "application", "model"), ("data", "css", "audio", "search", "text", "design", "media")
+# Tags of creatives in order, and dynamic tags that say nothing, and short ones that do.
+CREATIVE_TAGS = (
+    (r"\bportfolio\b", "Portfolio"), (r"\banimation\b", "Animation"), (r"\b(?:interactive|interaction|interactions)\b", "Interactions"), (r"\bcontents?\b", "Contents"), (r"\blayout\b", "Layout"),
+    (r"\btypography\b", "Typography"), (r"\b(?:collaborate|collaboration)\b", "Collaboration"), (r"\b(?:ui|ux)\b", "UI/UX"), (r"\b(?:hotel marketing|marketing alberghiero)\b", "Hotel Marketing"),
+)
+EMPTY_DYNAMIC, SHORT_DYNAMIC = ("other", "changed", "closed", "not loading", "403", "503"), ("AI", "3D", "UI", "UX")
+
 Rules = tuple[tuple[str, str], ...]
 
 
@@ -146,6 +165,83 @@ def scored_tags(primary: Column, body: Column, rules: Rules = TAG_RULES, exclude
     return _with_texts(primary, body, lambda p, b: F.transform(F.slice(ranked(p, b), 1, most), lambda r: r["label"]))
 
 
+def _word(name: str) -> str:
+    return r"\b\Q" + name + r"\E\b"
+
+
+def _best_first(rows: list[Column], least: int, most: int) -> Column:
+    """Labels of structs (-score, place, label) that reach `least`, best first."""
+    if not rows:
+        return F.array().cast("array<string>")
+    return F.transform(F.slice(F.array_sort(F.filter(F.array(*rows), lambda r: r["s"] <= -least)), 1, most), lambda r: r["label"])
+
+
+def _points(p: Column, b: Column, pattern: str, primary: int, steps: tuple[tuple[int, int], ...]) -> Column:
+    """Points for a hit in the primary text, else by (least hits in the body, points)."""
+    def body(n: Column) -> Column:
+        out = F.lit(0)
+        for least, points in reversed(steps):
+            out = F.when(n >= least, points).otherwise(out)
+        return out
+
+    return F.when(_hit(p, pattern), primary).otherwise(let(_times(b, pattern), body))
+
+
+_STEPS = ((5, 3), (3, 2), (1, 1))
+
+
+def known_tags(primary: Column, body: Column, names: list[str], most: int = 4) -> Column:
+    """Of the known tags' names (lower-case in the result) those that the texts speak of, by their own words where they have
+    some: 5 points for the primary text, else 3, 2 or 1 for five, three or one hits in the body; at least 3 points, best
+    first, of equals the first listed. Two ambiguous tags need a word of their trade beside them, generic ones the primary text."""
+
+    def made(p: Column, b: Column) -> Column:
+        rows = []
+        for i, name in enumerate(dict.fromkeys(n.lower().strip() for n in names)):
+            if name in EMPTY_TAGS or len(name) < 2:
+                continue
+            pattern = KNOWN_TAG_WORDS.get(name, _word(name))
+            points = _points(p, b, pattern, 5, _STEPS)
+            if name == "sea":
+                points = F.when(_hit(F.concat(p, F.lit(" "), b), r"\b(?:marketing|advertising|sem|ads|adwords)\b"), points).otherwise(0)
+            elif name == "ide":
+                points = F.when(_hit(p, r"\b(?:code|editor|programming|developer|development|compiler)\b"), points).otherwise(0)
+            elif name in PRIMARY_TAGS:
+                points = F.when(_hit(p, pattern), 5).otherwise(0)
+            rows.append(F.struct((-points).alias("s"), F.lit(i).alias("place"), F.lit(name).alias("label")))
+        return _best_first(rows, 3, most)
+
+    return _with_texts(primary, body, made)
+
+
+def creative_tags(primary: Column, body: Column, names: list[str] = (), most: int = 3) -> Column:
+    """Tags of a creative's page: 3 points for the primary text, else 2 or 1 for two or one hits in the body, at least 2;
+    three ambiguous tags need their trade's words. Then names as dynamic tags, which need 3 points. Best first, of equals
+    fixed ones first."""
+
+    def made(p: Column, b: Column) -> Column:
+        both = F.concat(p, F.lit(" "), b)
+        trade = _hit(p, r"\b(?:design|portfolio|studio|agency)\b")
+        guards = {
+            "Interactions": _hit(both, r"\b(?:interaction\s+design|interactive\s+experiences?|interactive\s+installations?|creative\s+technolog(?:y|ist))\b") | (_hit(p, r"\b(?:interactive|interaction)\b") & _hit(p, r"\b(?:design|creative|art|portfolio|studio|agency)\b")),
+            "Contents": ~_hit(both, r"\b(?:skip to content|table of contents|file contents?|read the content)\b") | _hit(both, r"\b(?:content creation|content strategy|editorial|media|copy)\b"),
+            "UI/UX": _hit(both, r"\b(?:ui/ux|ux/ui|ui\s+designer|ux\s+designer|product\s+design|user\s+experience)\b") | (_hit(p, r"\b(?:ui|ux)\b") & trade),
+        }
+        fixed = {label: _points(p, b, x, 3, ((2, 2), (1, 1))) for x, label in CREATIVE_TAGS}
+        for label, guard in guards.items():
+            fixed[label] = F.when(guard, fixed[label]).otherwise(0)
+        fixed = {label: F.when(points >= 2, points).otherwise(0) for label, points in fixed.items()}
+        for name in names:
+            if (len(name) >= 3 or name.upper() in SHORT_DYNAMIC) and name.lower().strip() not in EMPTY_DYNAMIC:
+                points = _points(p, b, _word(name.lower()), 3, _STEPS)
+                points = F.when(points >= 3, points).otherwise(0)
+                fixed[name] = F.greatest(fixed[name], points) if name in fixed else points
+        rows = [F.struct((-points).alias("s"), F.lit(i).alias("place"), F.lit(label).alias("label")) for i, (label, points) in enumerate(fixed.items())]
+        return _best_first(rows, 2, most)
+
+    return _with_texts(primary, body, made)
+
+
 def _first(low: Column, rules: Rules) -> Column:
     return F.coalesce(*[F.when(_hit(low, p), label) for p, label in rules])
 

@@ -12,16 +12,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.functions import text as tx
+
 #: Options that the fuzzy tier holds at most; more than that raises, as a taxonomy of that size is no taxonomy.
 MOST_OPTIONS = 10_000
 
 
-def match(proposed: DataFrame, options: DataFrame, synonyms: DataFrame | None = None, cutoff: float = 0.75) -> DataFrame:
+def match(proposed: DataFrame, options: DataFrame, synonyms: DataFrame | None = None, cutoff: float = 0.75, auto_create: bool = False) -> DataFrame:
     """proposed(id, ord, label), options(ord, option), synonyms(label, option) -> id, ord, label, option, tier (1 exact,
-    2 case aside, 3 synonym, 4 prefix of 3 or part of 4 letters, 5 fuzzy); labels that match nothing are left out, and of
-    an id's labels that meet in one option the first stays."""
+    2 case aside, 3 synonym, 4 start of an option from 3 letters on or part of one from 4, 5 fuzzy: first as written, then
+    case aside, 6 accepted as new). Labels that match nothing are left out unless auto_create; without any options all
+    labels are accepted. Of an id's labels that meet in one option the first stays."""
     opts = options.select(F.col("option"), F.col("ord").alias("o_ord")).where("trim(option) <> ''")
     labels = proposed.select(F.trim("label").alias("label")).where("label <> ''").distinct()
+    listed = [r.option for r in opts.orderBy("o_ord", "option").limit(MOST_OPTIONS + 1).collect()]
+    if len(listed) > MOST_OPTIONS:
+        raise ValueError(f"more than {MOST_OPTIONS} options")
     exact = labels.join(opts, F.col("label") == F.col("option")).select("label", "option", "o_ord", F.lit(1).alias("tier"))
     folded = labels.join(opts, F.lower("label") == F.lower("option")).select("label", "option", "o_ord", F.lit(2).alias("tier"))
     found = exact.unionByName(folded)
@@ -29,35 +35,48 @@ def match(proposed: DataFrame, options: DataFrame, synonyms: DataFrame | None =
         s = synonyms.select(F.lower("label").alias("s_label"), F.lower("option").alias("s_option"))
         told = labels.join(s, F.lower("label") == F.col("s_label")).join(opts, F.lower("option") == F.col("s_option"))
         found = found.unionByName(told.select("label", "option", "o_ord", F.lit(3).alias("tier")))
-    a, b = F.lower("label"), F.lower("option")
-    part = ((F.length("label") >= 3) & (b.startswith(a) | a.startswith(b)) & (F.length("option") >= 3)) | ((F.length("label") >= 4) & (F.length("option") >= 4) & (b.contains(a) | a.contains(b)))
-    # Options are few beside labels; the part test has no equality to join on.
-    listed = [(r.option, r.o_ord) for r in opts.limit(MOST_OPTIONS + 1).collect()]
-    if len(listed) > MOST_OPTIONS:
-        raise ValueError(f"more than {MOST_OPTIONS} options")
-    pairs = labels.crossJoin(F.broadcast(opts)).where(part).select("label", "option", "o_ord", F.lit(4).alias("tier"))
-    found = found.unionByName(pairs)
-    left = labels.join(found.select("label").distinct(), "label", "left_anti")
-    names = [o for o, _ in sorted(listed, key=lambda x: x[1])]
+    best = found.groupBy("label").agg(F.min(F.struct("tier", "o_ord", "option")).alias("m")).select("label", F.col("m.option").alias("option"), F.col("m.tier").alias("tier"))
+    left = labels.join(best.select("label"), "label", "left_anti")
     lowered = {}
-    for n in names:
-        lowered.setdefault(n.lower(), n)
-    places = dict(listed)
+    for option in listed:
+        lowered[option.lower()] = option
 
-    @F.pandas_udf("string")
-    def close(label: pd.Series) -> pd.Series:
-        return label.map(lambda x: next((lowered[m] for m in difflib.get_close_matches(x.lower(), list(lowered), n=1, cutoff=cutoff)), None))
+    def near(label: str) -> tuple[str | None, int | None]:
+        low = label.lower()
+        if len(low) >= 3:
+            for o, option in lowered.items():
+                if o.startswith(low) or (len(low) >= 4 and low in o):
+                    return option, 4
+        close = difflib.get_close_matches(label, listed, n=1, cutoff=cutoff)
+        if close:
+            return close[0], 5
+        ratios = [(difflib.SequenceMatcher(None, low, o).ratio(), -i, option) for i, (o, option) in enumerate(lowered.items())]
+        top = max(ratios, default=(0.0, 0, None))
+        if top[0] >= cutoff:
+            return top[2], 5
+        return (label, 6) if auto_create or not listed else (None, None)
 
-    fuzzy = left.withColumn("option", close("label")).where("option is not null")
-    o_type = options.schema["ord"].dataType
-    place = F.create_map(*[F.lit(x) for kv in places.items() for x in kv]) if places else None
-    if place is not None:
-        found = found.unionByName(fuzzy.select("label", "option", F.try_element_at(place, F.col("option")).cast(o_type).alias("o_ord"), F.lit(5).alias("tier")))
-    best = found.groupBy("label").agg(F.min(F.struct("tier", "o_ord", "option")).alias("m")).select("label", F.col("m.option").alias("option"), F.col("m.tier").alias("tier"))
-    rows = proposed.withColumn("label", F.trim("label")).join(best, "label")
+    @F.pandas_udf("option string, tier int")
+    def close_to(label: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([near(x) for x in label], columns=["option", "tier"])
+
+    rest = left.withColumn("n", close_to("label")).select("label", "n.option", "n.tier").where("option is not null")
+    rows = proposed.withColumn("label", F.trim("label")).join(best.unionByName(rest), "label")
     return rows.groupBy("id", "option").agg(F.min(F.struct("ord", "label", "tier")).alias("m")).select("id", F.col("m.ord").alias("ord"), F.col("m.label").alias("label"), "option", F.col("m.tier").alias("tier"))
 
 
+def breadcrumb_labels(folders: DataFrame, options: dict[str, DataFrame], defaults: dict[str, str], create: tuple[str, ...] = (), synonyms: DataFrame | None = None) -> DataFrame:
+    """folders(id, location) -> id and per relation the options that the parts of a breadcrumb match, in order; the
+    relation's default where there are none. Relations in `create` accept new labels."""
+    parts = folders.select("id", F.posexplode_outer(tx.breadcrumbs(F.col("location"))).alias("ord", "label"))
+    out = folders.select("id")
+    for relation, known in options.items():
+        m = match(parts.where("label is not null").select("id", "ord", "label"), known, synonyms, auto_create=relation in create)
+        lists = m.groupBy(F.col("id").alias("__id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "option"))), lambda x: x["option"]).alias(relation))
+        out = out.join(lists, F.col("id") == F.col("__id"), "left").drop("__id").withColumn(relation, F.coalesce(relation, F.array(F.lit(defaults[relation]))))
+    return out
+
+
 def scan(text: Column, options: list[str], short: tuple[str, ...] = ("AI", "3D")) -> Column:
     """Options that stand in a text as whole words, letters' case aside, in order; those under 3 letters only if listed."""
     low = F.lower(F.coalesce(text, F.lit("")))

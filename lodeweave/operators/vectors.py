@@ -92,3 +92,25 @@ def hash_embedding(df: DataFrame, id_col: str, text_col: str, dims: int = 768) -
 def sync(known: DataFrame, texts: DataFrame, key: str, text_col: str) -> DataFrame:
     """Sparse vectors of the keys that `known` lacks."""
     return hash_embedding(texts.join(known.select(key).distinct(), key, "left_anti"), key, text_col)
+
+
+def dense(sparse: DataFrame, id_col: str, dims: int = 768) -> DataFrame:
+    """id, embedding (array of dims) from id, pos, value."""
+    held = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m"))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))
+    return held.select(id_col, F.transform(places, lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0.0))).alias("embedding"))
+
+
+def taxonomy_vectors(options: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """option, embedding of a taxonomy's options(option, description); those that known(option, embedding) has are not made anew."""
+    todo = options if known is None else options.join(known.select("option"), "option", "left_anti")
+    made = dense(hash_embedding(todo, "option", "description"), "option")
+    return made if known is None else known.select("option", "embedding").unionByName(made)
+
+
+def match_texts(texts: DataFrame, id_col: str, text_col: str, options: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """id, option, similarity: the taxonomy's option (with its embedding) nearest to each text, at or above the threshold."""
+    numbered = options.withColumn("n", F.xxhash64("option"))
+    own = dense(hash_embedding(texts, id_col, text_col), id_col)
+    best = nearest(own, numbered, id_col, "n", "embedding", "embedding", 1, threshold)
+    return best.join(numbered.select("n", "option"), "n").select(id_col, "option", "similarity")

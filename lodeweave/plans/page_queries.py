@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as tx
@@ -131,17 +133,23 @@ def taxonomy_scan(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(taxonomy.scan(F.col("text"), list(_WORDS)), ",").alias("found"))
 
 
+def _stream_folder(spark) -> str:
+    """A new folder for a stream's state and rows, in the checkpoint folder, else in the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
 @query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf):
     schema = table(spark, sf, "events").schema
     w = jobs.windowed(jobs.events(spark, sf, schema), "ts", "event_type", "value")
-    return jobs.run_once(w, "stream_windows_out", "complete").select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", F.round("total", 6).alias("total"))
+    return jobs.run_once(w, _stream_folder(spark), "complete").select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", F.round("total", 6).alias("total"))
 
 
 @query("SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS status FROM events GROUP BY user_id")
 def stream_last_status(spark, sf):
     s = jobs.events(spark, sf, table(spark, sf, "events").schema).withColumn("at", F.struct("ts", "event_id"))
-    return jobs.run_once(jobs.last_status(s, "user_id", "at", "event_type"), "stream_last_status_out", "complete").select("user_id", "status")
+    return jobs.run_once(jobs.last_status(s, "user_id", "at", "event_type"), _stream_folder(spark), "complete").select("user_id", "status")
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")

@@ -57,3 +57,50 @@ def seed(spark: SparkSession, table: DataFrame, rows: list[tuple], schema: str,
     """table with those rows whose keys it lacks."""
     fresh = spark.createDataFrame(rows, schema)
     return table.unionByName(fresh.join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+
+
+# Columns of page and media sheets.
+PAGE_COLUMNS = ("URL", "Title", "Description", "Keywords", "Sitemap Last Modified", "Scraped At")
+MEDIA_COLUMNS = ("Filename", "Alt Text", "Original URL")
+
+
+def _sheet(rows: DataFrame, columns: tuple[str, ...], path: str, keys: list[str]) -> None:
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns]
+    writer = rows.select(*keys, *texts).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
+    (writer.partitionBy(*keys) if keys else writer).csv(path)
+
+
+def write_page_sheet(pages: DataFrame, path: str, keys: list[str] = ()) -> None:
+    """CSV of pages, columns named by PAGE_COLUMNS, a folder per key."""
+    _sheet(pages, PAGE_COLUMNS, path, list(keys))
+
+
+def write_media_sheet(media: DataFrame, path: str, keys: list[str] = ()) -> None:
+    """CSV of media, columns named by MEDIA_COLUMNS, a folder per key."""
+    _sheet(media, MEDIA_COLUMNS, path, list(keys))
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """A sheet as it was written, all columns as text."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False).na.fill("")
+
+
+def write_texts(rows: DataFrame, text: str, path: str, keys: list[str], ending: str) -> None:
+    """Markdown, plain text or HTML source: whole texts as records parted by a null character, a folder per key."""
+    kept = rows.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("value"))
+    kept.write.mode("overwrite").partitionBy(*keys).option("lineSep", "\0").text(f"{path}/{ending}")
+
+
+def read_written_texts(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    """What write_texts() wrote: the keys and `value`."""
+    return spark.read.option("lineSep", "\0").text(f"{path}/{ending}")
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """A vector cache: one JSON object {"key": ..., "embedding": [...]} a line."""
+    vectors.select(F.to_json(F.struct("key", "embedding")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """key, embedding of a vector cache; lines that are no such object are left out."""
+    return spark.read.schema("key string, embedding array<double>").option("mode", "DROPMALFORMED").json(path).where("key is not null and embedding is not null")

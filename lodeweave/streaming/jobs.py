@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+# Fixed values: (event, states it applies to, state after it); last lines that end a job's log.
+TRANSITIONS = (
+    ("start", ("pending", "failed"), "running"), ("resume", ("paused", "failed"), "running"), ("pause", ("running",), "paused"),
+    ("cancel", ("pending", "running", "paused"), "cancelled"), ("complete", ("running",), "completed"), ("fail", ("running", "paused"), "failed"),
+)
+END_LINES = ("completed", "failed", "cancelled")
+
+
 def events(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet", per_trigger: int = 100) -> DataFrame:
     """A stream of the event files of a folder."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).parquet(folder)
@@ -41,14 +49,50 @@ def upsert_into(spark: SparkSession, path: str, merge: Callable[[DataFrame | Non
     return sink
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Work off all that is there and give the result as a table in memory; for tests and small results."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query: StreamingQuery = writer.start()
+def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Work off all that is there and give the result, which a table below `path` (a shared folder) holds: each trigger
+    writes its own rows, in complete mode the last trigger's stand for all. Nothing passes the driver."""
+    spark, schema = stream.sparkSession, stream.schema
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={0 if mode == 'complete' else epoch}")
+
+    query: StreamingQuery = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
+
+
+def statuses(events: DataFrame, job: str, time: str, event: str) -> DataFrame:
+    """The state machine of jobs over their events in order of time: start and resume run a pending, paused or failed job,
+    pause stops a running one, cancel, complete and fail end one that runs or is paused; other events change nothing.
+    Events of a job are folded in order in one array, as a job has few. -> job, status, n_changes."""
+    steps = events.groupBy(job).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col(event).alias("e")))), lambda x: x["e"]).alias("steps"))
+
+    def after(s: Column, e: Column) -> Column:
+        out = s
+        for name, froms, to in TRANSITIONS:
+            out = F.when((e == name) & s.isin(*froms), to).otherwise(out)
+        return out
+
+    def fold(a: Column, e: Column) -> Column:
+        new = after(a["s"], e)
+        return F.struct(new.alias("s"), (a["n"] + F.when(new != a["s"], 1).otherwise(0)).alias("n"))
+
+    done = F.aggregate("steps", F.struct(F.lit("pending").alias("s"), F.lit(0).alias("n")), fold)
+    return steps.select(job, done.alias("x")).select(job, F.col("x.s").alias("status"), F.col("x.n").alias("n_changes"))
+
+
+def log_feed(lines: DataFrame, job: str, time: str, text: str, most: int = 2000) -> DataFrame:
+    """What a reader who joins late is sent: each job's newest lines in order (`seq` from 1), then DONE where its last line ends it."""
+    from pyspark.sql import Window
+
+    kept = log_history(lines, job, time, most)
+    seq = F.row_number().over(Window.partitionBy(job).orderBy(time))
+    feed = kept.select(job, seq.cast("long").alias("seq"), F.col(text).alias("line"))
+    ends = kept.groupBy(job).agg(F.max_by(text, time).alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("last").isin(*END_LINES))
+    return feed.unionByName(ends.select(job, (F.col("n") + 1).alias("seq"), F.lit("DONE").alias("line")))
 
 
 def log_history(lines: DataFrame, job: str, time: str, most: int = 2000) -> DataFrame:

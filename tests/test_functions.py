@@ -17,7 +17,7 @@ def one(spark, column, *values):
 @pytest.mark.parametrize("raw, clean", [
     ("https://example.com/products/item?utm_source=twitter&fbclid=123&page=2#reviews", "https://example.com/products/item?page=2"),
     ("https://example.com/", "https://example.com"), ("", ""), ("   ", ""), (None, ""),
-    ("example.com/article?ref=news", "https://example.com/article"), ("HTTP://A.Example.COM/Path//;v=1?B=&UTM_X=1&a=%20", "http://a.example.com/Path?B=&a=%20"),
+    ("example.com/article?ref=news", "https://example.com/article"), ("HTTP://A.Example.COM/Path//;v=1?B=&UTM_X=1&a=%20", "http://a.example.com/Path?B=&a=+"),
 ])
 def test_sanitize(spark, raw, clean):
     assert one(spark, urls.sanitize, raw) == clean
