@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions import urls
+from lodeweave.functions.text import let
 from lodeweave.operators.rules import Rules
 
 # Words of organisations and of single people.
@@ -60,22 +61,27 @@ def org_or_solo(primary: Column, body: Column, linkedin: Column) -> Column:
     p, b = (F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), STUDIO_PRODUCTS, " ")) for c in (primary, body))
     person = F.coalesce(linkedin.rlike(r"(?i)linkedin\.com/in/[a-z0-9_-]+"), F.lit(False))
     named = raw.rlike(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+'s\b")
-    org = sum((_points(w, p, b) for w in ORG_WORDS), F.lit(0))
-    solo = sum((_points(w, p, b) for w in SOLO_WORDS), F.lit(0)) + F.when(person, 3).otherwise(0) + F.when(named, 3).otherwise(0)
-    # The sums are made once, as a struct; written out at each use they would outgrow a compiled method.
-    sums = F.array(F.struct(org.alias("org"), solo.alias("solo"), (person | named).alias("person")))
+    texts = F.struct(p.alias("p"), b.alias("b"), F.when(person, 3).otherwise(0).alias("x"), F.when(named, 3).otherwise(0).alias("y"))
+
+    def sums(t: Column) -> Column:
+        org, solo = (sum((_points(w, t["p"], t["b"]) for w in words), F.lit(0)) for words in (ORG_WORDS, SOLO_WORDS))
+        return F.struct(org.alias("org"), (solo + t["x"] + t["y"]).alias("solo"), (t["x"] + t["y"] > 0).alias("person"))
+
     kind = lambda s: F.when((s["org"] == 0) & (s["solo"] == 0), None).when(s["solo"] > s["org"], "Solo").when(s["org"] > s["solo"], "Org").when(s["person"], "Solo").otherwise("Org")
-    return F.get(F.transform(sums, kind), F.lit(0))
+    return let(let(texts, sums), kind)
 
 
 def fields(primary: Column, body: Column, rules: Rules = FIELD_RULES, least: int = 2, most: int = 4) -> Column:
     """Labels by 3 points for the primary text, else 2 for two hits in the body, else 1; best first, of equals in order."""
-    p, b = (F.lower(F.coalesce(c, F.lit(""))) for c in (primary, body))
-    rows = []
-    for i, (pattern, label) in enumerate(rules):
-        n = F.regexp_count(b, F.lit("(?U)" + pattern))
-        rows.append(F.struct((-F.when(p.rlike("(?U)" + pattern), 3).when(n >= 2, 2).when(n == 1, 1).otherwise(0)).alias("s"), F.lit(i).alias("i"), F.lit(label).alias("label")))
-    return F.transform(F.slice(F.array_sort(F.filter(F.array(*rows), lambda r: r["s"] <= -least)), 1, most), lambda r: r["label"])
+
+    def ranked(t: Column) -> Column:
+        rows = []
+        for i, (pattern, label) in enumerate(rules):
+            n = let(F.regexp_count(t["b"], F.lit("(?U)" + pattern)), lambda n: F.when(n >= 2, 2).when(n == 1, 1).otherwise(0))
+            rows.append(F.struct((-F.when(t["p"].rlike("(?U)" + pattern), 3).otherwise(n)).alias("s"), F.lit(i).alias("i"), F.lit(label).alias("label")))
+        return F.transform(F.slice(F.array_sort(F.filter(F.array(*rows), lambda r: r["s"] <= -least)), 1, most), lambda r: r["label"])
+
+    return let(F.struct(*[F.lower(F.coalesce(c, F.lit(""))).alias(x) for c, x in ((primary, "p"), (body, "b"))]), ranked)
 
 
 def predict(url: Column, text: Column) -> Column:
@@ -93,7 +99,7 @@ def predict(url: Column, text: Column) -> Column:
     return F.struct(cat.alias("category"), typ.alias("type"))
 
 
-def parse_name(raw: Column, places: Sequence[str] = ()) -> Column:
+def _parsed(raw: Column, places: Sequence[str] = ()) -> Column:
     """struct(name, location, about) of a page's name: parted after a leading domain, else at the first separator in
     order of preference; a place, a generic word or a domain tells which side is the name, else the shorter side if it
     looks like a proper name, else the left."""
@@ -123,6 +129,11 @@ def parse_name(raw: Column, places: Sequence[str] = ()) -> Column:
     return F.struct(F.when(parted, F.when(use_right, right).otherwise(left)).otherwise(t).alias("name"), F.when(parted & located, other).alias("location"), F.when(parted & told, other).alias("about"))
 
 
+def parse_name(raw: Column, places: Sequence[str] = ()) -> Column:
+    """_parsed() with its input worked out once."""
+    return let(raw, lambda t: _parsed(t, places))
+
+
 def fill(df: DataFrame, scraped: DataFrame, key: str, columns: Sequence[str], always: Sequence[str] = ()) -> DataFrame:
     """df with each empty column filled from `scraped`; columns in `always` are overwritten where something was found."""
     s = scraped.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in (*columns, *always)])

@@ -29,12 +29,6 @@ def text_meaningful_parked(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.is_parked(t).alias("parked"), tx.is_meaningful(t).alias("meaningful"))
 
 
-@query("SELECT * FROM (VALUES (0, 'Title text link code item'), (1, 'One.' || chr(10) || chr(10) || 'Two.' || chr(10) || chr(10) || 'Three'), (2, '')) v(id, plain)")
-def text_plain_from_markdown(spark, sf):
-    rows = [(0, "# Title\n\n![x](y.png) text [link](http://a) `code`\n\n- item\n"), (1, "One. Two. **Three**".replace("**", "")), (2, None)]
-    return spark.createDataFrame(rows, "id int, md string").select("id", tx.plain_from_markdown(F.col("md")).alias("plain"))
-
-
 #: Common words of the corpus, so that scores, ties and caps occur on the tables.
 CORPUS_RULES = ((r"\bthe\b|\bof\b", "article"), (r"\bthat\b", "relative"), (r"\band\b|\bor\b", "joiner"), (r"\bwas\b|\bis\b", "verb"), (r"\bin\b|\bon\b|\bat\b", "place"))
 
@@ -79,27 +73,6 @@ def classify_rules_tags(spark, sf):
     return _classified(spark, sf).select("doc_id", F.array_join(rules.tags(p, b, CORPUS_RULES, 3), ",").alias("tags"), rules.first_label(p, CORPUS_RULES).alias("genre"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Technology', 4.5::DOUBLE, 'Service', 'db,api,hosting', NULL), (2, 'Design', 3.0::DOUBLE, 'Business', 'fonts,design', 'Design'), (3, 'Street', 3.0::DOUBLE, 'Shop', 'ecommerce', NULL)) v(id, category, score, type, tags, genre)")
-def classify_pages(spark, sf):
-    rows = [(1, "Cloud API platform", "Developer hosting for a database", "software software database", "https://dev.example/x"), (2, "Brand design studio", "Typography and layout", None, "https://s.example"), (3, "Sneakers boutique", "Denim jeans", "shop shop", "https://w.example/store")]
-    f = spark.createDataFrame(rows, "id int, title string, description string, body string, url string").select("id", rules.features(F.col("title"), F.col("description"), F.col("body"), F.col("url")).alias("f"))
-    p, b = F.col("f.primary"), F.col("f.body")
-    return f.select("id", rules.category(p, b).alias("c"), rules.page_type(p, b)["label"].alias("type"), F.array_join(rules.tags(p, b), ",").alias("tags"), rules.first_label(p).alias("genre")).select("id", F.col("c.label").alias("category"), F.col("c.score").alias("score"), "type", "tags", "genre")
-
-
-@query("SELECT * FROM (VALUES (1, 'Design', 'Shop', 'consensus', 1.0::DOUBLE), (2, 'Design', 'Utils', 'jev', 1.0::DOUBLE), (3, 'Car', 'Tools', 'embedding', 0.5::DOUBLE), (4, 'Food', 'Tools', 'jev', 0.5::DOUBLE), (5, 'Technology', 'Utils', 'dual_hybrid', 0.5::DOUBLE), (6, 'Home', 'Model', 'embedding', 0.13::DOUBLE)) v(id, category, type, source, confidence)")
-def classify_arbitrate(spark, sf):
-    rows = [(1, "Design", 1.0, "design", 0.2, "Shop", 1.0, "shop", 0.1), (2, "Design", 3.0, "Car", 0.9, None, None, None, None), (3, "Food", 1.5, "Car", 0.5, "Shop", 1.0, "Tools", 0.4), (4, "Food", 1.5, "Car", 0.3, "Tools", 3.0, "Shop", 0.9), (5, None, None, None, None, None, None, None, None), (6, None, None, "Home", 0.125, None, None, "Model", 0.1)]
-    d = spark.createDataFrame(rows, "id int, c string, cs double, n string, ns double, k string, ks double, m string, ms double")
-    return d.select("id", rules.arbitrate(*[F.col(x) for x in ("c", "cs", "n", "ns", "k", "ks", "m", "ms")]).alias("a")).select("id", "a.*")
-
-
-@query("SELECT * FROM (VALUES (1, 'Technology,Design', 'Service'), (2, 'Technology', 'Utils'), (3, 'Yoga', 'Shop')) v(id, roles, type)")
-def infer_roles_types(spark, sf):
-    d = spark.createDataFrame([(1, "design of software", "api service"), (2, "nothing", "yoga yoga"), (3, "yoga", "shop")], "id int, p string, b string")
-    return d.select("id", F.array_join(rules.roles(F.col("p"), F.col("b")), ",").alias("roles"), rules.types_cascade(F.col("p"), F.col("b")).alias("type"))
-
-
 _SCORED = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {i} AS ord, CASE WHEN {_count(p, 'ps')} > 0 THEN 5 WHEN {_count(p, 'bs')} >= 5 THEN 3 WHEN {_count(p, 'bs')} >= 3 THEN 2 WHEN {_count(p, 'bs')} >= 1 THEN 1 ELSE 0 END AS score FROM e" for i, (p, label) in enumerate(CORPUS_RULES))
 
 

@@ -66,16 +66,6 @@ def url_content_type(spark, sf):
     return rows.select("url", "hint", urls.content_type(F.col("url"), F.col("hint")).alias("content_type"))
 
 
-_TEXTS = ("See https://a.example.com/x?utm_id=1&b=2. And www.b.org/, or c.io/path;", "https://a.example.com/x/ twice https://a.example.com/x (http://a.example.com/x)", "", "mail me@host.com now")
-_LINKS = (("0", "https://a.example.com/x?b=2"), ("0", "https://www.b.org"), ("0", "https://c.io/path"), ("1", "https://a.example.com/x"), ("1", "http://a.example.com/x"))
-
-
-@query("SELECT k::BIGINT AS text_id, pos::BIGINT AS pos, url FROM (VALUES (0, 0, 'https://a.example.com/x?b=2'), (0, 1, 'https://www.b.org'), (0, 2, 'https://c.io/path'), (1, 0, 'https://a.example.com/x'), (1, 1, 'http://a.example.com/x')) v(k, pos, url)")
-def extract_urls(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(_TEXTS)), "text_id long, text string")
-    return rows.select("text_id", F.posexplode(urls.extract(F.col("text"))).alias("pos", "url")).select("text_id", F.col("pos").cast("long").alias("pos"), "url")
-
-
 @query()
 def extract_urls_analysed(spark, sf):
     """Links of every page's source with their parameters."""

@@ -106,13 +106,13 @@ def test_hashed_vectors_of_all_texts_against_python(spark, tmp_path):
 
 def test_page_cascades_run_over_all_pages(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    contact = QUERIES["html_contact_all"](spark, sf).collect()
+    contact = QUERIES["html_contact"](spark, sf).collect()
     assert {r.page_id for r in contact} == set(pages) and len(contact) == len(pages)
     for r in contact:
         tel = re.search(r"""<a\b[^>]*\bhref=["']tel:([^"']*)""", pages[r.page_id].html or "", re.I)
         assert r.phone == (tel[1].strip() or None if tel else None)
-    assert QUERIES["html_skus_all"](spark, sf).count() == len(pages)
-    media = QUERIES["media_urls_all"](spark, sf).collect()
+    assert QUERIES["html_skus"](spark, sf).count() == len(pages)
+    media = QUERIES["media_urls"](spark, sf).collect()
     assert {r.page_id for r in media} == set(pages)
 
 
