@@ -188,20 +188,20 @@ class Tokens:
         x = np.stack([one * np.uint64(3), two * np.uint64(0xC2B2AE3D27D4EB4F), one * np.uint64(0x165667B19E3779F9) + two])
         return (x ^ (x >> np.uint64(29))) * _GOLD
 
-    def batches(self) -> Iterator[tuple[slice, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
-        """(tokens, for each level: feature rows, prefixes, choices), BATCH tokens at a time."""
+    def batches(self) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(level, tokens, feature rows, prefixes, choices), BATCH tokens at a time. Levels have weights of their own, so a
+        window's tokens go through one level after the other, whose table then stays in the processor's cache."""
         for a in range(0, len(self.codes), WINDOW):
             z = min(a + WINDOW, len(self.codes))
             context, leaves = self._context(a, z), self.leaf[self.codes[a:z]]
-            levels = []
             for k in range(LEVELS):
                 path = leaves // WIDTH ** (LEVELS - k - 1)
                 prefix = path // WIDTH
-                rows = ((context ^ (prefix.astype(np.uint64) << np.uint64(8))) * _GOLD) >> np.uint64(64 - BITS)
-                levels.append((rows.astype(np.uint16), prefix.astype(np.uint16), path % WIDTH))
-            for i in range(0, z - a, BATCH):
-                j = min(i + BATCH, z - a)
-                yield slice(a + i, a + j), [(rows[:, i:j], prefix[i:j], choice[i:j]) for rows, prefix, choice in levels]
+                rows = (((context ^ (prefix.astype(np.uint64) << np.uint64(8))) * _GOLD) >> np.uint64(64 - BITS)).astype(np.uint16)
+                prefix, choice = prefix.astype(np.uint16), path % WIDTH
+                for i in range(0, z - a, BATCH):
+                    j = min(i + BATCH, z - a)
+                    yield k, slice(a + i, a + j), rows[:, i:j], prefix[i:j], choice[i:j]
 
 
 class Model:
@@ -232,10 +232,9 @@ class Model:
     def logs(self, t: Tokens, v: Vocabulary) -> np.ndarray:
         """Natural log of P(leaf | context) for each token."""
         out = np.zeros(len(t.codes))
-        for at, levels in t.batches():
-            for k, (rows, prefix, choice) in enumerate(levels):
-                x, total = self.powers(k, rows, prefix, v)
-                out[at] += np.log(x[np.arange(len(x)), choice]) - np.log(total)
+        for k, at, rows, prefix, choice in t.batches():
+            x, total = self.powers(k, rows, prefix, v)
+            out[at] += np.log(x[np.arange(len(x)), choice]) - np.log(total)
         return out
 
 
@@ -272,13 +271,12 @@ class Trainer:
 
     def learn(self, t: Tokens, v: Vocabulary) -> None:
         self.tokens += len(t.codes)
-        for _, levels in t.batches():
-            for k, (rows, prefix, choice) in enumerate(levels):
-                g, total = self.model.powers(k, rows, prefix, v)
-                g /= total[:, None]
-                g[np.arange(len(g)), choice] -= 1
-                self._step(2 * k, rows, g)
-                self._step(2 * k + 1, prefix, g)
+        for k, _, rows, prefix, choice in t.batches():
+            g, total = self.model.powers(k, rows, prefix, v)
+            g /= total[:, None]
+            g[np.arange(len(g)), choice] -= 1
+            self._step(2 * k, rows, g)
+            self._step(2 * k + 1, prefix, g)
 
 
 BLOCK = 1 << 17
@@ -359,21 +357,23 @@ def score(df: DataFrame, held_out, text_col: str = "text", id_col: str = "doc_id
             for texts in groups(batch.column(1)):
                 t = Tokens(texts, v, index)
                 logs = model.logs(t, v) / math.log(10)
-                known = t.known[t.codes]
-                halves, seen = np.zeros(len(known)), known >= 0
+                # what a distinct word adds to its tokens' sums
+                is_known = t.known >= 0
+                half, share = np.zeros(len(t.words)), np.zeros(len(t.words))
                 if len(v.words):
-                    halves[seen] = v.log_half[known[seen]]
-                leaves = t.leaf[t.codes]
-                in_tail = leaves >= HEAD
-                logs[in_tail] += halves[in_tail] - v.log_leaf[leaves[in_tail] - HEAD]
-                sums = [np.add.reduceat(x, t.starts) for x in (np.ones(len(logs)), seen.astype(float), halves, logs)]
+                    half[is_known] = v.log_half[t.known[is_known]]
+                in_tail = t.leaf >= HEAD
+                share[in_tail] = half[in_tail] - v.log_leaf[t.leaf[in_tail] - HEAD]
+                logs += share[t.codes]
+                seen = is_known[t.codes]
+                sums = [np.diff(t.starts, append=len(logs)), *(np.add.reduceat(x, t.starts) for x in (seen.astype(np.int64), half[t.codes], logs))]
                 rare = np.flatnonzero(~seen)
                 row = np.searchsorted(t.starts, rare, side="right") - 1
                 pairs, times = np.unique(row * len(t.words) + t.codes[rare], return_counts=True)
                 sizes = np.searchsorted(pairs, np.arange(len(texts) + 1) * len(t.words))
                 words = [t.words[i] for i in (pairs % len(t.words)).tolist()]
                 held = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]), held], ["row", "n_tokens", "n_seen", "halves", "logs", "rare"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]), pa.array(sums[3]), held], ["row", "n_tokens", "n_seen", "halves", "logs", "rare"])
                 at += len(texts)
 
     schema = "row struct<id:{},held_out:boolean>, n_tokens long, n_seen long, halves double, logs double, rare array<struct<word:binary,n:bigint>>".format(df.schema[id_col].dataType.simpleString())
