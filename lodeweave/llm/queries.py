@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, langid, lm, mixing, neardup, packing, pii, quality, secrets, tokenbin, topk
+from . import divergence, gam, langid, lm, mixing, neardup, packing, pii, quality, secrets, tokenbin, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gam.described(_table(spark, sf_dir, "documents").select("doc_id", _held_out(5, 0).alias("held_out"), "text"))
+    labels = _table(spark, sf_dir, "labels").where(~_held_out(5, 0)).select("doc_id", F.col("quality").alias("label"))
+    scored = gam.score(found, gam.learn(found, labels))
+    return scored.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
