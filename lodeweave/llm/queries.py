@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, gam, langid, lm, mixing, neardup, packing, pii, quality, secrets, tokenbin, topk
+from . import divergence, gam, langid, lm, mixing, neardup, packing, pii, quality, secrets, tokenbin, topk, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,10 @@ def op12_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.branched(trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -179,6 +183,24 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.valu
 SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 50
 """
 
+_TRIE_SQL = """
+WITH r AS (SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS label, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'label': label, 'chars': chars} ORDER BY turn NULLS FIRST, label) AS t FROM r GROUP BY conv_id),
+h AS (SELECT conv_id, t, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: [ascii(substr(conv_id::VARCHAR, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 6 AS h FROM own),
+b AS (SELECT h.conv_id, list_concat(coalesce(o.t[1:h.h], []), h.t[h.h + 1:]) AS t FROM h LEFT JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 100),
+s AS (SELECT conv_id, list_transform(t, lambda x: x.label) AS l, list_transform(t, lambda x: x.chars) AS c FROM b),
+x AS (SELECT conv_id, l, c, unnest(range(0, len(l) + 1)) AS d FROM s),
+g AS (SELECT array_to_string(l[1:d], '') AS p, d, min(conv_id) AS conv_id, count(*) AS n, any_value(CASE WHEN d > 0 THEN c[d] ELSE 0 END) AS chars,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(l) = d), '')) AS ends FROM x GROUP BY ALL),
+k AS (SELECT left(p, 32 * (d::INT - 1)) AS p, count(*) AS k FROM g WHERE d > 0 GROUP BY 1),
+m AS (SELECT g.*, coalesce(k.k, 0) AS k FROM g LEFT JOIN k ON k.p = g.p),
+u AS (SELECT p, k, n, chars, unnest(range(0, d + 1)) AS e FROM m),
+t AS (SELECT left(p, 32 * e::INT) AS p, sum((k = 0)::INT) AS leaves, sum((n - 1) * chars) AS saved FROM u GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n AS n_convs, m.k AS n_children, t.leaves::BIGINT AS n_leaves, t.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN t ON t.p = m.p LEFT JOIN m q ON m.d > 0 AND q.p = left(m.p, 32 * (m.d::INT - 1))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": _TOPK_SQL, "op6_neardup": _NEARDUP_SQL, "op7_quality": _QUALITY_SQL, "op9_mixing": _MIXING_SQL, "op11_divergence": _DIVERGENCE_SQL}
+    return {"op1_topk": _TOPK_SQL, "op6_neardup": _NEARDUP_SQL, "op7_quality": _QUALITY_SQL, "op9_mixing": _MIXING_SQL, "op11_divergence": _DIVERGENCE_SQL, "op13_trie": _TRIE_SQL}
