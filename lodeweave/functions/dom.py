@@ -1,8 +1,10 @@
 """A small DOM on the standard library's parser: end tags close the nearest open tag of that name, nothing else closes
-anything, void elements hold nothing, the end of the input closes all."""
+anything, void elements hold nothing, the end of the input closes all. Pages may nest as deep as they like: no function
+recurses, and parsing takes steps in proportion to the page."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -12,12 +14,12 @@ UNSEEN = frozenset("script style noscript iframe template".split())
 
 
 class Node:
-    """An element; children are nodes and strings."""
+    """An element; children are nodes and strings, heading tells whether it holds one of the first three levels."""
 
-    __slots__ = ("attrs", "children", "name", "parent")
+    __slots__ = ("attrs", "children", "heading", "name", "parent")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: Node | None):
-        self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
+        self.name, self.attrs, self.parent, self.children, self.heading = name, attrs, parent, [], False
 
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order."""
@@ -74,22 +76,36 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: Counter[str] = Counter()
+
+    def _close(self, node: Node) -> None:
+        """Close node and all that is open in it."""
+        while self.at is not node:
+            self.open[self.at.name] -= 1
+            self.at = self.at.parent
+        self.open[node.name] -= 1
+        self.at = node.parent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
+        if tag in ("h1", "h2", "h3"):
+            above = self.at
+            while above is not None and not above.heading:
+                above.heading, above = True, above.parent
         if tag not in VOID:
+            self.open[tag] += 1
             self.at = node
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag: str) -> None:
-        node: Node | None = self.at
-        while node is not None and node.name != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        if self.open[tag] > 0:
+            node = self.at
+            while node.name != tag:
+                node = node.parent
+            self._close(node)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)

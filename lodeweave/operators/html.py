@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
+from itertools import islice
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeweave.functions import urls
-from lodeweave.functions.dom import Node, parse
+from lodeweave.functions.dom import UNSEEN, Node, parse
 
 _S, _L = T.StringType(), T.LongType()
 _ICON = T.StructType([T.StructField("url", _S), T.StructField("size", _L), T.StructField("kind", _L), T.StructField("pos", _L)])
@@ -37,6 +38,7 @@ PAGE = T.StructType([
 CHALLENGE_TITLES = ("just a moment", "checking your browser", "checking the site connection security", "attention required", "security check", "robot check")
 # Endings of media files.
 MEDIA_ENDINGS = {"image": ("jpg", "jpeg", "png", "webp", "gif", "svg", "avif"), "video": ("mp4", "webm", "mov", "m4v"), "audio": ("mp3", "wav", "ogg", "m4a")}
+# Words of a text that is no description; kinds of icons by their weight.
 _FURNITURE = re.compile(r"\b(cookie|privacy|newsletter|subscribe|javascript|browser|rights reserved|copyright|terms of service)\b", re.IGNORECASE)
 _SIZED = re.compile(r"[-_](\d{2,4})(?:x(\d{2,4}))?\.(?:png|jpe?g|webp|ico|svg)", re.IGNORECASE)
 _ICON_KINDS = (("android", 4), ("apple-touch", 3), ("icon", 2), ("shortcut", 1))
@@ -71,6 +73,8 @@ IMAGE_ATTRIBUTES = (
 # Weights of large versions, of a thumbnail's large name; the two names; parents that are looked at.
 LARGE_WEIGHT, RENAMED_WEIGHT, THUMBNAIL, ENLARGED = 3000, 2500, ".550x550_", ".1140x1140_"
 IMAGE_PARENTS = ("picture", "div", "a", "figure")
+#: Parents that an image is looked up in.
+CLIMB = 64
 # Containers of content, of furniture, and words of addresses of furniture.
 MEDIA_BOXES = ("main", "article", ".gallery", ".product-gallery", ".hero", ".main-content", "#main-content")
 MEDIA_CHROME, CHROME_WORDS = ("nav", "footer"), ("social", "whatsapp", "wechat", "facebook", "twitter", "instagram", "icon", "logo", "shuffle", "snake", "menu", "arrow", "chevron")
@@ -88,6 +92,18 @@ def widths(srcset: str | None) -> list[tuple[int, str]]:
     return found
 
 
+def _outermost(root: Node, inside: Callable[[Node], bool], outside: tuple[str, ...] = ()) -> Iterator[Node]:
+    """Elements that `inside` holds for and that stand in none of that kind, nor in elements named in `outside`."""
+    stack = list(reversed(root.children))
+    while stack:
+        n = stack.pop()
+        if isinstance(n, Node):
+            if inside(n):
+                yield n
+            elif n.name not in outside:
+                stack += reversed(n.children)
+
+
 def best_image(n: Node) -> str | None:
     """The address of an image's best version: of srcsets the widest, of attributes for large versions, the element's own
     before its parents'; else its plain source, an address in its settings, or its background."""
@@ -97,7 +113,7 @@ def best_image(n: Node) -> str | None:
     if THUMBNAIL in a.get("src", ""):
         found.append((RENAMED_WEIGHT, a["src"].replace(THUMBNAIL, ENLARGED)))
     if n.name == "img":
-        for parent in n.ancestors():
+        for parent in islice(n.ancestors(), CLIMB):
             if parent.name not in IMAGE_PARENTS:
                 break
             if parent.name == "picture":
@@ -177,19 +193,17 @@ def _media(root: Node, base: str) -> list[dict]:
         classes = n.attrs.get("class", "").split()
         return any(n.name == m or (m[0] == "." and m[1:] in classes) or (m[0] == "#" and n.attrs.get("id") == m[1:]) for m in MEDIA_BOXES)
 
-    in_chrome = lambda n: any(x.name in MEDIA_CHROME for x in n.ancestors())
     found: dict[str, dict] = {}
-    for box in root.walk():
-        if is_box(box) and not in_chrome(box):
-            for url, m in _media_of(box, base).items():
-                found.setdefault(url, m)
+    for box in _outermost(root, is_box, MEDIA_CHROME):
+        for url, m in _media_of(box, base).items():
+            found.setdefault(url, m)
     if found:
         head = root.first("head")
         for url, m in (_media_of(head, base) if head else {}).items():
             found.setdefault(url, m)
     else:
         found = _media_of(root, base)
-        chrome = {u for n in root.find(*MEDIA_CHROME) for u in _media_of(n, base)}
+        chrome = {u for n in _outermost(root, lambda n: n.name in MEDIA_CHROME) for u in _media_of(n, base)}
         found = {u: m for u, m in found.items() if u not in chrome} or found
     plain = {u: m for u, m in found.items() if not any(w in u.lower().rsplit("/", 1)[-1] for w in CHROME_WORDS)}
     return list(plain.values())
@@ -235,10 +249,12 @@ def read_page(html: str | None, url: str | None) -> dict:
             size = icon_size(a.get("sizes"), href) or (192 if kind == 4 else 180 if kind == 3 else 0)
             icons.append({"url": urljoin(base, href), "size": size, "kind": kind, "pos": i})
     body = root.first("body") or root
-    lead = next((t for box in map(root.first, ("main", "article")) if box for t in (p.text() for p in box.find("p")) if len(t) >= 20), None)
-    long_text = next((t for t in (p.text(" ") for p in root.find("p", "h1", "h2", "h3", "h4", "h5")) if 80 <= len(t) <= 1000 and not _FURNITURE.search(t)), None)
+    lengths = _lengths(root)
+    lead = next((p.text() for box in map(root.first, ("main", "article")) if box for p in box.find("p") if lengths[id(p)] >= 20), None)
+    short = (p.text(" ") for p in root.find("p", "h1", "h2", "h3", "h4", "h5") if 0 < lengths[id(p)] <= 1000)
+    long_text = next((t for t in short if 80 <= len(t) <= 1000 and not _FURNITURE.search(t)), None)
     crumb = next((n for n in root.walk() if n.has("breadcrumb")), None)
-    items = [x.text() for x in crumb.find("li", "span", "a")] if crumb else []
+    items = list(crumb.find("li", "span", "a")) if crumb else []
     title, page = root.first("title"), root.first("html")
     return {
         "title_tag": title.text(" ") if title else None,
@@ -251,12 +267,12 @@ def read_page(html: str | None, url: str | None) -> dict:
         "geo_place": metas.get("geo.placename"),
         "lead": lead,
         "long_text": long_text,
-        "breadcrumb": items[-1] if items else None,
+        "breadcrumb": items[-1].text() if items else None,
         "sku_meta": next((metas[k] for k in ("product:retailer_item_id", "og:upc", "sku") if metas.get(k)), None),
         "text": body.text(" "),
-        "text_len": len(body.text()),
+        "text_len": lengths[id(body)],
         "n_img": sum(1 for _ in root.find("img")),
-        "h1": [t for t in (h.text(" ") for h in root.find("h1")) if t],
+        "h1": [t for t in (h.text(" ") for h in _outermost(root, lambda n: n.name == "h1")) if t],
         "hrefs": [n.attrs["href"].strip() for n in root.find("a") if n.attrs.get("href", "").strip()],
         "jsonld": [x for n in root.find("script") if n.attrs.get("type") == "application/ld+json" for x in ld_items(n.raw())],
         "icons": icons,
@@ -411,7 +427,7 @@ def _skipped(n: Node) -> bool:
     if n.name in ("img", "body", "html", "main", "article"):
         return False
     if n.name in _DROPPED:
-        return not (n.name == "header" and n.first("h1", "h2", "h3") is not None)
+        return not (n.name == "header" and n.heading)
     style = n.attrs.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style or "hidden" in n.attrs or n.has("hidden-desktop"):
         return True
@@ -420,97 +436,213 @@ def _skipped(n: Node) -> bool:
     return n.has(*FURNITURE_MARKS)
 
 
+#: Marks around inline elements.
+_MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+#: Quotes and lists nest so deep; what lies deeper stands at this level.
+NEST = 16
+
+
+class _Inline:
+    """Inline Markdown as it is met. White space in marked elements is folded, and dropped at their ends; an element without
+    content leaves its white space only."""
+
+    def __init__(self) -> None:
+        self.out: list[str] = []
+        # open elements: [mark before, mark after, white space waits, something was written, white space seen]
+        self.frames: list[list] = []
+        self.started = 0  # elements whose mark is written, the outermost ones
+
+    def open(self, before: str, after: str) -> None:
+        self.frames.append([before, after, False, False, []])
+
+    def add(self, text: str) -> None:
+        if not self.frames:
+            self.out.append(text)
+            return
+        words, top = text.split(), self.frames[-1]
+        if not words:
+            top[2] = top[2] or bool(text)
+            top[4].append(text)
+            return
+        top[2] = top[2] or text[0].isspace()
+        for i in range(self.started, len(self.frames)):
+            if i:
+                self._gap(self.frames[i - 1])
+            self.out.append(self.frames[i][0])
+        self.started = len(self.frames)
+        self._gap(top)
+        self.out.append(" ".join(words))
+        top[2] = text[-1].isspace()
+
+    def _gap(self, frame: list) -> None:
+        if frame[2] and frame[3]:
+            self.out.append(" ")
+        frame[2], frame[3] = False, True
+
+    def close(self) -> None:
+        _, after, _, _, blank = self.frames.pop()
+        if self.started > len(self.frames):
+            self.started = len(self.frames)
+            self.out.append(after)
+        elif self.frames:
+            self.frames[-1][2] = self.frames[-1][2] or bool(blank)
+            self.frames[-1][4] += blank
+        else:
+            self.out += blank
+
+
 def _inline(n: Node, base: str) -> str:
-    out = []
-    for c in n.children:
-        if isinstance(c, str):
-            out.append(c)
-        elif c.name == "br":
-            out.append("\n")
-        elif c.name == "img":
-            src = c.attrs.get("src") or c.attrs.get("data-src") or ""
-            if src and not src.startswith("data:"):
-                out.append(f"![{c.attrs.get('alt', '')}]({urljoin(base, src)})")
-        elif not _skipped(c):
-            inner = _inline(c, base)
-            flat = re.sub(r"\s+", " ", inner).strip()
-            if c.name == "a" and flat and c.attrs.get("href"):
-                out.append(f"[{flat}]({urljoin(base, c.attrs['href'])})")
-            elif c.name in ("b", "strong") and flat:
-                out.append(f"**{flat}**")
-            elif c.name in ("i", "em") and flat:
-                out.append(f"*{flat}*")
-            elif c.name == "code" and flat:
-                out.append(f"`{flat}`")
-            else:
-                out.append(inner)
-    return "".join(out)
+    """What stands in n as inline Markdown."""
+    text, stack = _Inline(), [(iter(n.children), False)]
+    while stack:
+        children, marked = stack[-1]
+        for c in children:
+            if isinstance(c, str):
+                text.add(c)
+            elif c.name == "br":
+                text.add("\n")
+            elif c.name == "img":
+                src = c.attrs.get("src") or ""
+                src = best_image(c) or ("" if src.startswith("data:") else src)
+                if src:
+                    text.add(f"![{c.attrs.get('alt', '')}]({urljoin(base, src)})")
+            elif not _skipped(c):
+                link = c.name == "a" and c.attrs.get("href")
+                mark = _MARKS.get(c.name)
+                if link:
+                    text.open("[", f"]({urljoin(base, link)})")
+                elif mark:
+                    text.open(mark, mark)
+                stack.append((iter(c.children), bool(link or mark)))
+                break
+        else:
+            if marked:
+                text.close()
+            stack.pop()
+    return "".join(text.out)
 
 
 def _flat(n: Node, base: str) -> str:
     return re.sub(r"[ \t\r\n]+", " ", _inline(n, base)).strip()
 
 
-def _blocks(n: Node, base: str, depth: int = 0) -> Iterator[str]:
-    loose: list[str | Node] = []
+def _box(children: list[str | Node]) -> Node:
+    box = Node("p", {}, None)
+    box.children = children
+    return box
 
-    def flush() -> Iterator[str]:
-        if loose:
-            box = Node("p", {}, None)
-            box.children = list(loose)
-            loose.clear()
-            if text := _flat(box, base):
-                yield text
 
-    for c in n.children:
-        if isinstance(c, str) or c.name in ("a", "b", "strong", "i", "em", "code", "img", "br", "small", "u"):
-            loose.append(c)
-            continue
-        yield from flush()
-        if _skipped(c):
+def _list(node: Node, base: str) -> str:
+    """A list and the lists in its items, a line per item."""
+    lines: list[str] = []
+    items = lambda x: (c for c in x.children if isinstance(c, Node) and c.name == "li")
+    stack = [[items(node), node.name, 0, 0]]
+    while stack:
+        li = next(stack[-1][0], None)
+        if li is None:
+            stack.pop()
             continue
-        if re.fullmatch("h[1-6]", c.name):
-            if text := _flat(c, base):
-                yield f"{'#' * int(c.name[1])} {text}"
-        elif c.name in ("ul", "ol"):
-            lines, number = [], 0
-            for li in (x for x in c.children if isinstance(x, Node) and x.name == "li"):
-                number += 1
-                inner = [x for x in li.children if isinstance(x, Node) and x.name in ("ul", "ol")]
-                li.children = [x for x in li.children if x not in inner]
-                if text := _flat(li, base):
-                    lines.append(f"{'  ' * depth}{'-' if c.name == 'ul' else f'{number}.'} {text}")
-                for x in inner:
-                    box = Node("", {}, None)
-                    box.children = [x]
-                    lines += list(_blocks(box, base, depth + 1))
-            if lines:
-                yield "\n".join(lines)
-        elif c.name == "blockquote":
-            if text := "\n".join(_blocks(c, base)):
-                yield "\n".join(f"> {line}" for line in text.split("\n"))
-        elif c.name == "pre":
-            yield f"```\n{c.raw().strip(chr(10))}\n```"
-        elif c.name == "table":
-            rows = [[_flat(x, base).replace("|", r"\|") for x in tr.find("td", "th")] for tr in c.find("tr")]
-            rows = [r for r in rows if r]
-            if rows and not (rows[0] and rows[0][0] in ("Meta contents", "Meta Content", "Informazioni meta")):
-                width = max(map(len, rows))
-                lines = [f"| {' | '.join(r + [''] * (width - len(r)))} |" for r in rows]
-                yield "\n".join([lines[0], "|" + "---|" * width, *lines[1:]])
-        elif c.name in _BLOCKS:
-            yield from _blocks(c, base, depth)
-        elif text := _flat(c, base):
-            yield text
-    yield from flush()
+        stack[-1][2] += 1
+        _, kind, number, depth = stack[-1]
+        inner = [x for x in li.children if isinstance(x, Node) and x.name in ("ul", "ol")]
+        if text := _flat(_box([x for x in li.children if not (isinstance(x, Node) and x.name in ("ul", "ol"))]), base):
+            lines.append(f"{'  ' * min(depth, NEST)}{'-' if kind == 'ul' else f'{number}.'} {text}")
+        stack += [[items(x), x.name, 0, depth + 1] for x in reversed(inner) if not _skipped(x)]
+    return "\n".join(lines)
+
+
+def _cells(table: Node) -> list[list[Node]]:
+    """The rows of a table and their cells, those of tables inside left to their cells."""
+    rows, stack = [], [iter(table.children)]
+    while stack:
+        c = next(stack[-1], None)
+        if c is None:
+            stack.pop()
+        elif isinstance(c, Node):
+            if c.name == "tr":
+                rows.append([])
+            if c.name in ("td", "th"):
+                if rows:
+                    rows[-1].append(c)
+            elif c.name != "table":
+                stack.append(iter(c.children))
+    return [r for r in rows if r]
+
+
+def _table(node: Node, base: str) -> str:
+    rows = [[_flat(x, base).replace("|", r"\|") for x in r] for r in _cells(node)]
+    if not rows or (rows[0] and rows[0][0] in ("Meta contents", "Meta Content", "Informazioni meta")):
+        return ""
+    width = max(map(len, rows))
+    lines = [f"| {' | '.join(r + [''] * (width - len(r)))} |" for r in rows]
+    return "\n".join([lines[0], "|" + "---|" * width, *lines[1:]])
+
+
+def _blocks(n: Node, base: str) -> list[str]:
+    """The blocks of Markdown that n's children make."""
+    top: list[str] = []
+    # open elements: children to come, inline ones that wait, where blocks go, quotes around it, whether it is a quote of its own
+    stack: list[list] = [[iter(n.children), [], top, 0, False]]
+
+    def flush(frame: list) -> None:
+        if frame[1] and (text := _flat(_box(frame[1]), base)):
+            frame[2].append(text)
+        frame[1] = []
+
+    while stack:
+        frame = stack[-1]
+        children, _, out, quotes, quoted = frame
+        for c in children:
+            if isinstance(c, str) or c.name in ("a", "b", "strong", "i", "em", "code", "img", "br", "small", "u"):
+                frame[1].append(c)
+                continue
+            flush(frame)
+            if _skipped(c):
+                continue
+            if c.name in _BLOCKS or (c.name == "blockquote" and quotes >= NEST):
+                stack.append([iter(c.children), [], out, quotes, False])
+                break
+            if c.name == "blockquote":
+                stack.append([iter(c.children), [], [], quotes + 1, True])
+                break
+            if re.fullmatch("h[1-6]", c.name):
+                text = _flat(c, base)
+                text = text and f"{'#' * int(c.name[1])} {text}"
+            elif c.name in ("ul", "ol"):
+                text = _list(c, base)
+            elif c.name == "pre":
+                text = f"```\n{c.raw().strip(chr(10))}\n```"
+            elif c.name == "table":
+                text = _table(c, base)
+            else:
+                text = _flat(c, base)
+            if text:
+                out.append(text)
+        else:
+            flush(frame)
+            stack.pop()
+            if quoted and (text := "\n".join(out)):
+                stack[-1][2].append("\n".join(f"> {line}" for line in text.split("\n")))
+    return top
+
+
+def _lengths(root: Node) -> dict[int, int]:
+    """id of each element -> length of its text(), all in one pass from the leaves up."""
+    order = [root, *root.walk()]
+    found = {id(n): sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in order}
+    for n in reversed(order):
+        if n.parent is not None and n.name not in UNSEEN:
+            found[id(n.parent)] += found[id(n)]
+    return found
 
 
 def to_markdown(html: str | None, url: str | None) -> str:
     """The main part of a page as Markdown: its richest container, without furniture and hidden parts."""
     root = parse(html)
     boxes = [n for n in root.walk() if n.name in ("main", "article") or n.attrs.get("role") == "main" or n.attrs.get("id") in ("main-content", "content") or n.attrs.get("class", "").split()[:1] in (["content"], ["main-content"], ["entry-content"], ["page-content"], ["post-content"])]
-    best = max(boxes, key=lambda n: len(n.text()), default=None)
-    box = best if best is not None and (len(best.text()) > 40 or best.first("img")) else root.first("body") or root
+    lengths = _lengths(root)
+    best = max(boxes, key=lambda n: lengths[id(n)], default=None)
+    box = best if best is not None and (lengths[id(best)] > 40 or best.first("img")) else root.first("body") or root
     blocks: list[str] = []
     for b in _blocks(box, url or ""):
         if not blocks or blocks[-1] != b:
