@@ -63,7 +63,8 @@ def _parts(text: str) -> Iterator[str]:
     while at < len(text):
         end = at + PART
         if end < len(text):
-            gap = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+            gap = text.rfind("\n", at + PART // 2, end)
+            gap = gap if gap >= 0 else text.rfind(" ", at, end)
             end = gap + 1 if gap > at else end
         yield text[at:end]
         at = end

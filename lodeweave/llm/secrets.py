@@ -7,7 +7,8 @@ The battery looks at every other run of 16 or more characters of [A-Za-z0-9+/_=-
 the run is parted at '=', those parts at '/', and at the characters of either base64 alphabet that the other lacks; each
 of all these is also taken without a leading key name or path of plain words. Every part of 16 or more characters is a
 candidate of its own and counts as a test of its own. Of accepted candidates that lie in each other the longest is
-reported. The smallest of hex, base32, base36 and base64 that fits is its inferred encoding.
+reported; stretches of the two base64 alphabets may overlap without one lying in the other (a_b/c holds a_b and b/c), and
+then both are. The smallest of hex, base32, base36 and base64 that fits is its inferred encoding.
 
 Three statistics are taken of a candidate: chi-squared of the symbol counts against an even alphabet, runs above and below
 the alphabet's middle (Wald-Wolfowitz), and lag-one serial correlation. The null hypothesis is written text, as this
@@ -21,7 +22,8 @@ within each class of encoding and length, counted over the whole table: p values
 number) summed, and each class's threshold read off.
 
 Texts are read twice, for pairs (128 x 128 numbers reach the driver) and for spans and p values. Columns: find() keeps
-df's columns, text aside, in the struct `row`, so no name clashes. Cases: a null or empty text has no spans; ids may
+df's columns, text aside, in the struct `row`, so no name clashes. Overlaps are told by bisection and running ends, so a
+text of a million finds takes a million steps. Cases: a null or empty text has no spans; ids may
 be null or repeated, each row is scanned alone; an empty table gives an empty result.
 """
 
@@ -29,7 +31,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from statistics import NormalDist
 
 import numpy as np
@@ -38,7 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, let
+from .pii import running
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api")
@@ -192,7 +197,8 @@ def parts(run: str) -> list[tuple[int, int]]:
 
 
 def scan(text: str, null: Null) -> tuple[list[tuple], list[tuple]]:
-    """(base spans, candidates): (start, order, end, kind) and (start, end, class, p) in code points, ends exclusive."""
+    """(base spans, candidates): (start, order, end, kind) and (start, end, class, p) in code points, ends exclusive; candidates by
+    start, of equal starts the longest first."""
     base, cands = [], []
     low = text.lower()
     if any(h in low for h in ASSIGN_HINTS):
@@ -201,12 +207,16 @@ def scan(text: str, null: Null) -> tuple[list[tuple], list[tuple]]:
         base += [(m.start(), 1, m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     base += [(m.start(), 2, m.end(), "hex") for m in HEX.finditer(text)]
     base.sort()
+    # a candidate overlaps a base span if one that starts before its end reaches beyond its start
+    starts, reach = [s for s, _, _, _ in base], list(accumulate((e for _, _, e, _ in base), max))
     for m in RUN.finditer(text):
         for start, end in parts(m[0]):
             got = battery(m[0][start:end], null)
             start, end = m.start() + start, m.start() + end
-            if got and not any(s < end and start < e for s, _, e, _ in base):
+            earlier = bisect_left(starts, end)
+            if got and not (earlier and reach[earlier - 1] > start):
                 cands.append((start, end, *got))
+    cands.sort(key=lambda c: (c[0], -c[1]))
     return base, cands
 
 
@@ -274,8 +284,9 @@ def find(df: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame:
     else:
         accepted = F.filter("cands", lambda c: c["p"] <= F.coalesce(F.try_element_at(limit, c["cls"]), F.lit(-1.0)))
     scanned = scanned.withColumn("cands", accepted)
-    inside = lambda c, o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (c["end"] - c["start"] < o["end"] - o["start"])
-    outer = F.filter("cands", lambda c: ~F.exists("cands", lambda o: inside(c, o)))
+    # candidates are ordered so that one lies inside another if an earlier one reaches as far
+    ends = running(F.transform("cands", lambda c: c["end"]), -1, F.greatest)
+    outer = let(ends, lambda before: F.filter("cands", lambda c, i: F.get(before, i) < c["end"]))
     added = F.transform(outer, lambda c: F.struct(c["start"].alias("start"), F.lit(_ORDER["random"]).alias("ord"), c["end"].alias("end"), F.lit("random").alias("kind")))
     return scanned.select("row", "base", F.sort_array(F.concat("base", added)).alias("spans"))
 

@@ -4,8 +4,8 @@ Both supported families (byte-level BPE, and word-end BPE that drops white space
 units and then merge each unit on its own. Here the cut is made by a regular expression and each distinct
 unit is merged once per worker by the library's BPE model. That holds for texts of printable ASCII, Latin-1
 letters, blanks and line ends; any other text, and any other tokenizer, goes through the library's whole
-encoder. The ids are those of ``encode(text, add_special_tokens=False)`` with special tokens read as
-ordinary text.
+encoder, and so does a text that holds the string of an added token (such as the end-of-text mark). The ids are those of
+``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``, which reads such a string as that token.
 
 ``encode_column`` does a whole Arrow column: Arrow's kernels cut the plain texts at blanks and line ends and number the
 distinct pieces, Python sees each distinct piece of a group of texts once, and numpy lays out the ids.
@@ -35,6 +35,8 @@ _PART, _PART_ID = "\r", 2**32 - 1
 _ARROW_PLAIN, _ARROW_RUN = r"\A[ \n!-~À-ÖØ-öø-ÿ]*\z", r"[ \n][ \n]"
 #: Bytes of texts that are encoded together, about.
 _GROUP = 4_000_000
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte -> the printable character that stands for it in byte-level vocabularies."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -140,7 +142,6 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = json.dumps(spec.get("pre_tokenizer") or {})
@@ -150,6 +151,10 @@ class Encoder:
         self.direct = self.lower or byte_level
         pattern = _END_UNITS if self.lower else _BYTE_UNITS
         self.find = pattern.findall
+        # strings that the library takes out before it cuts; compared without case where the vocabulary is
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE if self.lower else 0).search
+        self.arrow_added = added
         self.units = _Units(self.tokenizer.model, most)
         self.pieces = _Pieces(self.units, pattern, most)
 
@@ -159,7 +164,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of one text, four bytes each."""
-        if not (self.direct and _PLAIN.match(text)):
+        if not (self.direct and _PLAIN.match(text)) or self.added(text):
             return self.whole(text)
         ids, _ = self.units.ids(self.units.numbers(self.find(text.lower() if self.lower else text)))
         return ids.tobytes()
@@ -187,6 +192,8 @@ class Encoder:
             plain = pc.match_substring_regex(texts, _ARROW_PLAIN)
             if not self.lower:  # the cut between blanks depends on what follows them
                 plain = pc.and_not(plain, pc.match_substring_regex(texts, _ARROW_RUN))
+            for content in self.arrow_added:
+                plain = pc.and_not(plain, pc.match_substring(texts, content, ignore_case=self.lower))
             direct = plain.to_numpy(zero_copy_only=False)
         if direct.all():
             return self._direct(texts)

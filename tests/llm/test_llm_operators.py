@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodeweave.llm import langid, lm, mixing, neardup, packing, pii, quality, queries, secrets, tokenbin, tokenization, topk
 
@@ -54,11 +55,16 @@ def test_encoder_equals_the_library(path, texts, monkeypatch):
     alphabet = "ab Z9'.\n\té<|  ñß'sd,́日"
     cases = ["", " ", "\n", "don't we'll I'M 'S x's", "<|endoftext|> x", "x²½ ªº", "A\x01B", "ΟΔΟΣ Σ", "a\x85b", "\x1c a", *list(texts.values())[:60]]
     cases += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 40))) for _ in range(800)]
-    assert [c for c in cases if encoder.encode(c) != encoder.whole(c)] == []
+    library = Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert added
+    cases += [x for t in added for x in (t, f"abc {t} def", f"a{t}{t}b", t.upper(), t[:-1], f"é {t} 日", f"{t}\n{t} ")]
+    whole = {c: np.array(library.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in cases}
+    assert [c for c in cases if encoder.encode(c) != whole[c]] == []
     monkeypatch.setattr(tokenization, "_GROUP", 3000)
     for _ in range(3):  # the second time from memory that was thinned out
         rnd.shuffle(cases)
-        assert list(encoder.encoded(pa.array(cases), b"end")) == [encoder.whole(c) + b"end" for c in cases]
+        assert list(encoder.encoded(pa.array(cases), b"end")) == [whole[c] + b"end" for c in cases]
 
 
 # 1 top-k
@@ -371,6 +377,48 @@ def test_secrets_false_discovery_against_brute_force(spark):
         assert got.get(c) == (10 ** (max(ok) / secrets.BINS) if ok else None)
 
 
+def test_secrets_of_a_very_long_text_take_linear_time(spark):
+    rnd = random.Random(5)
+    key = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    parts = [x for _ in range(50_000) for x in (key("0123456789abcdef", 20), "word", key("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 24))]
+    text = " ".join(parts)
+    null = secrets.Null(np.zeros(1 << 14))
+    began = time.perf_counter()
+    base, cands = secrets.scan(text, null)
+    assert time.perf_counter() - began < 60 and len(base) >= 50_000 and len(cands) >= 49_000
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    (found,) = secrets.find(rows).select(F.size("base").alias("n"), F.size("spans").alias("all")).collect()
+    assert time.perf_counter() - began < 120 and found.n >= 50_000 and found.all >= found.n
+
+
+def test_added_secrets_end_to_end(spark):
+    """All spans of a table against a plain reading of the rules: thresholds over all candidates, longest of nested ones."""
+    rnd = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    texts = [f"some words of plain text number {i} are here {key(rnd.choice([16, 24, 40]))} and AWS_SECRET_ACCESS_KEY={key(40)} then /hooks/{key(20)}/{key(24)} or thisisaverylongwordofletters1" for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    null = secrets.fit_null(rows)
+    scanned = [secrets.scan(t, null) for t in texts]
+    tests: dict[str, list[float]] = {}
+    for _, cands in scanned:
+        for _, _, cls, p in cands:
+            tests.setdefault(cls, []).append(max(p, 10.0**-secrets.POWERS))
+    limits = {}
+    for cls, ps in tests.items():
+        steps = [10 ** (math.ceil(math.log10(p) * secrets.BINS) / secrets.BINS) for p in ps]
+        limits[cls] = max((b for b in steps if b <= secrets.FDR * sum(x <= b for x in steps) / len(ps)), default=-1.0)
+    want = {}
+    for i, (base, cands) in enumerate(scanned):
+        taken = [(s, e) for s, e, cls, p in cands if p <= limits[cls]]
+        outer = [(s, e) for s, e in taken if not any(a <= s and e <= b and (a, b) != (s, e) for a, b in taken)]
+        spans = sorted([(s, o, e, k) for s, o, e, k in base] + [(s, 3, e, "random") for s, e in outer])
+        want[i] = ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
+    found = secrets.find(rows).select("row.doc_id", secrets.joined("spans").alias("spans")).collect()
+    assert {r.doc_id: r.spans for r in found} == want and any("random" in w for w in want.values())
+
+
 def test_secrets_edges(odd, none):
     got = secrets.find(odd)
     assert got.count() == 10 and all(r.base == [] and r.spans == [] for r in got.collect()) and secrets.find(none).count() == 0
