@@ -1,33 +1,98 @@
-"""Matching proposed labels to a taxonomy's options: exact, case aside, synonym, prefix or part, then fuzzy.
+"""Matching proposed labels to a taxonomy's options, and finding options in texts: joins on parts of words, so that neither
+labels nor options are ever collected, however many there are.
 
-The first tiers are joins; only labels that they leave over reach the fuzzy tier, an Arrow function over
-distinct labels. Options are a taxonomy's own list, so they are collected only up to MOST_OPTIONS.
+Match tiers: exact, case aside, synonym, start or part of an option, fuzzy. A part is looked up by the label's rarest three
+letters; a fuzzy match by pairs of letters that both hold. The ratio of Ratcliff and Obershelp, 2 M / L for M characters in
+matching blocks of two strings of L characters together, is at least c only if the lengths allow it and if
+
+* M >= c L / 2, and there are at most 1 + L - 2 M blocks (between two blocks a character is left out), so
+* at least 3 M - 1 - L pairs of neighbouring letters stand in both (a block of m letters has m - 1);
+
+where that bound is not above 0 (a few short lengths), single letters are looked up. Only pairs of label and option that pass are
+compared letter by letter, in Arrow batches spread over the cluster.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeweave.functions import text as tx
 
-#: Options that the fuzzy tier holds at most; more than that raises, as a taxonomy of that size is no taxonomy.
-MOST_OPTIONS = 10_000
+
+def _numbered(df: DataFrame, text: str, size: int, *keep: str) -> DataFrame:
+    """df's `keep` columns with a row per part of `size` letters of the text: `part` and `no`, how many equal ones stand before."""
+    n = F.length(text) - size + 1
+    each = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))
+    sorted_parts = df.select(*keep, F.array_sort(each).alias("__parts")).select(*keep, "__parts", F.posexplode("__parts").alias("__i", "part"))
+    return sorted_parts.select(*keep, "part", (F.col("__i") + 1 - F.array_position("__parts", F.col("part"))).cast("int").alias("no"))
+
+
+def _least_common(length: Column, cutoff: float) -> Column:
+    """M that the ratio needs for strings of this many characters together."""
+    return F.ceil(length * (cutoff / 2) - 1e-9)
+
+
+def _open_pairs(labels: DataFrame, options: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs (label, option) whose ratio may reach the cutoff: labels(label, l_len), options(option, o_len)."""
+    total = F.col("l_len") + F.col("o_len")
+    need = _least_common(total, cutoff)
+    fits = (need <= F.least("l_len", "o_len")) & (F.col("l_len") > 0)
+    reach = options.agg(F.max("o_len")).first()[0] or 0
+    labels = labels.where(F.col("l_len") <= reach * (2 - cutoff) / cutoff)  # M is at most the shorter one's length
+    pairs_needed = 3 * need - 1 - total
+    found = None
+    for size, when, least in ((2, pairs_needed > 0, pairs_needed), (1, pairs_needed <= 0, need)):
+        a = _numbered(labels, "label", size, "label", "l_len")
+        b = _numbered(options, "option", size, "option", "o_len")
+        if size == 1:  # the bound fails for short strings only: c L / 2 * 3 > L + 1 beyond
+            short = math.ceil(1 / (1.5 * cutoff - 1)) + 1 if cutoff > 2 / 3 else None
+            if short is not None:
+                a, b = a.where(F.col("l_len") <= short), b.where(F.col("o_len") <= short)
+        met = a.join(b, ["part", "no"]).where(fits & when).groupBy("label", "option", "l_len", "o_len").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        met = met.select("label", "option")
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
+@F.pandas_udf(T.DoubleType())
+def _ratio(first: pd.Series, second: pd.Series) -> pd.Series:
+    """difflib's ratio, its first string first; what its quick bounds rule out counts as 0."""
+    out, matcher, last = [], difflib.SequenceMatcher(None), None
+    for a, b in zip(first, second, strict=True):
+        if b != last:
+            matcher.set_seq2(b)
+            last = b
+        matcher.set_seq1(a)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype=float)
+
+
+def _with_parts(labels: DataFrame, lowered: DataFrame) -> DataFrame:
+    """label, option and pos of the first option that starts with a label of three letters or more, or holds one of four: looked up
+    by the label's three letters that the fewest options hold."""
+    index = lowered.select("low", "canonical", "pos", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring("low", i, F.lit(3))))).alias("part"))
+    counts = index.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    asked = labels.select("label", F.lower("label").alias("l_low")).where(F.length("l_low") >= 3)
+    parts = asked.select("label", "l_low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("l_low") - 2), lambda i: F.substring("l_low", i, F.lit(3))))).alias("part"))
+    rarest = parts.join(counts, "part", "left").groupBy("label", "l_low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("r")).where("r.n > 0").select("label", "l_low", F.col("r.part").alias("part"))
+    held = rarest.join(index, "part").where(F.startswith("low", F.col("l_low")) | ((F.length("l_low") >= 4) & F.contains("low", F.col("l_low"))))
+    return held.groupBy("label").agg(F.min(F.struct("pos", "canonical")).alias("m")).select("label", F.col("m.canonical").alias("option"))
 
 
 def match(proposed: DataFrame, options: DataFrame, synonyms: DataFrame | None = None, cutoff: float = 0.75, auto_create: bool = False) -> DataFrame:
     """proposed(id, ord, label), options(ord, option), synonyms(label, option) -> id, ord, label, option, tier (1 exact,
     2 case aside, 3 synonym, 4 start of an option from 3 letters on or part of one from 4, 5 fuzzy: first as written, then
     case aside, 6 accepted as new). Labels that match nothing are left out unless auto_create; without any options all
-    labels are accepted. Of an id's labels that meet in one option the first stays."""
+    labels are accepted. Of an id's labels that meet in one option the first stays. Of equally near options the last in
+    order of their letters wins as written, the first listed case aside."""
     opts = options.select(F.col("option"), F.col("ord").alias("o_ord")).where("trim(option) <> ''")
     labels = proposed.select(F.trim("label").alias("label")).where("label <> ''").distinct()
-    listed = [r.option for r in opts.orderBy("o_ord", "option").limit(MOST_OPTIONS + 1).collect()]
-    if len(listed) > MOST_OPTIONS:
-        raise ValueError(f"more than {MOST_OPTIONS} options")
     exact = labels.join(opts, F.col("label") == F.col("option")).select("label", "option", "o_ord", F.lit(1).alias("tier"))
     folded = labels.join(opts, F.lower("label") == F.lower("option")).select("label", "option", "o_ord", F.lit(2).alias("tier"))
     found = exact.unionByName(folded)
@@ -36,32 +101,27 @@ def match(proposed: DataFrame, options: DataFrame, synonyms: DataFrame | None =
         told = labels.join(s, F.lower("label") == F.col("s_label")).join(opts, F.lower("option") == F.col("s_option"))
         found = found.unionByName(told.select("label", "option", "o_ord", F.lit(3).alias("tier")))
     best = found.groupBy("label").agg(F.min(F.struct("tier", "o_ord", "option")).alias("m")).select("label", F.col("m.option").alias("option"), F.col("m.tier").alias("tier"))
+
+    # options case aside: listed where the first stands, written as the last is
+    lowered = opts.groupBy(F.lower("option").alias("low")).agg(F.min(F.struct("o_ord", "option")).alias("pos"), F.max_by("option", F.struct("o_ord", "option")).alias("canonical"))
     left = labels.join(best.select("label"), "label", "left_anti")
-    lowered = {}
-    for option in listed:
-        lowered[option.lower()] = option
-
-    def near(label: str) -> tuple[str | None, int | None]:
-        low = label.lower()
-        if len(low) >= 3:
-            for o, option in lowered.items():
-                if o.startswith(low) or (len(low) >= 4 and low in o):
-                    return option, 4
-        close = difflib.get_close_matches(label, listed, n=1, cutoff=cutoff)
-        if close:
-            return close[0], 5
-        ratios = [(difflib.SequenceMatcher(None, low, o).ratio(), -i, option) for i, (o, option) in enumerate(lowered.items())]
-        top = max(ratios, default=(0.0, 0, None))
-        if top[0] >= cutoff:
-            return top[2], 5
-        return (label, 6) if auto_create or not listed else (None, None)
-
-    @F.pandas_udf("option string, tier int")
-    def close_to(label: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([near(x) for x in label], columns=["option", "tier"])
-
-    rest = left.withColumn("n", close_to("label")).select("label", "n.option", "n.tier").where("option is not null")
-    rows = proposed.withColumn("label", F.trim("label")).join(best.unionByName(rest), "label")
+    parts = _with_parts(left, lowered).withColumn("tier", F.lit(4))
+    left = left.join(parts.select("label"), "label", "left_anti").withColumn("l_len", F.length("label"))
+
+    near = _open_pairs(left, opts.select("option").distinct().withColumn("o_len", F.length("option")), cutoff)
+    near = near.withColumn("r", _ratio("option", "label")).where(F.col("r") >= cutoff)
+    near = near.groupBy("label").agg(F.max(F.struct("r", "option")).alias("m")).select("label", F.col("m.option").alias("option"), F.lit(5).alias("tier"))
+    rest = left.join(near.select("label"), "label", "left_anti").select(F.lower("label").alias("label")).distinct().withColumn("l_len", F.length("label"))
+    wide = _open_pairs(rest, lowered.select(F.col("low").alias("option")).withColumn("o_len", F.length("option")), cutoff)
+    wide = wide.withColumn("r", _ratio("label", "option")).where(F.col("r") >= cutoff).join(lowered, F.col("option") == F.col("low"))
+    wide = wide.groupBy("label").agg(F.min(F.struct((-F.col("r")).alias("far"), "pos", "canonical")).alias("m")).select(F.col("label").alias("l_low"), F.col("m.canonical").alias("option"))
+    wide = left.join(near.select("label"), "label", "left_anti").join(wide, F.lower("label") == F.col("l_low")).select("label", "option", F.lit(5).alias("tier"))
+
+    chosen = best.unionByName(parts).unionByName(near).unionByName(wide)
+    rows = proposed.withColumn("label", F.trim("label")).where("label <> ''").join(chosen.withColumnRenamed("label", "__label"), F.col("label") == F.col("__label"), "left").drop("__label")
+    if auto_create or not opts.limit(1).count():
+        rows = rows.withColumn("tier", F.coalesce("tier", F.lit(6))).withColumn("option", F.coalesce("option", "label"))
+    rows = rows.where("option is not null")
     return rows.groupBy("id", "option").agg(F.min(F.struct("ord", "label", "tier")).alias("m")).select("id", F.col("m.ord").alias("ord"), F.col("m.label").alias("label"), "option", F.col("m.tier").alias("tier"))
 
 
@@ -77,9 +137,48 @@ def breadcrumb_labels(folders: DataFrame, options: dict[str, DataFrame], default
     return out
 
 
-def scan(text: Column, options: list[str], short: tuple[str, ...] = ("AI", "3D")) -> Column:
-    """Options that stand in a text as whole words, letters' case aside, in order; those under 3 letters only if listed."""
+#: Options under three letters that are looked for all the same.
+SHORT = ("AI", "3D")
+
+
+def scan(text: Column, options: list[str], short: tuple[str, ...] = SHORT) -> Column:
+    """Options that stand in a text as whole words, letters' case aside, in order; those under 3 letters only if listed. One
+    pattern per option: for a few dozen; dictionary_scan() takes any number."""
     low = F.lower(F.coalesce(text, F.lit("")))
     kept = [o for o in options if len(o) >= 3 or o in short]
     tests = [F.when(low.rlike(r"(?U)(?<!\w)\Q" + o.lower() + r"\E(?!\w)"), F.lit(o)) for o in kept]
     return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+
+
+_WORD = r"(?U)\w+"
+
+
+def dictionary_scan(df: DataFrame, id_col: str, text_col: str, options: DataFrame, short: tuple[str, ...] = SHORT, longest: int | None = None) -> DataFrame:
+    """id and `found`, the options(ord, option) that stand in the text as whole words, letters' case aside, in order of ord: what
+    scan() gives, for dictionaries of any size. Every stretch of 1 to `longest` words of a text (by default as many as the
+    longest option has), with what stands between them, is looked up in one join; marks at an option's ends are
+    compared with what stands around the stretch. Options without a letter or digit are not found; ids must differ."""
+    low = F.lower("option")
+    core = F.regexp_extract(low, r"(?Us)\w(?:.*\w)?", 0)
+    kept = options.where((F.length("option") >= 3) | F.col("option").isin(*short)).groupBy("option").agg(F.min("ord").alias("ord"))
+    at = F.instr(low, core)
+    known = kept.select("ord", "option", core.alias("core"), F.substring(low, F.lit(1), at - 1).alias("head"), F.expr("substring(lower(option), 1)").alias("low")).where("core <> ''")
+    known = known.select("ord", "option", "core", "head", F.expr("substring(low, length(head) + length(core) + 1)").alias("tail"))
+    words = F.size(F.regexp_extract_all("core", F.lit(_WORD), F.lit(0)))
+    most = longest or known.agg(F.max(words)).first()[0] or 0
+    if not most:
+        return df.select(F.col(id_col), F.array().cast("array<string>").alias("found"))
+    text = df.select(F.col(id_col).alias("__id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    cut = text.select("__id", F.regexp_extract_all("t", F.lit(_WORD), F.lit(0)).alias("w"), F.split("t", _WORD).alias("g"))
+
+    def stretches(n: int) -> Column:
+        inner = ", ".join(["w[i]"] + [x for k in range(1, n) for x in (f"g[i + {k}]", f"w[i + {k}]")])
+        row = f"named_struct('core', concat({inner}), 'before', g[i], 'first', i = 0, 'after', g[i + {n}], 'last', i + {n} = size(w))"
+        return F.expr(f"case when size(w) >= {n} then transform(sequence(0, size(w) - {n}), i -> {row}) else array() end")
+
+    each = cut.select("__id", F.explode(F.array_distinct(F.concat(*[stretches(n) for n in range(1, most + 1)]))).alias("s")).select("__id", "s.*")
+    # marks at an option's start must end what stands before, and no word may touch them
+    clear = lambda marks, around, edge, fits: (F.length(marks) == 0) | (F.expr(fits) & ((F.length(around) > F.length(marks)) | F.col(edge)))
+    met = each.join(known, "core").where(clear("head", "before", "first", "endswith(before, head)") & clear("tail", "after", "last", "startswith(after, tail)"))
+    lists = met.groupBy("__id").agg(F.transform(F.array_sort(F.collect_set(F.struct("ord", "option"))), lambda x: x["option"]).alias("found"))
+    return df.select(F.col(id_col)).join(lists, F.col(id_col) == F.col("__id"), "left").select(F.col(id_col), F.coalesce("found", F.array().cast("array<string>")).alias("found"))

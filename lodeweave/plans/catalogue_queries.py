@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeweave.operators import catalogue as cat
+from lodeweave.operators import containment
 from lodeweave.plans.registry import query, table
 
 
@@ -91,12 +92,29 @@ def dedupe_merge(spark, sf):
     return cat.merge_duplicates(c, ["site"], score, "c_nationkey", "c_custkey", ["about", "seg"])
 
 
-@query("SELECT a.n_nationkey AS large, b.n_nationkey AS small FROM (SELECT c_nationkey AS n_nationkey, list(DISTINCT c_custkey % 40) AS s FROM customer GROUP BY 1) a, (SELECT c_nationkey AS n_nationkey, list(DISTINCT c_custkey % 7) AS s FROM customer WHERE c_custkey < 60 GROUP BY 1) b WHERE list_has_all(a.s, b.s)")
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS e FROM lineitem), s AS (SELECT id, count(*) AS n, list(e ORDER BY e) AS l FROM e GROUP BY id),
+c AS (SELECT min(id) AS id, n FROM s GROUP BY n, l), r AS (SELECT e.id, e, n FROM e JOIN c ON c.id = e.id)
+SELECT a.id AS small, b.id AS large FROM r a JOIN r b ON a.e = b.e AND a.id <> b.id GROUP BY a.id, b.id, a.n HAVING count(*) = a.n""")
 def dedupe_subsumed(spark, sf):
-    c = table(spark, sf, "customer")
-    a = c.groupBy(F.col("c_nationkey").alias("large")).agg(F.collect_set(F.col("c_custkey") % 40).alias("ls"))
-    b = c.where("c_custkey < 60").groupBy(F.col("c_nationkey").alias("small")).agg(F.collect_set(F.col("c_custkey") % 7).alias("ss"))
-    return a.join(b, cat.is_subset(F.col("ss"), F.col("ls"))).select("large", "small")
+    """Orders whose parts all stand in another order, one of those with the same parts each."""
+    links = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    return containment.contained(links, links, "l_orderkey", "l_partkey")
+
+
+_RECORD = "c_custkey, c_nationkey % 5 AS site, c_mktsegment AS seg, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS number, CASE WHEN c_acctbal > 2000 THEN c_name END AS about, c_custkey % 211 = 5 AS master_flag, CASE WHEN c_acctbal > 5000 THEN 5 ELSE 0 END AS score"
+
+
+@query(f"""WITH c AS (SELECT {_RECORD} FROM customer), l AS (SELECT o_custkey, list(DISTINCT o_orderstatus) AS rel FROM orders GROUP BY 1),
+r AS (SELECT c.*, coalesce(l.rel, []) AS rel FROM c LEFT JOIN l ON o_custkey = c_custkey),
+m AS (SELECT site, seg, arg_min(c_custkey, {{'f': NOT master_flag, 's': CASE WHEN master_flag THEN 0 ELSE -score END, 'n': c_nationkey, 'k': c_custkey}}) AS master FROM (SELECT r.*, customer.c_nationkey FROM r JOIN customer USING (c_custkey)) GROUP BY site, seg HAVING count(*) > 1)
+SELECT d.c_custkey AS id, m.master, CASE WHEN (d.number IS NULL OR coalesce(d.number = x.number, false)) AND (d.about IS NULL OR x.about IS NOT NULL) AND list_has_all(x.rel, d.rel) THEN 'archive' ELSE 'link' END AS action
+FROM r d JOIN m ON m.site = d.site AND m.seg = d.seg JOIN r x ON x.c_custkey = m.master WHERE d.c_custkey <> m.master""")
+def cleanup_duplicates(spark, sf):
+    """Customers of one site and segment: archived if the group's master has all that they have, else linked with it."""
+    c = table(spark, sf, "customer").selectExpr("c_nationkey", *[x.strip() for x in _RECORD.replace("CASE", "case").split(", ")])
+    pairs = containment.masters(c, ["site", "seg"], "c_custkey", F.col("score"), "c_nationkey", "master_flag")
+    orders = table(spark, sf, "orders")
+    return containment.cleaned_up(c, "c_custkey", pairs, ["number"], ["about"], [(orders, "o_custkey", "o_orderstatus")])
 
 
 @query("""WITH s AS (SELECT o_orderkey::VARCHAR AS url, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS lastmod, CASE o_orderstatus WHEN 'P' THEN 'failed' ELSE 'completed' END AS status FROM orders WHERE o_orderkey % 3 <> 0),

@@ -73,6 +73,18 @@ def taxonomy_match(spark, sf):
     return taxonomy.match(proposed, n.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("option")))
 
 
+@query()
+def taxonomy_match_tiers(spark, sf):
+    """Part names as options; names written in other ways, parts of names, brands and type names as labels, so that every tier occurs."""
+    part = table(spark, sf, "part")
+    way, name = F.col("p_partkey") % 8, F.col("p_name")
+    less = F.concat(F.substring(name, 1, 3), F.expr("substring(p_name, 5)"))
+    label = F.when(way == 0, name).when(way == 1, F.upper(name)).when(way == 2, F.substring(name, 1, 6)).when(way == 3, F.expr("substring(p_name, 3, 6)")).when(way == 4, less).when(way == 5, F.upper(less)).when(way == 6, F.col("p_brand")).otherwise(F.col("p_type"))
+    options = part.groupBy(name.alias("option")).agg(F.min("p_partkey").alias("ord"))
+    synonyms = part.groupBy(F.col("p_brand").alias("label")).agg(F.min("p_name").alias("option")).where("label like '%1'")
+    return taxonomy.match(part.select(F.col("p_partkey").alias("id"), F.lit(0).alias("ord"), label.alias("label")), options, synonyms)
+
+
 @query(f"WITH {_PARTS} SELECT auth AS host, row_number() OVER (PARTITION BY auth ORDER BY url) AS ordinal, url, './' || auth || '/content.md' AS path FROM c")
 def page_index(spark, sf):
     return tables.page_index(_site(spark, sf).withColumn("folder", F.col("host")), "host", "loc", "url", "folder").select("host", "ordinal", "url", "path")

@@ -83,6 +83,22 @@ def _stream_folder(spark) -> str:
     return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
+_OPENING = r"regexp_extract(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+ [\p{L}\p{M}\p{N}\p{Pc}]+')"
+
+
+@query(rf"""WITH o AS (SELECT o, min(doc_id) AS ord FROM (SELECT doc_id, {_OPENING} AS o FROM documents) WHERE length(o) >= 3 GROUP BY o),
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+') AS w, regexp_split_to_array(lower(text), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+') AS g FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: CASE WHEN g[i + 1] = ' ' THEN w[i] || ' ' || w[i + 1] END)) AS o FROM w),
+f AS (SELECT doc_id, string_agg(o, ',' ORDER BY ord) AS found FROM s JOIN o USING (o) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(found, '') AS found FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id""")
+def taxonomy_dictionary(spark, sf):
+    """The first two neighbouring words of every document as a dictionary, looked for in all documents."""
+    docs = table(spark, sf, "documents")
+    opening = F.regexp_extract(F.lower("text"), r"[\p{L}\p{M}\p{N}\p{Pc}]+ [\p{L}\p{M}\p{N}\p{Pc}]+", 0)
+    options = docs.select(opening.alias("option"), "doc_id").where("option <> ''").groupBy("option").agg(F.min("doc_id").alias("ord"))
+    return taxonomy.dictionary_scan(docs, "doc_id", "text", options).select("doc_id", F.array_join("found", ",").alias("found"))
+
+
 @query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf):
     schema = table(spark, sf, "events").schema
