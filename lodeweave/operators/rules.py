@@ -1,12 +1,16 @@
 """Rule-based classification: keyword tables scored over a primary text and a body, as native expressions.
 
 A rule table is a list of (pattern, label); earlier rules win ties. Patterns are matched on lower-case text with
-Unicode word borders.
+Unicode word borders. A text is cut into words once for a whole table: the patterns' alternatives that are one word, or the start
+of one, are looked up in hash sets, which leaves the few words that any rule knows, and rules count among those. One
+more pattern finds whether any alternative of several words stands in the text; only then its rule is matched as a pattern.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,14 +116,97 @@ def _times(low: Column, pattern: str) -> Column:
     return F.regexp_count(low, F.lit("(?U)" + pattern))
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, groups and optional characters written out; repeats stay as they are."""
+    found, at = [""], 0
+    while at < len(pattern):
+        if pattern[at] == "|":
+            return found + _alternatives(pattern[at + 1 :])
+        if pattern.startswith("(?:", at):
+            depth, end = 1, at + 3
+            while depth:
+                depth += (pattern[end] == "(") - (pattern[end] == ")")
+                end += 1
+            parts = _alternatives(pattern[at + 3 : end - 1])
+        else:
+            end = at + (2 if pattern[at] == "\\" else 1)
+            parts = [pattern[at:end]]
+        if pattern[end : end + 1] == "?":
+            parts, end = ["", *parts], end + 1
+        elif pattern[end : end + 1] in ("*", "+"):
+            parts, end = [x + pattern[end] for x in parts], end + 1
+        found, at = [f + x for f in found for x in parts], end
+    return found
+
+
+@lru_cache(512)
+def _terms(pattern: str) -> tuple[frozenset[str], frozenset[tuple[str, int]], str]:
+    """A pattern's whole words, its starts of words (with the least length of the word), and the rest as a pattern."""
+    words, starts, rest = set(), set(), []
+    for a in dict.fromkeys(_alternatives(pattern)):
+        if m := re.fullmatch(r"\\b(\w+)\\b", a):
+            words.add(m[1])
+        elif m := re.fullmatch(r"\\b(\w+)\\w([*+])(?:\\b)?", a):
+            starts.add((m[1], len(m[1]) + (m[2] == "+")))
+        else:
+            rest.append(a)
+    return frozenset(words), frozenset(starts), "|".join(rest)
+
+
+def _known(words: frozenset[str], starts: frozenset[tuple[str, int]]) -> Callable[[Column], Column]:
+    """Whether a word is one of these or starts as one of those."""
+    by_length: dict[tuple[int, int], list[str]] = {}
+    for start, least in sorted(starts):
+        by_length.setdefault((len(start), least), []).append(start)
+
+    def test(w: Column) -> Column:
+        out = w.isin(*sorted(words)) if words else F.lit(False)
+        for (n, least), some in by_length.items():
+            hit = F.substring(w, 1, n).isin(*some)
+            out = out | (hit & (F.length(w) >= least) if least > n else hit)
+        return out
+
+    return test
+
+
+def _looked_up(low: Column, patterns: tuple[str, ...]) -> Column:
+    """struct(text, its words that any of the patterns knows, whether it may hold alternatives of several words)."""
+    terms = [_terms(p) for p in patterns]
+    words, starts = frozenset().union(*(t[0] for t in terms)), frozenset().union(*(t[1] for t in terms))
+    rest = "|".join(t[2] for t in terms if t[2])
+    kept = F.filter(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)), _known(words, starts))
+    return F.struct(low.alias("low"), kept.alias("words"), (_hit(low, rest) if rest else F.lit(False)).alias("wide"))
+
+
+def _found_times(t: Column, pattern: str) -> Column:
+    """How often a pattern matches a looked-up text."""
+    words, starts, rest = _terms(pattern)
+    n = F.size(F.filter(t["words"], _known(words, starts))) if words or starts else F.lit(0)
+    return F.when(t["wide"], _times(t["low"], pattern)).otherwise(n) if rest else n
+
+
+def _found(t: Column, pattern: str) -> Column:
+    """Whether a pattern matches a looked-up text."""
+    words, starts, rest = _terms(pattern)
+    hit = F.exists(t["words"], _known(words, starts)) if words or starts else F.lit(False)
+    return F.when(t["wide"], _hit(t["low"], pattern)).otherwise(hit) if rest else hit
+
+
+def _with_words(primary: Column, body: Column, rules: Rules, make: Callable[[Column, Column], Column]) -> Column:
+    """make(primary text, body), both looked up once for all rules."""
+    patterns = tuple(p for p, _ in rules)
+    texts = F.struct(_low(primary).alias("p"), _low(body).alias("b"))
+    return let(texts, lambda t: let(F.struct(_looked_up(t["p"], patterns).alias("p"), _looked_up(t["b"], patterns).alias("b")), lambda x: make(x["p"], x["b"])))
+
+
 def _with_texts(primary: Column, body: Column, make: Callable[[Column, Column], Column]) -> Column:
     """make(lower-case primary text, lower-case body), both worked out once."""
     return let(F.struct(_low(primary).alias("p"), _low(body).alias("b")), lambda t: make(t["p"], t["b"]))
 
 
 def _counted(primary: Column, body: Column, rules: Rules) -> Column:
-    """Array of (place, label, hit in the primary text, n hits in the body), each pattern applied once to each text."""
-    return F.array(*[F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), _hit(primary, p).alias("hit"), _times(body, p).alias("n")) for i, (p, label) in enumerate(rules)])
+    """Array of (place, label, hit in the primary text, n hits in the body) of looked-up texts."""
+    return F.array(*[F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), _found(primary, p).alias("hit"), _found_times(body, p).alias("n")) for i, (p, label) in enumerate(rules)])
 
 
 def _best(scores: Column) -> Column:
@@ -134,23 +221,23 @@ def category(primary: Column, body: Column, rules: Rules = CATEGORY_RULES) -> Co
         points = F.when(r["hit"], 3.0).otherwise(0.0) + F.when(r["n"] >= 2, F.least(F.lit(2.0), r["n"] * 0.5)).otherwise(0.0)
         return F.struct(points.alias("score"), (-r["place"]).alias("place"), r["label"].alias("label"))
 
-    return _with_texts(primary, body, lambda p, b: _best(F.transform(_counted(p, b, rules), score)))
+    return _with_words(primary, body, rules, lambda p, b: _best(F.transform(_counted(p, b, rules), score)))
 
 
 def page_type(primary: Column, body: Column, rules: Rules = TYPE_RULES) -> Column:
     """3 for a hit in the primary text, else 1 for one in the body."""
 
     def scores(p: Column, b: Column) -> Column:
-        points = [F.when(_hit(p, x), 3.0).when(_hit(b, x), 1.0).otherwise(0.0) for x, _ in rules]
+        points = [F.when(_found(p, x), 3.0).when(_found(b, x), 1.0).otherwise(0.0) for x, _ in rules]
         return F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(label).alias("label")) for i, (s, (_, label)) in enumerate(zip(points, rules, strict=True))])
 
-    return _with_texts(primary, body, lambda p, b: _best(scores(p, b)))
+    return _with_words(primary, body, rules, lambda p, b: _best(scores(p, b)))
 
 
 def tags(primary: Column, body: Column, rules: Rules = TAG_RULES, most: int = 5) -> Column:
     """Labels with a hit in the primary text or two in the body, in table order."""
-    found = lambda p, b: F.array(*[F.when(_hit(p, x) | (_times(b, x) >= 2), label) for x, label in rules])
-    return _with_texts(primary, body, lambda p, b: F.slice(F.array_distinct(F.array_compact(found(p, b))), 1, most))
+    found = lambda p, b: F.array(*[F.when(_found(p, x) | (_found_times(b, x) >= 2), label) for x, label in rules])
+    return _with_words(primary, body, rules, lambda p, b: F.slice(F.array_distinct(F.array_compact(found(p, b))), 1, most))
 
 
 def scored_tags(primary: Column, body: Column, rules: Rules = TAG_RULES, exclude: tuple[str, ...] = (), least: int = 3, most: int = 4) -> Column:
@@ -162,7 +249,7 @@ def scored_tags(primary: Column, body: Column, rules: Rules = TAG_RULES, exclude
 
     kept = tuple(r for r in rules if r[1] not in exclude)
     ranked = lambda p, b: F.array_sort(F.filter(F.transform(_counted(p, b, kept), score), lambda r: r["s"] <= -least))
-    return _with_texts(primary, body, lambda p, b: F.transform(F.slice(ranked(p, b), 1, most), lambda r: r["label"]))
+    return _with_words(primary, body, kept, lambda p, b: F.transform(F.slice(ranked(p, b), 1, most), lambda r: r["label"]))
 
 
 def _word(name: str) -> str:
@@ -243,7 +330,8 @@ def creative_tags(primary: Column, body: Column, names: list[str] = (), most: in
 
 
 def _first(low: Column, rules: Rules) -> Column:
-    return F.coalesce(*[F.when(_hit(low, p), label) for p, label in rules])
+    patterns = tuple(p for p, _ in rules)
+    return let(_looked_up(low, patterns), lambda t: F.coalesce(*[F.when(_found(t, p), label) for p, label in rules]))
 
 
 def first_label(primary: Column, rules: Rules = GENRE_RULES) -> Column:
@@ -258,7 +346,7 @@ def roles(primary: Column, body: Column, rules: Rules = CATEGORY_RULES, least: f
         return F.struct(F.when(r["hit"], 3.0).when(r["n"] >= 2, 1.0).otherwise(0.0).alias("score"), (-r["place"]).alias("place"), r["label"].alias("label"))
 
     ranked = lambda p, b: F.reverse(F.array_sort(F.filter(F.transform(_counted(p, b, rules), score), lambda r: r["score"] >= least)))
-    kept = _with_texts(primary, body, lambda p, b: F.transform(F.slice(ranked(p, b), 1, most), lambda r: r["label"]))
+    kept = _with_words(primary, body, rules, lambda p, b: F.transform(F.slice(ranked(p, b), 1, most), lambda r: r["label"]))
     return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.lit(default))))
 
 
@@ -281,6 +369,28 @@ def features(title: Column, description: Column, body: Column, url: Column) -> C
     return F.struct(F.trim(F.concat_ws(" ", t, d, F.coalesce(hint, F.lit("")))).alias("primary"), preview.alias("body"), F.trim(whole).alias("semantic"))
 
 
+def half_even(x: Column, digits: int = 2) -> Column:
+    """A double rounded as its exact value says, of two equally near decimals the even one (as Python's round does; F.round goes by
+    the shortest decimal text and away from zero). Exact for up to `digits` 15 and values below 2 ** 53 / 10 ** digits."""
+    scale = 10.0**digits
+    # product and its error, exactly: Dekker's splitting of the factor into halves
+    product, factor = x * scale, 134217729.0
+    big = x * factor
+    high = big - (big - x)
+    low = x - high
+    scale_big = scale * factor
+    scale_high = scale_big - (scale_big - scale)
+    scale_low = scale - scale_high
+    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    floor = F.floor(product).cast("double")
+    rest = product - floor  # exact
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(floor, F.lit(2.0)) == 1.0))))
+    # an error below 0 may put a whole product under its floor
+    nearest = F.when(up, floor + 1.0).otherwise(floor)
+    return F.when(F.isnan(x) | (F.abs(product) >= 2.0**52) | x.isNull(), x).otherwise(nearest / scale)
+
+
+# Fixed values in arbitrate(): its labels, least scores and similarities.
 def arbitrate(cat: Column, cat_score: Column, near_cat: Column, near_sim: Column, kind: Column, kind_score: Column, near_kind: Column, near_kind_sim: Column) -> Column:
     """struct(category, type, source, confidence) from the rules' and the nearest vectors' answers."""
     score, sim = F.coalesce(cat_score, F.lit(0.0)), F.coalesce(near_sim, F.lit(0.0))
@@ -289,7 +399,7 @@ def arbitrate(cat: Column, cat_score: Column, near_cat: Column, near_sim: Column
     near = near_cat.isNotNull() & (cat.isNull() | (sim >= 0.45))
     source = F.when(agree, "consensus").when(strong, "jev").when(near, "embedding").when(cat.isNotNull(), "jev").otherwise("dual_hybrid")
     chosen = F.when(agree | strong, cat).when(near, near_cat).when(cat.isNotNull(), cat).otherwise("Technology")
-    confidence = F.when(agree | strong, 1.0).when(near, F.round(sim, 2)).when(cat.isNotNull(), F.round(F.least(F.lit(1.0), score / 3), 2)).otherwise(0.5)
+    confidence = F.when(agree | strong, 1.0).when(near, half_even(sim)).when(cat.isNotNull(), half_even(F.least(F.lit(1.0), score / 3))).otherwise(0.5)
     kscore, ksim = F.coalesce(kind_score, F.lit(0.0)), F.coalesce(near_kind_sim, F.lit(0.0))
     same = F.coalesce(F.lower(kind) == F.lower(near_kind), F.lit(False))
     own = same | (kind.isNotNull() & (kscore >= 3))

@@ -73,6 +73,33 @@ def classify_rules_tags(spark, sf):
     return _classified(spark, sf).select("doc_id", F.array_join(rules.tags(p, b, CORPUS_RULES, 3), ",").alias("tags"), rules.first_label(p, CORPUS_RULES).alias("genre"))
 
 
+#: A text whose word borders are those of ASCII: other marks as blanks, other letters as one capital.
+_ASCII = r"regexp_replace(regexp_replace({}, '[^\x00-\x7F\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]', ' ', 'g'), '[^\x00-\x7F]', 'Z', 'g')"
+_TITLED = f"SELECT d.doc_id, {_ASCII.format("lower(coalesce(c_mktsegment, '') || ' ' || split_part(d.text, chr(10), 1))")} AS p, {_ASCII.format("lower(left(trim(d.text, ' '), 2500))")} AS b FROM documents d LEFT JOIN customer ON c_custkey = d.doc_id"
+
+
+def _rule_rows(rules, points: str) -> str:
+    """Rows (doc_id, kind of rule, score) of a rule table; points over h (hits in the title) and n (hits in the body)."""
+    return " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {i} AS ord, ({points}) AS score FROM (SELECT doc_id, regexp_matches(p, '{p}') AS h, len(regexp_extract_all(b, '{p}')) AS n FROM t)" for i, (p, label) in enumerate(rules))
+
+
+@query(f"""WITH t AS ({_TITLED}), c AS ({_rule_rows(rules.CATEGORY_RULES, "CASE WHEN h THEN 3.0 ELSE 0 END + CASE WHEN n >= 2 THEN least(2.0, n * 0.5) ELSE 0 END")}),
+k AS ({_rule_rows(rules.TYPE_RULES, "CASE WHEN h THEN 3.0 WHEN n > 0 THEN 1.0 ELSE 0 END")}), g AS ({_rule_rows(rules.TAG_RULES, "CASE WHEN h OR n >= 2 THEN 1 ELSE 0 END")}),
+bc AS (SELECT doc_id, arg_max(label, {{'s': score, 'o': -ord}}) FILTER (WHERE score > 0) AS category, (max(score) FILTER (WHERE score > 0))::DOUBLE AS score FROM c GROUP BY doc_id),
+bk AS (SELECT doc_id, arg_max(label, {{'s': score, 'o': -ord}}) FILTER (WHERE score > 0) AS type FROM k GROUP BY doc_id),
+bg AS (SELECT doc_id, coalesce(array_to_string((list(label ORDER BY ord) FILTER (WHERE score > 0))[1:5], ','), '') AS tags FROM g GROUP BY doc_id)
+SELECT t.doc_id, category, score, type, tags FROM t JOIN bc USING (doc_id) JOIN bk USING (doc_id) JOIN bg USING (doc_id)""")
+def classify_production(spark, sf):
+    """Every document by the production rules; a customer's segment and the first line stand for the title."""
+    segment = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), "c_mktsegment")
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(segment, "doc_id", "left")
+    title, none = F.concat(F.coalesce("c_mktsegment", F.lit("")), F.lit(" "), F.substring_index("text", "\n", 1)), F.lit(None).cast("string")
+    f = docs.select("doc_id", rules.features(title, none, F.col("text"), none).alias("f")).select("doc_id", "f.primary", "f.body")
+    p, b = F.col("primary"), F.col("body")
+    done = f.select("doc_id", rules.category(p, b).alias("c"), rules.page_type(p, b).alias("k"), rules.tags(p, b).alias("tags"))
+    return done.select("doc_id", F.col("c.label").alias("category"), F.col("c.score").alias("score"), F.col("k.label").alias("type"), F.array_join("tags", ",").alias("tags"))
+
+
 _SCORED = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {i} AS ord, CASE WHEN {_count(p, 'ps')} > 0 THEN 5 WHEN {_count(p, 'bs')} >= 5 THEN 3 WHEN {_count(p, 'bs')} >= 3 THEN 2 WHEN {_count(p, 'bs')} >= 1 THEN 1 ELSE 0 END AS score FROM e" for i, (p, label) in enumerate(CORPUS_RULES))
 
 
