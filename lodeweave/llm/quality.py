@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, SPACE_CLASS, cut, text_of, words_of
 
-#: A line over both is removed from its host's documents.
-LINE_SHARE, LINE_FLOOR = 0.10, 20
+#: A line over both is removed from its host's documents; without a share the limit is the same on hosts of any size.
+LINE_SHARE, LINE_FLOOR = 0.0, 20
 #: A document that keeps a smaller share of its words is rejected.
 LEAST_LEFT = 0.3
 #: Lines over the limit that are broadcast at most, and those of one host; beyond, they are joined by salted (host, line).

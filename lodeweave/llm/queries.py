@@ -110,10 +110,8 @@ _QUALITY_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 t AS (SELECT *, string_split(text, chr(10)) AS lines, regexp_extract_all(text, '{_WORD}') AS w FROM d),
 n AS (SELECT *, list_transform(lines, lambda x: trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM t),
-sizes AS (SELECT source, count(DISTINCT text) AS n_docs FROM d GROUP BY source),
 freq AS (SELECT source, line, count(DISTINCT text) AS c FROM (SELECT source, text, unnest(norm) AS line FROM n) WHERE line <> '' GROUP BY source, line),
-lim AS (SELECT f.source, list(f.line) AS over FROM freq f JOIN sizes s ON f.source IS NOT DISTINCT FROM s.source
-  WHERE f.c > 20 AND f.c > s.n_docs * 0.1::DOUBLE GROUP BY f.source),
+lim AS (SELECT source, list(line) AS over FROM freq WHERE c > 20 GROUP BY source),
 j AS (SELECT n.*, lim.over FROM n LEFT JOIN lim ON n.source IS NOT DISTINCT FROM lim.source),
 g AS (SELECT rid, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x, unnest(generate_series(1, len(w) - 2)) AS i FROM t),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS c FROM g) WHERE c > 1),
