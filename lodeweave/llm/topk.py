@@ -11,8 +11,9 @@ when every level was read - a query stops, on that proof and on its own; those p
 whole numbers, and only exact scores leave the block.
 
 Each vector goes to one block and is shuffled once; each query goes to every block. A block holds about COMPONENTS
-components, so blocks are as few as memory allows; their queries stream past `group` at a time, after the block's
-vectors, in one sorted pass. The best k of each block are merged per query, pre-ranked before the shuffle. Nothing is
+components and CELLS scores of one group of queries, so blocks are as few as memory allows; their queries stream past `group`
+at a time, after the block's vectors, in one sorted pass. What a level looks at beyond the scores themselves - the best rows so
+far, bounds, possible members - is worked out SLICE scores at a time. The best k of each block are merged per query, pre-ranked before the shuffle. Nothing is
 collected but two counts, nothing is broadcast.
 
 Cases: null vectors, null or non-finite components, and null ids take no part; vectors of different lengths never
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Components of a block, about; rows that are worth a block of their own if cores are idle; queries that stream past together.
-COMPONENTS, LEAST_ROWS, GROUP = 1 << 23, 4096, 256
+COMPONENTS, LEAST_ROWS, GROUP = 1 << 22, 4096, 256
+#: Scores (rows times queries of a group) that a block holds, and those that are looked at together.
+CELLS, SLICE = 1 << 24, 1 << 20
 #: A query stops once at most so many times k rows can still be members.
 FEW = 8
 
@@ -62,14 +65,19 @@ class Block:
         while self.limits[-1] > 1:
             self.limits.append(max(1.0, self.limits[-1] / 2**0.5))
         self.limits = self.limits[1:] if len(self.limits) > 1 else self.limits
-        rows, dims = np.nonzero(size)
-        values = values[rows, dims]
+        del size
+        flat = values.ravel()
+        place = np.flatnonzero(flat)
+        values = flat[place]
+        rows, dims = (place // self.width).astype(np.int32), (place % self.width).astype(np.int32)
+        del flat, place
         level = np.searchsorted(-np.array(self.limits), -np.abs(values), side="left") if self.top else np.zeros(0, np.int64)
-        level = np.minimum(level, len(self.limits) - 1)
-        key = level * self.width + dims
+        key = (np.minimum(level, len(self.limits) - 1) * self.width + dims).astype(np.int32)
+        del level, dims
         order = np.argsort(key, kind="stable")
-        self.rows, self.values = rows[order].astype(np.int32), values[order]
-        self.starts = np.searchsorted(key[order], np.arange(len(self.limits) * self.width + 1))
+        self.rows, self.values = rows[order], values[order]
+        self.starts = np.searchsorted(key[order], np.arange(len(self.limits) * self.width + 1, dtype=np.int32))
+        del order, key
         rest = np.bincount(rows, values * values, minlength=self.n)
         #: Length of what is unseen of each row after each level.
         self.left = []
@@ -81,6 +89,18 @@ class Block:
         #: Postings that queries have read, and what full scans would have read.
         self.read = self.scanned = 0
 
+    def _best(self, partial: np.ndarray, k: int) -> np.ndarray:
+        """k rows with the best scores so far, for each query."""
+        step, queries = max(k + 1, SLICE // max(1, partial.shape[1])), np.arange(partial.shape[1])
+        best = np.zeros((0, len(queries)), np.int64)
+        for at in range(0, self.n, step):
+            part = partial[at : at + step]
+            own = np.argpartition(-part, k - 1, axis=0)[:k] + at if len(part) > k else np.repeat(np.arange(at, at + len(part))[:, None], len(queries), axis=1)
+            best = np.concatenate((best, own))
+            if len(best) > k:
+                best = np.take_along_axis(best, np.argpartition(-partial[best, queries], k - 1, axis=0)[:k], axis=0)
+        return best
+
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the query, id, score) of each query's best k of this block, best first."""
         q = queries.astype(np.float64)
@@ -105,18 +125,30 @@ class Block:
             self.read += int(self.starts[(i + 1) * self.width] - self.starts[i * self.width]) * len(live)
             last = i + 1 == len(self.limits)
             if self.n > k:
-                best = np.argpartition(-partial, k - 1, axis=0)[:k]
+                best = self._best(partial, k)
                 scores = score(live[np.tile(np.arange(len(live)), k)], best.ravel()).astype(np.float64).reshape(k, len(live))
                 scores[np.isneginf(np.take_along_axis(partial, best, axis=0))] = -np.inf
                 floor[live] = np.maximum(floor[live], scores.min(axis=0))
-            bound = np.minimum(self.left[i][:, None] * length[live], limit * total[live] if not last else 0.0) + slack
-            possible = (partial + bound.astype(real) * real(1.000001) >= floor[live] - slack) & ~np.isneginf(partial)
-            done = possible.sum(axis=0) <= few * k
+            by_sum = limit * total[live] if not last else np.zeros(len(live))
+
+            def possible(at: int, end: int, some: np.ndarray | slice) -> np.ndarray:
+                """Which of a slice of rows may be members, for some of the live queries."""
+                own = partial[at:end, some]  # noqa: B023
+                bound = np.minimum(self.left[i][at:end, None] * length[live][some], by_sum[some]) + slack  # noqa: B023
+                return (own + bound.astype(real) * real(1.000001) >= floor[live][some] - slack) & ~np.isneginf(own)  # noqa: B023
+
+            step = max(1, SLICE // max(1, len(live)))
+            counts = np.zeros(len(live), np.int64)
+            for at in range(0, self.n, step):
+                counts += possible(at, at + step, slice(None)).sum(axis=0)
+            done = counts <= few * k
             if last:
                 done[:] = True
             if done.any():
-                cols, rows = np.nonzero(possible[:, done])
-                found.append((live[done][rows], cols))
+                ended = np.flatnonzero(done)
+                for at in range(0, self.n, step):
+                    cols, rows = np.nonzero(possible(at, at + step, ended))
+                    found.append((live[ended][rows], cols + at))
                 live, partial = live[~done], partial[:, ~done]
             if not len(live):
                 break
@@ -145,7 +177,8 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     n, width = rows.agg(F.count(F.lit(1)), F.max("dim")).first()
     if block is None:
         idle = -(-n // LEAST_ROWS)
-        block = max(1, -(-n // max(1, -(-n // max(1, COMPONENTS // (width or 1))), min(idle, spark.sparkContext.defaultParallelism))))
+        most = max(1, min(COMPONENTS // (width or 1), CELLS // group))
+        block = max(1, -(-n // max(1, -(-n // most), min(idle, spark.sparkContext.defaultParallelism))))
     blocks = max(1, -(-n // block))
     placed = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     vectors = rows.select("dim", placed.alias("b"), F.lit(0).alias("kind"), "id", "v")
