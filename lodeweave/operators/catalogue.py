@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.operators import ordinals
+
 
 def optional_filter(df: DataFrame, column: str, value: str | int | None, known: DataFrame | None = None, slug_col: str = "slug", id_col: str = "id", strict: bool = False) -> DataFrame:
     """Equality filter unless the value is null, `all` or `__all__`. A text column is compared as text. For others a number
@@ -34,6 +36,18 @@ def enrich(df: DataFrame, dims: Sequence[tuple[DataFrame, str, str, str, str]])
     return df
 
 
+def tree_counts(df: DataFrame, levels: Sequence[str], name: str = "n") -> DataFrame:
+    """The number of rows below every node of a tree of columns, from the root (all null) to the last level."""
+    return df.rollup(*levels).agg(F.count(F.lit(1)).alias(name))
+
+
+def best_of(df: DataFrame, key: str, order: Sequence[Column], fields: Sequence[str]) -> DataFrame:
+    """key and the fields of its best row, the least in `order` (such as: not a real title, not the root address, not completed,
+    id). One aggregation with map-side combine."""
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    return df.groupBy(key).agg(F.min_by(F.struct(*fields), place).alias("__best")).select(key, "__best.*")
+
+
 def gather(links: DataFrame, key: str, value: str, alias: str) -> DataFrame:
     """key and the sorted distinct values linked to it."""
     return links.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias(alias))
@@ -90,9 +104,8 @@ def cascade_delete(df: DataFrame, gone: DataFrame, fk: str, key: str) -> DataFra
 
 def elect(df: DataFrame, group: Sequence[str | Column], score: Column, created: str, id_col: str, flagged: str | None = None) -> DataFrame:
     """df with `place` in its group: a flagged row first, then by score, age and id; 1 is the master."""
-    order = ([F.desc(flagged)] if flagged else []) + [F.desc("__score"), F.asc(created), F.asc(id_col)]
-    cols = [F.col(g) if isinstance(g, str) else g for g in group]
-    return df.withColumn("__score", score).withColumn("place", F.row_number().over(Window.partitionBy(*cols).orderBy(*order)).cast("long")).drop("__score")
+    flag = [F.when(F.col(flagged), 0).when(~F.col(flagged), 1).otherwise(2)] if flagged else []
+    return ordinals.numbered(df, list(group), [*flag, F.coalesce(-score, F.lit(float("inf"))), created, id_col], "place")
 
 
 def merge_duplicates(df: DataFrame, group: Sequence[str], score: Column, created: str, id_col: str, fields: Sequence[str]) -> DataFrame:

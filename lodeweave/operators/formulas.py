@@ -93,6 +93,12 @@ def discounted(price: Column, discount: Column) -> Column:
     return price * (1 - F.coalesce(discount, F.lit(0)))
 
 
+def progress(rolled: DataFrame, share: str = "percent_checked", unchecked: str = "unchecked", n: str = "n") -> DataFrame:
+    """rollup() rows with `progress`, the checked share, and `state`: done, open (nothing checked) or partly."""
+    state = F.when(F.col(unchecked) == 0, "done").when(F.col(unchecked) == F.col(n), "open").otherwise("partly")
+    return rolled.withColumn("progress", F.col(share)).withColumn("state", state)
+
+
 def bag_text(parts: Column, default: str | None = None) -> Column:
     """The text of a property: its parts' plain_text one after the other, trimmed; the default where that is empty."""
     text = F.trim(F.array_join(F.transform(parts, lambda p: F.coalesce(p["plain_text"], F.lit(""))), ""))

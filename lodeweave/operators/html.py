@@ -14,12 +14,13 @@ from itertools import islice
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeweave.functions import urls
 from lodeweave.functions.dom import UNSEEN, Node, parse
+from lodeweave.operators import ordinals
 
 _S, _L = T.StringType(), T.LongType()
 _ICON = T.StructType([T.StructField("url", _S), T.StructField("size", _L), T.StructField("kind", _L), T.StructField("pos", _L)])
@@ -680,8 +681,7 @@ def local_names(media: DataFrame, page: str, url: str, ordinal: str) -> DataFram
     name that an earlier file of the page has gets its number in front."""
     base = F.regexp_replace(F.substring_index(urls.path(F.col(url)), "/", -1), "[^a-zA-Z0-9_.-]", "_")
     made = F.when((base == "") | ~base.contains("."), F.concat(F.lit("image_"), F.col(ordinal), F.lit(".jpg"))).otherwise(base)
-    place = F.row_number().over(Window.partitionBy(page, "__name").orderBy(ordinal))
-    named = media.withColumn("__name", made).withColumn("__place", place)
+    named = ordinals.numbered(media.withColumn("__name", made), [page, "__name"], [ordinal], "__place")
     return named.withColumn("name", F.when(F.col("__place") == 1, F.col("__name")).otherwise(F.concat_ws("_", F.col(ordinal), "__name"))).drop("__name", "__place")
 
 

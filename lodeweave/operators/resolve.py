@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as tx
+from lodeweave.operators import ordinals
 
 
 def named(dim: DataFrame, value: str, slug: str | Column = "slug", name: str = "name") -> DataFrame:
@@ -75,18 +76,28 @@ def relinked(links: DataFrame, key: str, value: str, given: DataFrame) -> DataFr
 def grown(stored: DataFrame, found: DataFrame, job: str, url: str, most: str | None = None) -> DataFrame:
     """One step of a growing frontier: stored(job, url, ...) and those found(job, url, pos, ...) that are new, in order of
     pos, as long as the job has fewer than `most` (a column of found; null or 0: no limit) rows."""
-    from pyspark.sql import Window
-
     new = found.groupBy(job, url).agg(F.min_by(F.struct(*[c for c in found.columns if c not in (job, url)]), "pos").alias("x")).select(job, url, "x.*")
     new = new.join(stored.select(job, url), [job, url], "left_anti")
     if most:
         sizes = stored.groupBy(job).agg(F.count(F.lit(1)).alias("__n"))
-        place = F.row_number().over(Window.partitionBy(job).orderBy("pos"))
         free = F.coalesce(F.col(most), F.lit(0)) <= 0
-        new = new.join(sizes, job, "left").withColumn("__place", place).where(free | (F.coalesce("__n", F.lit(0)) + F.col("__place") <= F.col(most))).drop("__n", "__place", most)
+        new = ordinals.numbered(new, [job], ["pos"], "__place").join(sizes, job, "left").where(free | (F.coalesce("__n", F.lit(0)) + F.col("__place") <= F.col(most))).drop("__n", "__place", most)
     return stored.unionByName(new.drop("pos"), allowMissingColumns=True)
 
 
+def first_of(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key, that with the least `order` (rows without one last). Minima are combined before the shuffle."""
+    rest = [c for c in df.columns if c != key]
+    least = F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), F.col(order)))
+    return df.groupBy(key).agg(least.alias("__row")).select(key, "__row.*").select(*df.columns)
+
+
+def session_batches(df: DataFrame, key: str | Column, order: str | Column, size: int = 40, name: str = "session") -> DataFrame:
+    """df with the number (from 0) of the session that a row falls in: a key's rows in order, `size` at a time."""
+    placed = ordinals.numbered(df, [key], [order], name)
+    return placed.withColumn(name, F.floor((F.col(name) - 1) / size).cast("long"))
+
+
 def listing(df: DataFrame, order: Sequence[str | Column], where: dict[str, object] | None = None, limit: int | None = None) -> DataFrame:
     """Rows that equal every given value (null or `all`: any; a list: one of them), in order, the first `limit` of them."""
     for column, value in (where or {}).items():

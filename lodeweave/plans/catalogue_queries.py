@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeweave.operators import catalogue as cat
-from lodeweave.operators import containment
+from lodeweave.operators import containment, formulas, resolve
 from lodeweave.plans.registry import query, table
 
 
@@ -19,8 +19,9 @@ def catalog_workspace_counts(spark, sf):
 
 @query("SELECT n_regionkey, n_nationkey, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP(n_regionkey, n_nationkey, c_mktsegment)")
 def catalog_tree(spark, sf):
-    j = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.rollup("n_regionkey", "n_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    jobs = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return cat.tree_counts(jobs, ["n_regionkey", "n_nationkey", "c_mktsegment"])
 
 
 @query("""WITH p AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size % 5 END AS category_id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS type_id FROM part),
@@ -38,11 +39,12 @@ def catalog_explorer(spark, sf):
 
 @query("SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def catalog_enriched(spark, sf):
-    dims = [("customer", "c_custkey", "c_name", "o_custkey"), ("nation", "n_nationkey", "n_name", "c_nationkey"), ("region", "r_regionkey", "r_name", "n_regionkey")]
-    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    for name, key, label, fk in dims:
-        df = df.join(table(spark, sf, name), F.col(fk) == F.col(key), "left")
-    return df.select("o_orderkey", *[d[2] for d in dims])
+    t = {name: table(spark, sf, name) for name in ("customer", "nation", "region")}
+    steps = [("o_custkey", t["customer"], "c_custkey", "c_nationkey", "category"), ("category", t["nation"], "n_nationkey", "n_regionkey", "workspace")]
+    none = F.lit(None).cast("int")
+    pages = resolve.owners(table(spark, sf, "orders").select("o_orderkey", "o_custkey", none.alias("category"), none.alias("workspace")), steps)
+    names = [(t["customer"], "c_custkey", "c_name", "o_custkey", "c_name"), (t["nation"], "n_nationkey", "n_name", "category", "n_name"), (t["region"], "r_regionkey", "r_name", "workspace", "r_name")]
+    return cat.enrich(pages, names).select("o_orderkey", "c_name", "n_name", "r_name")
 
 
 @query("SELECT l_orderkey, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT l_orderkey, l_returnflag || l_linestatus AS tag FROM lineitem) GROUP BY l_orderkey")
@@ -67,8 +69,8 @@ def contact_rollup(spark, sf):
 
 @query("SELECT conv_id, arg_min(text, {'a': CASE WHEN role = 'assistant' THEN 0 ELSE 1 END, 'b': turn, 'c': text}) AS title FROM conversations GROUP BY conv_id")
 def best_title_per_job(spark, sf):
-    order = F.struct(F.when(F.col("role") == "assistant", 0).otherwise(1).alias("a"), F.col("turn").alias("b"), F.col("text").alias("c"))
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", order).alias("title"))
+    wanted = [F.when(F.col("role") == "assistant", 0).otherwise(1), F.col("turn"), F.col("text")]
+    return cat.best_of(table(spark, sf, "conversations"), "conv_id", wanted, ["text"]).withColumnRenamed("text", "title")
 
 
 _SCORED = "SELECT *, c_custkey % 97 AS site, (CASE WHEN c_acctbal > 5000 THEN 5 ELSE 0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS score FROM customer"
@@ -158,15 +160,14 @@ def rollups(spark, sf):
 def formula_price(spark, sf):
     li = table(spark, sf, "lineitem")
     unit = F.try_divide("l_extendedprice", F.col("l_quantity") - 1)
-    return li.select("l_orderkey", "l_linenumber", F.when(F.col("l_discount") > 0, "discount").otherwise("full").alias("kind"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"), unit.alias("unit"), F.date_format("l_shipdate", "yy").alias("year2"), (F.datediff("l_shipdate", F.lit("1990-01-01").cast("date")).cast("long") * 1440).alias("minutes"))
+    return li.select("l_orderkey", "l_linenumber", F.when(F.col("l_discount") > 0, "discount").otherwise("full").alias("kind"), formulas.discounted(F.col("l_extendedprice"), F.col("l_discount")).alias("price"), unit.alias("unit"), F.date_format("l_shipdate", "yy").alias("year2"), (F.datediff("l_shipdate", F.lit("1990-01-01").cast("date")).cast("long") * 1440).alias("minutes"))
 
 
 @query("WITH t AS (SELECT o_custkey, o_orderstatus AS s, o_totalprice AS p FROM orders) SELECT o_custkey, round(avg((s = 'F')::INT), 4) AS progress, CASE WHEN count_if(s <> 'F') = 0 THEN 'done' WHEN count_if(s = 'F') = 0 THEN 'open' ELSE 'partly' END AS state, floor(sum(p))::BIGINT AS effort FROM t GROUP BY o_custkey")
 def formula_progress(spark, sf):
-    o = table(spark, sf, "orders")
-    done = F.col("o_orderstatus") == "F"
-    state = F.when(F.count_if(~done) == 0, "done").when(F.count_if(done) == 0, "open").otherwise("partly")
-    return o.groupBy("o_custkey").agg(F.round(F.avg(done.cast("int")), 4).alias("progress"), state.alias("state"), F.floor(F.sum("o_totalprice")).cast("long").alias("effort"))
+    o = table(spark, sf, "orders").withColumn("done", F.col("o_orderstatus") == "F")
+    made = formulas.progress(cat.rollup(o, "o_custkey", "o_totalprice", "done"))
+    return made.select("o_custkey", F.round("progress", 4).alias("progress"), "state", F.floor("total").cast("long").alias("effort"))
 
 
 @query("SELECT 10 * p.page_id AS id, n.n_nationkey AS value FROM (SELECT page_id FROM pages) p JOIN nation n ON n.n_nationkey = p.page_id % 25")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodeweave.functions import urls
+from lodeweave.operators import resolve
 from lodeweave.plans.registry import query, table
 
 _TRACK = ", ".join(f"'{k}'" for k in urls.TRACKING_KEYS)
@@ -42,8 +42,7 @@ def url_params_analysis(spark, sf):
 @query(f"WITH {_PARTS} SELECT page_id, scheme || '://' || auth || short AS target FROM c QUALIFY row_number() OVER (PARTITION BY scheme || '://' || auth || short ORDER BY page_id) = 1")
 def url_target_dedupe(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", urls.target(F.col("url")).alias("target"))
-    # The least id per key needs no window: minima are combined before the shuffle.
-    return rows.groupBy("target").agg(F.min("page_id").alias("page_id")).select("page_id", "target")
+    return resolve.first_of(rows, "target", "page_id").select("page_id", "target")
 
 
 @query(f"WITH {_PARTS} SELECT page_id, path AS url_path, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::BIGINT AS url_depth, regexp_replace(url, '[?#].*$', '') AS clean_url, scheme || '://' || auth || '/' AS site_root, regexp_replace(auth, '^www\\.', '') AS bare_domain, replace(auth, '.', '_') AS dotless FROM c")
@@ -75,5 +74,4 @@ def extract_urls_analysed(spark, sf):
 
 @query(f"WITH {_PARTS}, k AS (SELECT auth, page_id, row_number() OVER (PARTITION BY auth ORDER BY page_id) - 1 AS r FROM c) SELECT auth AS host, page_id, r // 40 AS session FROM k")
 def url_session_batches(spark, sf):
-    place = F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1
-    return table(spark, sf, "pages").select(urls.authority(F.col("url")).alias("host"), "page_id").select("host", "page_id", F.floor(place / 40).cast("long").alias("session"))
+    return resolve.session_batches(table(spark, sf, "pages").select(urls.authority(F.col("url")).alias("host"), "page_id"), "host", "page_id", 40)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import urls
 from lodeweave.functions.text import let
+from lodeweave.operators import ordinals
 
 # Places where sites keep their sitemaps, likeliest first.
 COMMON_PATHS = (
@@ -111,8 +112,8 @@ def to_xml(rows: DataFrame, key: str, most: int = MOST_ENTRIES) -> DataFrame:
     alternate = optional(F.concat(F.lit('<xhtml:link rel="alternate" hreflang="'), F.col("hreflang"), F.lit('" href="'), safe, F.lit('"/>'))) if "hreflang" in rows.columns else F.lit("")
     item = F.concat(F.lit("  <url><loc>"), safe, F.lit("</loc>"), optional(F.concat(F.lit("<lastmod>"), F.col("lastmod"), F.lit("</lastmod>"))), alternate, F.lit("</url>"))
     head, tail = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml">', "</urlset>"
-    place = F.row_number().over(Window.partitionBy(key).orderBy("loc")) - 1
-    parts = rows.withColumn("part", F.floor(place / most)).withColumn("item", F.struct("loc", item.alias("x")))
+    placed = ordinals.numbered(rows, [key], ["loc"], "__n")
+    parts = placed.withColumn("part", F.floor((F.col("__n") - 1) / most)).withColumn("item", F.struct("loc", item.alias("x")))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("item")), lambda i: i["x"]), "\n")
     return parts.groupBy(key, "part").agg(F.concat_ws("\n", F.lit(head), joined, F.lit(tail)).alias("xml"))
 

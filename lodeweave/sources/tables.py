@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.operators import ordinals
+
 # Rows of a contact sheet in order.
 CONTACT_KEYS = ("Email", "Phone", "Instagram", "LinkedIn", "Founded", "Location", "Icon URL")
 
@@ -28,15 +30,14 @@ def contact_rows(records: DataFrame, job: str) -> DataFrame:
 
 def page_index(pages: DataFrame, job: str, title: str, url: str, folder: str) -> DataFrame:
     """job, ordinal by URL, title, address and path of each page's file."""
-    n = F.row_number().over(Window.partitionBy(job).orderBy(url))
-    return pages.select(job, n.cast("long").alias("ordinal"), F.col(title).alias("title"), F.col(url).alias("url"), F.concat(F.lit("./"), F.col(folder), F.lit("/content.md")).alias("path"))
+    pages = ordinals.numbered(pages, [job], [url], "__n")
+    return pages.select(job, F.col("__n").alias("ordinal"), F.col(title).alias("title"), F.col(url).alias("url"), F.concat(F.lit("./"), F.col(folder), F.lit("/content.md")).alias("path"))
 
 
 def output_folders(pages: DataFrame, job: str, parts: list[str], url: str) -> DataFrame:
     """pages with `folder`, the parts joined by slashes; later pages of one folder, by URL, get a suffix."""
-    base = F.concat_ws("/", *parts)
-    place = F.row_number().over(Window.partitionBy(job, "__base").orderBy(url))
-    return pages.withColumn("__base", base).withColumn("__n", place).withColumn("folder", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat_ws("_", "__base", "__n"))).drop("__base", "__n")
+    placed = ordinals.numbered(pages.withColumn("__base", F.concat_ws("/", *parts)), [job, "__base"], [url], "__n")
+    return placed.withColumn("folder", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat_ws("_", "__base", "__n"))).drop("__base", "__n")
 
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str], kind: str = "parquet") -> None:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodeweave.operators import ordinals
+from lodeweave.shared import cut
 
 # Fixed values: (event, states it applies to, state after it); last lines that end a job's log.
 TRANSITIONS = (
@@ -86,9 +88,7 @@ def statuses(events: DataFrame, job: str, time: str, event: str) -> DataFrame:
 
 def log_feed(lines: DataFrame, job: str, time: str, text: str, most: int = 2000) -> DataFrame:
     """What a reader who joins late is sent: each job's newest lines in order (`seq` from 1), then DONE where its last line ends it."""
-    from pyspark.sql import Window
-
-    kept = log_history(lines, job, time, most)
+    kept = cut(log_history(lines, job, time, most), "newest_lines")
     seq = F.row_number().over(Window.partitionBy(job).orderBy(time))
     feed = kept.select(job, seq.cast("long").alias("seq"), F.col(text).alias("line"))
     ends = kept.groupBy(job).agg(F.max_by(text, time).alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("last").isin(*END_LINES))
@@ -96,8 +96,10 @@ def log_feed(lines: DataFrame, job: str, time: str, text: str, most: int = 2000)
 
 
 def log_history(lines: DataFrame, job: str, time: str, most: int = 2000) -> DataFrame:
-    """The newest `most` lines of each job."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy(job).orderBy(F.desc(time)))
-    return lines.withColumn("__n", place).where(F.col("__n") <= most).drop("__n")
+    """The newest `most` lines of each job; time: a column, or a struct of the time and what tells equal times apart."""
+    kind = lines.schema[time].dataType
+    if kind.typeName() != "struct":
+        return ordinals.newest(lines, [job], time, most)
+    first, *rest = [F.col(f"{time}.{f}").alias(f"__t{i}") for i, f in enumerate(kind.names)]
+    flat = lines.select("*", first, *rest)
+    return ordinals.newest(flat, [job], "__t0", most, [f"__t{i + 1}" for i in range(len(rest))]).drop(*[f"__t{i}" for i in range(len(kind.names))])
