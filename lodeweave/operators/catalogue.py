@@ -121,9 +121,15 @@ def is_subset(small: Column, large: Column) -> Column:
     return F.size(F.array_except(small, large)) == 0
 
 
-def first_non_empty(df: DataFrame, key: str, seq: str, fields: Sequence[str]) -> DataFrame:
-    """Per key each field's first value in order of seq that is neither null nor empty."""
-    return df.groupBy(key).agg(*[F.min_by(F.col(f), F.when(F.col(f).isNotNull() & (F.col(f) != ""), F.col(seq))).alias(f) for f in fields])
+def first_non_empty(df: DataFrame, key: str, seq: str, fields: Sequence[str], fallbacks: dict[str, Column] | None = None) -> DataFrame:
+    """Per key each field's first value in order of seq that is neither null nor blank, trimmed. fallbacks: for a field the condition
+    under which its value (such as an icon of a fallback service) counts only where there is no other."""
+    picked = []
+    for f in fields:
+        value = F.trim(F.col(f).cast("string"))
+        last = F.coalesce((fallbacks or {}).get(f, F.lit(False)), F.lit(False))
+        picked.append(F.min_by(value, F.when(value.isNotNull() & (value != ""), F.struct(last.alias("l"), F.col(seq).alias("s")))).alias(f))
+    return df.groupBy(key).agg(*picked)
 
 
 def job_status(pages: DataFrame, job: str, status: str) -> DataFrame:

@@ -11,7 +11,7 @@ from lodeweave.operators import html as h
 from lodeweave.operators import taxonomy
 from lodeweave.plans.registry import query, table
 from lodeweave.sources import sitemaps
-from lodeweave.streaming import jobs
+from lodeweave.streaming import contacts, jobs
 
 _ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
 
@@ -112,6 +112,21 @@ def stream_last_status(spark, sf):
     return jobs.run_once(jobs.last_status(s, "user_id", "at", "event_type"), _stream_folder(spark), "complete").select("user_id", "status")
 
 
+_CONTACT = "CASE WHEN event_type = 'click' THEN props END AS note, CASE WHEN value > 50 THEN (CASE WHEN event_id % 3 = 0 THEN 'fallback:' ELSE '' END) || event_type END AS icon"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {_CONTACT} FROM events)
+SELECT user_id, arg_min(note, event_id) FILTER (WHERE note IS NOT NULL) AS note, coalesce(arg_min(icon, event_id) FILTER (WHERE NOT contains(icon, 'fallback:')), arg_min(icon, event_id) FILTER (WHERE icon IS NOT NULL)) AS icon
+FROM e GROUP BY user_id HAVING count(note) + count(icon) > 0""")
+def contact_stream(spark, sf):
+    """A record per user that events fill in, kept as state of a stream."""
+    e = jobs.events(spark, sf, table(spark, sf, "events").schema).selectExpr("user_id", "event_id", *[x.strip() for x in _CONTACT.split(", ")])
+    before = spark.conf.get(contacts._PROVIDER, None)
+    rows = jobs.run_once(contacts.contact_records(e, "user_id", "event_id", ["note", "icon"], "icon", "fallback:"), _stream_folder(spark), "update")
+    contacts.restore_provider(spark, before)
+    return contacts.newest_records(rows, "user_id")
+
+
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
 def log_history(spark, sf):
     e = table(spark, sf, "events").withColumn("at", F.struct("ts", "event_id"))
