@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeweave.functions.text import let
+from lodeweave.shared import cut
 
 #: Rows of a block of a nearest search, about: a cell holds two blocks and their products.
 BLOCK = 4096
@@ -67,12 +71,13 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
 
 
 def _hashed(word: Column, dims: int) -> Column:
-    """struct(pos, sign) of the SHA-256 number of a word. 16**k is 1024 modulo 1536 from k = 3 on, so the sum of the
-    leading hex digits stands for all of them; for other sizes than 768 give a divisor pair with the same property."""
+    """struct(pos, sign) of the SHA-256 number of a word modulo 1536. 16**k is 1024 modulo 1536 from k = 3 on, and 3 * 1024 is 0,
+    so of the leading 61 hex digits only their sum modulo 3 counts, which is that of the numbers they form, 15 digits at a time."""
     if dims != 768:
         raise ValueError("the hash is worked out for 768 dimensions")
     digest = F.sha2(word, 256)
-    lead = F.aggregate(F.split(F.substring(digest, 1, 61), ""), F.lit(0).cast("bigint"), lambda s, x: s + F.when(x == "", 0).otherwise(F.conv(x, 16, 10).cast("bigint")))
+    thirds = [F.conv(F.substring(digest, at, min(15, 62 - at)), 16, 10).cast("bigint") % 3 for at in range(1, 62, 15)]
+    lead = sum(thirds[1:], thirds[0])
     r = (F.conv(F.substring(digest, 62, 3), 16, 10).cast("bigint") + 1024 * lead) % (2 * dims)
     return F.struct((r % dims).alias("pos"), F.when(r < dims, 1.0).otherwise(-1.0).alias("sign"))
 
@@ -96,9 +101,18 @@ def sync(known: DataFrame, texts: DataFrame, key: str, text_col: str) -> DataFra
 
 def dense(sparse: DataFrame, id_col: str, dims: int = 768) -> DataFrame:
     """id, embedding (array of dims) from id, pos, value."""
-    held = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m"))
-    places = F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))
-    return held.select(id_col, F.transform(places, lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0.0))).alias("embedding"))
+    held = sparse.groupBy(id_col).agg(F.collect_list("pos").alias("pos"), F.collect_list("value").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos = batch.column(1)
+            flat = np.zeros(batch.num_rows * dims)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(pos.offsets.to_numpy()))
+            flat[row * dims + pos.flatten().to_numpy(zero_copy_only=False)] = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            made = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dims), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], [id_col, "embedding"])
+
+    return held.mapInArrow(run, T.StructType([held.schema[id_col], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
 def taxonomy_vectors(options: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -111,6 +125,6 @@ def taxonomy_vectors(options: DataFrame, known: DataFrame | None = None) -> Data
 def match_texts(texts: DataFrame, id_col: str, text_col: str, options: DataFrame, threshold: float = 0.0) -> DataFrame:
     """id, option, similarity: the taxonomy's option (with its embedding) nearest to each text, at or above the threshold."""
     numbered = options.withColumn("n", F.xxhash64("option"))
-    own = dense(hash_embedding(texts, id_col, text_col), id_col)
+    own = cut(dense(hash_embedding(texts, id_col, text_col), id_col), "text_vectors")
     best = nearest(own, numbered, id_col, "n", "embedding", "embedding", 1, threshold)
     return best.join(numbered.select("n", "option"), "n").select(id_col, "option", "similarity")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.plans import catalogue_queries, content_queries, enrichment_queries, page_queries, registry, relation_queries, url_queries  # noqa: F401
+from lodeweave.plans import catalogue_queries, content_queries, enrichment_queries, page_queries, record_queries, registry, relation_queries, url_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
