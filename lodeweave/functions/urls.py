@@ -108,6 +108,21 @@ def sanitize(url: Column) -> Column:
     return F.when(authority(url) == "", "").otherwise(whole)
 
 
+def _counted(values: Column) -> Column:
+    """Each value with how many equal ones stand before it."""
+    return F.transform(values, lambda x, i: F.struct(x.alias("value"), F.size(F.filter(F.slice(values, F.lit(1), i), lambda y: y == x)).alias("no")))
+
+
+def without_counted(values: Column, other: Column) -> Column:
+    """The multiset difference of two arrays: of a value that stands n times in the first and m times in the other the last n - m stay."""
+    return F.transform(F.filter(_counted(values), lambda v: F.size(F.filter(other, lambda y: y == v["value"])) <= v["no"]), lambda v: v["value"])
+
+
+def removed_pairs(raw: Column, clean: Column) -> Column:
+    """Query parts that one address has more often than the other."""
+    return without_counted(query_pairs(raw), query_pairs(clean))
+
+
 def analysis(url: Column) -> Column:
     """struct(raw, clean, stripped, retained, has_stripped)."""
     return F.struct(url.alias("raw"), sanitize(url).alias("clean"), stripped_pairs(url).alias("stripped"), retained_pairs(url).alias("retained"), (F.size(stripped_pairs(url)) > 0).alias("has_stripped"))

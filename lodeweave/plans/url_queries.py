@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeweave.functions import urls
+from lodeweave.functions import sql, urls
 from lodeweave.operators import resolve
 from lodeweave.plans.registry import query, table
 
@@ -72,6 +72,23 @@ def extract_urls_analysed(spark, sf):
     return a.select("page_id", F.col("pos").cast("long").alias("pos"), "a.raw", "a.clean", F.array_join("a.stripped", " ").alias("stripped"), "a.has_stripped")
 
 
+@query(f"""WITH {_PARTS} SELECT page_id, {_NORM} AS normal, regexp_replace(auth, ':[0-9]*$', '') AS host, 'pages' AS kind,
+coalesce(nullif(regexp_replace(regexp_replace(lower(path), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'default') AS slug FROM c""")
+def sql_functions(spark, sf):
+    """Spark SQL alone, with the library's SQL functions."""
+    sql.register(spark)
+    table(spark, sf, "pages").createOrReplaceTempView("lodeweave_pages")
+    return spark.sql("SELECT page_id, normalize_url(url) AS normal, url_host(url) AS host, content_type(url) AS kind, slugify(url_path(url)) AS slug FROM lodeweave_pages")
+
+
+@query()
+def sql_extract_urls(spark, sf):
+    """Links of every page's source by a table function."""
+    sql.register(spark)
+    table(spark, sf, "pages").createOrReplaceTempView("lodeweave_pages")
+    return spark.sql("SELECT page_id, pos, raw, clean, array_join(stripped, ' ') AS stripped, has_stripped FROM lodeweave_pages, LATERAL extract_urls(html)")
+
+
 @query(f"WITH {_PARTS}, k AS (SELECT auth, page_id, row_number() OVER (PARTITION BY auth ORDER BY page_id) - 1 AS r FROM c) SELECT auth AS host, page_id, r // 40 AS session FROM k")
 def url_session_batches(spark, sf):
     return resolve.session_batches(table(spark, sf, "pages").select(urls.authority(F.col("url")).alias("host"), "page_id"), "host", "page_id", 40)
