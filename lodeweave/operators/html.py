@@ -35,6 +35,8 @@ PAGE = T.StructType([
     T.StructField("media", T.ArrayType(_MEDIA)),
 ])
 
+# Tags that name a product's number, in order.
+SKU_TAGS = (("property", "product:retailer_item_id"), ("property", "og:upc"), ("itemprop", "sku"), ("name", "sku"))
 # Titles of challenge pages.
 CHALLENGE_TITLES = ("just a moment", "checking your browser", "checking the site connection security", "attention required", "security check", "robot check")
 # Endings of media files.
@@ -228,16 +230,33 @@ def ld_items(block: str) -> list[str]:
     return found
 
 
+def _breadcrumb(root: Node) -> str | None:
+    """The last item of the page's breadcrumb: the first element that the first fitting mark finds, if it has items."""
+    marks = (
+        lambda n: "breadcrumb" in n.attrs.get("class", "").split(), lambda n: n.attrs.get("id") == "breadcrumb", lambda n: "breadcrumb" in n.attrs.get("class", ""), lambda n: "breadcrumb" in n.attrs.get("id", ""),
+        lambda n: n.name == "nav" and "breadcrumb" in n.attrs.get("aria-label", ""),
+    )
+    for mark in marks:
+        found = next((n for n in root.walk() if mark(n)), None)
+        items = list(found.find("li", "span", "a")) if found else []
+        if items:
+            return items[-1].text()
+    return None
+
+
 def read_page(html: str | None, url: str | None) -> dict:
     """What a page says, by PAGE's fields."""
     root, base = parse(html), url or ""
-    metas, icons, alternates = {}, [], []
+    metas, tags, icons, alternates = {}, {}, [], []
     for i, n in enumerate(root.find("meta", "link")):
         a = n.attrs
         if n.name == "meta":
-            for key in (a.get("name"), a.get("property"), a.get("itemprop")):
-                if key and key.lower() not in metas:
-                    metas[key.lower()] = a.get("content", "").strip()
+            for kind in ("name", "property", "itemprop"):
+                key = (a.get(kind) or "").lower()
+                if key:
+                    content = a.get("content", "").strip()
+                    metas.setdefault(key, content)
+                    tags.setdefault((kind, key), content)
             continue
         rel, href = a.get("rel", "").lower().split(), a.get("href", "").strip()
         if not href or href.startswith(("data:", "javascript:")):
@@ -254,8 +273,6 @@ def read_page(html: str | None, url: str | None) -> dict:
     lead = next((p.text() for box in map(root.first, ("main", "article")) if box for p in box.find("p") if lengths[id(p)] >= 20), None)
     short = (p.text(" ") for p in root.find("p", "h1", "h2", "h3", "h4", "h5") if 0 < lengths[id(p)] <= 1000)
     long_text = next((t for t in short if 80 <= len(t) <= 1000 and not _FURNITURE.search(t)), None)
-    crumb = next((n for n in root.walk() if n.has("breadcrumb")), None)
-    items = list(crumb.find("li", "span", "a")) if crumb else []
     title, page = root.first("title"), root.first("html")
     return {
         "title_tag": title.text(" ") if title else None,
@@ -268,8 +285,8 @@ def read_page(html: str | None, url: str | None) -> dict:
         "geo_place": metas.get("geo.placename"),
         "lead": lead,
         "long_text": long_text,
-        "breadcrumb": items[-1].text() if items else None,
-        "sku_meta": next((metas[k] for k in ("product:retailer_item_id", "og:upc", "sku") if metas.get(k)), None),
+        "breadcrumb": _breadcrumb(root),
+        "sku_meta": next((tags[k] for k in SKU_TAGS if tags.get(k)), None),
         "text": body.text(" "),
         "text_len": lengths[id(body)],
         "n_img": sum(1 for _ in root.find("img")),
@@ -334,6 +351,13 @@ def about(page: Column, most: int = 2000) -> Column:
     return F.left(F.coalesce(_filled(page["meta_desc"]), _filled(page["og_desc"]), _ld(page, "description"), page["lead"], page["long_text"]), F.lit(most))
 
 
+def meta_content(page: Column) -> Column:
+    """struct(kind, content) of the description tag, or of og:description where there is no description tag at all; null for none."""
+    own, shared = _filled(page["meta_desc"]), _filled(page["og_desc"])
+    kind = F.when(own.isNotNull(), "description").when(page["meta_desc"].isNull() & shared.isNotNull(), "og:description")
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.coalesce(own, shared).alias("content")))
+
+
 def _href(page: Column, keep) -> Column:
     return F.get(F.filter(page["hrefs"], keep), F.lit(0))
 
