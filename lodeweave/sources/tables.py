@@ -54,6 +54,40 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(db.alias("db"), F.explode(pairs).alias("p")).select("db", "p.relation", F.posexplode("p.options").alias("ord", "option"))
 
 
+def find_taxonomy(spark: SparkSession, root: str, db: str) -> tuple[str, str]:
+    """(path, how) of a database's taxonomy file, one to three folders below root, in <folder>/_schema/_dbs/_taxonomies.json: in order
+    of path the first whose folder is the database's (`own`) or beside which its manifest <db>.json stands (`manifest`), else the
+    first of all (`other`). Case and - or _ make no difference in folders. No file at all is an error, so that a miss is never
+    taken for a taxonomy without options. Any store of Hadoop's will do."""
+    key, fs_of = db.strip().lower().replace("_", "-"), spark.sparkContext._jvm.org.apache.hadoop.fs
+    base = fs_of.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(str(x.getPath().toString()) for depth in (3, 2, 1) for x in fs.globStatus(fs_of.Path(base, "*/" * depth + "_schema/_dbs/_taxonomies.json")))
+    for path in found:
+        if path.split("/")[-4].lower().replace("_", "-") == key:
+            return path, "own"
+        if fs.exists(fs_of.Path(fs_of.Path(path).getParent(), f"{key}.json")):
+            return path, "manifest"
+    if not found:
+        raise FileNotFoundError(f"no taxonomy file below {root}")
+    return found[0], "other"
+
+
+def load_taxonomy(spark: SparkSession, root: str, db: str) -> DataFrame:
+    """db, relation, ord, option and `how` the file was found (see find_taxonomy). Spark's readers skip names that begin with _, so the
+    file, a list of names, is opened by the driver."""
+    path, how = find_taxonomy(spark, root, db)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    one = spark.createDataFrame([(db, how, text)], "db string, how string, text string")
+    relations = F.from_json("text", "map<string,array<string>>")
+    return one.select("db", "how", F.explode(relations).alias("relation", "options")).select("db", "relation", F.posexplode("options").alias("ord", "option"), "how")
+
+
 def seed(spark: SparkSession, table: DataFrame, rows: list[tuple], schema: str, keys: list[str]) -> DataFrame:
     """table with those rows whose keys it lacks."""
     fresh = spark.createDataFrame(rows, schema)
