@@ -34,6 +34,12 @@ def timestamp_ms(time: Column) -> Column:
     return F.unix_millis(time.cast("timestamp"))
 
 
+def to_millis(time: Column) -> Column:
+    """The time to the nearest whole millisecond, halves up."""
+    micros = F.unix_micros(time.cast("timestamp")) + 500
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(1000)))
+
+
 def starts_with_date(text: Column) -> Column:
     """Whether a cell's text begins with a date as YYYY-MM-DD."""
     return F.coalesce(F.trim(text), F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}")
