@@ -166,7 +166,7 @@ def formula_price(spark, sf):
 @query("WITH t AS (SELECT o_custkey, o_orderstatus AS s, o_totalprice AS p FROM orders) SELECT o_custkey, round(avg((s = 'F')::INT), 4) AS progress, CASE WHEN count_if(s <> 'F') = 0 THEN 'done' WHEN count_if(s = 'F') = 0 THEN 'open' ELSE 'partly' END AS state, floor(sum(p))::BIGINT AS effort FROM t GROUP BY o_custkey")
 def formula_progress(spark, sf):
     o = table(spark, sf, "orders").withColumn("done", F.col("o_orderstatus") == "F")
-    made = formulas.progress(cat.rollup(o, "o_custkey", "o_totalprice", "done"))
+    made = formulas.progress(cat.rollup(o, "o_custkey", "o_totalprice", "done", "o_orderkey"))
     return made.select("o_custkey", F.round("progress", 4).alias("progress"), "state", F.floor("total").cast("long").alias("effort"))
 
 
