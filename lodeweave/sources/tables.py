@@ -34,9 +34,9 @@ def page_index(pages: DataFrame, job: str, title: str, url: str, folder: str) ->
     return pages.select(job, F.col("__n").alias("ordinal"), F.col(title).alias("title"), F.col(url).alias("url"), F.concat(F.lit("./"), F.col(folder), F.lit("/content.md")).alias("path"))
 
 
-def output_folders(pages: DataFrame, job: str, parts: list[str], url: str) -> DataFrame:
-    """pages with `folder`, the parts joined by slashes; later pages of one folder, by URL, get a suffix."""
-    placed = ordinals.numbered(pages.withColumn("__base", F.concat_ws("/", *parts)), [job, "__base"], [url], "__n")
+def output_folders(pages: DataFrame, job: str, parts: list[str], url: str, tie: str | None = None) -> DataFrame:
+    """pages with `folder`, the parts joined by slashes; later pages of one folder, by URL, get a suffix; those of one URL by tie."""
+    placed = ordinals.numbered(pages.withColumn("__base", F.concat_ws("/", *parts)), [job, "__base"], [url, *([tie] if tie else [])], "__n")
     return placed.withColumn("folder", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat_ws("_", "__base", "__n"))).drop("__base", "__n")
 
 
