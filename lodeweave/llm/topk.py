@@ -10,10 +10,14 @@ of them is a score that members must reach. As soon as few rows can still reach
 when every level was read - a query stops, on that proof and on its own; those possible members are scored exactly, as
 whole numbers, and only exact scores leave the block.
 
+Levels are read one by one on a sample of the block's rows. Only where the sample says that a query may stop are the lists of
+all rows added, those of all its levels in one matrix product, and the proof is tried on all rows; a query whose proof fails reads
+on to the last level. Rows are looked at by the best score of their chunk first, which leaves few chunks to compare row by row.
+
 Each vector goes to one block and is shuffled once; each query goes to every block. A block holds about COMPONENTS
 components and CELLS scores of one group of queries, so blocks are as few as memory allows; their queries stream past `group`
-at a time, after the block's vectors, in one sorted pass. What a level looks at beyond the scores themselves - the best rows so
-far, bounds, possible members - is worked out SLICE scores at a time. The best k of each block are merged per query, pre-ranked before the shuffle. Nothing is
+at a time, after the block's vectors, in one sorted pass. What is looked at beyond the scores themselves - possible members, their
+bounds and exact scores - is worked out SLICE numbers at a time. The best k of each block are merged per query, pre-ranked before the shuffle. Nothing is
 collected but two counts, nothing is broadcast.
 
 Cases: null vectors, null or non-finite components, and null ids take no part; vectors of different lengths never
@@ -37,6 +41,10 @@ from .common import cut
 COMPONENTS, LEAST_ROWS, GROUP = 1 << 22, 4096, 256
 #: Scores (rows times queries of a group) that a block holds, and those that are looked at together.
 CELLS, SLICE = 1 << 24, 1 << 20
+#: Components of the rows that are looked at level by level, and rows of a chunk, whose best score is looked at first.
+SAMPLE, CHUNK = 1 << 17, 64
+#: Layouts of lists that are kept for the next group, each of a block's size.
+LAID = 4
 #: A query stops once at most so many times k rows can still be members.
 FEW = 8
 
@@ -86,20 +94,41 @@ class Block:
             rest = np.maximum(rest - np.bincount(self.rows[a:z], self.values[a:z] ** 2, minlength=self.n), 0)
             self.left.append(np.sqrt(rest))
         self.left[-1] = np.zeros(self.n)
+        #: Rows that are looked at level by level, before all are, and the levels of their components.
+        self.some = min(self.n, max(1, SAMPLE // max(1, self.width)))
+        self.sample = vectors[: self.some].astype(np.float64)
+        self.sample_level = np.minimum(np.searchsorted(-np.array(self.limits), -np.abs(self.sample), side="left"), len(self.limits) - 1)
+        self.sample_level[self.sample == 0] = len(self.limits)
+        self.rooms = max(1, -(-self.n // CHUNK))
+        self._laid: dict = {}
         #: Postings that queries have read, and what full scans would have read.
         self.read = self.scanned = 0
 
-    def _best(self, partial: np.ndarray, k: int) -> np.ndarray:
-        """k rows with the best scores so far, for each query."""
-        step, queries = max(k + 1, SLICE // max(1, partial.shape[1])), np.arange(partial.shape[1])
-        best = np.zeros((0, len(queries)), np.int64)
-        for at in range(0, self.n, step):
-            part = partial[at : at + step]
-            own = np.argpartition(-part, k - 1, axis=0)[:k] + at if len(part) > k else np.repeat(np.arange(at, at + len(part))[:, None], len(queries), axis=1)
-            best = np.concatenate((best, own))
-            if len(best) > k:
-                best = np.take_along_axis(best, np.argpartition(-partial[best, queries], k - 1, axis=0)[:k], axis=0)
-        return best
+    def _lists(self, upto: int, real: type) -> np.ndarray:
+        """The lists of the first levels side by side, (rows, dimensions): one matrix product adds them all to the scores of a group."""
+        if (upto, real) not in self._laid:
+            while len(self._laid) >= LAID:
+                del self._laid[next(iter(self._laid))]
+            end = self.starts[upto * self.width]
+            laid = np.zeros((self.rooms * CHUNK, self.width), real)
+            dims = np.repeat(np.tile(np.arange(self.width, dtype=np.int32), upto), np.diff(self.starts[: upto * self.width + 1]))
+            laid[self.rows[:end], dims] = self.values[:end]
+            self._laid[upto, real] = laid
+        return self._laid[upto, real]
+
+    def _settle(self, rows: np.ndarray, cols: np.ndarray, score, k: int, held: list) -> list:
+        """held, (query, row, exact score) of each query's best k so far, with further pairs looked at."""
+        step = max(1, SLICE // max(1, self.width))
+        for at in range(0, len(rows), step):
+            r, c = rows[at : at + step], cols[at : at + step]
+            r, c, x = (np.concatenate(pair) for pair in zip(held, (r, c, score(r, c)), strict=True)) if held else (r, c, score(r, c))
+            order = np.argsort(c, kind="stable")
+            order = order[np.argsort(-x[order], kind="stable")]
+            order = order[np.argsort(r[order], kind="stable")]
+            r, c, x = r[order], c[order], x[order]
+            kept = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+            held = [r[kept], c[kept], x[kept]]
+        return held
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the query, id, score) of each query's best k of this block, best first."""
@@ -109,57 +138,97 @@ class Block:
         exact_q, exact_v = (queries, self.exact) if most < 2**62 else (queries.astype(object), self.exact.astype(object))
         score = lambda rows, cols: (exact_q[rows] * exact_v[cols]).sum(axis=1)
         length, total = np.sqrt((q * q).sum(axis=1)), np.abs(q).sum(axis=1)
-        values = self.values.astype(real)
-        partial = np.zeros((self.n, len(q)), real)
         own = np.searchsorted(self.ids, query_ids)
-        asks = np.flatnonzero((own < self.n) & (self.ids[np.minimum(own, self.n - 1)] == query_ids))
-        partial[own[asks], asks] = -np.inf
-        live, floor, found = np.arange(len(q)), np.full(len(q), -np.inf), []
+        own[(own < self.n) & (self.ids[np.minimum(own, self.n - 1)] != query_ids)] = self.n
+        asked = q.astype(real)
         self.scanned += len(self.rows) * len(q)
+        few_here = max(2, few * k * self.some // max(1, self.n))
+        place = min(max(1, k * self.some // max(1, self.n)), max(1, self.some))
+        sample = np.zeros((len(q), self.some), real)
+        whole = self.some == self.n
+        live, tried, held = np.arange(len(q)), np.zeros(len(q), bool), []
         for i, limit in enumerate(self.limits):
-            columns = np.ascontiguousarray(q[live].T.astype(real))
-            for d in range(self.width):
-                a, z = self.starts[i * self.width + d], self.starts[i * self.width + d + 1]
-                if z > a:
-                    partial[self.rows[a:z]] += values[a:z, None] * columns[d]
-            self.read += int(self.starts[(i + 1) * self.width] - self.starts[i * self.width]) * len(live)
             last = i + 1 == len(self.limits)
-            if self.n > k:
-                best = self._best(partial, k)
-                scores = score(live[np.tile(np.arange(len(live)), k)], best.ravel()).astype(np.float64).reshape(k, len(live))
-                scores[np.isneginf(np.take_along_axis(partial, best, axis=0))] = -np.inf
-                floor[live] = np.maximum(floor[live], scores.min(axis=0))
-            by_sum = limit * total[live] if not last else np.zeros(len(live))
-
-            def possible(at: int, end: int, some: np.ndarray | slice) -> np.ndarray:
-                """Which of a slice of rows may be members, for some of the live queries."""
-                own = partial[at:end, some]  # noqa: B023
-                bound = np.minimum(self.left[i][at:end, None] * length[live][some], by_sum[some]) + slack  # noqa: B023
-                return (own + bound.astype(real) * real(1.000001) >= floor[live][some] - slack) & ~np.isneginf(own)  # noqa: B023
-
-            step = max(1, SLICE // max(1, len(live)))
-            counts = np.zeros(len(live), np.int64)
-            for at in range(0, self.n, step):
-                counts += possible(at, at + step, slice(None)).sum(axis=0)
-            done = counts <= few * k
-            if last:
-                done[:] = True
-            if done.any():
-                ended = np.flatnonzero(done)
-                for at in range(0, self.n, step):
-                    cols, rows = np.nonzero(possible(at, at + step, ended))
-                    found.append((live[ended][rows], cols + at))
-                live, partial = live[~done], partial[:, ~done]
+            ready = live
+            if whole or (not last and self.some > place):  # what a sample of the rows says: whether it is worth while to look at all of them
+                lists = np.where(self.sample_level == i, self.sample, 0).astype(real)
+                sample[live] += asked[live] @ lists.T
+                inside = live[own[live] < self.some]
+                sample[inside, own[inside]] = -np.inf
+                bound = np.minimum(self.left[i][: self.some] * length[live, None], limit * total[live, None]) + slack
+                near = -np.partition(-sample[live], place - 1, axis=1)[:, place - 1]
+                self.read += np.count_nonzero(lists) * len(live)
+                if not last:
+                    ready = live[((sample[live] + bound >= near[:, None]).sum(axis=1) <= few_here) & (whole | ~tried[live])]
+                    if not whole and (i % 2 or 4 * len(ready) < len(live)):  # lists are laid out for many queries at once
+                        continue
+            elif not last:
+                continue
+            tried[ready] = True
+            ended = []
+            for at in range(0, len(ready), max(1, CELLS // max(1, self.n))):
+                ended.append(self._stopped(ready[at : at + max(1, CELLS // max(1, self.n))], i, last, asked, own, length, limit * total, slack, score, k, few * k, held, sample if whole else None))
+            live = np.setdiff1d(live, np.concatenate(ended)) if ended else live
             if not len(live):
                 break
-        rows, cols = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        scores = score(rows, cols)
-        order = np.argsort(self.ids[cols], kind="stable")
-        order = order[np.argsort(-scores[order], kind="stable")]
-        order = order[np.argsort(rows[order], kind="stable")]
-        rows, cols, scores = rows[order], cols[order], scores[order]
-        kept = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-        return rows[kept], self.ids[cols[kept]], scores[kept]
+        if not held:
+            return (np.zeros(0, np.int64),) * 3
+        rows, cols, scores = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(rows, kind="stable")
+        return rows[order], self.ids[cols[order]], scores[order]
+
+    def _stopped(self, some: np.ndarray, i: int, last: bool, asked: np.ndarray, own: np.ndarray, length: np.ndarray, by_sum: np.ndarray, slack: float, score, k: int, most: int, held: list, known: np.ndarray | None) -> np.ndarray:
+        """Those of some queries that stop after level i, on a proof over all rows; their best k are put into held. known: scores so far."""
+        if known is None:
+            partial = asked[some] @ self._lists(i + 1, asked.dtype.type).T
+            self.read += int(self.starts[(i + 1) * self.width]) * len(some)
+            partial[:, self.n :] = -np.inf
+        else:
+            partial = np.full((len(some), self.rooms * CHUNK), -np.inf, known.dtype)
+            partial[:, : self.n] = known[some]
+        inside = np.flatnonzero(own[some] < self.n)
+        partial[inside, own[some][inside]] = -np.inf
+        rooms = partial.reshape(len(some), self.rooms, CHUNK)
+        tops = rooms.max(axis=2)
+        # the k best so far lie in the k chunks with the highest tops; exact scores of them are a floor
+        best = np.argpartition(-tops, k - 1, axis=1)[:, :k] if self.rooms > k else np.tile(np.arange(self.rooms), (len(some), 1))
+        cells = np.take_along_axis(rooms, best[:, :, None], axis=1).reshape(len(some), -1)
+        floor = np.full(len(some), -np.inf)
+        if self.n >= k and cells.shape[1] >= k:
+            inner = np.argpartition(-cells, k - 1, axis=1)[:, :k] if cells.shape[1] > k else np.tile(np.arange(k), (len(some), 1))
+            cols = np.take_along_axis(best, inner // CHUNK, axis=1) * CHUNK + inner % CHUNK
+            real_rows = ~np.isneginf(np.take_along_axis(cells, inner, axis=1))
+            exact = score(np.repeat(some, k), np.minimum(cols, self.n - 1).ravel()).astype(np.float64).reshape(len(some), k)
+            floor = np.where(real_rows, exact, -np.inf).min(axis=1)
+        left, by_sum = np.zeros(self.rooms * CHUNK), np.zeros(len(some)) if last else by_sum[some]
+        left[: self.n] = self.left[i]
+        left = left.reshape(self.rooms, CHUNK)
+        least = floor - slack
+        widest = np.minimum(left.max(axis=1)[None, :] * length[some, None], by_sum[:, None]) + slack
+        who, room = np.nonzero((tops + widest * 1.000001 >= least[:, None]) & ~np.isneginf(tops))
+
+        def possible(who: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(query, row) of the rows of some chunks that may be members."""
+            cells = rooms[who, room]
+            bound = np.minimum(left[room] * length[some][who, None], by_sum[who, None]) + slack
+            at, inner = np.nonzero((cells + bound * 1.000001 >= least[who, None]) & ~np.isneginf(cells))
+            return who[at], room[at] * CHUNK + inner
+
+        done = np.ones(len(some), bool)
+        step = max(1, SLICE // CHUNK)
+        if not last:
+            counts = np.zeros(len(some), np.int64)
+            for at in range(0, len(who), step):
+                counts += np.bincount(possible(who[at : at + step], room[at : at + step])[0], minlength=len(some))
+            done = counts <= most
+            who, room = who[done[who]], room[done[who]]
+        found: list = []
+        for at in range(0, len(who), step):
+            rows, cols = possible(who[at : at + step], room[at : at + step])
+            found = self._settle(some[rows], cols, score, k, found)
+        if found:
+            held.append(found)
+        return some[done]
 
 
 def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block: int | None = None, group: int = GROUP) -> DataFrame:
