@@ -1,8 +1,9 @@
 """Set containment as equi-joins, and the clean-up of duplicates that their master subsumes.
 
 Sets come as rows (id, element), never as arrays, so a set may be as long as it likes. Sets of the same elements are one class.
-A set can only lie in sets that hold its rarest element: that element is joined with an inverted index of the larger sets, sizes
-prune, and what is left is confirmed element by element. A set of n elements has at most (all rows / n) candidates, as they must
+A set can only lie in sets that hold its rarest element: that element is joined with an inverted index of the larger sets. Sizes and
+signs (each element sets one of 64 bits, twice over) stand in the index and prune there, before anything is shuffled; what is left is
+confirmed element by element. A set of n elements has at most (all rows / n) candidates, as they must
 have n elements too, so confirming costs a set no more than one pass over the index.
 """
 
@@ -13,13 +14,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.shared import cut
+
+#: Words of 64 bits that sum up a set's elements.
+SIGNS = 2
+
+
+def _sets(rows: DataFrame, id_col: str, element_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, element without nulls and repeats; id, size, h1, h2 and signs s0, ... of each set), both from one shuffle by id. h1 and h2
+    are 64-bit hashes of the elements, all of them joined by exclusive or; each element sets one bit of each sign."""
+    each = rows.select(F.col(id_col).alias("id"), F.col(element_col).alias("element")).where("element is not null").repartition("id").distinct()
+    joined = lambda seed: F.bit_xor(F.xxhash64("element", F.lit(seed)))
+    signs = [F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(element, {seed}), 64) as int))")).alias(f"s{i}") for i, seed in enumerate(range(3, 3 + SIGNS))]
+    return each, each.groupBy("id").agg(F.count(F.lit(1)).alias("size"), joined(1).alias("h1"), joined(2).alias("h2"), *signs)
+
 
 def classes(rows: DataFrame, id_col: str, element_col: str) -> DataFrame:
     """id, size and class (least id of the sets with the same elements) of each set; null elements are left out. Sets are told
-    apart by their size and two 64-bit hashes summed over their elements."""
-    each = rows.select(F.col(id_col).alias("id"), F.col(element_col).alias("element")).where("element is not null").distinct()
-    total = lambda seed: F.sum(F.xxhash64("element", F.lit(seed)).cast("decimal(38,0)"))
-    sets = each.groupBy("id").agg(F.count(F.lit(1)).alias("size"), total(1).alias("h1"), total(2).alias("h2"))
+    apart by their size and two 64-bit hashes joined over their elements."""
+    sets = _sets(rows, id_col, element_col)[1].select("id", "size", "h1", "h2")
     least = sets.groupBy("size", "h1", "h2").agg(F.min("id").alias("class"))
     return sets.join(least, ["size", "h1", "h2"]).select("id", "size", "class")
 
@@ -27,21 +40,30 @@ def classes(rows: DataFrame, id_col: str, element_col: str) -> DataFrame:
 def contained(small: DataFrame, large: DataFrame, id_col: str, element_col: str) -> DataFrame:
     """Pairs (small, large) of sets, one of each class, such that the large set holds all elements of the small one; a set is not
     paired with its own id. Members of classes are those of classes(). Sets without elements take no part."""
-    s, s_sizes = _representatives(small, id_col, element_col, "small")
-    t, t_sizes = _representatives(large, id_col, element_col, "large")
+    s = _representatives(small, id_col, element_col)
+    t = s if large is small else _representatives(large, id_col, element_col)
     found_in = t.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
-    rarest = s.join(found_in, "element", "left").groupBy("small").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "element")).alias("r")).where("r.n > 0").select("small", F.col("r.element").alias("element"))
-    open_pairs = rarest.join(t, "element").where(F.col("small") != F.col("large")).select("small", "large").join(s_sizes, "small").join(t_sizes, "large").where("large_size >= small_size").select("small", "large", "small_size")
-    sure = open_pairs.where("small_size = 1")
-    met = open_pairs.where("small_size > 1").join(s, "small").join(t, ["large", "element"]).groupBy("small", "large", "small_size").agg(F.count(F.lit(1)).alias("n"))
-    return sure.select("small", "large").unionByName(met.where("n = small_size").select("small", "large"))
-
-
-def _representatives(rows: DataFrame, id_col: str, element_col: str, name: str) -> tuple[DataFrame, DataFrame]:
-    own = classes(rows, id_col, element_col).where("id = class")
-    sizes = own.select(F.col("id").alias(name), F.col("size").alias(f"{name}_size"))
-    elements = rows.select(F.col(id_col).alias(name), F.col(element_col).alias("element")).where("element is not null").distinct()
-    return elements.join(sizes.select(name), name, "left_semi"), sizes
+    signs = [f"s{i}" for i in range(SIGNS)]
+    asked = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "element")
+    rarest = s.join(found_in, "element", "left").groupBy(F.col("id").alias("small")).agg(F.min(asked).alias("r"), F.first("size").alias("small_size"), *[F.first(c).alias(f"small_{c}") for c in signs]).where("r.n > 0")
+    rarest = rarest.select("small", "small_size", *[f"small_{c}" for c in signs], F.col("r.element").alias("element"))
+    # sizes and signs are compared where the rarest element's row of the index is met, so that few pairs leave it
+    holds = (F.col("small") != F.col("large")) & (F.col("size") >= F.col("small_size"))
+    for c in signs:
+        holds = holds & (F.col(f"small_{c}").bitwiseAND(F.bitwise_not(c)) == 0)
+    pairs = rarest.join(t.withColumnRenamed("id", "large"), "element").where(holds).select("small", "large", "small_size")
+    pairs = cut(pairs, "open_pairs")
+    open_pairs = pairs.where("small_size > 1")
+    met = open_pairs.join(s.select(F.col("id").alias("small"), "element"), "small").join(t.select(F.col("id").alias("large"), "element"), ["large", "element"])
+    met = met.groupBy("small", "large", "small_size").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.where("small_size = 1").select("small", "large").unionByName(met.where("n = small_size").select("small", "large"))
+
+
+def _representatives(rows: DataFrame, id_col: str, element_col: str) -> DataFrame:
+    """A row per element of one set of each class, with the set's size and signs, written once."""
+    each, sets = _sets(rows, id_col, element_col)
+    least = sets.groupBy("size", "h1", "h2").agg(F.min_by(F.struct("id", *[f"s{i}" for i in range(SIGNS)]), "id").alias("x")).select("size", "x.*")
+    return cut(each.join(least, "id"), "set_elements")
 
 
 def masters(df: DataFrame, group: Sequence[str], id_col: str, score: Column, created: str, flagged: str | None = None) -> DataFrame:
