@@ -15,6 +15,8 @@ from lodeweave.shared import cut
 
 #: Rows of a block of a nearest search, about: a cell holds two blocks and their products.
 BLOCK = 4096
+#: Products that are looked at together.
+CELLS = 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,12 +38,34 @@ def unit(a: Column) -> Column:
     return let(a.cast("array<double>"), lambda v: let(norm(v), lambda size: F.transform(v, lambda x: F.when(size > 1e-12, x / size).otherwise(0.0))))
 
 
+def _best_products(x: np.ndarray, y: np.ndarray, l_ids: np.ndarray, r_ids: np.ndarray, k: int, threshold: float, other_ids: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, product) of each row's k highest products at or above the threshold, best first, ties to the first of y;
+    CELLS products are held at once."""
+    parts, step = [], max(1, CELLS // len(y))
+    for at in range(0, len(x), step):
+        own = l_ids[at : at + step]
+        sims = x[at : at + step] @ y.T
+        np.clip(sims, -1, 1, out=sims)
+        if other_ids:
+            sims[own[:, None] == r_ids[None, :]] = -2
+        # what reaches the k-th value, few but for ties
+        least = np.partition(sims, -k, axis=1)[:, -k] if len(y) > k else np.full(len(own), -2.0)
+        i, j = np.nonzero(sims >= np.maximum(least, max(threshold, -1))[:, None])
+        s = sims[i, j]
+        order = np.lexsort((j, -s, i))
+        i, j, s = i[order], j[order], s[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+        parts.append((i[kept] + at, j[kept], s[kept]))
+    rows, cols, found = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return rows, cols, found
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vector: str, right_vector: str, k: int = 3, threshold: float = 0.0, block: int = BLOCK, other_ids: bool = False) -> DataFrame:
     """left_id, right_id, similarity, place: for each row of left the k most similar rows of right at or above the
     threshold, ties to the smaller id; with other_ids no row meets its own id.
 
     Both sides are brought to length 1 once and dealt to blocks of about `block` rows by hash; each pair of blocks is one
-    group, scored as a matrix product of bounded size, and its best k leave it. Empty and null vectors count as zero
+    group, scored as matrix products of bounded size, and its best k leave it. Empty and null vectors count as zero
     vectors, whose similarity is 0; vectors of different lengths never meet."""
     sides = [df.select(F.col(i).cast("long").alias("id"), F.coalesce(unit(F.col(v)), F.array().cast("array<double>")).alias("v")).withColumn("dim", F.size("v")) for df, i, v in ((left, left_id, left_vector), (right, right_id, right_vector))]
     n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
@@ -55,14 +79,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
             by_id = np.argsort(r_ids, kind="stable")
             r_ids = r_ids[by_id]
             x, y = (np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (a, b))
-            sims = np.clip(x @ y[by_id].T, -1, 1)
-            if other_ids:
-                sims[l_ids[:, None] == r_ids[None, :]] = -2
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            rows, cols = np.repeat(np.arange(len(l_ids)), best.shape[1]), best.ravel()
-            found = sims[rows, cols]
-            good = found >= max(threshold, -1)
-            rows, cols, found = rows[good], cols[good], found[good]
+            rows, cols, found = _best_products(x, y[by_id], l_ids, r_ids, k, threshold, other_ids)
         return pa.table({"l_id": l_ids[rows], "r_id": r_ids[cols], "similarity": found})
 
     scored = ls.groupBy("dim", "i", "j").cogroup(rs.groupBy("dim", "i", "j")).applyInArrow(cell, "l_id long, r_id long, similarity double")
