@@ -148,11 +148,21 @@ def explorer(pages: DataFrame, categories: DataFrame, types: DataFrame) -> DataF
     return j.withColumn("category_total", F.sum("n_pages").over(Window.partitionBy("category_id")))
 
 
+#: Rows of a partition of rollup, about.
+ROLLUP_ROWS = 200_000
+
+
 def rollup(links: DataFrame, key: str, value: str, flag: str, order: str | None = None) -> DataFrame:
     """Per key: count, sum, share of checked rows, unchecked rows, distinct values. With an order a key's values are added in that
-    order, so that a sum of doubles is the same however the rows are dealt (n_unique aside, which regroups them)."""
+    order, so that a sum of doubles is the same however the rows are dealt (n_unique aside, which regroups them).
+
+    Rows are dealt by key to as many partitions as they fill, ROLLUP_ROWS each, so that a task's memory does not grow with the input,
+    and distinct values need no shuffle of their own."""
+    needed = [key, value, flag] + ([order] if order is not None else [])
+    parts = max(links.sparkSession.sparkContext.defaultParallelism, -(-links.count() // ROLLUP_ROWS))
+    links = links.select(*dict.fromkeys(needed)).repartition(parts, key)
     if order is not None:
-        links = links.repartition(key).sortWithinPartitions(key, order)  # Spark keeps a sort below a sum of doubles
+        links = links.sortWithinPartitions(key, order)  # Spark keeps a sort below a sum of doubles
     return links.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(F.col(flag).cast("int")).alias("percent_checked"), F.count_if(~F.col(flag)).alias("unchecked"), F.count_distinct(value).alias("n_unique"))
 
 
