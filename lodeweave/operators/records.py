@@ -124,7 +124,7 @@ def classified(pages: DataFrame, near_category: DataFrame, near_type: DataFrame,
     t = {"category": rules.CATEGORY_RULES, "type": rules.TYPE_RULES, "tag": rules.TAG_RULES, "genre": rules.GENRE_RULES} | (tables or {})
     f = pages.select("page_id", rules.features(F.col("title"), F.col("description"), F.col("body"), F.col("url")).alias("f")).select("page_id", "f.primary", "f.body")
     p, b = F.col("primary"), F.col("body")
-    found = f.select("page_id", rules.category(p, b, t["category"]).alias("c"), rules.page_type(p, b, t["type"]).alias("k"), rules.tags(p, b, t["tag"]).alias("tags"), rules.first_label(p, t["genre"]).alias("genre"))
+    found = f.select("page_id", rules.labels(p, b, t["category"], t["type"], t["tag"], t["genre"]).alias("l")).select("page_id", F.col("l.category").alias("c"), F.col("l.type").alias("k"), "l.tags", "l.genre")
     for near, name in ((near_category, "__nc"), (near_type, "__nt")):
         found = found.join(near.select("page_id", F.col("option").alias(name), F.col("similarity").alias(f"{name}_sim")), "page_id", "left")
     chosen = rules.arbitrate(F.col("c.label"), F.col("c.score"), F.col("__nc"), F.col("__nc_sim"), F.col("k.label"), F.col("k.score"), F.col("__nt"), F.col("__nt_sim"))

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeweave.functions.text import let
+from lodeweave.operators.rules import words_of
 from lodeweave.shared import cut
 
 #: Rows of a block of a nearest search, about: a cell holds two blocks and their products.
 BLOCK = 4096
 #: Products that are looked at together.
 CELLS = 1 << 18
+#: Texts and words whose vectors are made together.
+STEP_ROWS, STEP_WORDS = 1024, 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -87,22 +92,33 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     return scored.withColumn("place", place.cast("long")).where(F.col("place") <= k).select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "similarity", "place")
 
 
-def _hashed(word: Column, dims: int) -> Column:
-    """struct(pos, sign) of the SHA-256 number of a word modulo 1536. 16**k is 1024 modulo 1536 from k = 3 on, and 3 * 1024 is 0,
-    so of the leading 61 hex digits only their sum modulo 3 counts, which is that of the numbers they form, 15 digits at a time."""
+def _slots(words: list[bytes], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Position and sign of each word: its SHA-256 number modulo 1536. 256 is 1 modulo 3 and 65536 is 1024 modulo 1536, so of all
+    bytes but the last two only their sum modulo 3 counts."""
     if dims != 768:
         raise ValueError("the hash is worked out for 768 dimensions")
-    digest = F.sha2(word, 256)
-    thirds = [F.conv(F.substring(digest, at, min(15, 62 - at)), 16, 10).cast("bigint") % 3 for at in range(1, 62, 15)]
-    lead = sum(thirds[1:], thirds[0])
-    r = (F.conv(F.substring(digest, 62, 3), 16, 10).cast("bigint") + 1024 * lead) % (2 * dims)
-    return F.struct((r % dims).alias("pos"), F.when(r < dims, 1.0).otherwise(-1.0).alias("sign"))
+    digests = np.frombuffer(b"".join([sha256(w).digest() for w in words]), np.uint8).reshape(-1, 32)
+    lead = digests[:, :30].sum(axis=1, dtype=np.int64) % 3
+    r = (digests[:, 30].astype(np.int64) * 256 + digests[:, 31] + 1024 * lead) % (2 * dims)
+    return r % dims, np.where(r < dims, 1.0, -1.0)
+
+
+def _hashed(word: Column, dims: int) -> Column:
+    """struct(pos, sign) of a word."""
+
+    @F.arrow_udf("struct<pos:bigint,sign:double>")
+    def run(words: pa.Array) -> pa.Array:
+        held = words.dictionary_encode()  # most words come back
+        pos, sign = _slots(held.dictionary.cast(pa.binary()).to_pylist(), dims)
+        at = held.indices.to_numpy()
+        return pa.StructArray.from_arrays([pa.array(pos[at]), pa.array(sign[at])], ["pos", "sign"])
+
+    return run(word)
 
 
 def hash_embedding(df: DataFrame, id_col: str, text_col: str, dims: int = 768) -> DataFrame:
     """id, pos, value: unit-length sparse vector of hashed words (weight by place) and neighbouring pairs (half)."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0))
-    w = df.select(F.col(id_col).alias("id"), words.alias("w"))
+    w = df.select(F.col(id_col).alias("id"), words_of(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
     ones = F.transform("w", lambda x, i: F.struct(x.alias("t"), (1 / F.log2(i + 3)).alias("weight")))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(F.concat_ws("_", a, b).alias("t"), F.lit(0.5).cast("double").alias("weight")))).otherwise(F.array().cast("array<struct<t:string,weight:double>>"))
     terms = w.select("id", F.explode(F.concat(ones, pairs)).alias("x")).select("id", _hashed(F.col("x.t"), dims).alias("h"), F.col("x.weight").alias("weight"))
@@ -139,9 +155,76 @@ def taxonomy_vectors(options: DataFrame, known: DataFrame | None = None) -> Data
     return made if known is None else known.select("option", "embedding").unionByName(made)
 
 
-def match_texts(texts: DataFrame, id_col: str, text_col: str, options: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """id, option, similarity: the taxonomy's option (with its embedding) nearest to each text, at or above the threshold."""
+def _embedded(offsets: np.ndarray, words: pa.Array, dims: int) -> np.ndarray:
+    """The vectors of hash_embedding, a row for each text; text i has words[offsets[i]:offsets[i + 1]]."""
+    held = words.dictionary_encode()
+    names, code = held.dictionary.cast(pa.binary()).to_pylist(), held.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    weight = 1 / (np.log(np.arange(len(row)) - offsets[row] + 3) / np.log(2))
+    next_to = np.flatnonzero(row[1:] == row[:-1])
+    pairs, which = np.unique(code[next_to] * len(names) + code[next_to + 1], return_inverse=True)
+    first, second = np.divmod(pairs, max(1, len(names)))
+    pos, sign = _slots([*names, *[names[a] + b"_" + names[b] for a, b in zip(first.tolist(), second.tolist(), strict=True)]], dims)
+    term = np.concatenate([code, len(names) + which])
+    at = np.concatenate([row, row[next_to]]) * dims + pos[term]
+    sums = np.bincount(at, sign[term] * np.concatenate([weight, np.full(len(next_to), 0.5)]), (len(offsets) - 1) * dims).reshape(-1, dims)
+    size = np.sqrt(np.einsum("ij,ij->i", sums, sums))[:, None]
+    return np.divide(sums, size, out=np.zeros_like(sums), where=size > 1e-12)
+
+
+def _vectors_of(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, vectors) of batches of ids and lists of words, STEP_ROWS rows and about STEP_WORDS words at a time; texts without words
+    have none."""
+    for batch in batches:
+        batch = batch.filter(pc.greater(pc.list_value_length(batch.column(1)), 0))
+        offsets, at = batch.column(1).offsets.to_numpy().astype(np.int64), 0
+        while at < batch.num_rows:
+            end = max(at + 1, min(at + STEP_ROWS, int(np.searchsorted(offsets, offsets[at] + STEP_WORDS, "right")) - 1))
+            words = batch.column(1).values.slice(offsets[at], offsets[end] - offsets[at])
+            yield batch.column(0).slice(at, end - at), _embedded(offsets[at : end + 1] - offsets[at], words, dims)
+            at = end
+
+
+def match_texts(texts: DataFrame, id_col: str, text_col: str, options: DataFrame, threshold: float = 0.0, dims: int = 768) -> DataFrame:
+    """id, option, similarity: the taxonomy's option (with its embedding) nearest to each text, at or above the threshold; texts of one
+    id count as one.
+
+    A text's vector is made in the task that reads it and meets the options there, if they fit a block of a nearest search; else
+    the vectors are written and searched by blocks. Only texts that share an id are shuffled."""
     numbered = options.withColumn("n", F.xxhash64("option"))
-    own = cut(dense(hash_embedding(texts, id_col, text_col), id_col), "text_vectors")
-    best = nearest(own, numbered, id_col, "n", "embedding", "embedding", 1, threshold)
-    return best.join(numbered.select("n", "option"), "n").select(id_col, "option", "similarity")
+    usable = numbered.where(F.size("embedding") == dims).select("n", "option", F.col("embedding").cast("array<double>").alias("embedding"))
+    few = usable.limit(BLOCK + 1).toArrow()
+    fits = few.num_rows <= BLOCK
+    words = texts.select(F.col(id_col).cast("long").alias(id_col), words_of(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
+    shared = cut(texts.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col), "shared_ids")
+    several = not shared.isEmpty()
+    if several:
+        words = words.join(shared.select(F.col(id_col).cast("long").alias(id_col)), id_col, "left_anti")
+    few = few.sort_by("n")
+    names, y = few.column("option").combine_chunks(), np.asarray(few.column("embedding").combine_chunks().flatten(), np.float64).reshape(-1, dims)
+    size = np.sqrt(np.einsum("ij,ij->i", y, y))[:, None]
+    y = np.divide(y, size, out=np.zeros_like(y), where=size > 1e-12)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _vectors_of(batches, dims):
+            if len(y):
+                # what differs by the order of adding only is equal, and goes to the first
+                sims = np.clip(np.round(x @ y.T, 12), -1, 1) + 0.0
+                best = sims.argmax(axis=1)
+                found = sims[np.arange(len(x)), best]
+                kept = np.flatnonzero(found >= max(threshold, -1))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept)), names.take(pa.array(best[kept])), pa.array(found[kept])], [id_col, "option", "similarity"])
+
+    def vectors_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _vectors_of(batches, dims):
+            made = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dims), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([ids, made], [id_col, "embedding"])
+
+    def by_blocks(own: DataFrame) -> DataFrame:
+        best = nearest(cut(own, "text_vectors"), numbered, id_col, "n", "embedding", "embedding", 1, threshold)
+        return best.join(numbered.select("n", "option"), "n").select(id_col, "option", "similarity")
+
+    found = words.mapInArrow(run, f"{id_col} long, option string, similarity double") if fits else by_blocks(words.mapInArrow(vectors_only, f"{id_col} long, embedding array<double>"))
+    if several:
+        found = found.unionByName(by_blocks(dense(hash_embedding(texts.join(shared, id_col, "left_semi"), id_col, text_col, dims), id_col, dims)))
+    return found
